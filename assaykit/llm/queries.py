@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, pieces, quality, sharding, token_counts, topk_search, toxicity
+from . import fingerprints, mixing, ngram_join, pieces, quality, sharding, token_counts, topk_search, toxicity
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -20,6 +20,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op2_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shuffle_shards(read(spark, sf_dir, "documents"), 8)
     text = F.coalesce("text", F.lit(""))
@@ -68,6 +72,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_external_shuffle": op2_external_shuffle,
         "op3_multiset_fingerprints": op3_multiset_fingerprints,
         "op4_quality_trees": op4_quality_trees,
