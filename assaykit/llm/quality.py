@@ -142,13 +142,15 @@ class BoostedTrees:
 
 def with_features(df: DataFrame, keep: list[str], score=None) -> DataFrame:
     """``keep`` columns and ``x`` (features) or, with a model, ``score``; one pass, no shuffle."""
-    df = df.select(*keep, F.col("text").cast("string").alias("__text"))
+    own = ["text"] if "text" in keep and dict(df.dtypes)["text"] == "string" else []
+    df = df.select(*keep, *([] if own else [F.col("text").cast("string").alias("__text")]))
+    at_text = keep.index("text") if own else len(keep)
     kind = "double" if score else "array<double>"
     name = "score" if score else "x"
 
     def run(batches):
         for batch in batches:
-            body, offsets = text_bytes(batch.column(len(keep)))
+            body, offsets = text_bytes(batch.column(at_text))
             for a, b in chunks(offsets):
                 x = features(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 made = pa.array(score.predict(x)) if score else pa.array(list(x), pa.list_(pa.float64()))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, ngram_join, pieces, quality, sharding, token_counts, topk_search, toxicity
+from . import fingerprints, mixing, ngram_join, pieces, quality, sharding, suffix_dedup, token_counts, topk_search, toxicity
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -58,6 +58,11 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.join(named, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every text, decode the ids again: token count, a hash of the ids, parity of the libraries, round trip."""
     coded = pieces.encode_texts(read(spark, sf_dir, "documents").select("doc_id", "text"), model_path())
@@ -79,6 +84,7 @@ def queries() -> dict:
         "op5_toxicity_convolution": op5_toxicity_convolution,
         "op6_exact_top_k": op6_exact_top_k,
         "op7_source_mix": op7_source_mix,
+        "op8_repeated_strings": op8_repeated_strings,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_token_counts": op10_token_counts,
     }
