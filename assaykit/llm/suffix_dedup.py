@@ -28,7 +28,7 @@ SPAN, TOKEN = 400, 32
 PIECE = 2_000_000
 _POSITION_BITS = 23
 PARTS = 4  # tokens of a window in the multikey sort
-MOST_BROADCAST_ROWS = 2_000_000
+MOST_BROADCAST_ROWS = 1_000_000
 MOST_IN_BUCKET = 16_384  # contexts of one leading token that one task compares
 ROWS_A_BUCKET = 8_192
 _U = np.uint64
