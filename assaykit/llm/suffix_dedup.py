@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .textio import chunks, cut, mix, powers, text_bytes
 
 SPAN, TOKEN = 400, 32
-PIECE = 2_000_000
+PIECE = 500_000
 _POSITION_BITS = 23
 PARTS = 4  # tokens of a window in the multikey sort
 MOST_BROADCAST_ROWS = 1_000_000

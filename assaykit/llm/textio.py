@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 #: The separators of words: space and the control characters 0x09 to 0x0D.
 SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
