@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .textio import chunks, cut, mix, shingle_sets, text_bytes
+from .textio import chunks, cut, mix, shingle_sets, small_batches, text_bytes
 
 WIDTH, SPARE, LONG = 5, 16, 64
 MOST_FREQUENT = 1 << 18  # tokens put last in the order; the choice never changes the result
@@ -243,6 +243,7 @@ def jaccard_components(df: DataFrame) -> DataFrame:
     rows all carry its component. Rows whose doc_id is null are left out. Equal sets are decided once, so groups of
     copies cost one set. An empty table gives no rows.
     """
+    small_batches(df.sparkSession)
     texts = df.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent = df.sparkSession.sparkContext.broadcast(frequent_tokens(texts))
     described = cut(_described(texts, frequent))

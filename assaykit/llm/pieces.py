@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textio import small_batches
 from .token_counts import _SEGMENT, MARK
 
 _CACHED, _LONGEST = 100_000, 48
@@ -145,6 +146,7 @@ def encode_texts(df: DataFrame, model_path: str) -> DataFrame:
     Null and empty texts have no ids and parity true. Whole texts are encoded, repeated rows each; clashing columns
     are replaced. No shuffle; a worker holds one part of an Arrow batch and a bounded cache of segments.
     """
+    small_batches(df.sparkSession)
     df = df.drop("ids", "n_tokens", "parity")
     columns = df.columns
     at_text = columns.index("text")

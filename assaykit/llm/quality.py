@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import fit_rows, fold
-from .textio import chunks, mix, span_hashes, text_bytes, word_bounds
+from .textio import chunks, mix, small_batches, span_hashes, text_bytes, word_bounds
 
 FIT_ROWS = 12_000
 FEATURES = (
@@ -142,6 +142,7 @@ class BoostedTrees:
 
 def with_features(df: DataFrame, keep: list[str], score=None) -> DataFrame:
     """``keep`` columns and ``x`` (features) or, with a model, ``score``; one pass, no shuffle."""
+    small_batches(df.sparkSession)
     own = ["text"] if "text" in keep and dict(df.dtypes)["text"] == "string" else []
     df = df.select(*keep, *([] if own else [F.col("text").cast("string").alias("__text")]))
     at_text = keep.index("text") if own else len(keep)

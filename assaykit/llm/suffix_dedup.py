@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textio import chunks, cut, mix, powers, text_bytes
+from .textio import chunks, cut, mix, powers, small_batches, text_bytes
 
 SPAN, TOKEN = 400, 32
 PIECE = 500_000
@@ -277,6 +277,7 @@ def remove_repeats(df: DataFrame, as_text: bool = False) -> DataFrame:
     replaced; an empty table gives no rows. Texts are read three times and not shuffled while the lists of contexts
     and spans stay below ``MOST_BROADCAST_ROWS``; beyond that they are joined by shuffle.
     """
+    small_batches(df.sparkSession)
     df = df.drop("n_bytes", "n_removed", "n_spans", "kept", "__k", "begins", "ends")
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
     texts = df.select(key.alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
