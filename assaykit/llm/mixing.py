@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textio import WORD
+from .textio import WORD, cut
 
 BLOCK_WORDS = 50_000
 
@@ -91,7 +91,8 @@ def mix_sources(df: DataFrame, n_shards: int = 8, weights=(1, 2, 3), most: float
     sources = spark.createDataFrame(table, schema)
     keyed = sized.withColumn("__h", F.xxhash64(F.lit(seed), "doc_id", F.col("text")))
     placed = keyed.join(sources.select("__s", F.col("source").alias("__source"), F.col("nb").alias("__nb")), F.col("source").eqNullSafe(F.col("__source"))).withColumn("__b", F.pmod("__h", F.col("__nb"))).drop("__source", "__nb")
-    blocks = placed.groupBy("__s", "__b").agg(F.sum("size").alias("n")).join(sources.select("__s", "whole", "rest"), "__s")
+    # Blocks and draws are written: their small sizes are then known, and no text is shuffled to join them.
+    blocks = cut(placed.groupBy("__s", "__b").agg(F.sum("size").alias("n"))).join(sources.select("__s", "whole", "rest"), "__s")
     # The part of an epoch: whole blocks in permuted order while they fit, then the documents of the next one.
     order = Window.partitionBy("__s").orderBy(F.xxhash64(F.lit(seed + 1), "__s", "__b"), "__b")
     part = blocks.withColumn("upto", F.sum("n").over(order))
@@ -99,16 +100,17 @@ def mix_sources(df: DataFrame, n_shards: int = 8, weights=(1, 2, 3), most: float
     full = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), "whole")))).filter("whole > 0").select("__s", "__b", (F.col("epoch") - 1).alias("epoch"), F.lit(None).cast("long").alias("room"), F.lit(False).alias("is_cut"))
     draws = full.unionByName(part)
     permuted = Window.partitionBy("__s").orderBy(F.xxhash64(F.lit(seed + 2), "__s", "epoch", "__b"), "epoch", "__b")
-    draws = draws.withColumn("place", F.row_number().over(permuted) - 1)
+    draws = cut(draws).withColumn("place", F.row_number().over(permuted) - 1)
     quotas = {r["__s"]: r["count"] for r in draws.groupBy("__s").count().collect()}
     tree = split_quotas([quotas.get(i, 0) for i in range(len(table))], n_shards, seed)
     ends = spark.createDataFrame([(i, np.cumsum(tree[:, i]).tolist()) for i in range(len(table))], "__s int, ends array<long>")
     draws = draws.join(ends, "__s").withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("place")))).drop("ends", "place")
+    draws = cut(draws)
     whole_blocks = placed.join(draws.filter(~F.col("is_cut")).drop("is_cut", "room"), ["__s", "__b"]).withColumn("words", F.col("size"))
     within = Window.partitionBy("__s").orderBy("__h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    cut = placed.join(draws.filter("is_cut").drop("is_cut"), ["__s", "__b"]).withColumn("__u", F.sum("size").over(within))
-    cut = cut.filter(F.col("__u") - F.col("size") < F.col("room")).withColumn("words", F.least("size", F.col("room") - F.col("__u") + F.col("size"))).drop("room", "__u")
-    mix = whole_blocks.unionByName(cut).withColumn("mix_key", F.xxhash64(F.lit(seed + 3), "__h", "epoch"))
+    part_block = placed.join(draws.filter("is_cut").drop("is_cut"), ["__s", "__b"]).withColumn("__u", F.sum("size").over(within))
+    part_block = part_block.filter(F.col("__u") - F.col("size") < F.col("room")).withColumn("words", F.least("size", F.col("room") - F.col("__u") + F.col("size"))).drop("room", "__u")
+    mix = whole_blocks.unionByName(part_block).withColumn("mix_key", F.xxhash64(F.lit(seed + 3), "__h", "epoch"))
     columns = [*df.columns, "size", "words", "epoch", "shard", "mix_key"]
     return mix.select(*[F.col(f"`{c}`") for c in columns]), sources.select("source", "source_size", "target")
 
