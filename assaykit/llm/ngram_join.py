@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .textio import chunks, cut, mix, shingle_sets, small_batches, text_bytes
+from .textio import chunks, cut, mix, shingle_sets, small_batches, text_bytes, tidy
 
 WIDTH, SPARE, LONG = 5, 16, 64
 MOST_FREQUENT = 1 << 18  # tokens put last in the order; the choice never changes the result
@@ -81,7 +81,7 @@ def _frequent(batches):
 
 def frequent_tokens(texts: DataFrame) -> np.ndarray:
     """The most frequent tokens of all texts, at most ``MOST_FREQUENT`` (two megabytes), sorted."""
-    found = texts.select("text").mapInArrow(_frequent, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= LONG).orderBy(F.desc("c"), "h").limit(MOST_FREQUENT)
+    found = texts.select("text").mapInArrow(tidy(_frequent), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= LONG).orderBy(F.desc("c"), "h").limit(MOST_FREQUENT)
     return np.sort(found.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -109,7 +109,7 @@ def _described(texts: DataFrame, frequent) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(prefixes).view(np.int64)))
             yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(np.array(d1, np.uint64).view(np.int64)), pa.array(np.array(d2, np.uint64).view(np.int64)), lists], names=["doc_id", "n", "d1", "d2", "prefix"])
 
-    return texts.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, prefix array<long>")
+    return texts.mapInArrow(tidy(run), "doc_id long, n long, d1 long, d2 long, prefix array<long>")
 
 
 def _token_sets(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def _token_sets(texts: DataFrame, ids: DataFrame) -> DataFrame:
             sizes = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(sets).view(np.int64)))], names=["id", "tokens"])
 
-    return cut(rows.mapInArrow(run, "id long, tokens array<long>").dropDuplicates(["id"]))
+    return cut(rows.mapInArrow(tidy(run), "id long, tokens array<long>").dropDuplicates(["id"]))
 
 
 def _merge_short(batches):
@@ -167,7 +167,7 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     sets = _token_sets(texts, pairs.select(F.explode(F.array("x", "y")).alias("id")))
     left = pairs.join(sets.select(F.col("id").alias("x"), F.col("tokens").alias("s")), "x")
     both = left.join(sets.select(F.col("id").alias("y"), F.col("tokens").alias("t")), "y")
-    return cut(both.select("x", "y", "s", "t").mapInArrow(_probe, "x long, y long"))
+    return cut(both.select("x", "y", "s", "t").mapInArrow(tidy(_probe), "x long, y long"))
 
 
 class DivideSkip:
@@ -258,7 +258,7 @@ def jaccard_components(df: DataFrame) -> DataFrame:
     short = shared.filter(F.col("c") <= LONG).join(longs.select("x", "k"), "x", "left").select("h", F.struct("x", "n", F.coalesce("k", F.lit(0)).alias("k")).alias("m"))
     lists = short.groupBy("h").agg(F.sort_array(F.collect_list("m")).alias("m"))  # at most LONG members
     before = lists.select(F.posexplode("m").alias("i", "d"), "m").filter("i > 0").select("d.x", "d.n", "d.k", F.slice("m", F.lit(1), F.col("i")).alias("ys"))
-    merged = before.groupBy("x", "n", "k").agg(F.flatten(F.collect_list("ys")).alias("ys")).mapInArrow(_merge_short, "x long, y long, o long")
+    merged = before.groupBy("x", "n", "k").agg(F.flatten(F.collect_list("ys")).alias("ys")).mapInArrow(tidy(_merge_short), "x long, y long, o long")
     candidates = cut(merged)
     kept_long = cut(shared.filter(F.col("c") > LONG).join(heavy, "x", "left_semi").select("h", "x", "n"))
     least = cut(kept_long.groupBy("h").agg(F.min("x").alias("y")))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textio import small_batches
+from .textio import small_batches, tidy
 from .token_counts import _SEGMENT, MARK
 
 _CACHED, _LONGEST = 100_000, 48
@@ -162,7 +162,7 @@ def encode_texts(df: DataFrame, model_path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(sizes), pa.array([g[1] for g in got])], names=[*columns, "ids", "n_tokens", "parity"])
 
     schema = df.limit(0).withColumn("ids", F.lit(None).cast("array<int>")).withColumn("n_tokens", F.lit(None).cast("long")).withColumn("parity", F.lit(None).cast("boolean")).schema
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def decode_ids(df: DataFrame, model_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -178,7 +178,7 @@ def decode_ids(df: DataFrame, model_path: str, ids: str = "ids", out: str = "dec
                 texts = [None if x is None else codec.decode_bytes(np.asarray(x.values.to_numpy())).decode("utf-8", "replace") for x in map(_list, part.column(len(rest)))]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], pa.array(texts, pa.string())], names=[*rest, out])
 
-    return df.mapInArrow(run, df.drop(ids).limit(0).withColumn(out, F.lit("").cast("string")).schema)
+    return df.mapInArrow(tidy(run), df.drop(ids).limit(0).withColumn(out, F.lit("").cast("string")).schema)
 
 
 def _list(scalar):

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import fit_rows, fold
-from .textio import chunks, mix, small_batches, span_hashes, text_bytes, word_bounds
+from .textio import chunks, mix, small_batches, span_hashes, text_bytes, tidy, word_bounds
 
 FIT_ROWS = 12_000
 FEATURES = (
@@ -157,7 +157,7 @@ def with_features(df: DataFrame, keep: list[str], score=None) -> DataFrame:
                 made = pa.array(score.predict(x)) if score else pa.array(list(x), pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns[: len(keep)]], made], names=[*keep, name])
 
-    return df.mapInArrow(run, df.drop("__text").limit(0).withColumn(name, F.lit(None).cast(kind)).schema)
+    return df.mapInArrow(tidy(run), df.drop("__text").limit(0).withColumn(name, F.lit(None).cast(kind)).schema)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> BoostedTrees:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textio import chunks, cut, mix, powers, small_batches, text_bytes
+from .textio import chunks, cut, mix, powers, small_batches, text_bytes, tidy
 
 SPAN, TOKEN = 400, 32
 PIECE = 500_000
@@ -241,7 +241,7 @@ def _spans(batches):
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """``k, begins, ends``: the byte spans to remove, for each key of ``texts (k, text)`` that has any."""
-    rows = cut(texts.mapInArrow(_anchor_rows, "ah long, ch long, k long, lo long, more int"))
+    rows = cut(texts.mapInArrow(tidy(_anchor_rows), "ah long, ch long, k long, lo long, more int"))
     kinds = cut(rows.groupBy("ah", "ch").agg(F.count(F.lit(1)).alias("c"), *[F.first(x).alias(x) for x in ("k", "lo", "more")]))
     tokens = cut(kinds.groupBy("ah").agg(F.count(F.lit(1)).alias("kinds"), F.sum("c").alias("t"), F.min("c").alias("least")).filter("t > 1").drop("t"))
     shared = cut(kinds.join(tokens, "ah"))
@@ -256,16 +256,16 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     crowded = joined.withColumn("ws", F.filter("ws", lambda w: w["kinds"] > MOST_IN_BUCKET)).filter(F.size("ws") > 0)
     fields = "ah long, k long, lo long, more int, edge boolean, ctx binary"
     n_buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_wanted // ROWS_A_BUCKET))
-    found = usual.select("k", "text", "ws").mapInArrow(_contexts, fields).repartitionByRange(n_buckets, "ah").mapInArrow(_bucket, "k long, lo long, more int")
+    found = usual.select("k", "text", "ws").mapInArrow(tidy(_contexts), fields).repartitionByRange(n_buckets, "ah").mapInArrow(tidy(_bucket), "k long, lo long, more int")
     parts = [whole, found]
     if not wanted.filter(F.col("w.kinds") > MOST_IN_BUCKET).isEmpty():
-        windows = cut(crowded.select("k", "text", "ws").mapInArrow(_contexts, fields).mapInArrow(_exploded, "a long, b long, k long, lo long, edge boolean"))
+        windows = cut(crowded.select("k", "text", "ws").mapInArrow(tidy(_contexts), fields).mapInArrow(tidy(_exploded), "a long, b long, k long, lo long, edge boolean"))
         twice = cut(windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("a", "b"))
         parts.append(windows.filter("edge").join(twice, ["a", "b"]).select("k", "lo", F.lit(0).alias("more")))
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    return cut(every.groupBy("k").agg(F.collect_set(F.struct("lo", "more")).alias("s")).mapInArrow(_spans, "k long, begins array<long>, ends array<long>"))
+    return cut(every.groupBy("k").agg(F.collect_set(F.struct("lo", "more")).alias("s")).mapInArrow(tidy(_spans), "k long, begins array<long>, ends array<long>"))
 
 
 def remove_repeats(df: DataFrame, as_text: bool = False) -> DataFrame:
@@ -311,4 +311,4 @@ def remove_repeats(df: DataFrame, as_text: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(bounds)), pa.array(n_gone[bounds[1:]] - n_gone[bounds[:-1]]), pa.array(n_spans), binary], names=[*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
     schema = df.limit(0).withColumns({c: F.lit(None).cast("long") for c in ("n_bytes", "n_removed", "n_spans")}).withColumn("kept", F.lit(None).cast("string" if as_text else "binary")).schema
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidy(run), schema)

@@ -7,6 +7,7 @@ that is longer), never by the partition.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -45,6 +46,20 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def tidy(function):
+    """``function`` for ``mapInArrow``; at its end the worker, which later tasks reuse, gives freed memory back."""
+
+    def run(batches):
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library
+            pass
+
+    return run
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column and its n+1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
