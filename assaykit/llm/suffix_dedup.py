@@ -245,7 +245,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     kinds = cut(rows.groupBy("ah", "ch").agg(F.count(F.lit(1)).alias("c"), *[F.first(x).alias(x) for x in ("k", "lo", "more")]))
     tokens = cut(kinds.groupBy("ah").agg(F.count(F.lit(1)).alias("kinds"), F.sum("c").alias("t"), F.min("c").alias("least")).filter("t > 1").drop("t"))
     shared = cut(kinds.join(tokens, "ah"))
-    whole = rows.join(shared.filter("c > 1").select("ah", "ch"), ["ah", "ch"]).select("k", "lo", "more")
+    whole = rows.join(shared.filter("c > 1").select("ah", "ch"), ["ah", "ch"], "left_semi").select("k", "lo", "more")
     # Contexts to compare: those seen once whose token is not, and one of each kind that they may partly equal.
     wanted = cut(shared.filter("least = 1 AND kinds > 1").select("k", F.struct("ah", "lo", "more", (F.col("c") == 1).alias("edge"), "kinds").alias("w")))
     n_wanted = wanted.count()
