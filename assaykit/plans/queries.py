@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import stable_fraction
-from ..operators import joins, metrics, retrieval, sampling
+from ..operators import conversations, joins, metrics, retrieval, sampling
 from ..sources.tables import ledger, predictions, read, second_predictions
+from ..streaming.windows import event_windows
 
 DIGITS = 6
 
@@ -120,6 +121,9 @@ _QUERIES = {
     "line_matches": (lambda s, d: retrieval.line_matches(read(s, d, "documents"), read(s, d, "benchmark"), "doc_id", "text", "item_id", "text"), "WITH a AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), b AS (SELECT DISTINCT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark) SELECT item_id, count(DISTINCT doc_id) AS docs FROM a JOIN b USING (line) WHERE length(line) >= 20 GROUP BY 1"),
     "usage_totals": (usage_totals, "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2"),
     "turn_shapes": (turn_shapes, "SELECT conv_id, count(*) AS turns, coalesce(sum(length(text)) FILTER (role = 'user'), 0)::BIGINT AS user_chars, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS assistant_chars, arg_max(role, turn) AS last_role, min(turn) AS first_turn FROM conversations GROUP BY 1"),
+    "merge_turns": (lambda s, d: conversations.merge_turns(read(s, d, "conversations")).select("conv_id", "island", "role", "turns", F.md5("text").alias("digest")), "WITH a AS (SELECT *, (lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) IS DISTINCT FROM role)::INT AS ch FROM (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations)), b AS (SELECT *, sum(ch) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS island FROM a) SELECT conv_id, island::BIGINT AS island, role, count(*) AS turns, md5(string_agg(text, chr(10) ORDER BY turn, text)) AS digest FROM b GROUP BY conv_id, island, role"),
+    "final_turn": (lambda s, d: conversations.final_turn(read(s, d, "conversations"), "assistant").select("conv_id", F.md5("text").alias("digest")), "WITH l AS (SELECT conv_id, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, coalesce(text, '') DESC) AS rn FROM conversations WHERE role = 'assistant') SELECT conv_id, md5(coalesce(l.text, '')) AS digest FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN l USING (conv_id) WHERE coalesce(rn, 1) = 1"),
+    "event_windows": (lambda s, d: event_windows(read(s, d, "events")).select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", F.round("total", 3).alias("total")), "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2"),
 }
 
 
