@@ -31,3 +31,10 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_custkey") % 20).alias("team"), F.col("o_orderpriority").alias("notebook"), F.col("o_orderdate").alias("submitted_at"), (F.col("o_orderkey") % 7).alias("unit"),
         F.when(~failed, F.col("o_totalprice") / 600000).alias("metric"), (~failed).alias("ok"), F.col("o_orderkey").alias("record"),
     )
+
+
+def members(preds: DataFrame) -> DataFrame:
+    """Three scorers of the same rows in long form: ``index, label, member, decision``."""
+    one = preds.select("index", "label", F.lit(0).alias("member"), "decision")
+    two = second_predictions(preds).select("index", "label", F.lit(1).alias("member"), "decision")
+    return one.unionByName(two).unionByName(preds.select("index", "label", F.lit(2).alias("member"), (F.pmod("index", F.lit(3)) == 0).cast("int").alias("decision")))
