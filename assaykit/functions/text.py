@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Word bounds are those of ASCII words on every Java version.
+_BEGIN, _END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 NUMBER = r"[0-9][0-9,]*(?:\.[0-9]+)?(?:%|st|nd|rd|th)?"
 
 
@@ -22,7 +24,7 @@ def truncate_text(text: Column, n: int, mode: str = "head", marker: str = " ...
 def normalize_name(text: Column) -> Column:
     """Lower case, single spaces, ``st `` written out, no leading article."""
     squeezed = F.trim(F.regexp_replace(F.lower(text), "[ \t\n\r\f]+", " "))
-    return F.regexp_replace(F.regexp_replace(squeezed, r"\bst ", "saint "), "^the ", "")
+    return F.regexp_replace(F.regexp_replace(squeezed, "(^| )st ", "$1saint "), "^the ", "")
 
 
 def content_terms(text: Column, least: int = 4, limit: int = 12) -> Column:
@@ -47,12 +49,12 @@ def salient_values(text: Column) -> Column:
 
 def cue_flag(text: Column, cues: str, negations: str = "not|never|no") -> Column:
     """Whether a cue occurs that no negation precedes."""
-    found = _all(text, rf"(?i)(?:\b(?:{negations}) +)?\b(?:{cues})\b")
-    return F.exists(found, lambda m: ~m.rlike(rf"(?i)^(?:{negations}) "))
+    found = _all(text, f"(?i)(?:{_BEGIN}(?:{negations}) +)?{_BEGIN}(?:{cues}){_END}")
+    return F.exists(found, lambda m: ~m.rlike(f"(?i)^(?:{negations}) "))
 
 
 def redact_cues(text: Column, cues: str, marker: str = "[cue]") -> Column:
-    return F.regexp_replace(text, rf"(?i)\b(?:{cues})\b", marker)
+    return F.regexp_replace(text, f"(?i){_BEGIN}(?:{cues}){_END}", marker)
 
 
 def extract_tag(text: Column, tag: str) -> Column:

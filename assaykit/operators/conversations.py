@@ -20,3 +20,32 @@ def final_turn(turns: DataFrame, role: str) -> DataFrame:
     """The text of the last turn of a role; empty where a conversation has none."""
     last = F.max(F.when(F.col("role") == role, F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))))
     return turns.groupBy("conv_id").agg(F.coalesce(last["text"], F.lit("")).alias("text"))
+
+
+def render_dialogue(turns: DataFrame, roles: list[str] | None = None) -> DataFrame:
+    """``ROLE: text`` blocks of a conversation in order, blank lines between them."""
+    kept = turns if roles is None else turns.filter(F.col("role").isin(roles))
+    block = F.concat(F.upper("role"), F.lit(": "), F.coalesce("text", F.lit("")))
+    blocks = F.transform(F.array_sort(F.collect_list(F.struct("turn", block.alias("block")))), lambda x: x["block"])
+    return kept.groupBy("conv_id").agg(F.array_join(blocks, "\n\n").alias("dialogue"))
+
+
+def filter_structure(turns: DataFrame, role: str, least_chars: int, least_sentences: int) -> DataFrame:
+    """Conversations whose last turn of a role is long enough and has enough sentence ends."""
+    ends = F.size(F.regexp_extract_all("text", F.lit("[.!?]+"), F.lit(0)))
+    return final_turn(turns, role).filter((F.length("text") >= least_chars) & (ends >= least_sentences)).select("conv_id", F.length("text").alias("chars"), ends.alias("ends"))
+
+
+def expand_conditions(turns: DataFrame, role: str) -> DataFrame:
+    """Each conversation as given, and without the turns of a role: one row per condition."""
+    original = render_dialogue(turns).select("conv_id", F.lit("original").alias("condition"), "dialogue")
+    removed = render_dialogue(turns.filter(F.col("role") != role)).select("conv_id", F.lit("removed").alias("condition"), "dialogue")
+    return original.unionByName(removed)
+
+
+def route(df: DataFrame, rules: list[tuple[str, str]], text: str) -> DataFrame:
+    """The first rule whose pattern a text matches; ``none`` where no rule does."""
+    name = F.lit("none")
+    for label, pattern in reversed(rules):
+        name = F.when(F.col(text).rlike(pattern), label).otherwise(name)
+    return df.withColumn("route", name)

@@ -42,3 +42,8 @@ def line_matches(docs: DataFrame, refs: DataFrame, key: str, text: str, ref_key:
     """Documents one of whose lines equals a line of a reference: an equi-join on the line."""
     lines = lambda d, k, t: d.select(k, F.explode(F.split(F.col(t), "\n")).alias("line")).filter(F.length("line") >= 20).distinct()
     return lines(docs, key, text).join(lines(refs, ref_key, ref_text), "line").groupBy(ref_key).agg(F.count_distinct(key).alias("docs"))
+
+
+def top_k(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
+    """The k first rows of each group in an order, with their rank."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k)

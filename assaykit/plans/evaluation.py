@@ -88,7 +88,7 @@ def _count(pattern: str) -> str:
 
 QUERIES = {
     "truncated_text": (_docs(lambda t: [F.md5(T.truncate_text(t, 200, m)).alias(m) for m in ("head", "tail", "head_tail")]), "SELECT doc_id, md5(CASE WHEN length(text) <= 200 THEN text ELSE left(text, 200) || ' ... ' END) AS head, md5(CASE WHEN length(text) <= 200 THEN text ELSE ' ... ' || right(text, 200) END) AS tail, md5(CASE WHEN length(text) <= 200 THEN text ELSE left(text, 100) || ' ... ' || right(text, 100) END) AS head_tail FROM documents"),
-    "normalized_names": (_docs(lambda t: [F.md5(T.normalize_name(t)).alias("digest")]), r"SELECT doc_id, md5(regexp_replace(regexp_replace(trim(regexp_replace(lower(text), '[ \t\n\r\f]+', ' ', 'g'), ' '), '\bst ', 'saint ', 'g'), '^the ', '')) AS digest FROM documents"),
+    "normalized_names": (_docs(lambda t: [F.md5(T.normalize_name(t)).alias("digest")]), r"SELECT doc_id, md5(regexp_replace(regexp_replace(trim(regexp_replace(lower(text), '[ \t\n\r\f]+', ' ', 'g'), ' '), '(^| )st ', '\1saint ', 'g'), '^the ', '')) AS digest FROM documents"),
     "content_terms": (content_terms, "WITH t AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark), x AS (SELECT item_id, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM t), y AS (SELECT item_id, term, min(i) AS i FROM x WHERE length(term) >= 4 GROUP BY 1, 2), z AS (SELECT item_id, term, (row_number() OVER (PARTITION BY item_id ORDER BY i) - 1)::INT AS place FROM y) SELECT item_id, place, term FROM z WHERE place < 12"),
     "split_sentences": (_docs(lambda t: [F.size(T.split_sentences(t)).alias("n"), F.md5(F.array_join(T.split_sentences(t), "|")).alias("digest")]), r"WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?\n]+[.!?]*'), lambda s: trim(s, ' ')), lambda s: length(s) >= 20) AS s FROM documents) SELECT doc_id, len(s)::INT AS n, md5(coalesce(array_to_string(s, '|'), '')) AS digest FROM s"),
     "salient_values": (salient_values, rf"WITH v AS (SELECT lang, unnest(regexp_extract_all(text, '{T.NUMBER}')) AS v FROM documents) SELECT lang, CASE WHEN v LIKE '%\%' ESCAPE '\' THEN 'percent' WHEN regexp_matches(v, '(st|nd|rd|th)$') THEN 'ordinal' WHEN regexp_matches(v, '^(1[5-9]|2[01])[0-9][0-9]$') THEN 'year' ELSE 'cardinal' END AS kind, count(*) AS n, count(DISTINCT replace(v, ',', '')) AS distinct_values FROM v GROUP BY 1, 2"),

@@ -9,7 +9,7 @@ from ..functions.scalar import stable_fraction
 from ..operators import conversations, joins, metrics, retrieval, sampling
 from ..sources.tables import ledger, predictions, read, second_predictions
 from ..streaming.windows import event_windows
-from . import evaluation
+from . import evaluation, selection
 from .common import B, P, rounded
 
 def _preds(make):
@@ -120,7 +120,7 @@ _QUERIES = {
 }
 
 
-_ALL = _QUERIES | evaluation.QUERIES
+_ALL = _QUERIES | evaluation.QUERIES | selection.QUERIES
 
 
 def queries() -> dict:
