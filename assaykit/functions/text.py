@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Word bounds are those of ASCII words on every Java version.
 _BEGIN, _END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
-NUMBER = r"[0-9][0-9,]*(?:\.[0-9]+)?(?:%|st|nd|rd|th)?"
+NUMBER = r"[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?(?:%|st|nd|rd|th)?"
 
 
 def _all(text: Column, pattern: str, group: int = 0) -> Column:
