@@ -26,3 +26,8 @@ def ratio(a: Column, b: Column) -> Column:
 def normalised(text: Column) -> Column:
     """Lower case, runs of other than letters and digits as one space, trimmed."""
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+
+
+def squeezed(text: Column) -> Column:
+    """Lower case, runs of white space as one space, trimmed."""
+    return F.trim(F.regexp_replace(F.lower(text), "[ \t\n\r\f\x0B]+", " "))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import normalised
+from ..functions.scalar import normalised, squeezed
+from ..llm.textio import chunks, cut, shingle_sets, small_batches, text_bytes, tidy
+
+SHINGLE = 5
+MOST_BROADCAST_KEYS = 1_000_000
 
 
 def sentences(docs: DataFrame, key: str, text: str, least: int = 20, most: int = 400) -> DataFrame:
@@ -44,6 +50,66 @@ def line_matches(docs: DataFrame, refs: DataFrame, key: str, text: str, ref_key:
     return lines(docs, key, text).join(lines(refs, ref_key, ref_text), "line").groupBy(ref_key).agg(F.count_distinct(key).alias("docs"))
 
 
+def _grams(m: int, keys=None):
+    """Per row (b, h): the hashes of its shingles of m words, those among the sorted keys if there are any."""
+
+    def run(batches):
+        for batch in batches:
+            body, offsets = text_bytes(batch.column(1))
+            for a, z in chunks(offsets):
+                part, at = body[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a]
+                b = batch.column(0).slice(a, z - a)
+                sets = shingle_sets(part, at, m)
+                h = np.concatenate(sets).view(np.int64)
+                row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+                if keys is not None:
+                    kept = np.isin(h, keys.value)
+                    h, row = h[kept], row[kept]
+                yield pa.RecordBatch.from_arrays([b.take(pa.array(row)), pa.array(h)], names=["b", "h"])
+
+    return tidy(run)
+
+
+def _held(small: DataFrame, big: DataFrame) -> DataFrame:
+    """(s, b) where the text u of b contains the text t of s, both squeezed and not empty.
+
+    All words of t but the first and last are whole words of u in the same order, so the first ``SHINGLE`` of
+    them, or as many as there are, are one key. Texts of one or two words have no such words: they meet the
+    distinct words of the other side.
+    """
+    longest = big.agg(F.max(F.length("u"))).first()[0]
+    fits = small.filter(F.length("t") <= F.lit(longest or 0)).withColumn("w", F.split("t", " ")).withColumn("m", F.greatest(F.lit(0), F.least(F.size("w") - 2, F.lit(SHINGLE))))
+    sizes = {r["m"]: r["count"] for r in fits.groupBy("m").count().collect()}  # at most SHINGLE + 1 rows
+    found = small.join(big, F.lit(False)).select("s", "b")
+    for m in sorted(m for m in sizes if m):
+        inner = fits.filter(F.col("m") == m).select("s", F.array_join(F.slice("w", 2, m), " "))
+        keys = cut(inner.mapInArrow(_grams(m), f"b {dict(small.dtypes)['s']}, h long").withColumnRenamed("b", "s"))
+        known = None
+        if sizes[m] <= MOST_BROADCAST_KEYS:
+            known = small.sparkSession.sparkContext.broadcast(np.sort(keys.select("h").distinct().toPandas()["h"].to_numpy(np.int64)))
+        found = found.unionByName(big.select("b", "u").mapInArrow(_grams(m, known), f"b {dict(big.dtypes)['b']}, h long").join(keys, "h").select("s", "b"))
+    if 0 in sizes:
+        first = F.element_at("w", 1)
+        postings = big.select("b", F.explode(F.array_distinct(F.split("u", " "))).alias("word"))
+        short = fits.filter("m = 0").select("s", first.alias("first"), F.size("w").alias("n"))
+        near = short.join(postings.select("word").distinct(), F.when(F.col("n") == 1, F.col("word").contains(F.col("first"))).otherwise(F.col("word").endswith(F.col("first"))))
+        found = found.unionByName(near.select("s", "word").join(postings, "word").select("s", "b"))
+    return cut(found.distinct()).join(small, "s").join(big, "b").filter(F.col("u").contains(F.col("t"))).select("s", "b")
+
+
+def text_containment(docs: DataFrame, refs: DataFrame, key: str, text: str, ref_key: str, ref_text: str) -> DataFrame:
+    """(ref_key, key) where either whole text contains the other, in lower case with single spaces.
+
+    Empty and null texts match nothing; rows without a key are left out.
+    """
+    side = lambda d, k, t: d.filter(F.col(k).isNotNull()).select(F.col(k).alias("k"), squeezed(F.col(t)).alias("x")).filter("x <> ''")
+    small_batches(docs.sparkSession)
+    d, r = cut(side(docs, key, text)), cut(side(refs, ref_key, ref_text))
+    inside = _held(r.toDF("s", "t"), d.toDF("b", "u")).toDF(ref_key, key)
+    around = _held(d.toDF("s", "t"), r.toDF("b", "u")).toDF(key, ref_key)
+    return inside.unionByName(around).distinct()
+
+
 def top_k(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
     """The k first rows of each group in an order, with their rank."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k)

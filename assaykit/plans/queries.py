@@ -17,6 +17,7 @@ def _preds(make):
 
 
 _R = "round({0}, 6)"
+_SQUEEZED = r"trim(regexp_replace(lower(text), '[ \t\n\r\f\x0B]+', ' ', 'g'), ' ')"
 
 
 def _confusion(by: str, table: str = "p", label: str = "label") -> str:
@@ -112,6 +113,7 @@ _QUERIES = {
     "sentences": (lambda s, d: retrieval.sentences(read(s, d, "documents"), "doc_id", "text").select("doc_id", F.md5("sentence").alias("digest"), "place"), "WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place FROM documents), t AS (SELECT doc_id, trim(x, ' ') AS sentence, place FROM s) SELECT doc_id, md5(sentence) AS digest, min(place)::INT AS place FROM t WHERE length(sentence) BETWEEN 20 AND 400 GROUP BY doc_id, sentence"),
     "search_bm25": (search, "WITH t AS (SELECT doc_id, unnest(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')) AS term FROM documents), tf AS (SELECT term, doc_id, count(*) AS tf FROM t WHERE term <> '' GROUP BY 1, 2), sz AS (SELECT doc_id, sum(tf) AS size FROM tf GROUP BY 1), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), q AS (SELECT DISTINCT item_id, unnest(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')) AS term FROM benchmark), s AS (SELECT item_id, doc_id, round(sum(ln(1 + ((SELECT count(*) FROM documents WHERE text IS NOT NULL) - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / (SELECT avg(size) FROM sz)))), 6) AS score FROM q JOIN df USING (term) JOIN tf USING (term) JOIN sz USING (doc_id) WHERE term <> '' GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s) SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 10"),
     "line_matches": (lambda s, d: retrieval.line_matches(read(s, d, "documents"), read(s, d, "benchmark"), "doc_id", "text", "item_id", "text"), "WITH a AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), b AS (SELECT DISTINCT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark) SELECT item_id, count(DISTINCT doc_id) AS docs FROM a JOIN b USING (line) WHERE length(line) >= 20 GROUP BY 1"),
+    "text_containment": (lambda s, d: retrieval.text_containment(read(s, d, "documents"), read(s, d, "benchmark"), "doc_id", "text", "item_id", "text"), f"WITH d AS (SELECT doc_id, {_SQUEEZED} AS t FROM documents), b AS (SELECT item_id, {_SQUEEZED} AS t FROM benchmark) SELECT DISTINCT item_id, doc_id FROM b JOIN d ON contains(d.t, b.t) OR contains(b.t, d.t) WHERE d.t <> '' AND b.t <> ''"),
     "usage_totals": (usage_totals, "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2"),
     "turn_shapes": (turn_shapes, "SELECT conv_id, count(*) AS turns, coalesce(sum(length(text)) FILTER (role = 'user'), 0)::BIGINT AS user_chars, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS assistant_chars, arg_max(role, turn) AS last_role, min(turn) AS first_turn FROM conversations GROUP BY 1"),
     "merge_turns": (lambda s, d: conversations.merge_turns(read(s, d, "conversations")).select("conv_id", "island", "role", "turns", F.md5("text").alias("digest")), "WITH a AS (SELECT *, (lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) IS DISTINCT FROM role)::INT AS ch FROM (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations)), b AS (SELECT *, sum(ch) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS island FROM a) SELECT conv_id, island::BIGINT AS island, role, count(*) AS turns, md5(string_agg(text, chr(10) ORDER BY turn, text)) AS digest FROM b GROUP BY conv_id, island, role"),
