@@ -28,6 +28,11 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
+def single_spaced(text: Column) -> Column:
+    """Runs of white space as one space, trimmed."""
+    return F.trim(F.regexp_replace(text, "[ \t\n\r\f\x0B]+", " "))
+
+
 def squeezed(text: Column) -> Column:
     """Lower case, runs of white space as one space, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(text), "[ \t\n\r\f\x0B]+", " "))
+    return single_spaced(F.lower(text))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import normalised, squeezed
+from ..functions.scalar import normalised, single_spaced, squeezed
 from ..llm.textio import chunks, cut, shingle_sets, small_batches, text_bytes, tidy
 
 SHINGLE = 5
@@ -21,6 +21,18 @@ def sentences(docs: DataFrame, key: str, text: str, least: int = 20, most: int =
     return s.groupBy(key, "sentence").agg(F.min("place").alias("place"))
 
 
+def page_sentences(docs: DataFrame, key: str, text: str, least: int = 32, most: int = 900) -> DataFrame:
+    """Sentences of a text within length bounds, the first of those equal but for case, with their place among those of the least length.
+
+    White space, line ends too, counts as one space; a sentence ends at ``.``, ``!`` or ``?`` before a space and an
+    upper-case letter, a digit, a quote or a parenthesis, so numbers and abbreviations before small letters stay whole.
+    Wiki headings and HTML entities are left as they are.
+    """
+    parts = F.split(F.regexp_replace(single_spaced(F.col(text)), "([.!?]) ([A-Z0-9\"'(])", "$1\n$2"), "\n")
+    s = docs.select(key, F.posexplode(F.filter(parts, lambda p: F.length(p) >= least)).alias("place", "sentence")).filter(F.length("sentence") <= most)
+    return s.groupBy(key, F.lower("sentence").alias("folded")).agg(F.min(F.struct("place", "sentence")).alias("first")).select(key, "first.sentence", "first.place")
+
+
 def postings(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(term, key, tf, size) and (term, df)."""
     terms = docs.select(key, F.explode(F.split(normalised(F.col(text)), " ")).alias("term")).filter("term <> ''")

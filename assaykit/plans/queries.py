@@ -111,6 +111,7 @@ _QUERIES = {
     "group_folds": (_sampled(lambda p: sampling.group_folds(p, "scenario"), "fold"), f"WITH {P} SELECT index, ('0x' || sha256('fold' || chr(31) || scenario)[1:13])::BIGINT % 5 AS fold FROM p"),
     "hash_fraction": (_sampled(lambda p: p.withColumn("u", F.round(stable_fraction("drop", "index"), 6)), "u"), f"WITH {P} SELECT index, round(('0x' || sha256('drop' || chr(31) || index)[1:13])::BIGINT::DOUBLE / 4503599627370496.0, 6) AS u FROM p"),
     "sentences": (lambda s, d: retrieval.sentences(read(s, d, "documents"), "doc_id", "text").select("doc_id", F.md5("sentence").alias("digest"), "place"), "WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place FROM documents), t AS (SELECT doc_id, trim(x, ' ') AS sentence, place FROM s) SELECT doc_id, md5(sentence) AS digest, min(place)::INT AS place FROM t WHERE length(sentence) BETWEEN 20 AND 400 GROUP BY doc_id, sentence"),
+    "page_sentences": (lambda s, d: retrieval.page_sentences(read(s, d, "documents"), "doc_id", "text").select("doc_id", F.md5("sentence").alias("digest"), "place"), "WITH t AS (SELECT doc_id, list_filter(string_split(regexp_replace(" + _SQUEEZED.replace("lower(text)", "text") + r""", '([.!?]) ([A-Z0-9"''(])', '\1' || chr(10) || '\2', 'g'), chr(10)), lambda s: length(s) >= 32) AS s FROM documents), x AS (SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS place FROM t) SELECT doc_id, md5(arg_min(sentence, place)) AS digest, min(place)::INT AS place FROM x WHERE length(sentence) <= 900 GROUP BY doc_id, lower(sentence)"""),
     "search_bm25": (search, "WITH t AS (SELECT doc_id, unnest(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')) AS term FROM documents), tf AS (SELECT term, doc_id, count(*) AS tf FROM t WHERE term <> '' GROUP BY 1, 2), sz AS (SELECT doc_id, sum(tf) AS size FROM tf GROUP BY 1), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), q AS (SELECT DISTINCT item_id, unnest(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')) AS term FROM benchmark), s AS (SELECT item_id, doc_id, round(sum(ln(1 + ((SELECT count(*) FROM documents WHERE text IS NOT NULL) - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / (SELECT avg(size) FROM sz)))), 6) AS score FROM q JOIN df USING (term) JOIN tf USING (term) JOIN sz USING (doc_id) WHERE term <> '' GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s) SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 10"),
     "line_matches": (lambda s, d: retrieval.line_matches(read(s, d, "documents"), read(s, d, "benchmark"), "doc_id", "text", "item_id", "text"), "WITH a AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), b AS (SELECT DISTINCT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark) SELECT item_id, count(DISTINCT doc_id) AS docs FROM a JOIN b USING (line) WHERE length(line) >= 20 GROUP BY 1"),
     "text_containment": (lambda s, d: retrieval.text_containment(read(s, d, "documents"), read(s, d, "benchmark"), "doc_id", "text", "item_id", "text"), f"WITH d AS (SELECT doc_id, {_SQUEEZED} AS t FROM documents), b AS (SELECT item_id, {_SQUEEZED} AS t FROM benchmark) SELECT DISTINCT item_id, doc_id FROM b JOIN d ON contains(d.t, b.t) OR contains(b.t, d.t) WHERE d.t <> '' AND b.t <> ''"),

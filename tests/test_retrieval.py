@@ -13,3 +13,11 @@ def test_containment_matches_brute_force(spark):
     rows = [(x["r"], x["d"]) for x in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want
     assert {(0, 0), (1, 1), (0, 3), (2, 5), (3, 6), (7, 9), (6, 12)} <= want
+
+
+def test_long_lines_give_their_sentences(spark):
+    parts = [f"Sentence {i} of a long line has 3.14 words, e.g. about this\nmany." for i in range(20)]
+    text = " ".join(parts + ["Short one.", parts[4].replace("Sentence", "SENTENCE"), "X" * 901 + ".", "(A last sentence in parentheses, kept whole)"])
+    got = retrieval.page_sentences(spark.createDataFrame([(1, text), (2, None), (3, "")], SCHEMA), "k", "x").orderBy("place").collect()
+    want = [(i, p.replace("\n", " ")) for i, p in enumerate(parts)] + [(22, "(A last sentence in parentheses, kept whole)")]
+    assert [(r["place"], r["sentence"]) for r in got] == want
