@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DENSE, SPARSE = 16, 32
+LEVELS, STEP, LANES, LEAST_EQUAL = 8, 4, 64, 16
 _QUANTILES, _MOST_RANGES = 64, 1024
 
 
@@ -40,19 +41,51 @@ def vector(hashes: Column) -> Column:
     return F.concat(F.array(F.size(hashes).cast("long")), dense, sparse)
 
 
-def _lanewise(a: Column, b: Column, sign: int) -> Column:
-    moduli = F.array(*[F.lit(m).cast("long") for m in lane_moduli()])
+def level_moduli() -> list[int]:
+    return [2**32] * (1 + DENSE) + [2**16] * (LEVELS * LANES)
+
+
+def leveled_vector(hashes: Column) -> Column:
+    """The count, 16 dense lanes, and ``LANES`` sparse lanes at each of ``LEVELS`` levels; a level has one in ``STEP`` lines of the level before."""
+    zero = F.array_repeat(F.lit(0).cast("long"), LANES)
+    put = lambda acc, e: F.transform(acc, lambda x, i: F.when(i == e["d"][0] % LANES, (x + e["v"]) % F.lit(2**16)).otherwise(x))
+    sampled = lambda n: F.filter(hashes, lambda e: e["d"][2] % F.lit(n) == 0)
+    levels = [F.aggregate(sampled(STEP**k), zero, put) for k in range(LEVELS)]
+    return F.concat(F.slice(vector(hashes), 1, DENSE + 1), *levels)
+
+
+def equal_lanes(a: Column, b: Column) -> Column:
+    """Of two leveled vectors: how many sparse lanes are equal at each level."""
+    lanes = lambda x, k: F.slice(x, DENSE + 2 + k * LANES, LANES)
+    return F.array(*[F.aggregate(F.zip_with(lanes(a, k), lanes(b, k), lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x) for k in range(LEVELS)])
+
+
+def leveled_likeness(a: Column, b: Column, same: Column) -> Column:
+    """``likeness`` of two leveled vectors and their ``equal_lanes``, at every length.
+
+    Differing lines are estimated at the first level with at least ``LEAST_EQUAL`` equal lanes, else at the last;
+    where that has none, all lines differ. At least as many differ as the counts do.
+    """
+    total, apart = F.element_at(a, 1) + F.element_at(b, 1), F.abs(F.element_at(a, 1) - F.element_at(b, 1))
+    lines = lambda k: -F.lit(float(LANES * STEP**k)) * F.log(same[k].cast("double") / LANES)
+    differ = F.coalesce(*[F.when(same[k] >= LEAST_EQUAL, lines(k)) for k in range(LEVELS)], F.when(same[LEVELS - 1] > 0, lines(LEVELS - 1)), total.cast("double"))
+    equal = F.slice(a, 1, DENSE + 1) == F.slice(b, 1, DENSE + 1)
+    return F.when(equal, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - F.greatest(differ, apart.cast("double")) / total))
+
+
+def _lanewise(a: Column, b: Column, sign: int, moduli: list[int] | None = None) -> Column:
+    moduli = F.array(*[F.lit(m).cast("long") for m in moduli or lane_moduli()])
     return F.transform(F.arrays_zip(a.alias("x"), b.alias("y"), moduli.alias("m")), lambda z: F.pmod(z["x"] + F.lit(sign) * z["y"], z["m"]))
 
 
-def add(a: Column, b: Column) -> Column:
+def add(a: Column, b: Column, moduli: list[int] | None = None) -> Column:
     """The vector of the union of two multisets of lines."""
-    return _lanewise(a, b, 1)
+    return _lanewise(a, b, 1, moduli)
 
 
-def remove(a: Column, b: Column) -> Column:
+def remove(a: Column, b: Column, moduli: list[int] | None = None) -> Column:
     """The vector of a multiset less the lines of another."""
-    return _lanewise(a, b, -1)
+    return _lanewise(a, b, -1, moduli)
 
 
 def fingerprint(lanes: Column) -> Column:
@@ -135,3 +168,13 @@ def fingerprint_documents(df: DataFrame) -> DataFrame:
         "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("ed")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("ed")).alias("near_edited"), likeness(F.col("own"), F.col("nx")).alias("near_next"),
     )
+
+
+def line_likeness(df: DataFrame) -> DataFrame:
+    """``doc_id, n_lines, near_edited, near_next`` per row: the likenesses of ``fingerprint_documents``, at every length."""
+    texts = with_next(df).withColumn("edited", edited_text(F.length("text").cast("long")))
+    hashed = texts.select("doc_id", *[line_hashes(F.col(c)).alias(name) for c, name in (("text", "own"), ("edited", "ed"), ("next_text", "nx"))])
+    lanes = hashed.select("doc_id", *[leveled_vector(F.col(c)).alias(c) for c in ("own", "ed", "nx")])
+    own, ed, nx = (F.col(c) for c in ("own", "ed", "nx"))
+    same = lanes.select("*", equal_lanes(own, ed).alias("same_ed"), equal_lanes(own, nx).alias("same_nx"))
+    return same.select("doc_id", F.element_at(own, 1).alias("n_lines"), leveled_likeness(own, ed, F.col("same_ed")).alias("near_edited"), leveled_likeness(own, nx, F.col("same_nx")).alias("near_next"))

@@ -34,6 +34,10 @@ def op3_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(read(spark, sf_dir, "documents"))
 
 
+def op3_line_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.line_likeness(read(spark, sf_dir, "documents"))
+
+
 def op4_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     return quality.score_quality(docs, quality.fit_quality(docs, labels)).select("doc_id", "held_out", "score", "predicted")
@@ -80,6 +84,7 @@ def queries() -> dict:
         "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_external_shuffle": op2_external_shuffle,
         "op3_multiset_fingerprints": op3_multiset_fingerprints,
+        "op3_line_likeness": op3_line_likeness,
         "op4_quality_trees": op4_quality_trees,
         "op5_toxicity_convolution": op5_toxicity_convolution,
         "op6_exact_top_k": op6_exact_top_k,
@@ -110,6 +115,22 @@ j AS (SELECT e.doc_id, n, sha256(ed) AS s, a.z AS a, b.z AS b, c.z AS c FROM e J
 SELECT doc_id, n AS n_chars, s AS edited_sha256, {_HEX.format("a")} AS fingerprint, {_HEX.format("b")} AS edited_fingerprint, {_LIKE.format("a", "b")} AS near_edited, {_LIKE.format("a", "c")} AS near_next FROM j
 """
 
+_LEVEL_LIKE = "CASE WHEN z1 = {0} THEN 1.0 ELSE greatest(0.0, 1.0 - greatest(coalesce({1}, (n1 + {2})::DOUBLE), abs(n1 - {2})::DOUBLE) / (n1 + {2})) END"
+_LEVEL_DIFFER = f"coalesce(arg_min(-{float(fingerprints.LANES)} * {fingerprints.STEP} ** l * ln({{0}}::DOUBLE / {fingerprints.LANES}), l) FILTER ({{0}} >= {fingerprints.LEAST_EQUAL}), max(-{float(fingerprints.LANES)} * {fingerprints.STEP} ** l * ln(nullif({{0}}, 0)::DOUBLE / {fingerprints.LANES})) FILTER (l = {fingerprints.LEVELS - 1} AND {{0}} > 0))"
+_OP3_LIKENESS = f"""
+{_OP3[: _OP3.index("parts AS")]}
+parts AS (SELECT *, ('0x' || h[1:8])::BIGINT % {fingerprints.LANES} AS k, ('0x' || h[9:12])::BIGINT | 1 AS v, ('0x' || h[17:24])::BIGINT AS s FROM hashed),
+vec AS (SELECT doc_id, w, count(*) AS n, list_concat([count(*)], [{_LANES}])::BIGINT[] AS z FROM parts GROUP BY doc_id, w),
+lanes AS (SELECT doc_id, w, l, k, sum(v) % 65536 AS z FROM parts, (SELECT unnest(range(0, {fingerprints.LEVELS}))::INT AS l) WHERE s % ({fingerprints.STEP} ** l)::BIGINT = 0 GROUP BY doc_id, w, l, k),
+wide AS (SELECT doc_id, l, k, coalesce(max(z) FILTER (w = 1), 0) AS a, coalesce(max(z) FILTER (w = 2), 0) AS b, coalesce(max(z) FILTER (w = 3), 0) AS c FROM lanes GROUP BY doc_id, l, k),
+same AS (SELECT doc_id, l, {fingerprints.LANES} - count(*) FILTER (a <> b) AS sb, {fingerprints.LANES} - count(*) FILTER (a <> c) AS sc FROM wide GROUP BY doc_id, l),
+full_same AS (SELECT e.doc_id, g.l, coalesce(sb, {fingerprints.LANES}) AS sb, coalesce(sc, {fingerprints.LANES}) AS sc FROM e CROSS JOIN (SELECT unnest(range(0, {fingerprints.LEVELS}))::INT AS l) g LEFT JOIN same ON same.doc_id = e.doc_id AND same.l = g.l),
+differ AS (SELECT doc_id, {_LEVEL_DIFFER.format("sb")} AS db, {_LEVEL_DIFFER.format("sc")} AS dc FROM full_same GROUP BY doc_id),
+j AS (SELECT e.doc_id, coalesce(a.n, 0) AS n1, coalesce(b.n, 0) AS n2, coalesce(c.n, 0) AS n3, coalesce(a.z, []) AS z1, coalesce(b.z, []) AS z2, coalesce(c.z, []) AS z3, db, dc FROM e JOIN differ USING (doc_id)
+      LEFT JOIN vec a ON a.doc_id = e.doc_id AND a.w = 1 LEFT JOIN vec b ON b.doc_id = e.doc_id AND b.w = 2 LEFT JOIN vec c ON c.doc_id = e.doc_id AND c.w = 3)
+SELECT doc_id, n1 AS n_lines, {_LEVEL_LIKE.format("z2", "db", "n2")} AS near_edited, {_LEVEL_LIKE.format("z3", "dc", "n3")} AS near_next FROM j
+"""
+
 _OP6 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS w FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -120,4 +141,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def oracle_sql() -> dict:
-    return {"op3_multiset_fingerprints": _OP3, "op6_exact_top_k": _OP6}
+    return {"op3_multiset_fingerprints": _OP3, "op3_line_likeness": _OP3_LIKENESS, "op6_exact_top_k": _OP6}
