@@ -38,8 +38,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings of 400 and more that also start elsewhere; a text may become empty."""
-    out = suffix_dedup.remove_repeats(docs.select(*COLUMNS), as_text=True)
+    """Texts without the passages of over 50 words (and any string of 400 bytes) that also come elsewhere; a text may become empty."""
+    out = suffix_dedup.remove_repeats(docs.select(*COLUMNS), as_text=True, span=suffix_dedup.PASSAGE_SPAN, least_words=suffix_dedup.PASSAGE_WORDS)
     return out.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
