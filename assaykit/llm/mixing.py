@@ -5,6 +5,7 @@ of whole epochs over its blocks and a part of one more; every (epoch, block) is
 The exact numbers of draws of all sources are split among the output shards by a tree:
 each node hands a multivariate-hypergeometric share to its left half. A shard then takes
 its share of each source as a disjoint range of the permuted draws and is shuffled locally.
+There are at most ``MOST_BLOCKS`` blocks and a few draws of each, so the draws of any table fit a broadcast.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .textio import WORD, cut
 
-BLOCK_WORDS = 50_000
+BLOCK_WORDS, MOST_BLOCKS = 50_000, 1 << 16
 
 
 def word_count(text="text"):
@@ -67,52 +68,89 @@ def source_targets(df: DataFrame, weights=(1, 2, 3), most: float = 3, size="size
     return [(r["source"], n, t) for r, n, t in zip(rows, sizes, targets, strict=True)]
 
 
-def mix_sources(df: DataFrame, n_shards: int = 8, weights=(1, 2, 3), most: float = 3, seed: int = 23, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
-    """The mix and the table of sources.
+def measured(df: DataFrame, seed: int = 23) -> DataFrame:
+    """All columns of ``df`` plus ``size`` (words of the text) and the hash ``__h`` that places a row."""
+    df = df.drop("size", "__h")
+    return df.withColumn("size", word_count()).withColumn("__h", F.xxhash64(F.lit(seed), "doc_id", F.col("text")))
 
-    Mix: all columns of ``df`` plus ``size`` (words of the text), ``words`` (taken by this row: all but at one cut document
-    a source), ``epoch`` int, ``shard`` int, ``mix_key`` long (order within the shard). A document comes at most
-    ceil(most) times. The taken words of a source are its rounded target exactly. Text columns are as in ``df``; take
-    ``cut_text()`` for the text of the cut documents. Sources: ``source, source_size, target``.
-    Null text has size 0 and null sources are one source, the last in order; documents without words are in the mix
-    as often as their block is drawn. Columns of the added names are replaced. An empty table gives an empty mix.
-    Only one row a source and one row a block leave the tasks; a hot source has as many blocks as its words need.
+
+def block_draws(sizes: DataFrame, n_shards: int, weights, most: float, seed: int, block_words: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``sizes (source, size, __h)``: the table of sources, and the draws of each of their blocks.
+
+    Sources: ``__s, source, source_size, target, nb`` (blocks). Draws: ``__s, __b, draws`` (array of epoch, shard, and for
+    the one block that is drawn in part its ``room`` in words). Both have a bounded number of rows, but for many sources.
     """
-    spark = df.sparkSession
-    df = df.drop("size", "words", "epoch", "shard", "mix_key", "__b", "__nb", "__s", "__h")
-    sized = df.withColumn("size", word_count())
-    found = source_targets(sized, weights, most)
-    schema = "__s int, source string, source_size long, target double, nb long, whole int, rest long"
+    spark = sizes.sparkSession
+    found = source_targets(sizes, weights, most)
+    block_words = max(block_words, -(-sum(n for _, n, _ in found) // MOST_BLOCKS))
     table = []
     for i, (name, n, target) in enumerate(found):
         goal = round(target)
         whole = goal // n if n else 0
         table.append((i, name, n, float(target), max(1, -(-n // block_words)), int(whole), int(goal - whole * n)))
-    sources = spark.createDataFrame(table, schema)
-    keyed = sized.withColumn("__h", F.xxhash64(F.lit(seed), "doc_id", F.col("text")))
-    placed = keyed.join(sources.select("__s", F.col("source").alias("__source"), F.col("nb").alias("__nb")), F.col("source").eqNullSafe(F.col("__source"))).withColumn("__b", F.pmod("__h", F.col("__nb"))).drop("__source", "__nb")
-    # Blocks and draws are written: their small sizes are then known, and no text is shuffled to join them.
-    blocks = cut(placed.groupBy("__s", "__b").agg(F.sum("size").alias("n"))).join(sources.select("__s", "whole", "rest"), "__s")
+    sources = spark.createDataFrame(table, "__s int, source string, source_size long, target double, nb long, whole int, rest long")
+    blocks = cut(place(sizes, sources).groupBy("__s", "__b").agg(F.sum("size").alias("n"))).join(F.broadcast(sources.select("__s", "whole", "rest")), "__s")
     # The part of an epoch: whole blocks in permuted order while they fit, then the documents of the next one.
     order = Window.partitionBy("__s").orderBy(F.xxhash64(F.lit(seed + 1), "__s", "__b"), "__b")
-    part = blocks.withColumn("upto", F.sum("n").over(order))
-    part = part.filter((F.col("upto") - F.col("n") < F.col("rest"))).select("__s", "__b", F.col("whole").alias("epoch"), (F.col("rest") - F.col("upto") + F.col("n")).alias("room"), (F.col("upto") > F.col("rest")).alias("is_cut"))
-    full = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), "whole")))).filter("whole > 0").select("__s", "__b", (F.col("epoch") - 1).alias("epoch"), F.lit(None).cast("long").alias("room"), F.lit(False).alias("is_cut"))
-    draws = full.unionByName(part)
+    upto = blocks.withColumn("upto", F.sum("n").over(order))
+    part = upto.filter(F.col("upto") - F.col("n") < F.col("rest")).select("__s", "__b", F.col("whole").alias("epoch"), F.when(F.col("upto") > F.col("rest"), F.col("rest") - F.col("upto") + F.col("n")).alias("room"))
+    full = blocks.filter("whole > 0").select("__s", "__b", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("epoch"), F.lit(None).cast("long").alias("room"))
     permuted = Window.partitionBy("__s").orderBy(F.xxhash64(F.lit(seed + 2), "__s", "epoch", "__b"), "epoch", "__b")
-    draws = cut(draws).withColumn("place", F.row_number().over(permuted) - 1)
+    draws = cut(full.unionByName(part).withColumn("place", F.row_number().over(permuted) - 1))
     quotas = {r["__s"]: r["count"] for r in draws.groupBy("__s").count().collect()}
     tree = split_quotas([quotas.get(i, 0) for i in range(len(table))], n_shards, seed)
     ends = spark.createDataFrame([(i, np.cumsum(tree[:, i]).tolist()) for i in range(len(table))], "__s int, ends array<long>")
-    draws = draws.join(ends, "__s").withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("place")))).drop("ends", "place")
-    draws = cut(draws)
-    whole_blocks = placed.join(draws.filter(~F.col("is_cut")).drop("is_cut", "room"), ["__s", "__b"]).withColumn("words", F.col("size"))
+    dealt = draws.join(F.broadcast(ends), "__s").withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("place"))))
+    return sources, cut(dealt.groupBy("__s", "__b").agg(F.sort_array(F.collect_list(F.struct("epoch", "shard", "room"))).alias("draws")))
+
+
+def place(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """``rows`` with the number of their source and their block."""
+    named = F.broadcast(sources.select("__s", F.col("source").alias("__source"), F.col("nb").alias("__nb")))
+    return rows.join(named, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__b", F.pmod("__h", F.col("__nb"))).drop("__source", "__nb")
+
+
+def take_words(rows: DataFrame, sizes: DataFrame | None = None, n_shards: int = 8, weights=(1, 2, 3), most: float = 3, seed: int = 23, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Each row of ``rows`` (made by ``measured``) with what the mix takes of it.
+
+    All columns plus ``source_size`` long, ``target`` double and ``takes`` (array of epoch int, shard int, words long), one
+    row for each input row, rows that are equal included. A row is taken whole or not at all in an epoch, but for one
+    document a source that is cut, and at most ceil(most) times; the taken words of a source are its rounded target exactly.
+    ``sizes`` may hold the columns ``source, size, __h`` of the same rows where these are already written. Null texts have size
+    0; null sources are one source, the last in order; rows without words are taken as often as their block is drawn.
+    An empty table gives no rows. Nothing is shuffled but sizes by block, and the rows of one block of each source.
+    """
+    sizes = sizes if sizes is not None else cut(rows.select("source", "size", "__h"))
+    sources, draws = block_draws(sizes, n_shards, weights, most, seed, block_words)
+    rows = rows.drop("__s", "__b", "__u", "source_size", "target", "takes", "draws")
+    placed = place(rows, sources).join(F.broadcast(draws), ["__s", "__b"], "left")
+    is_cut = F.exists("draws", lambda d: d["room"].isNotNull())
+    whole = lambda d: F.struct(d["epoch"].alias("epoch"), d["shard"].alias("shard"), F.col("size").alias("words"))
+    uncut = placed.filter(~F.coalesce(is_cut, F.lit(False))).withColumn("takes", F.coalesce(F.transform("draws", whole), F.expr("array()").cast("array<struct<epoch:int,shard:int,words:bigint>>")))
     within = Window.partitionBy("__s").orderBy("__h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    part_block = placed.join(draws.filter("is_cut").drop("is_cut"), ["__s", "__b"]).withColumn("__u", F.sum("size").over(within))
-    part_block = part_block.filter(F.col("__u") - F.col("size") < F.col("room")).withColumn("words", F.least("size", F.col("room") - F.col("__u") + F.col("size"))).drop("room", "__u")
-    mix = whole_blocks.unionByName(part_block).withColumn("mix_key", F.xxhash64(F.lit(seed + 3), "__h", "epoch"))
-    columns = [*df.columns, "size", "words", "epoch", "shard", "mix_key"]
-    return mix.select(*[F.col(f"`{c}`") for c in columns]), sources.select("source", "source_size", "target")
+    some = placed.filter(is_cut).withColumn("__u", F.sum("size").over(within) - F.col("size"))  # words before this row
+    part = lambda d: F.struct(d["epoch"].alias("epoch"), d["shard"].alias("shard"), F.when(d["room"].isNull(), F.col("size")).otherwise(F.least(F.col("size"), d["room"] - F.col("__u"))).alias("words"))
+    some = some.withColumn("takes", F.transform(F.filter("draws", lambda d: d["room"].isNull() | (d["room"] > F.col("__u"))), part)).drop("__u")
+    sized = F.broadcast(sources.select("__s", "source_size", "target"))
+    return uncut.unionByName(some).join(sized, "__s").select(*[F.col(f"`{c}`") for c in rows.columns], "source_size", "target", "takes")
+
+
+def mix_sources(df: DataFrame, n_shards: int = 8, weights=(1, 2, 3), most: float = 3, seed: int = 23, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The mix: a row for each time that a row of ``df`` is taken.
+
+    All columns of ``df`` plus ``size``, ``words`` (taken: all but at one cut document a source), ``epoch`` int,
+    ``shard`` int, ``mix_key`` long (order within the shard) and ``source_size, target`` of its source. Texts are as in ``df``; take
+    ``cut_text()`` for the text of the cut documents. Columns of the added names are replaced. See ``take_words`` for the rest.
+    """
+    df = df.drop("size", "words", "epoch", "shard", "mix_key", "source_size", "target", "takes", "__h")
+    taken = take_words(measured(df, seed), None, n_shards, weights, most, seed, block_words)
+    mix = taken.withColumn("__t", F.explode("takes")).withColumn("mix_key", F.xxhash64(F.lit(seed + 3), "__h", "__t.epoch"))
+    return mix.select(*[F.col(f"`{c}`") for c in df.columns], "size", "__t.words", "__t.epoch", "__t.shard", "mix_key", "source_size", "target")
+
+
+def in_shard_order(mix: DataFrame) -> DataFrame:
+    """The rows of each shard together and shuffled locally: partitions in the order of the mix key, 64 ranges of it a shard."""
+    return mix.repartition("shard", F.shiftrightunsigned("mix_key", 58)).sortWithinPartitions("shard", "mix_key")
 
 
 def cut_text():
@@ -121,5 +159,5 @@ def cut_text():
 
 
 def write_mix(mix: DataFrame, path: str) -> None:
-    """Shards as ``path/shard=k/``, each in its own local order."""
-    mix.repartition("shard", F.pmod("mix_key", F.lit(64))).sortWithinPartitions("shard", "mix_key").write.partitionBy("shard").parquet(path)
+    """Shards as ``path/shard=k/``, each in its own local order. Null texts stay null; an empty mix writes no shard."""
+    in_shard_order(mix).write.partitionBy("shard").parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprints, mixing, ngram_join, pieces, quality, sharding, suffix_dedup, token_counts, topk_search, toxicity
+from .textio import cut
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -53,13 +54,12 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    mix, sources = mixing.mix_sources(docs)
-    taken = mix.select("doc_id", "source", "size", F.col("words").alias("taken"))
-    none = docs.select("doc_id", "source", mixing.word_count().alias("size"), F.lit(0).cast("long").alias("taken"))
-    sums = none.unionByName(taken).groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"))
-    named = sources.withColumnRenamed("source", "s")
-    return sums.join(named, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", "taken")
+    """What the mix takes of every row; ``shard_words`` holds the words of each output shard, as the splitting tree deals them."""
+    rows = cut(mixing.measured(read(spark, sf_dir, "documents")).select("doc_id", "source", "size", "__h"))
+    out = mixing.take_words(rows, rows, n_shards=8)
+    words = lambda take: F.aggregate(take, F.lit(0).cast("long"), lambda n, t: n + t["words"])
+    shards = F.array(*[words(F.filter("takes", lambda t, k=k: t["shard"] == k)) for k in range(8)])
+    return out.select("doc_id", "size", "source_size", "target", words(F.col("takes")).alias("taken"), shards.alias("shard_words"))
 
 
 def op8_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
