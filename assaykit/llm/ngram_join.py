@@ -58,6 +58,11 @@ def _sets(batches, id_at: int = 0, text_at: int = 1):
             yield batch.column(id_at).slice(a, b - a), shingle_sets(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], WIDTH)
 
 
+def _sizes(batches):
+    for ids, sets in _sets(batches):
+        yield pa.RecordBatch.from_arrays([ids, pa.array(np.fromiter(map(len, sets), np.int64, len(sets)))], names=["doc_id", "n_shingles"])
+
+
 def _frequent(batches):
     """Tokens that come three times or more within a window of a million: lower bounds of their frequency."""
     held, size = [], 0
@@ -240,11 +245,13 @@ def jaccard_components(df: DataFrame) -> DataFrame:
     ``class_id`` is the least doc_id with the same set of shingles, ``component_id`` the least doc_id
     reachable by links. Null and empty texts and texts without words have size 0, link with nothing and are their
     own class and component; fewer than five words are one shingle. Rows with the same doc_id are one node whose
-    rows all carry its component. Rows whose doc_id is null are left out. Equal sets are decided once, so groups of
+    rows all carry its component. Rows whose doc_id is null are kept with their size, but have no name to link by: their
+    class and component are null. Equal sets are decided once, so groups of
     copies cost one set. An empty table gives no rows.
     """
     small_batches(df.sparkSession)
-    texts = df.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = rows.filter(F.col("doc_id").isNotNull())
     frequent = df.sparkSession.sparkContext.broadcast(frequent_tokens(texts))
     described = cut(_described(texts, frequent))
     classes = cut(described.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id")))
@@ -279,4 +286,6 @@ def jaccard_components(df: DataFrame) -> DataFrame:
         cells = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1)))).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).withColumn("same", F.col("i") == F.col("j"))
         more = more.unionByName(cut(cells.groupBy("i", "j").applyInPandas(_cell, "x long, y long")))
     final = components(links.unionByName(more)) if not more.isEmpty() else found
-    return known.join(final.select(F.col("node").alias("class_id"), "label"), "class_id", "left").select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("label", "class_id").alias("component_id"))
+    out = known.join(final.select(F.col("node").alias("class_id"), "label"), "class_id", "left").select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("label", "class_id").alias("component_id"))
+    nameless = rows.filter(F.col("doc_id").isNull()).mapInArrow(tidy(_sizes), "doc_id long, n_shingles long")
+    return out.unionByName(nameless, allowMissingColumns=True)

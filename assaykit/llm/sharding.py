@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .textio import cut
+
 BUCKET_BYTES = 24_000_000
+MOST_READERS = 20_000  # tasks of pass two; beyond that a task takes a range of buckets, one after the other
 _BUCKET, _HASH, _OFFSET = "__bucket", "__hash", "__offset"
 
 
@@ -35,41 +38,53 @@ def shuffle_shards(df: DataFrame, n_shards: int, seed: int = 17, text: str = "te
 
     Every row is kept, repeated rows as often as they come; rows equal in every column are interchangeable,
     and a salt from their place in the input spreads them over the buckets. Null texts weigh one byte. An
-    empty table gives no rows. Columns named shard or slot are replaced. The texts are moved once, by the scatter
-    of pass one; a bucket holds about ``bucket_bytes`` of text, whatever the size of the table.
+    empty table gives no rows. Columns named shard or slot are replaced. The texts are written once, by the scatter
+    of pass one, and moved once; a bucket holds about ``bucket_bytes`` of text, whatever the size of the table.
     """
     df = df.drop("shard", "slot", _BUCKET, _HASH, _OFFSET)
     n_bytes, n_rows = df.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1), F.lit(0)), F.count(F.lit(1))).first()
     n_buckets = max(1, min(-(-n_bytes // bucket_bytes), n_rows))
+    # Pass one is written: counts and permutations then see one and the same scatter, whatever order rows arrived in.
     salted = df.withColumn(_HASH, _identity(df, seed)).withColumn(_BUCKET, F.pmod(F.xxhash64(F.col(_HASH), F.monotonically_increasing_id()), F.lit(n_buckets)).cast("int"))
+    salted = cut(salted)
     counts = salted.groupBy(_BUCKET).count()
     offsets = counts.select(_BUCKET, (F.sum("count").over(Window.orderBy(_BUCKET)) - F.col("count")).alias(_OFFSET))  # one row a bucket
     offset_of = np.zeros(n_buckets, np.int64)
     for b, o in offsets.toLocalIterator():
         offset_of[b] = o
+    at_bucket = salted.columns.index(_BUCKET)
     fields = T.StructType([*df.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
 
     def permute(batches):
-        held: list[pa.RecordBatch] = [b for b in batches if b.num_rows]
-        if not held:
-            return
+        held: list[pa.RecordBatch] = []
+        for batch in batches:  # in the order of the buckets
+            buckets = batch.column(at_bucket).to_numpy()
+            edges = [0, *(np.flatnonzero(buckets[1:] != buckets[:-1]) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a < b and held and held[0].column(at_bucket)[0].as_py() != buckets[a]:
+                    yield from permuted(held)
+                    held = []
+                if a < b:
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield from permuted(held)
+
+    def permuted(held: list[pa.RecordBatch]):
         table = pa.Table.from_batches(held)
-        held.clear()
-        buckets = table.column(_BUCKET).to_numpy()
-        hashes = table.column(_HASH).to_numpy()
+        b = int(table.column(_BUCKET)[0].as_py())
         body = table.drop_columns([_BUCKET, _HASH])
-        for b in np.unique(buckets).tolist():
-            rows = np.flatnonzero(buckets == b)
-            rows = rows[np.argsort(hashes[rows], kind="stable")]  # the order of arrival must not matter
-            place = offset_of[b] + np.arange(len(rows), dtype=np.int64)
-            picked = rows[fisher_yates(len(rows), [seed, b])]
-            for at in range(0, len(picked), 1000):
-                part = body.take(pa.array(picked[at : at + 1000])).combine_chunks()
-                p = place[at : at + 1000]
-                for x in part.append_column("shard", pa.array((p % n_shards).astype(np.int32))).append_column("slot", pa.array(p // n_shards)).to_batches():
-                    yield x
-
-    return salted.repartitionById(n_buckets, F.col(_BUCKET)).mapInArrow(permute, fields)
+        rows = np.argsort(table.column(_HASH).to_numpy(), kind="stable")  # the order of arrival must not matter
+        place = offset_of[b] + np.arange(len(rows), dtype=np.int64)
+        picked = rows[fisher_yates(len(rows), [seed, b])]
+        for at in range(0, len(picked), 1000):
+            part = body.take(pa.array(picked[at : at + 1000])).combine_chunks()
+            p = place[at : at + 1000]
+            for x in part.append_column("shard", pa.array((p % n_shards).astype(np.int32))).append_column("slot", pa.array(p // n_shards)).to_batches():
+                yield x
+
+    a_task = -(-n_buckets // MOST_READERS)
+    dealt = salted.repartitionById(-(-n_buckets // a_task), F.expr(f"{_BUCKET} div {a_task}").cast("int"))
+    return (dealt.sortWithinPartitions(_BUCKET) if a_task > 1 else dealt).mapInArrow(permute, fields)
 
 
 def write_shards(df: DataFrame, path: str, n_shards: int, seed: int = 17) -> None:

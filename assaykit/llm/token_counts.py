@@ -5,7 +5,7 @@ so no merge crosses the place where a word ends and a marker begins. The count
 at the end of word i is therefore the count at the end of word i-1 plus the
 tokens of word i alone: one pass stores the exact count at every such prefix, and
 truncation and budget questions are answered by a search in it. Any other prefix
-costs the encoding of one part of a word (``prefix_count``).
+costs the encoding of one part of a word (``prefix_counts``).
 """
 
 from __future__ import annotations
@@ -63,10 +63,23 @@ class PrefixCounter:
         get = known.__getitem__ if not extra else (lambda w: known[w] if w in known else extra[w])
         return [np.fromiter(map(get, row), np.int64, len(row)) for row in rows]
 
-    def prefix_count(self, text: str, n_chars: int) -> int:
-        """Exact tokens of the first ``n_chars`` code points: whole words from the table, the last one encoded."""
-        row = self.segments(text[:n_chars])
-        return int(self.counts([row])[0].sum()) if row else 0
+    def prefix_count(self, body: bytes, ends: np.ndarray, sums: np.ndarray, n_bytes: int) -> int:
+        """Exact tokens of the first ``n_bytes`` of a text: the stored count of its whole words, plus the part of the next word.
+
+        ``ends`` and ``sums`` are the stored prefixes (``prefix_bytes, prefix_tokens``). Only that part is encoded; a
+        code point of which bytes are missing counts as the replacement character.
+        """
+        k = int(np.searchsorted(ends, n_bytes, side="right"))
+        have, at = (int(sums[k - 1]), int(ends[k - 1])) if k else (0, 0)
+        if k == len(ends) or n_bytes <= at:
+            return have
+        if not k:
+            return len(self.model.encode(body[:n_bytes].decode("utf-8", "replace")))
+        if body[at : at + 1] != b" " and n_bytes - at < len(MARK.encode()):
+            rest = body[at:n_bytes].decode("utf-8", "replace")  # within a literal marker
+            return have + len(self.model.encode("a" + rest)) - len(self.model.encode("a"))
+        rest = body[at + (1 if body[at : at + 1] == b" " else len(MARK.encode())) : n_bytes].decode("utf-8", "replace")
+        return have + (len(self.model.encode(rest)) if rest else self.lone_marker)
 
 
 def prefix_ends(text: str, segments: list[str]) -> np.ndarray:
@@ -122,6 +135,25 @@ def count_tokens(df: DataFrame, model_path: str, limit: int = 4096, keep_prefixe
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, fields)
 
 
+def prefix_counts(df: DataFrame, model_path: str, n_bytes: str = "cut_bytes") -> DataFrame:
+    """All columns of ``df`` plus ``cut_tokens`` long: the exact tokens of the first ``n_bytes`` bytes of ``text``.
+
+    ``df`` holds ``text`` with the stored ``prefix_bytes`` and ``prefix_tokens``; the text is not encoded again but for a part of one
+    word. Null texts have no tokens; a null or negative length counts as 0, one beyond the text as the whole text.
+    """
+    names = [c for c in df.columns if c != "cut_tokens"]
+    df = df.select(*[F.col(f"`{c}`") for c in names])
+
+    def run(batches):
+        counter = PrefixCounter(model_path)
+        for batch in batches:
+            col = {n: batch.column(names.index(n)).to_pylist() for n in ("text", "prefix_bytes", "prefix_tokens", n_bytes)}
+            out = [counter.prefix_count((t or "").encode(), np.array(e or [], np.int64), np.array(s or [], np.int64), max(0, n or 0)) for t, e, s, n in zip(*col.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*names, "cut_tokens"])
+
+    return df.mapInArrow(run, df.limit(0).withColumn("cut_tokens", F.lit(None).cast("long")).schema)
+
+
 def prefix_ends_marked(text: str, segments: list[str]) -> np.ndarray:
     """As ``prefix_ends``, for a text that holds literal markers (three bytes where a space has one)."""
     chars = np.cumsum(np.fromiter((len(x) for x in segments), np.int64, len(segments)) + 1) - 1

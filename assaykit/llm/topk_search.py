@@ -14,7 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 1024
+from .textio import cut
+
+QUERY_BLOCK, CANDIDATE_BLOCK = 16_384, 1024
 
 
 def quantised(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
@@ -78,12 +80,14 @@ def top_k_search(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
     the smaller id; fewer candidates give fewer rows. Vectors that are null or hold null or non-finite
     components, and null ids, take no part; an empty vector scores 0. Of a repeated id among the queries one row
     counts; a repeated candidate counts once for each row of other ids (ties beyond that are by id alone). Queries
-    come in blocks of ``QUERY_BLOCK``: one block is sent to the tasks at a time, so what is broadcast does not grow,
-    and each candidate partition sends at most k rows a query.
+    come in blocks of ``QUERY_BLOCK``, which pass through the driver one at a time: a block is sent to the tasks, its k best
+    are written, and it is freed, so neither the driver nor what is broadcast grows with the table. Each candidate
+    partition sends at most k rows a query. The table is read once a block.
     """
     rows = quantised(df, id_col, vector, scale)
     spark = df.sparkSession
     wanted = rows.filter(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"])
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     parts, block = [], []
 
     def flush():
@@ -94,7 +98,9 @@ def top_k_search(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
             for i, r in enumerate(block):
                 weights[i, : len(r["w"])] = r["w"]
             sent = spark.sparkContext.broadcast((ids, weights))
-            parts.append(rows.mapInArrow(lambda batches: _search(batches, sent.value, k), "query_id long, vec_id long, score long"))
+            found = rows.mapInArrow(lambda batches: _search(batches, sent.value, k), "query_id long, vec_id long, score long")
+            parts.append(cut(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")))
+            sent.destroy()
             block.clear()
 
     for row in wanted.toLocalIterator():
@@ -104,11 +110,7 @@ def top_k_search(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
     flush()
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionAll(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return parts[0] if len(parts) == 1 else spark.read.schema(parts[0].schema).parquet(*[f for part in parts for f in part.inputFiles()])
 
 
 def _search(batches, sent, k: int):

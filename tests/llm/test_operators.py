@@ -109,13 +109,13 @@ def test_top_k_matches_brute_force(spark):
 
 
 def test_mix_takes_exact_targets(spark):
-    mix, sources = mixing.mix_sources(table(spark, TEXTS), block_words=40)
+    mix = mixing.mix_sources(table(spark, TEXTS), block_words=40)
     taken = collections.Counter()
     per_doc = collections.Counter()
     for r in mix.collect():
         taken[r["source"]] += r["words"]
         per_doc[r["doc_id"]] += r["words"]
-    for r in sources.collect():
+    for r in mix.select("source", "target").distinct().collect():
         assert taken[r["source"]] == round(r["target"])
     assert all(n <= 3 * len((TEXTS[d] or "").split()) for d, n in per_doc.items())
     assert mixing.fill_targets([10, 10, 100], [1, 2, 3], 3) == [22.5, 30.0, 67.5]
@@ -158,8 +158,12 @@ def test_token_counts_and_prefixes(spark):
     for i, t in enumerate(texts):
         assert got[i]["n_tokens"] == len(sp.encode(t or ""))
         assert (got[i]["prefix_tokens"] or [0])[-1] == got[i]["n_tokens"]
-        for n in range(0, len(t or ""), 7):
-            assert counter.prefix_count(t, n) == len(sp.encode(t[:n]))
+        body = (t or "").encode()
+        ends, sums = (np.array(got[i][c] or [], np.int64) for c in ("prefix_bytes", "prefix_tokens"))
+        for n in range(0, len(t or "") + 2, 1 if len(body) < 20 else 7):
+            assert counter.prefix_count(body, ends, sums, len((t or "")[:n].encode())) == len(sp.encode((t or "")[:n]))
+    cuts = table(spark, texts).join(token_counts.count_tokens(table(spark, texts), model_path(), keep_prefixes=True).select("doc_id", "prefix_bytes", "prefix_tokens"), "doc_id").withColumn("cut_bytes", F.lit(4))
+    assert {r["doc_id"]: r["cut_tokens"] for r in token_counts.prefix_counts(cuts, model_path()).collect()}[0] == len(sp.encode(BASE[:4]))
 
 
 def test_pieces_round_trip(spark):
