@@ -44,15 +44,16 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, one row each time; the last of a source may be cut."""
-    mix, _ = mixing.mix_sources(docs.select(*COLUMNS))
-    return mix.withColumn("text", mixing.cut_text()).select("doc_id", "text", "lang", "source", F.coalesce(F.length("text").cast("long"), F.lit(0)).alias("n_chars"))
+    """Documents as often as the mix takes them, one row each time, in the order of its shards; the last of a source may be cut."""
+    mix = mixing.in_shard_order(mixing.mix_sources(docs.select(*COLUMNS)).withColumn("text", mixing.cut_text()))
+    return mix.select("doc_id", "text", "lang", "source", F.coalesce(F.length("text").cast("long"), F.lit(0)).alias("n_chars"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with the parity of both libraries."""
-    out = pieces.encode_texts(docs.select("doc_id", "source", "text"), model_path())
-    return out.select("doc_id", "source", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", "ids", "parity")
+    """Token ids of every text, with the parity of both libraries, and whether the ids decode to the text again."""
+    coded = pieces.encode_texts(docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text")), model_path())
+    back = pieces.decode_ids(coded.withColumn("given", F.col("ids")), model_path())
+    return back.select("doc_id", "source", F.octet_length("text").cast("long").alias("n_bytes"), "n_tokens", F.col("given").alias("ids"), "parity", (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
 STAGES = [
@@ -60,7 +61,7 @@ STAGES = [
     ("n-gram Jaccard join", one_of_each_group),
     ("suffix-array dedup", without_repeats),
     ("mixing sources to target weights", mixed),
-    ("SentencePiece encoding", encoded),
+    ("SentencePiece encoding and decoding", encoded),
 ]
 
 #: No SQL expresses the classifier; tests compare the stages with plain versions.
