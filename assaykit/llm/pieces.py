@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .textio import chunks, small_batches, span_hashes, text_bytes, tidy
 from .token_counts import MARK
 
-MOST_CACHED, MOST_CACHED_IDS = 1_000_000, 8_000_000  # segments a worker remembers, about 60 MB
+MOST_CACHED, MOST_CACHED_IDS = 300_000, 2_400_000  # segments a worker remembers, about 20 MB
 LONG_TEXT = 4_000_000  # longer texts are encoded in parts, cut where a segment begins
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 
@@ -92,8 +92,8 @@ class Codec:
         self.forget()
 
     def forget(self) -> None:
-        self.hashes, self.uses = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.first, self.count, self.agreed = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.hashes, self.uses = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.first, self.count, self.agreed = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, bool)
         self.ids = np.zeros(0, np.int32)
 
     def segments(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,9 +134,10 @@ class Codec:
         kept = np.argsort(-self.uses, kind="stable")[: MOST_CACHED // 2]
         kept = np.sort(kept[np.cumsum(self.count[kept]) <= MOST_CACHED_IDS // 2])
         count = self.count[kept]
-        place = np.repeat(self.first[kept] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        first = (np.cumsum(count) - count).astype(np.int32)
+        place = np.repeat(self.first[kept] - first, count) + np.arange(int(count.sum()))
         self.ids, self.hashes, self.uses = self.ids[place], self.hashes[kept], self.uses[kept] // 2
-        self.count, self.agreed, self.first = count, self.agreed[kept], np.cumsum(count) - count
+        self.count, self.agreed, self.first = count, self.agreed[kept], first
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         """Add segments to the memory."""
@@ -167,9 +168,9 @@ class Codec:
             view = memoryview(np.ascontiguousarray(body))
             self._learn(hashes[~known], [str(view[a:b], "utf-8") for a, b in zip(begins[new].tolist(), ends[new].tolist(), strict=True)])
         at = np.searchsorted(self.hashes, hashes)
-        self.uses[at] += uses
+        self.uses[at] = np.minimum(self.uses[at].astype(np.int64) + uses, 2**30)
         place = at[which]
-        count = self.count[place]
+        count = self.count[place].astype(np.int64)
         upto = np.concatenate([[0], np.cumsum(count)])
         ids = self.ids[np.repeat(self.first[place] - upto[:-1], count) + np.arange(int(upto[-1]))]
         wrong = np.concatenate([[0], np.cumsum(~self.agreed[place])])
@@ -186,6 +187,11 @@ class Codec:
         return self.tokenizer.decode_batch(rows, skip_special_tokens=False)
 
 
+def _rows(ids: np.ndarray, sizes: np.ndarray) -> list[list[int]]:
+    flat, ends = ids.tolist(), np.cumsum(sizes).tolist()
+    return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 _codecs: dict[str, Codec] = {}
 
 
@@ -211,15 +217,18 @@ def _parts(body: np.ndarray, splits: bool):
     yield at, len(body)
 
 
-def encode_texts(df: DataFrame, model_path: str) -> DataFrame:
+def encode_texts(df: DataFrame, model_path: str, decoded: bool = False) -> DataFrame:
     """All columns of ``df`` plus ``ids`` array<int>, ``n_tokens`` long and ``parity`` boolean.
 
+    With ``decoded`` also ``round_trip`` boolean: whether the ids, decoded by the tokenizer, give the text again (a literal
+    marker reads as the space that it is to the model).
     Null and empty texts have no ids and parity true. Whole texts are encoded, repeated rows each; clashing columns
     are replaced; an empty table gives no rows. No shuffle; a worker holds one chunk of texts (or one part of a long
     text) and a bounded memory of segments. Segments are remembered by a 64-bit hash.
     """
     small_batches(df.sparkSession)
-    df = df.drop("ids", "n_tokens", "parity")
+    added = ["ids", "n_tokens", "parity", *["round_trip"] * decoded]
+    df = df.drop(*added)
     columns = df.columns
     at_text = columns.index("text")
 
@@ -230,7 +239,7 @@ def encode_texts(df: DataFrame, model_path: str) -> DataFrame:
             if mine.splits:
                 column = pc.replace_substring(column, MARK, " ")
             body, offsets = text_bytes(column)
-            for a, b in chunks(offsets, 1_000_000):
+            for a, b in chunks(offsets):
                 part, bounds = body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 if len(part) > LONG_TEXT:
                     some = [mine.encode(part[p:q], np.array([0, q - p])) for p, q in _parts(part, mine.splits)]
@@ -238,9 +247,13 @@ def encode_texts(df: DataFrame, model_path: str) -> DataFrame:
                 else:
                     ids, sizes, parity = mine.encode(part, bounds)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns], lists, pa.array(sizes), pa.array(parity)], names=[*columns, "ids", "n_tokens", "parity"])
+                values = [lists, pa.array(sizes), pa.array(parity)]
+                if decoded:
+                    values.append(pc.equal(pa.array(mine.decode(_rows(ids, sizes)), pa.string()), column.slice(a, b - a).fill_null("")))
+                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns], *values], names=[*columns, *added])
 
-    schema = df.limit(0).withColumn("ids", F.lit(None).cast("array<int>")).withColumn("n_tokens", F.lit(None).cast("long")).withColumn("parity", F.lit(None).cast("boolean")).schema
+    kinds = {"ids": "array<int>", "n_tokens": "long"}
+    schema = df.limit(0).withColumns({c: F.lit(None).cast(kinds.get(c, "boolean")) for c in added}).schema
     return df.mapInArrow(tidy(run), schema)
 
 
@@ -259,10 +272,8 @@ def decode_ids(df: DataFrame, model_path: str, ids: str = "ids", out: str = "dec
             lists = batch.column(len(rest))
             sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
             flat, upto = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
-            for a, b in chunks(upto, 300_000):
-                some, base = flat[upto[a] : upto[b]].tolist(), upto[a]
-                texts = mine.decode([some[p - base : q - base] for p, q in zip(upto[a:b].tolist(), upto[a + 1 : b + 1].tolist(), strict=True)])
-                array = pa.array(texts, pa.string(), mask=~lists.slice(a, b - a).is_valid().to_numpy(zero_copy_only=False))
+            for a, b in chunks(upto, 200_000):
+                array = pa.array(mine.decode(_rows(flat[upto[a] : upto[b]], sizes[a:b])), pa.string(), mask=~lists.slice(a, b - a).is_valid().to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns[: len(rest)]], array], names=[*rest, out])
 
     return df.mapInArrow(tidy(run), df.drop(ids).limit(0).withColumn(out, F.lit("").cast("string")).schema)
