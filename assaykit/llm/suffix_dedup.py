@@ -29,7 +29,7 @@ from .textio import chunks, cut, mix, powers, small_batches, text_bytes, tidy, w
 SPAN, TOKEN = 400, 32
 PASSAGE_SPAN, PASSAGE_WORDS = 200, 51  # passages of over 50 words; as bytes, words of under three letters on average are too short
 HOT, MOST_HOT = 64, 1 << 16  # contexts found this often are resolved without a join; the choice never changes the result
-PIECE = 500_000
+PIECE = 250_000
 _POSITION_BITS = 23
 PARTS = 4  # tokens of a window in the multikey sort
 MOST_BROADCAST_ENTRIES = 1_000_000  # contexts or span ends, up to 48 bytes each
@@ -233,7 +233,7 @@ def _bucket(batches, span: int):
     windows = np.concatenate([[0], np.cumsum(more + 1)])
     i = 0
     while i < len(heads) - 1:
-        j = max(i + 1, int(np.searchsorted(windows[heads], windows[heads[i]] + 400_000)) - 1)
+        j = max(i + 1, int(np.searchsorted(windows[heads], windows[heads[i]] + 150_000)) - 1)
         pick = order[heads[i] : heads[j]]
         part = table.take(pa.array(pick)).combine_chunks()
         body, offsets = text_bytes(part.column("ctx").combine_chunks().cast(pa.binary()))
