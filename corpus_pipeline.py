@@ -51,9 +51,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with the parity of both libraries, and whether the ids decode to the text again."""
-    coded = pieces.encode_texts(docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text")), model_path())
-    back = pieces.decode_ids(coded.withColumn("given", F.col("ids")), model_path())
-    return back.select("doc_id", "source", F.octet_length("text").cast("long").alias("n_bytes"), "n_tokens", F.col("given").alias("ids"), "parity", (F.col("decoded") == F.col("text")).alias("round_trip"))
+    out = pieces.encode_texts(docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text")), model_path(), decoded=True)
+    return out.select("doc_id", "source", F.octet_length("text").cast("long").alias("n_bytes"), "n_tokens", "ids", "parity", "round_trip")
 
 
 STAGES = [
