@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import normalised, single_spaced, squeezed
-from ..llm.textio import chunks, cut, shingle_sets, small_batches, text_bytes, tidy
+from ..functions.arrowtext import chunks, cut, shingle_sets, small_batches, text_bytes, tidy
 
 SHINGLE = 5
 MOST_BROADCAST_KEYS = 1_000_000
