@@ -1,175 +1,5 @@
-"""Helpers shared by the operators: written cuts of the lineage, Arrow text access, vectorised words.
+"""The text helpers of the library, under the name by which the operators of this subpackage know them."""
 
-Texts are read from Arrow buffers as UTF-8 bytes in chunks of a few megabytes, so
-that the memory of a Python worker is bounded by the chunk (or by one text if
-that is longer), never by the partition.
-"""
+from ..functions.arrowtext import BATCH_ROWS, CHUNK_BYTES, SEPARATORS, WORD, chunks, cut, lowered, mix, powers, shared_dir, shingle_sets, small_batches, span_hashes, text_bytes, tidy, word_bounds
 
-from __future__ import annotations
-
-import ctypes
-import tempfile
-import uuid
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-
-CHUNK_BYTES = 500_000
-BATCH_ROWS = 1000
-#: The separators of words: space and the control characters 0x09 to 0x0D.
-SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir; where it is unset, a temporary one in local mode and an error on a cluster."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="assaykit-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared folder and read it back: lineage is cut, lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Texts go to the workers in Arrow batches of at most ``BATCH_ROWS``, so that buffers on both sides stay small."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
-def tidy(function):
-    """``function`` for ``mapInArrow``; at its end the worker, which later tasks reuse, gives freed memory back."""
-
-    def run(batches):
-        yield from function(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except AttributeError:  # another C library
-            pass
-
-    return run
-
-
-def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a string or binary column and its n+1 offsets; null counts as empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    if column.null_count:
-        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
-    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
-    _, offsets, data = column.buffers()
-    n = len(column)
-    if offsets is None or not n:
-        return np.zeros(0, np.uint8), np.zeros(n + 1, np.int64)
-    ends = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
-    body = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
-    return body, ends - ends[0]
-
-
-def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES):
-    """Row ranges of at most ``limit`` bytes, or of one row."""
-    n, at = len(offsets) - 1, 0
-    while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
-        yield at, min(to, n)
-        at = min(to, n)
-
-
-_U = np.uint64
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_STEP = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_IS_SEP = np.zeros(256, bool)
-_IS_SEP[list(SEPARATORS)] = True
-_BASE = _U(0x5851F42D4C957F2D)
-_INVERSE = _U(pow(int(_BASE), -1, 2**64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash's base and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
-    return _powers[0][:n], _powers[1][:n]
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective finaliser on 64 bits."""
-    x = x ^ (x >> _U(30))
-    x = x * _U(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> _U(27))
-    x = x * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-def word_bounds(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word, and the index of the first word of each row (n+1 values)."""
-    inside = ~_IS_SEP[body]
-    before = np.empty_like(inside)
-    before[:1] = False
-    before[1:] = inside[:-1]
-    firsts = offsets[:-1][offsets[:-1] < len(body)]
-    before[firsts] = False
-    starts = np.flatnonzero(inside & ~before)
-    after = np.empty_like(inside)
-    after[-1:] = False
-    after[:-1] = inside[1:]
-    lasts = offsets[1:][offsets[1:] > 0] - 1
-    after[lasts] = False
-    ends = np.flatnonzero(inside & ~after) + 1
-    return starts, ends, np.searchsorted(starts, offsets)
-
-
-def span_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span; equal bytes give equal hashes at any place."""
-    up, down = powers(len(body) + 1)
-    total = np.empty(len(body) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_BYTE[body] * up[: len(body)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-
-
-def lowered(body: np.ndarray) -> np.ndarray:
-    return _LOWER[body]
-
-
-def shingle_sets(body: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[np.ndarray]:
-    """Per row the sorted distinct hashes of its word shingles; fewer words make one shingle, none an empty set."""
-    starts, ends, first = word_bounds(body, offsets)
-    if not len(starts):
-        return [np.zeros(0, np.uint64)] * (len(offsets) - 1)
-    words = span_hashes(lowered(body), starts, ends)
-    n = len(words)
-    rolled = np.zeros(max(0, n - width + 1), np.uint64)
-    for k in range(width):
-        rolled += words[k : n - width + 1 + k] * _STEP[k % 5] if n >= width else 0
-    rolled = mix(rolled)
-    out = []
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        if b - a >= width:
-            out.append(np.unique(rolled[a : b - width + 1]))
-        elif b > a:
-            few = words[a:b].copy()
-            few *= np.array(_STEP[: b - a], np.uint64)
-            out.append(mix(few.sum(keepdims=True, dtype=np.uint64) ^ _U(b - a)))
-        else:
-            out.append(np.zeros(0, np.uint64))
-    return out
+__all__ = ["BATCH_ROWS", "CHUNK_BYTES", "SEPARATORS", "WORD", "chunks", "cut", "lowered", "mix", "powers", "shared_dir", "shingle_sets", "small_batches", "span_hashes", "text_bytes", "tidy", "word_bounds"]
