@@ -9,7 +9,7 @@ from ..functions.scalar import stable_fraction
 from ..operators import conversations, joins, metrics, retrieval, sampling
 from ..sources.tables import ledger, predictions, read, second_predictions
 from ..streaming.windows import event_windows
-from . import evaluation, selection
+from . import comparisons, evaluation, knowledge, learning, parsing, relations, scans, selection
 from .common import B, P, rounded
 
 def _preds(make):
@@ -123,7 +123,9 @@ _QUERIES = {
 }
 
 
-_ALL = _QUERIES | evaluation.QUERIES | selection.QUERIES
+_ALL = _QUERIES
+for _part in (evaluation, selection, comparisons, relations, parsing, scans, learning, knowledge):
+    _ALL = _ALL | _part.QUERIES
 
 
 def queries() -> dict:
