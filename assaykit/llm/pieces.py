@@ -241,7 +241,7 @@ def encode_texts(df: DataFrame, model_path: str, decoded: bool = False) -> DataF
             body, offsets = text_bytes(column)
             for a, b in chunks(offsets):
                 part, bounds = body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                if len(part) > LONG_TEXT:
+                if b - a == 1 and len(part) > LONG_TEXT:
                     some = [mine.encode(part[p:q], np.array([0, q - p])) for p, q in _parts(part, mine.splits)]
                     ids, sizes, parity = np.concatenate([x[0] for x in some]), sum(x[1] for x in some), np.array([all(x[2][0] for x in some)])
                 else:

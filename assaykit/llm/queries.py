@@ -58,7 +58,8 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cut(mixing.measured(read(spark, sf_dir, "documents")).select("doc_id", "source", "size", "__h"))
     out = mixing.take_words(rows, rows, n_shards=8)
     words = lambda take: F.aggregate(take, F.lit(0).cast("long"), lambda n, t: n + t["words"])
-    shards = F.array(*[words(F.filter("takes", lambda t, k=k: t["shard"] == k)) for k in range(8)])
+    in_shard = lambda k: F.filter("takes", lambda t: t["shard"] == k)
+    shards = F.array(*[words(in_shard(k)) for k in range(8)])
     return out.select("doc_id", "size", "source_size", "target", words(F.col("takes")).alias("taken"), shards.alias("shard_words"))
 
 
