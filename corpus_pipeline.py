@@ -25,7 +25,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each component of near duplicates; of rows with one id, one."""
+    """The document with the least id of each component of near duplicates; of its rows that share the id, each text once."""
     found = ngram_join.jaccard_components(docs)
     gone = cut(found.filter("component_id <> doc_id").select("doc_id").distinct())
     small = gone.count() <= MOST_BROADCAST_IDS
@@ -34,7 +34,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     if twice.isEmpty():
         return left.select(*COLUMNS)
     once = left.join(twice, "doc_id", "left_anti").select(*COLUMNS)
-    return once.unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS))
+    return once.unionByName(left.join(twice, "doc_id", "left_semi").groupBy("doc_id", "text").agg(*[F.min(c).alias(c) for c in COLUMNS[2:]]).select(*COLUMNS))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ STAGES = [
     ("SentencePiece encoding and decoding", encoded),
 ]
 
-#: No SQL expresses the classifier; tests compare the stages with plain versions.
+#: No SQL expresses the classifier; tests/llm/test_pipeline.py compares the stages with plain versions.
 ORACLE_SQL = None
 
 
