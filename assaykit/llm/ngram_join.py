@@ -16,7 +16,9 @@ short one. The steps:
    one component do its documents meet in cells, each cell with its own inverted index,
    merged and probed in the same way, exactly.
 
-Only components are asked for, so a pair that is connected already is not decided again.
+Components alone need no second decision for a pair that is connected already. How many documents each one links
+with is counted afterwards: links lie within components, so small components share cells and large ones
+are cut into parts whose cells meet pairwise; a cell gives counts, never its pairs.
 """
 
 from __future__ import annotations
@@ -205,9 +207,9 @@ class DivideSkip:
         # The longest lists are set aside, as many as the published rule gives: T / (mu log M + 1).
         aside = min(least - 1, int(least / (0.0085 * np.log(max(2, length.max())) + 1)))
         short, long_ = found[by_length[: len(found) - aside]], found[by_length[len(found) - aside :]]
-        counts = np.zeros(len(self.sets), np.int64)
-        for t in short:
-            counts[self.owners[self.ends[t] : self.ends[t + 1]]] += 1
+        sizes = self.ends[short + 1] - self.ends[short]
+        merged = np.repeat(self.ends[short] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        counts = np.bincount(self.owners[merged], minlength=len(self.sets))
         need = needed(n, self.sizes)
         candidates = np.flatnonzero(allowed & (counts >= np.maximum(1, need - len(long_))))
         probes = np.sort(self.tokens[long_])
@@ -239,8 +241,43 @@ def _cell(pdf):
     return pd.DataFrame(out, columns=["x", "y"]).astype("int64")
 
 
-def jaccard_components(df: DataFrame) -> DataFrame:
-    """Per row ``doc_id, n_shingles, class_id, component_id``.
+def _counted_cell(pdf):
+    """Of each set of a cell the rows of the sets that it links with, over the pairs that the cell decides."""
+    import pandas as pd
+
+    pdf = pdf.sort_values("id").reset_index(drop=True)
+    sets = [np.asarray(t, np.int64).view(np.uint64) for t in pdf["tokens"]]
+    index = DivideSkip(sets)
+    rows, part, same = pdf["rows"].to_numpy(), pdf["part"].to_numpy(), bool(pdf["same"].iloc[0])
+    out, place = np.zeros(len(sets), np.int64), np.arange(len(sets))
+    for q in range(len(sets)):
+        hits = index.search(sets[q], (place < q) & (same | (part != part[q])))
+        out[q] += rows[hits].sum()
+        out[hits] += rows[q]
+    kept = out > 0
+    return pd.DataFrame({"id": pdf["id"].to_numpy()[kept], "links": out[kept]})
+
+
+def linked_rows(texts: DataFrame, known: DataFrame, labels: DataFrame) -> DataFrame:
+    """``id, links``: of each class that links with others the rows of those, from the components (``node, label``) of all classes.
+
+    A component of up to ``CELL`` classes lies in one cell with others; a larger one has a cell for each pair of its parts, so its
+    sets are sent as often as it has parts. The work is that of the pairs in a component, all of which are decided.
+    """
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
+    total = labels.count()
+    members = labels.join(sizes, "label").join(known.groupBy(F.col("class_id").alias("node")).agg(F.count(F.lit(1)).alias("rows")), "node")
+    small = F.col("m") <= CELL
+    group = F.when(small, -1 - F.pmod(F.xxhash64("label"), F.lit(max(1, -(-total // CELL))))).otherwise(F.col("label"))
+    parts = F.when(small, 1).otherwise(F.ceil(F.col("m") / CELL)).cast("int")
+    placed = members.select(F.col("node").alias("id"), "rows", group.alias("g"), parts.alias("p")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("p")).cast("int"))
+    sets = _token_sets(texts, placed.select("id")).join(placed, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
+    cells = sets.select("id", "tokens", "rows", "part", "g", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).withColumn("same", F.col("i") == F.col("j"))
+    return cells.groupBy("g", "i", "j").applyInPandas(_counted_cell, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+
+
+def jaccard_components(df: DataFrame, links: bool = False) -> DataFrame:
+    """Per row ``doc_id, n_shingles, class_id, component_id``, with ``links`` also ``n_links`` long: how many other rows it links with.
 
     ``class_id`` is the least doc_id with the same set of shingles, ``component_id`` the least doc_id
     reachable by links. Null and empty texts and texts without words have size 0, link with nothing and are their
@@ -271,8 +308,8 @@ def jaccard_components(df: DataFrame) -> DataFrame:
     least = cut(kept_long.groupBy("h").agg(F.min("x").alias("y")))
     stars = kept_long.join(least, "h").filter("x <> y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("o"))
     first = candidates.unionByName(stars).groupBy("x").agg(F.max_by("y", F.struct("o", -F.col("y"))).alias("y"))
-    links = verified(texts, first)
-    found = components(links)
+    direct = verified(texts, first)
+    found = components(direct)
     label = lambda c, name: found.select(F.col("node").alias(c), F.col("label").alias(name))
     rest = candidates.join(label("x", "lx"), "x", "left").join(label("y", "ly"), "y", "left").filter(F.coalesce("lx", "x") != F.coalesce("ly", "y"))
     more = verified(texts, rest.join(first, ["x", "y"], "left_anti"))
@@ -285,7 +322,13 @@ def jaccard_components(df: DataFrame) -> DataFrame:
         sets = _token_sets(texts, left_over.select("id")).join(left_over, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n_parts)).cast("int"))
         cells = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1)))).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).withColumn("same", F.col("i") == F.col("j"))
         more = more.unionByName(cut(cells.groupBy("i", "j").applyInPandas(_cell, "x long, y long")))
-    final = components(links.unionByName(more)) if not more.isEmpty() else found
+    final = components(direct.unionByName(more)) if not more.isEmpty() else found
     out = known.join(final.select(F.col("node").alias("class_id"), "label"), "class_id", "left").select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("label", "class_id").alias("component_id"))
+    if links:
+        others = cut(linked_rows(texts, known.filter("n > 0"), final))
+        copies = known.filter("n > 0").groupBy("class_id").agg((F.count(F.lit(1)) - 1).alias("copies"))
+        out = out.join(copies, "class_id", "left").join(others.withColumnRenamed("id", "class_id"), "class_id", "left")
+        n_links = F.when(F.col("n_shingles") == 0, 0).otherwise(F.coalesce("copies", F.lit(0)) + F.coalesce("links", F.lit(0)))
+        out = out.select("doc_id", "n_shingles", "class_id", "component_id", n_links.alias("n_links"))
     nameless = rows.filter(F.col("doc_id").isNull()).mapInArrow(tidy(_sizes), "doc_id long, n_shingles long")
     return out.unionByName(nameless, allowMissingColumns=True)

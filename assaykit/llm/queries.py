@@ -22,7 +22,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(read(spark, sf_dir, "documents"))
+    return ngram_join.jaccard_components(read(spark, sf_dir, "documents"), links=True)
 
 
 def op2_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,12 +24,14 @@ TEXTS = [BASE, BASE, BASE + " tail", None, "", "  \n ", "one two", "ONE two", "
 
 
 def test_jaccard_components(spark):
-    got = {r["doc_id"]: r for r in ngram_join.jaccard_components(table(spark, TEXTS)).collect()}
+    got = {r["doc_id"]: r for r in ngram_join.jaccard_components(table(spark, TEXTS), links=True).collect()}
     sets = []
     for t in TEXTS:
         w = [x for x in "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").replace("\n", " ").split(" ") if x]
         sets.append({tuple(w)} if 0 < len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)})
     parent = list(range(len(TEXTS)))
+    alike = lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= 80 * len(a | b)
+    assert [got[i]["n_links"] for i in range(len(TEXTS))] == [sum(alike(a, b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
     for i in range(len(TEXTS)):
         for j in range(i):
             if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
@@ -48,8 +50,11 @@ def test_large_group_of_near_copies_meets_in_cells(spark, monkeypatch):
             w = [f"g{g}x{k}" for k in range(120)]
             w[rng.integers(120)] = f"r{rng.integers(10**9)}"
             texts.append(" ".join(w))
-    got = ngram_join.jaccard_components(table(spark, texts)).groupBy("component_id").count().collect()
-    assert sorted(r["count"] for r in got) == [90, 90]
+    out = ngram_join.jaccard_components(table(spark, texts), links=True).collect()
+    assert sorted(collections.Counter(r["component_id"] for r in out).values()) == [90, 90]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(116)} for t in texts]
+    links = [sum(100 * len(a & b) >= 80 * len(a | b) for b in sets) - 1 for a in sets]
+    assert [r["n_links"] for r in sorted(out, key=lambda r: r["doc_id"])] == links
 
 
 def test_divide_skip_is_exact():
