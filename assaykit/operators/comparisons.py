@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio, stable_digest, stable_fraction
 from .metrics import binary_metrics
+from .ranks import joined, running_before, value_places
 
 #: The distribution function of a Poisson variable of mean 1 at 0 to 6.
 POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
@@ -54,7 +55,9 @@ def _levels(df: DataFrame, by: list[str], x: str, y: str, label: str) -> DataFra
     Columns: by, and sums over all pairs x1 < x2: ``up`` (y1 < y2), ``down`` (y1 > y2), and the same for pairs of a negative
     below a positive in x (``up_np``, ``down_np``, ``np``) and of a positive below a negative (``up_pn``, ``down_pn``, ``pn``).
     """
-    ranked = df.withColumn("__r", F.dense_rank().over(Window.partitionBy(*by).orderBy(x)) - 1).withColumn("__m", F.max("__r").over(Window.partitionBy(*by)))
+    values = running_before(df.groupBy(*by, x).agg(F.lit(1).alias("one")), by, x, ["one"]).select(*by, x, F.col("one_before").alias("__r"))
+    most = values.groupBy(*by).agg(F.max("__r").alias("__m"))
+    ranked = joined(joined(df, by, values, [x]), by, most)
     bits = F.when(F.col("__m") > 0, F.floor(F.log2(F.col("__m").cast("double") + 0.5)).cast("int")).otherwise(-1)
     levels = F.when(bits >= 0, F.sequence(F.lit(0), bits)).otherwise(F.array().cast("array<int>"))
     rows = ranked.withColumn("__l", F.explode(levels))
@@ -62,11 +65,9 @@ def _levels(df: DataFrame, by: list[str], x: str, y: str, label: str) -> DataFra
     pos, hi = F.col(label) == 1, F.col("__s") == 1
     keys = [*by, "__l", "__b"]
     cells = rows.groupBy(*keys, y).agg(F.count_if(~hi & ~pos).alias("l0"), F.count_if(~hi & pos).alias("l1"), F.count_if(hi & ~pos).alias("h0"), F.count_if(hi & pos).alias("h1"))
-    whole = Window.partitionBy(*keys)
-    upto = whole.orderBy(y).rowsBetween(Window.unboundedPreceding, -1)
-    c = cells
+    c = joined(running_before(cells, keys, y, ["l0", "l1"]), keys, cells.groupBy(*keys).agg(F.sum("l0").alias("tl0"), F.sum("l1").alias("tl1")))
     for name in ("l0", "l1"):
-        c = c.withColumn(f"b{name}", F.coalesce(F.sum(name).over(upto), F.lit(0))).withColumn(f"a{name}", F.sum(name).over(whole) - F.col(f"b{name}") - F.col(name)).withColumn(f"t{name}", F.sum(name).over(whole))
+        c = c.withColumnRenamed(f"{name}_before", f"b{name}").withColumn(f"a{name}", F.col(f"t{name}") - F.col(f"b{name}") - F.col(name))
     low, high = F.col("h0") + F.col("h1"), lambda p: F.col(f"{p}l0") + F.col(f"{p}l1")
     total = lambda v: F.coalesce(F.sum(v), F.lit(0))
     return c.groupBy(*by).agg(
@@ -116,9 +117,9 @@ def pair_complementarity(df: DataFrame, by: list[str], x: str, y: str, label: st
 def _credit(df: DataFrame, by: str, key: str, score: str, label: str, name: str) -> DataFrame:
     """Of each row the share of opposite rows it is ordered right against, ties half."""
     hist = df.groupBy(by, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    upto, whole = Window.partitionBy(by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(by)
-    below = {c: F.coalesce(F.sum(c).over(upto), F.lit(0)) for c in ("p", "n")}
-    hist = hist.select(by, score, (below["n"] + F.col("n") / 2).alias("pos"), (F.sum("p").over(whole) - below["p"] - F.col("p") / 2).alias("neg"), F.sum("p").over(whole).alias("np"), F.sum("n").over(whole).alias("nn"))
+    sums = hist.groupBy(by).agg(F.sum("p").alias("np"), F.sum("n").alias("nn"))
+    placed = running_before(hist, [by], score, ["p", "n"]).join(sums, by)
+    hist = placed.select(by, score, (F.col("n_before") + F.col("n") / 2).alias("pos"), (F.col("np") - F.col("p_before") - F.col("p") / 2).alias("neg"), "np", "nn")
     joined = df.select(by, key, label, score).join(hist, [by, score])
     share = F.when(F.col(label) == 1, ratio(F.col("pos"), F.col("nn"))).otherwise(ratio(F.col("neg"), F.col("np")))
     return joined.select(by, key, label, share.alias(name), "np", "nn")
@@ -143,8 +144,8 @@ def content_fingerprint(df: DataFrame, key: str, columns: list[str], digits: int
 
 def order_changes(df: DataFrame, by: str, key: str, x: str, y: str) -> DataFrame:
     """Rows of a unit whose place by x (ties by key) is another by y."""
-    place = lambda c: F.row_number().over(Window.partitionBy(by).orderBy(F.desc(c), key))
-    return df.select(by, (place(x) != place(y)).alias("moved")).groupBy(by).agg(F.count(F.lit(1)).alias("rows"), F.count_if("moved").alias("moved"))
+    both = value_places(value_places(df.select(by, key, x, y), [by], -F.col(x), [key], "__a"), [by], -F.col(y), [key], "__b", "__m")
+    return both.select(by, (F.col("__a") != F.col("__b")).alias("moved")).groupBy(by).agg(F.count(F.lit(1)).alias("rows"), F.count_if("moved").alias("moved"))
 
 
 def prefix_replay(df: DataFrame, text: str, caps: list[int], decide) -> DataFrame:
@@ -190,8 +191,7 @@ def bootstrap_ba(df: DataFrame, by: str, key: str, samples: int, seed: str = "ba
 
 def _weighted_auroc(rows: DataFrame, by: list[str], score: str, label: str, name: str) -> DataFrame:
     hist = rows.groupBy(*by, score).agg(F.sum(F.when(F.col(label) == 1, F.col("w")).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 0, F.col("w")).otherwise(0)).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = hist.withColumn("wins", F.col("p") * (below + F.col("n") / 2)).groupBy(*by).agg(F.sum("wins").alias("x"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    sums = running_before(hist, by, score, ["n"]).withColumn("wins", F.col("p") * (F.col("n_before") + F.col("n") / 2)).groupBy(*by).agg(F.sum("wins").alias("x"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return sums.select(*by, ratio(F.col("x"), F.col("p") * F.col("n")).alias(name))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio
 from .metrics import binary_metrics
+from .ranks import value_places
 
 
 def select_threshold(sweep: DataFrame, default: int = 50) -> DataFrame:
@@ -60,8 +61,10 @@ def unit_wins(a: DataFrame, b: DataFrame, least: float = 1e-12) -> DataFrame:
 
 def length_strata(df: DataFrame, length: str, by: str = "unit", parts: int = 3) -> DataFrame:
     """Accuracy in equal parts of each unit by length, ties by index."""
-    part = F.ntile(parts).over(Window.partitionBy(by).orderBy(length, "index"))
-    return df.withColumn("part", part).groupBy(by, "part").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("label") == F.col("decision")).cast("int")).alias("accuracy"))
+    placed = value_places(df, [by], F.col(length).cast("double"), ["index"])
+    size, more = F.floor(F.col("__n") / parts), F.col("__n") % parts  # the first parts have one row more
+    part = F.when(F.col("__r") <= more * (size + 1), F.floor((F.col("__r") - 1) / (size + 1))).otherwise(more + F.floor((F.col("__r") - 1 - more * (size + 1)) / size)) + 1
+    return placed.withColumn("part", part.cast("int")).groupBy(by, "part").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("label") == F.col("decision")).cast("int")).alias("accuracy"))
 
 
 def flag_audit(df: DataFrame, flag: str, by: list[str]) -> DataFrame:

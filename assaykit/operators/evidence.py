@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio, stable_digest
 from ..functions.text import verdict
+from .ranks import digest_places, value_places
 
 
 def aggregate_evidence(df: DataFrame, claim: str, place: str, k: int, least: float) -> DataFrame:
@@ -107,7 +108,7 @@ def pair_rows(df: DataFrame, unit: str, key: str, label: str = "label", seed: st
 
     ``block`` is a digest, so sorting by (block, within) gives every row exactly once with its partner beside it.
     """
-    ranked = df.select(unit, key, label, F.row_number().over(Window.partitionBy(unit, label).orderBy(stable_digest(seed, key), key)).alias("i"))
+    ranked = digest_places(df.select(unit, key, label), [unit, label], seed, key, "i")
     mates = df.groupBy(unit).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
     paired = F.col("i") <= F.least("p", "n")
     block = F.when(paired, stable_digest(seed, unit, "i")).otherwise(stable_digest(seed + "-alone", key))
@@ -117,7 +118,7 @@ def pair_rows(df: DataFrame, unit: str, key: str, label: str = "label", seed: st
 def block_order(df: DataFrame, unit: str, key: str, batch: int, label: str = "label", seed: str = "block") -> DataFrame:
     """``key, kind, block``: blocks of batch/2 rows of each label of a unit (full), what is left of the units (rest)."""
     half = batch // 2
-    ranked = df.select(unit, key, label, (F.row_number().over(Window.partitionBy(unit, label).orderBy(stable_digest(seed, key), key)) - 1).alias("i"))
+    ranked = digest_places(df.select(unit, key, label), [unit, label], seed, key, "i").withColumn("i", F.col("i") - 1)
     mates = df.groupBy(unit).agg((F.least(F.floor(F.count_if(F.col(label) == 1) / half), F.floor(F.count_if(F.col(label) == 0) / half)) * half).alias("full"))
     number = F.floor(F.col("i") / half)
     return ranked.join(F.broadcast(mates), unit).select(key, F.when(F.col("i") < F.col("full"), "full").otherwise("rest").alias("kind"), F.when(F.col("i") < F.col("full"), F.concat_ws(":", unit, number.cast("string"))).alias("block"))
@@ -133,8 +134,9 @@ def budget_batches(df: DataFrame, key: str, length: str, rows_cap: int, budget:
     band = F.floor(F.col(length) / width)
     upper = (band + 1) * width - 1
     size = F.greatest(F.lit(1), F.least(F.lit(rows_cap), F.floor(F.lit(budget) / upper)))
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy(length, key)) - 1
-    return df.filter(F.col(length).isNotNull()).select(key, length, band.alias("bucket"), size.alias("__n")).withColumn("batch", F.floor(place / F.col("__n"))).drop("__n")
+    rows = df.filter(F.col(length).isNotNull()).select(key, length, band.alias("bucket"), size.alias("__size"))
+    placed = value_places(rows, ["bucket"], F.col(length).cast("double"), [key])
+    return placed.select(key, length, "bucket", F.floor((F.col("__r") - 1) / F.col("__size")).alias("batch"))
 
 
 def padding_report(batches: DataFrame, length: str) -> DataFrame:

@@ -2,29 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import value_places
+
 
 def join_one_to_one(left: DataFrame, right: DataFrame, on: list[str], check: tuple[str, ...] = ("label",)) -> DataFrame:
     """Inner join that fails on duplicate keys, lost rows, or labels that disagree (decided by aggregates)."""
-    for side in (left, right):
-        if not side.groupBy(*on).count().filter("count > 1").isEmpty():
-            raise ValueError("duplicate keys")
     shared = [c for c in check if c in left.columns and c in right.columns]
-    r = right
-    for c in shared:
-        r = r.withColumnRenamed(c, f"__{c}")
-    out = left.join(r, on)
-    bad = F.lit(False)
+    side = lambda d, n: d.select(*on, F.lit(n).alias("__side"), *shared)
+    of = lambda n: F.count_if(F.col("__side") == n)
+    differ = F.lit(False)
     for c in shared:
-        bad = bad | ~F.col(c).eqNullSafe(F.col(f"__{c}"))
-    seen = out.agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad")).first()
-    if seen["n"] != left.count() or seen["n"] != right.count():
-        raise ValueError("rows were lost")
-    if seen["bad"]:
-        raise ValueError("labels disagree")
-    return out.drop(*[f"__{c}" for c in shared])
+        value = F.struct(F.col(c).isNull().alias("null"), F.col(c).alias("value"))
+        differ = differ | (F.min(value) != F.max(value))
+    # One aggregate over the keys of both sides decides all three.
+    keys = side(left, 0).unionByName(side(right, 1)).groupBy(*on).agg(of(0).alias("a"), of(1).alias("b"), differ.alias("differ"))
+    seen = keys.agg(F.count_if(F.expr("a > 1 OR b > 1")).alias("twice"), F.count_if(F.expr("a = 0 OR b = 0")).alias("lost"), F.count_if("differ").alias("differ")).first()
+    for name, message in (("twice", "duplicate keys"), ("lost", "rows were lost"), ("differ", "labels disagree")):
+        if seen[name]:
+            raise ValueError(message)
+    return left.join(right.drop(*shared), on)
 
 
 def select_manifest(df: DataFrame, manifest: DataFrame, on: list[str]) -> DataFrame:
@@ -63,8 +62,10 @@ def prefer_decisive(stages: DataFrame, key: str) -> DataFrame:
 
 def label_null(df: DataFrame, label: str = "label", order: str = "index", value: str = "score") -> DataFrame:
     """The value shifted by one within each label, wrapping around: a null baseline."""
-    w = Window.partitionBy(label).orderBy(order)
-    return df.withColumn("shifted", F.coalesce(F.lead(value).over(w), F.first(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    placed = value_places(df, [label], F.col(order).cast("double"), [order])
+    nexts = placed.select(F.col(label).alias("__l"), F.col("__r").alias("__at"), F.col(value).alias("shifted"))
+    at = F.when(F.col("__r") < F.col("__n"), F.col("__r") + 1).otherwise(1)
+    return placed.withColumn("__want", at).join(nexts, F.col(label).eqNullSafe(F.col("__l")) & (F.col("__want") == F.col("__at"))).drop("__r", "__n", "__l", "__at", "__want")
 
 
 def compose_routes(control: DataFrame, specialist: DataFrame, route) -> DataFrame:

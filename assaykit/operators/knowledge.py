@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.parsing import terms, token_recall
 from ..functions.scalar import normalised, stable_digest
+from .ranks import digest_places
 
 K1, B = 1.2, 0.75
 
@@ -146,8 +147,7 @@ def twins(df: DataFrame, text: str, value: str, other: str, label: str) -> DataF
 
 def curriculum(df: DataFrame, key: str, kind: str, n: int, seed: str = "curriculum") -> DataFrame:
     """By digest at most 3 n rows of ``refute`` and n of every other kind."""
-    w = Window.partitionBy(kind).orderBy(stable_digest(seed, key), key)
-    return df.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= F.when(F.col(kind) == "refute", 3 * n).otherwise(n)).drop("__r")
+    return digest_places(df, [kind], seed, key).filter(F.col("__r") <= F.when(F.col(kind) == "refute", 3 * n).otherwise(n)).drop("__r", "__n")
 
 
 def relation_oracle(claims: DataFrame, facts: DataFrame, levels: dict[str, Column], least_precision: float = 0.25) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio
+from .ranks import average_places, running_before, value_places
 
 
 def binary_metrics(df: DataFrame, by: list[str], label: str = "label", decision: str = "decision") -> DataFrame:
@@ -19,8 +20,7 @@ def binary_metrics(df: DataFrame, by: list[str], label: str = "label", decision:
 def auroc(df: DataFrame, by: list[str], label: str = "label", score: str = "score") -> DataFrame:
     """P(positive above negative) + half the ties, from a histogram of distinct scores per group."""
     hist = df.groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    below = F.sum("n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    ranked = hist.withColumn("wins", F.col("p") * (below + F.col("n") / 2.0))
+    ranked = running_before(hist, by, score, ["n"]).withColumn("wins", F.col("p") * (F.col("n_before") + F.col("n") / 2.0))
     sums = ranked.groupBy(*by).agg(F.sum("wins").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return sums.select(*by, ratio(F.col("w"), F.col("p") * F.col("n")).alias("auroc"))
 
@@ -55,9 +55,8 @@ def threshold_sweep(df: DataFrame, unit: str = "unit", steps: int = 100) -> Data
 
 def top_fraction(df: DataFrame, fraction: float, unit: str = "unit") -> DataFrame:
     """Decision 1 for the round(f n) highest scores of a unit (half to even), ties by index."""
-    w = Window.partitionBy(unit)
-    rank = F.row_number().over(w.orderBy(F.desc("score"), "index"))
-    return df.withColumn("top", (rank <= F.bround(F.lit(fraction) * F.count(F.lit(1)).over(w))).cast("int"))
+    placed = value_places(df, [unit], -F.col("score"), ["index"])
+    return placed.withColumn("top", (F.col("__r") <= F.bround(F.lit(fraction) * F.col("__n"))).cast("int")).drop("__r", "__n")
 
 
 def paired_changes(a: DataFrame, b: DataFrame, by: str = "unit") -> DataFrame:
@@ -68,8 +67,8 @@ def paired_changes(a: DataFrame, b: DataFrame, by: str = "unit") -> DataFrame:
 
 
 def average_ranks(df: DataFrame, by: str, column: str, out: str) -> DataFrame:
-    w = Window.partitionBy(by)
-    return df.withColumn(out, F.rank().over(w.orderBy(column)) + (F.count(F.lit(1)).over(Window.partitionBy(by, column)) - 1) / 2.0)
+    """Average ranks of a column within each group."""
+    return average_places(df, [by], column, out)
 
 
 def correlations(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
@@ -97,8 +96,7 @@ def cell_weights(df: DataFrame, cells: list[str]) -> DataFrame:
 def pair_order(df: DataFrame, unit: str = "unit") -> DataFrame:
     """Positive/negative pairs of a unit by who scores higher, counted from score histograms."""
     hist = df.groupBy(unit, "score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
-    below = F.sum("n").over(Window.partitionBy(unit).orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    h = hist.withColumn("below", below)
+    h = running_before(hist, [unit], "score", ["n"]).withColumnRenamed("n_before", "below")
     s = h.groupBy(unit).agg(F.sum(F.col("p") * F.col("below")).alias("above"), F.sum(F.col("p") * F.col("n")).alias("ties"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return s.select(unit, "above", "ties", (F.col("p") * F.col("n") - F.col("above") - F.col("ties")).alias("under"))
 

@@ -7,39 +7,40 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import stable_digest
 from .metrics import average_ranks
+from .ranks import digest_places, value_places
 
 
 def scored_fraction(df: DataFrame, fraction: float, strata: list[str], seed: str = "control", key: str = "index") -> DataFrame:
     """Per stratum the top round(n f) rows by score, and as many rows by digest as a control."""
-    w = Window.partitionBy(*strata)
-    n = F.bround(F.count(F.lit(1)).over(w) * F.lit(fraction))
-    top = F.row_number().over(w.orderBy(F.desc("score"), key)) <= n
-    control = F.row_number().over(w.orderBy(stable_digest(seed, key), key)) <= n
-    return df.withColumn("top", top.cast("int")).withColumn("control", control.cast("int")).filter("top = 1 OR control = 1")
+    placed = digest_places(value_places(df, strata, -F.col("score"), [key], "__a", "__n"), strata, seed, key, "__b", "__m")
+    n = F.bround(F.col("__n") * F.lit(fraction))
+    marked = placed.withColumn("top", (F.col("__a") <= n).cast("int")).withColumn("control", (F.col("__b") <= n).cast("int"))
+    return marked.filter("top = 1 OR control = 1").drop("__a", "__b", "__n", "__m")
 
 
 def anchored_sample(df: DataFrame, fraction: float, middle: float, strata: list[str], key: str = "index") -> DataFrame:
     """The same share of rows nearest to and farthest from the middle score, at most half of a stratum each."""
-    w, away = Window.partitionBy(*strata), F.abs(F.col("score") - middle)
-    n = F.least(F.floor(F.count(F.lit(1)).over(w) * fraction + 0.5), F.floor(F.count(F.lit(1)).over(w) / 2))
-    r = F.row_number().over(w.orderBy(away, key))
-    total = F.count(F.lit(1)).over(w)
-    return df.withColumn("kind", F.when(r <= n, "near").when(r > total - n, "far")).filter("kind IS NOT NULL")
+    placed = value_places(df, strata, F.abs(F.col("score") - middle), [key])
+    n = F.least(F.floor(F.col("__n") * fraction + 0.5), F.floor(F.col("__n") / 2))
+    return placed.withColumn("kind", F.when(F.col("__r") <= n, "near").when(F.col("__r") > F.col("__n") - n, "far")).filter("kind IS NOT NULL").drop("__r", "__n")
 
 
 def hard_with_controls(df: DataFrame, hard: Column, share: float, seed: str = "hard", key: str = "index") -> DataFrame:
-    """All hard positives and round(share x their number) negatives by digest; the numbers join as one row."""
+    """All hard positives and round(share x their number) negatives by digest: the first of a sorted table, not places of all of it."""
     positives = df.filter((F.col("label") == 1) & hard)
-    n = positives.agg(F.bround(F.count(F.lit(1)) * F.lit(share)).alias("__n"))
-    negatives = df.filter("label = 0").withColumn("__d", stable_digest(seed, key))
-    ranked = negatives.withColumn("__r", F.row_number().over(Window.partitionBy("label").orderBy("__d", key)))
-    chosen = ranked.join(F.broadcast(n), F.col("__r") <= F.col("__n")).drop("__r", "__n", "__d")
+    n = int(positives.agg(F.bround(F.count(F.lit(1)) * F.lit(share))).first()[0] or 0)
+    chosen = df.filter("label = 0").withColumn("__d", stable_digest(seed, key)).orderBy("__d", key).limit(n).drop("__d")
     return positives.unionByName(chosen)
 
 
 def rank_average(tables: list[DataFrame], unit: str = "unit") -> DataFrame:
     """Mean over runs of the percentile rank (average ties) of a row within its unit."""
-    parts = [average_ranks(t, unit, "score", "__r").select("index", unit, (F.col("__r") / F.count(F.lit(1)).over(Window.partitionBy(unit))).alias("__p")) for t in tables]
+    def percentile(t: DataFrame) -> DataFrame:
+        sizes = t.groupBy(F.col(unit).alias("__u")).agg(F.count(F.lit(1)).alias("__t"))
+        ranked = average_ranks(t, unit, "score", "__r").join(sizes, F.col(unit).eqNullSafe(F.col("__u")))
+        return ranked.select("index", unit, (F.col("__r") / F.col("__t")).alias("__p"))
+
+    parts = [percentile(t) for t in tables]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
