@@ -15,8 +15,9 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def truncate_text(text: Column, n: int, mode: str = "head", marker: str = " ... ") -> Column:
-    """At most n characters beside the marker: ``head``, ``tail`` or ``head_tail`` in halves; a text that fits stays."""
-    head = {"head": n, "tail": 0, "head_tail": n // 2}[mode]
+    """At most n characters beside the marker: ``head``, ``tail``, or both ends: ``head_tail`` in halves, ``quarter`` or ``third`` at the head,
+    ``three_quarters`` at the head. A text that fits stays; NULL stays NULL."""
+    head = {"head": n, "tail": 0, "head_tail": n // 2, "quarter": n // 4, "three_quarters": n - n // 4, "third": n // 3}[mode]
     parts = ([F.left(text, F.lit(head))] if head else []) + [F.lit(marker)] + ([F.right(text, F.lit(n - head))] if n - head else [])
     return F.when(F.length(text) <= n, text).otherwise(F.concat(*parts))
 
@@ -27,6 +28,43 @@ def normalize_name(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(squeezed, "(^| )st ", "$1saint "), "^the ", "")
 
 
+#: Frequent words that say nothing about a text.
+STOP_WORDS = "a about after all also an and any are as at be been but by can could did do does for from had has have he her his how if in into is it its more most no not of on one or other our out over she so some such than that the their them then there these they this to up was we were what when where which who will with would you".split()
+
+
+def key_terms(text: Column, least: int = 3, limit: int = 12, stop: list[str] | None = None) -> Column:
+    """As ``content_terms`` without stop words."""
+    words = STOP_WORDS if stop is None else stop
+    kept = F.filter(_all(F.lower(text), "[a-z0-9]+"), lambda t: (F.length(t) >= least) & ~t.isin(*words))
+    return F.slice(F.array_distinct(kept), 1, limit)
+
+
+#: Character references of HTML that texts hold most often.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&amp;": "&"}
+
+
+def unescape(text: Column) -> Column:
+    """Named references as characters, ``&amp;`` last; the replacement character and control characters but line ends and tabs are dropped."""
+    for name, character in ENTITIES.items():
+        text = F.replace(text, F.lit(name), F.lit(character))
+    return F.regexp_replace(text, "[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\uFFFD]", "")
+
+
+def repaired(body: Column) -> Column:
+    """A text of bytes; those that are no UTF-8 become the replacement character."""
+    return F.make_valid_utf8(F.decode(body, "utf-8"))
+
+
+def prose_sentences(text: Column, least: int = 20) -> Column:
+    """As ``split_sentences`` without section headings: lines between equals signs, or that begin with a hash."""
+    return split_sentences(F.regexp_replace(F.regexp_replace(text, r"(?m)^=+[^=\n]*=+ *$", ""), r"(?m)^#+ .*$", ""), least)
+
+
+def last_field(text: Column, name: str) -> Column:
+    """What stands behind the last ``Name:`` at the begin of a line, to the line's end; NULL where there is none."""
+    return F.trim(F.try_element_at(_all(text, rf"(?im)^[ \t]*{name}[ \t]*:[ \t]*(.*)$", 1), F.lit(-1)))
+
+
 def content_terms(text: Column, least: int = 4, limit: int = 12) -> Column:
     """The first distinct terms of a least length, in order."""
     return F.slice(F.array_distinct(F.filter(_all(F.lower(text), "[a-z0-9]+"), lambda t: F.length(t) >= least)), 1, limit)
@@ -38,8 +76,8 @@ def split_sentences(text: Column, least: int = 20) -> Column:
 
 
 def number_kind(value: Column) -> Column:
-    """percent, ordinal, year (four digits, 1500 to 2199) or cardinal."""
-    return F.when(value.endswith("%"), "percent").when(value.rlike("(st|nd|rd|th)$"), "ordinal").when(value.rlike("^(1[5-9]|2[01])[0-9]{2}$"), "year").otherwise("cardinal")
+    """percent, ordinal, year (four digits, 1500 to 2200) or cardinal."""
+    return F.when(value.endswith("%"), "percent").when(value.rlike("(st|nd|rd|th)$"), "ordinal").when(value.rlike("^((1[5-9]|2[01])[0-9]{2}|2200)$"), "year").otherwise("cardinal")
 
 
 def salient_values(text: Column) -> Column:

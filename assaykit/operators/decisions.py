@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import ratio
+from ..functions.scalar import exact_mean, ratio
 from .metrics import binary_metrics
 from .ranks import value_places
 
@@ -94,7 +94,7 @@ def mine_rules(rows: DataFrame, terms: str, least: int) -> DataFrame:
 
 def summarize_submissions(records: DataFrame) -> DataFrame:
     """All or nothing over the units of a submission: its mean, or the first failed unit."""
-    g = records.groupBy("team", "notebook", "submitted_at").agg(F.bool_and("ok").alias("ok"), F.avg("metric").alias("mean"), F.min(F.when(~F.col("ok"), F.col("unit"))).alias("failed_unit"), F.count(F.lit(1)).alias("units"))
+    g = records.groupBy("team", "notebook", "submitted_at").agg(F.bool_and("ok").alias("ok"), exact_mean(F.col("metric")).alias("mean"), F.min(F.when(~F.col("ok"), F.col("unit"))).alias("failed_unit"), F.count(F.lit(1)).alias("units"))
     return g.withColumn("mean", F.when(F.col("ok"), F.col("mean")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import ratio
+from ..functions.scalar import exact_mean, ratio
 from .ranks import average_places, running_before, value_places
 
 
@@ -125,6 +125,6 @@ def rating_audit(df: DataFrame, rating: str) -> DataFrame:
 
 def leaderboard(records: DataFrame) -> DataFrame:
     """Best complete submission per team and notebook; of equal ones the first reached."""
-    subs = records.groupBy("team", "notebook", "submitted_at").agg(F.bool_and("ok").alias("ok"), F.avg("metric").alias("value"), F.count(F.lit(1)).alias("units"))
+    subs = records.groupBy("team", "notebook", "submitted_at").agg(F.bool_and("ok").alias("ok"), exact_mean(F.col("metric")).alias("value"), F.count(F.lit(1)).alias("units"))
     w = Window.partitionBy("team", "notebook").orderBy(F.desc("value"), "submitted_at")
     return subs.filter("ok").withColumn("r", F.row_number().over(w)).filter("r = 1").select("team", "notebook", "submitted_at", "value", "units")

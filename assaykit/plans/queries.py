@@ -9,7 +9,7 @@ from ..functions.scalar import stable_fraction
 from ..operators import conversations, joins, metrics, retrieval, sampling
 from ..sources.tables import ledger, predictions, read, second_predictions
 from ..streaming.windows import event_windows
-from . import comparisons, evaluation, knowledge, learning, parsing, relations, scans, selection
+from . import breakdowns, comparisons, evaluation, knowledge, learning, parsing, relations, scans, selection
 from .common import B, P, rounded
 
 def _preds(make):
@@ -92,7 +92,7 @@ _QUERIES = {
     "margin_bins": (_preds(lambda p: metrics.margin_bins(p.withColumn("m", F.pmod("index", F.lit(15)) / 2 - 3.5), "m")), f"WITH {P}, q AS (SELECT *, abs(index % 15 / 2.0 - 3.5) AS m FROM p) SELECT CASE WHEN m < 1 THEN '[0,1)' WHEN m < 3 THEN '[1,3)' WHEN m < 5 THEN '[3,5)' ELSE '[5,inf)' END AS bin, count(*) AS n, count(*) FILTER (label <> decision) AS errors FROM q GROUP BY 1"),
     "error_cases": (_preds(lambda p: metrics.error_cases(p, 10)), f"WITH {P}, k AS (SELECT *, CASE WHEN label = 1 AND decision = 0 THEN 'fn' WHEN label = 0 AND decision = 1 THEN 'fp' END AS kind FROM p), r AS (SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY CASE WHEN kind = 'fn' THEN score ELSE -score END, index)::INT AS rank, index, round(score, 6) AS score FROM k WHERE kind IS NOT NULL) SELECT * FROM r WHERE rank <= 10"),
     "rating_audit": (_preds(lambda p: metrics.rating_audit(p.withColumn("rating", F.pmod("index", F.lit(10))), "rating")), f"WITH {P}, c AS (SELECT label, index % 10 AS rating, count(*) AS c FROM p GROUP BY 1, 2), q AS (SELECT *, c / sum(c) OVER (PARTITION BY label)::DOUBLE AS pr FROM c) SELECT label, sum(c)::BIGINT AS n, count(*) AS ratings, round(-sum(pr * log2(pr)), 6) AS entropy FROM q GROUP BY label"),
-    "leaderboard": (lambda s, d: rounded(metrics.leaderboard(ledger(s, d))), "WITH r AS (SELECT o_custkey % 20 AS team, o_orderpriority AS notebook, o_orderdate AS submitted_at, CASE WHEN o_orderkey % 53 <> 0 THEN o_totalprice / 600000 END AS metric, o_orderkey % 53 <> 0 AS ok FROM orders), s AS (SELECT team, notebook, submitted_at, bool_and(ok) AS ok, avg(metric) AS value, count(*) AS units FROM r GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY team, notebook ORDER BY value DESC, submitted_at) AS rn FROM s WHERE ok) SELECT team, notebook, submitted_at, round(value, 6) AS value, units FROM t WHERE rn = 1"),
+    "leaderboard": (lambda s, d: rounded(metrics.leaderboard(ledger(s, d))), "WITH r AS (SELECT o_custkey % 20 AS team, o_orderpriority AS notebook, o_orderdate AS submitted_at, CASE WHEN o_orderkey % 53 <> 0 THEN o_totalprice / 600000 END AS metric, o_orderkey % 53 <> 0 AS ok FROM orders), s AS (SELECT team, notebook, submitted_at, bool_and(ok) AS ok, sum(metric::DECIMAL(28, 12))::DOUBLE / count(metric) AS value, count(*) AS units FROM r GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY team, notebook ORDER BY value DESC, submitted_at) AS rn FROM s WHERE ok) SELECT team, notebook, submitted_at, round(value, 6) AS value, units FROM t WHERE rn = 1"),
     "exclude_used": (lambda s, d: joins.exclude_used(read(s, d, "documents").select("doc_id", "lang"), [read(s, d, "labels")], "doc_id"), "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),
     "common_keys": (lambda s, d: joins.common_keys([read(s, d, "labels").select("doc_id", "quality"), read(s, d, "labels").filter("toxic = 0").select("doc_id", "quality")], "doc_id", "quality"), "SELECT doc_id, quality FROM labels WHERE toxic = 0"),
     "coverage_diff": (lambda s, d: joins.coverage_diff(read(s, d, "labels"), read(s, d, "documents").filter("lang = 'en'"), "doc_id"), "WITH a AS (SELECT DISTINCT doc_id, 1 AS a FROM labels), b AS (SELECT DISTINCT doc_id, 1 AS b FROM documents WHERE lang = 'en') SELECT CASE WHEN a IS NULL THEN 'lost' WHEN b IS NULL THEN 'new' ELSE 'both' END AS kind, count(*) AS n FROM a FULL JOIN b USING (doc_id) GROUP BY 1"),
@@ -124,7 +124,7 @@ _QUERIES = {
 
 
 _ALL = _QUERIES
-for _part in (evaluation, selection, comparisons, relations, parsing, scans, learning, knowledge):
+for _part in (evaluation, selection, comparisons, relations, parsing, scans, learning, knowledge, breakdowns):
     _ALL = _ALL | _part.QUERIES
 
 
