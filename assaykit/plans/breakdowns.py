@@ -116,7 +116,7 @@ def fields(df: DataFrame) -> DataFrame:
 
 def heading_free(df: DataFrame) -> DataFrame:
     t = F.concat(F.lit("== History of all things ==\n# A heading of some length\n"), F.regexp_replace("text", "[=#]", ""))
-    return df.filter("text IS NOT NULL").select("doc_id", F.size(X.prose_sentences(t)).alias("n"), F.array_join(F.slice(X.key_terms(F.col("text")), 1, 5), " ").alias("terms"))
+    return df.filter("text IS NOT NULL").select("doc_id", F.size(X.prose_sentences(t)).alias("n"))
 
 
 def folded_first(df: DataFrame) -> DataFrame:
@@ -211,8 +211,10 @@ SELECT conv_id, md5({_CUT.format("u", 30, 90)}) AS user, md5({_CUT.format("a", 9
     "repaired_texts": (_docs(repairs), "SELECT doc_id, md5('<p> &amp; ' || regexp_replace(left(text, 50), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F\\x{FFFD}]', '', 'g') || ' – ') AS plain, left(text, 20) AS valid FROM documents WHERE text IS NOT NULL"),
     "last_fields": (_docs(fields), "SELECT doc_id, (doc_id % 10)::VARCHAR AS rating, 'no' AS prediction, NULL AS verdict FROM documents"),
     "heading_free": (_docs(heading_free), rf"""
-WITH s AS (SELECT doc_id, text, list_filter(list_transform(regexp_extract_all(regexp_replace(text, '[=#]', '', 'g'), '[^.!?\n]+[.!?]*'), lambda x: trim(x)), lambda x: length(x) >= 20) AS s, list_filter({_WORDS}, lambda w, i: list_position({_WORDS}, w) = i) AS w FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, len(s)::INT AS n, array_to_string(w[1:5], ' ') AS terms FROM s"""),
+WITH s AS (SELECT doc_id, text, list_filter(list_transform(regexp_extract_all(regexp_replace(text, '[=#]', '', 'g'), '[^.!?\n]+[.!?]*'), lambda x: trim(x)), lambda x: length(x) >= 20) AS s FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, len(s)::INT AS n FROM s"""),
+    "key_terms": (lambda s, d: read(s, d, "benchmark").select("item_id", F.array_join(X.key_terms(F.col("text"), limit=5), " ").alias("terms")), f"""
+WITH w AS (SELECT item_id, {_WORDS} AS w FROM benchmark) SELECT item_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i)[1:5], ' ') AS terms FROM w"""),
     "folded_first": (_docs(folded_first), r"SELECT min(doc_id) AS doc_id, arg_min(lang, doc_id) AS lang FROM documents GROUP BY trim(regexp_replace(lower(text), '[ \t\n\r\f\x0B]+', ' ', 'g'))"),
     "site_sentences": (page_lines, None),
     "recovered_rows": (found_rows, None),
