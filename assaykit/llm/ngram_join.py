@@ -34,7 +34,7 @@ from .textio import chunks, cut, mix, shingle_sets, small_batches, text_bytes, t
 WIDTH, SPARE, LONG = 5, 16, 64
 MOST_FREQUENT = 1 << 18  # tokens put last in the order; the choice never changes the result
 FREQUENT_WINDOW = 1_000_000
-CELL = 1000
+CELL = 600
 MOST_BROADCAST_IDS = 2_000_000
 
 
