@@ -71,6 +71,7 @@ def content_terms(text: Column, least: int = 4, limit: int = 12) -> Column:
 
 
 def split_sentences(text: Column, least: int = 20) -> Column:
+    """Runs up to sentence ends or line ends, trimmed, of a least length."""
     parts = F.transform(_all(text, r"[^.!?\n]+[.!?]*"), lambda s: F.trim(s))
     return F.filter(parts, lambda s: F.length(s) >= least)
 
@@ -92,6 +93,7 @@ def cue_flag(text: Column, cues: str, negations: str = "not|never|no") -> Column
 
 
 def redact_cues(text: Column, cues: str, marker: str = "[cue]") -> Column:
+    """Every cue as the marker, negated ones too."""
     return F.regexp_replace(text, f"(?i){_BEGIN}(?:{cues}){_END}", marker)
 
 

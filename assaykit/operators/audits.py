@@ -50,8 +50,13 @@ def reuse_or_compute(work: DataFrame, cache: DataFrame, key: str, content: list[
 
 
 def facts_at(facts: DataFrame, claims: DataFrame, start: str, end: str, year: str) -> DataFrame:
-    """Facts whose closed interval of years holds a claim's year: intervals become years, so the join is on equality."""
-    years = facts.withColumn(year, F.explode(F.sequence(F.col(start), F.col(end))))
+    """Facts whose closed interval of years holds a claim's year: intervals become years, so the join is on equality.
+
+    A null start or end is taken for the least or greatest bound of all facts, or the claims' where that lies farther out.
+    """
+    bounds = facts.select(F.explode(F.array(start, end)).alias("y")).unionByName(claims.select(F.col(year).alias("y"))).agg(F.min("y").alias("__lo"), F.max("y").alias("__hi"))
+    filled = facts.join(F.broadcast(bounds)).withColumn(start, F.coalesce(start, "__lo")).withColumn(end, F.coalesce(end, "__hi")).drop("__lo", "__hi")  # one row
+    years = filled.filter(F.col(start) <= F.col(end)).withColumn(year, F.explode(F.sequence(F.col(start), F.col(end))))
     return claims.join(years, year)
 
 
@@ -64,9 +69,10 @@ def merge_channels(channels: list[DataFrame], by: str, key: str) -> DataFrame:
 
 
 def keys_except(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Distinct keys of the first table that the second lacks; null is a key."""
     return a.select(key).subtract(b.select(key))
 
 
 def popularity(events: DataFrame, by: str, value: str, special: str) -> DataFrame:
-    """Totals per name, special ones left out, with their rank by total."""
+    """Rows and total per name; names that match ``special``, and null names, are left out. ``knowledge.popular_pages`` ranks and maps to pages."""
     return events.filter(~F.col(by).rlike(special)).groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import exact_mean, ratio
@@ -81,6 +81,7 @@ def crosstab(df: DataFrame, row: str, column: str) -> DataFrame:
 
 
 def wilson_lower(hits, n, z: float = 1.0):
+    """Lower end of the Wilson interval of hits of n; n must be above 0."""
     p = hits / n
     return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
@@ -92,6 +93,12 @@ def mine_rules(rows: DataFrame, terms: str, least: int) -> DataFrame:
     return g.withColumn("lower", wilson_lower(F.col("positives"), F.col("support")))
 
 
+def apply_rules(rows: DataFrame, rules: DataFrame, key: str, terms: Column) -> DataFrame:
+    """``key, score``: the greatest lower bound of the rules whose term a row holds, 0 where there is none. Null texts hold none."""
+    held = rows.select(key, F.explode(F.array_distinct(terms)).alias("term")).join(rules.select("term", "lower"), "term").groupBy(key).agg(F.max("lower").alias("score"))
+    return rows.select(key).join(held, key, "left").select(key, F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def summarize_submissions(records: DataFrame) -> DataFrame:
     """All or nothing over the units of a submission: its mean, or the first failed unit."""
     g = records.groupBy("team", "notebook", "submitted_at").agg(F.bool_and("ok").alias("ok"), exact_mean(F.col("metric")).alias("mean"), F.min(F.when(~F.col("ok"), F.col("unit"))).alias("failed_unit"), F.count(F.lit(1)).alias("units"))

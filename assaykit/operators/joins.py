@@ -27,6 +27,7 @@ def join_one_to_one(left: DataFrame, right: DataFrame, on: list[str], check: tup
 
 
 def select_manifest(df: DataFrame, manifest: DataFrame, on: list[str]) -> DataFrame:
+    """Exactly the rows whose keys the manifest lists; ``relations.manifest_report`` tells which it lacks or labels otherwise."""
     return df.join(manifest.select(*on).distinct(), on, "left_semi")
 
 

@@ -78,10 +78,12 @@ def correlations(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
 
 
 def affine_fit(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
+    """Least-squares slope, intercept and R2 per group; NULL where x does not vary. Rows with a NULL take no part."""
     return df.groupBy(by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
 
 
 def error_summary(df: DataFrame, by: str, a: str, b: str) -> DataFrame:
+    """Mean, root mean square, median and greatest absolute difference of two columns, and how many lie within 1e-6."""
     d = F.abs(F.col(a) - F.col(b))
     return df.groupBy(by).agg(F.avg(d).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), F.percentile(d, 0.5).alias("median"), F.max(d).alias("most"), F.count_if(d <= 1e-6).alias("close"))
 

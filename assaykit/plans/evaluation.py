@@ -52,6 +52,11 @@ def mined_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(decisions.mine_rules(rows.select("label", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)).alias("terms")), "terms", 20))
 
 
+def applied_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document by the best rule that the labelled ones gave."""
+    return decisions.apply_rules(read(spark, sf_dir, "documents"), mined_rules(spark, sf_dir), "doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))
+
+
 def recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     ranked = retrieval.bm25(docs, items, "doc_id", "text", "item_id", "text", 10).select("item_id", "doc_id", "rank")
@@ -86,6 +91,18 @@ def _count(pattern: str) -> str:
     return f"len(regexp_extract_all(text, '{pattern}'))::INT"
 
 
+_RULES_SQL = """
+WITH t AS (SELECT DISTINCT d.doc_id, l.quality AS label, unnest(regexp_extract_all(lower(d.text), '[a-z]{4,}')) AS term FROM documents d JOIN labels l USING (doc_id)),
+g AS (SELECT term, count(*) AS support, count(*) FILTER (label = 1) AS positives FROM t GROUP BY 1 HAVING count(*) >= 20 AND count(*) FILTER (label = 1) > 0),
+q AS (SELECT *, positives / support::DOUBLE AS r FROM g)
+SELECT term, support, positives, round((r + 1 / (2.0::DOUBLE * support) - sqrt(r * (1 - r) / support + 1 / (4.0::DOUBLE * support * support)))
+/ (1 + 1 / support::DOUBLE), 6) AS lower FROM q
+"""
+_APPLIED = f"""
+WITH rules AS ({_RULES_SQL}), d AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS term FROM documents), s AS (SELECT doc_id, max(lower) AS score FROM d JOIN rules USING (term) GROUP BY 1)
+SELECT doc_id, coalesce(score, 0.0) AS score FROM documents LEFT JOIN s USING (doc_id)
+"""
+
 QUERIES = {
     "truncated_text": (_docs(lambda t: [F.md5(T.truncate_text(t, 200, m)).alias(m) for m in ("head", "tail", "head_tail")]), "SELECT doc_id, md5(CASE WHEN length(text) <= 200 THEN text ELSE left(text, 200) || ' ... ' END) AS head, md5(CASE WHEN length(text) <= 200 THEN text ELSE ' ... ' || right(text, 200) END) AS tail, md5(CASE WHEN length(text) <= 200 THEN text ELSE left(text, 100) || ' ... ' || right(text, 100) END) AS head_tail FROM documents"),
     "normalized_names": (_docs(lambda t: [F.md5(T.normalize_name(t)).alias("digest")]), r"SELECT doc_id, md5(regexp_replace(regexp_replace(trim(regexp_replace(lower(text), '[ \t\n\r\f]+', ' ', 'g'), ' '), '(^| )st ', '\1saint ', 'g'), '^the ', '')) AS digest FROM documents"),
@@ -111,7 +128,8 @@ QUERIES = {
     "length_strata": (_lengths, f"WITH {P}, s AS (SELECT *, ntile(3) OVER (PARTITION BY unit ORDER BY score, index)::INT AS part FROM p) SELECT unit, part, count(*) AS n, round(avg((label = decision)::INT), 6) AS accuracy FROM s GROUP BY 1, 2"),
     "flag_audit": (_preds(flag_audit), f"WITH {P}, c AS (SELECT scenario, count(*) FILTER (decision = 1) AS flags, count(*) FILTER (decision = 1 AND label = 1) AS hits, count(*) FILTER (decision = 1 AND label <> 1) AS false_flags, count(*) FILTER (label = 1) AS pos FROM p GROUP BY 1) SELECT scenario, flags, hits, false_flags, CASE WHEN flags > 0 THEN round(hits / flags::DOUBLE, 6) END AS precision, CASE WHEN pos > 0 THEN round(hits / pos::DOUBLE, 6) END AS coverage FROM c"),
     "crosstab": (_preds(lambda p: decisions.crosstab(p, "scenario", "label")), f"WITH {P}, c AS (SELECT scenario, label, count(*) AS n FROM p GROUP BY 1, 2) SELECT *, round(n / sum(n) OVER (PARTITION BY scenario)::DOUBLE, 6) AS share FROM c"),
-    "mined_rules": (mined_rules, "WITH t AS (SELECT DISTINCT d.doc_id, l.quality AS label, unnest(regexp_extract_all(lower(d.text), '[a-z]{4,}')) AS term FROM documents d JOIN labels l USING (doc_id)), g AS (SELECT term, count(*) AS support, count(*) FILTER (label = 1) AS positives FROM t GROUP BY 1 HAVING count(*) >= 20 AND count(*) FILTER (label = 1) > 0), q AS (SELECT *, positives / support::DOUBLE AS r FROM g) SELECT term, support, positives, round((r + 1 / (2.0::DOUBLE * support) - sqrt(r * (1 - r) / support + 1 / (4.0::DOUBLE * support * support))) / (1 + 1 / support::DOUBLE), 6) AS lower FROM q"),
+    "mined_rules": (mined_rules, _RULES_SQL),
+    "applied_rules": (applied_rules, _APPLIED),
     "submission_summary": (lambda s, d: rounded(decisions.summarize_submissions(ledger(s, d))), "WITH r AS (SELECT o_custkey % 20 AS team, o_orderpriority AS notebook, o_orderdate AS submitted_at, o_orderkey % 7 AS unit, CASE WHEN o_orderkey % 53 <> 0 THEN o_totalprice / 600000 END AS metric, o_orderkey % 53 <> 0 AS ok FROM orders) SELECT team, notebook, submitted_at, bool_and(ok) AS ok, CASE WHEN bool_and(ok) THEN round(sum(metric::DECIMAL(28, 12))::DOUBLE / count(metric), 6) END AS mean, min(unit) FILTER (NOT ok) AS failed_unit, count(*) AS units FROM r GROUP BY 1, 2, 3"),
     "recovery_at_k": (recovery, lambda: f"WITH k AS ({_bm25_sql()}), f AS (SELECT k.item_id, min(rank) FILTER (contains(d.text, b.text)) AS r FROM k JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id) GROUP BY 1) SELECT count(*) AS asked, count(*) FILTER (r <= 1) AS at_1, count(*) FILTER (r <= 3) AS at_3, count(*) FILTER (r <= 5) AS at_5, count(*) FILTER (r <= 10) AS at_10 FROM f"),
 }
