@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, ngram_join, pieces, quality, sharding, suffix_dedup, token_counts, topk_search, toxicity
+from . import fingerprints, mixing, ngram_join, pieces, prefix_trie, quality, sharding, suffix_dedup, token_counts
+from . import topk_search, toxicity, whitening
 from .textio import cut
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -79,6 +80,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), model_path(), limit=4096)
 
 
+def op11_qdwh_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"), k=32)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_nodes(prefix_trie.rebuilt_paths(read(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
@@ -92,6 +101,8 @@ def queries() -> dict:
         "op8_repeated_strings": op8_repeated_strings,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_token_counts": op10_token_counts,
+        "op11_qdwh_whitening": op11_qdwh_whitening,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
