@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, ngram_join, pieces, prefix_trie, quality, sharding, suffix_dedup, token_counts
-from . import topk_search, toxicity, whitening
+from . import fingerprints, mixing, ngram_join, phrase_automata, pieces, prefix_trie, quality, sharding, suffix_dedup
+from . import token_counts, topk_search, toxicity, whitening
 from .textio import cut
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -84,6 +84,11 @@ def op11_qdwh_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"), k=32)
 
 
+def op12_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = phrase_automata.remove_repeated_passages(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie_nodes(prefix_trie.rebuilt_paths(read(spark, sf_dir, "conversations")))
 
@@ -102,6 +107,7 @@ def queries() -> dict:
         "op9_sentencepiece": op9_sentencepiece,
         "op10_token_counts": op10_token_counts,
         "op11_qdwh_whitening": op11_qdwh_whitening,
+        "op12_phrase_automata": op12_phrase_automata,
         "op13_prefix_trie": op13_prefix_trie,
     }
 

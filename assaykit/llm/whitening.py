@@ -52,13 +52,10 @@ def _split(a: np.ndarray, shift: float) -> tuple[np.ndarray, np.ndarray] | None:
     k = int(round(np.trace(projector)))
     if not 0 < k < n:
         return None
-    # Columns by falling norm lead the QR factorisation; one step of subspace iteration makes its first k columns exact.
-    order = np.argsort(-np.einsum("ij,ij->j", projector, projector), kind="stable")
-    start = projector[:, order]
-    q, _ = np.linalg.qr(start @ np.random.default_rng(n).standard_normal((n, n)))
-    above = np.linalg.qr(projector @ q[:, :k])[0]
-    both = np.linalg.qr(np.hstack([above, np.eye(n) - above @ above.T]))[0]
-    above, below = both[:, :k], both[:, k:n]
+    # k random columns, projected twice, span the range; the rest of the space is the range of the other projector.
+    q = np.linalg.qr(projector @ np.random.default_rng(n).standard_normal((n, k)))[0]
+    full = np.linalg.qr(np.hstack([projector @ q, np.random.default_rng(k).standard_normal((n, n - k))]))[0]
+    above, below = full[:, :k], full[:, k:]
     off = np.linalg.norm(below.T @ a @ above)
     return (above, below) if off <= 1e-9 * max(np.linalg.norm(a), _EPS) else None
 
@@ -89,26 +86,11 @@ def components(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     divide((a + a.T) / 2, np.eye(n))
     v = np.array(vectors).T if vectors else np.zeros((n, 0))
-    v = _refined(a, v) if n > 1 and scale else v
     e = np.einsum("ij,ij->j", v, a @ v)
     order = np.argsort(-e, kind="stable")
     return e[order], v[:, order]
 
 
-def _refined(a: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """One Newton step on all vectors at once: errors of the divisions, which add up over the levels, are squared."""
-    for _ in range(2):
-        r = np.eye(len(a)) - v.T @ v
-        s = v.T @ a @ v
-        e = np.diag(s) / (1 - np.diag(r))
-        gap = e[None, :] - e[:, None]
-        close = np.abs(gap) <= 1e-6 * np.abs(e).max()
-        with np.errstate(divide="ignore", invalid="ignore"):
-            step = np.where(close, r / 2, (s + e[None, :] * r) / gap)
-        v = v + v @ step
-    return v
-
-
 def _whole(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     """``vec_id, x``: vectors without null or non-finite entries (or beyond ``LARGEST``) as whole numbers."""
     v = F.col(vector).cast("array<double>")
@@ -138,8 +120,9 @@ def _pair_sums(rows: DataFrame, projected, kind: str) -> tuple[dict, int]:
                 part = np.hstack([z.T @ z, z.sum(0)[:, None]])
                 total = part if total is None else total + part
         if total is not None:
-            i, j = np.nonzero(np.triu(np.ones(total.shape, bool)))
-            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(np.where(j == len(total), -1, j).astype(np.int32)), pa.array(total[i, j])], names=["i", "j", "s"])
+            i, j = (x.astype(np.int32) for x in np.nonzero(np.triu(np.ones(total.shape, bool))))
+            columns = [pa.array(i), pa.array(np.where(j == len(total), -1, j).astype(np.int32)), pa.array(total[i, j])]
+            yield pa.RecordBatch.from_arrays(columns, names=["i", "j", "s"])
 
     sums = rows.select("x").mapInArrow(run, f"i int, j int, s {kind}").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
     return {(r["i"], r["j"]): r["s"] for r in sums}
