@@ -52,7 +52,7 @@ def unescape(text: Column) -> Column:
 
 def repaired(body: Column) -> Column:
     """A text of bytes; those that are no UTF-8 become the replacement character."""
-    return F.make_valid_utf8(F.decode(body, "utf-8"))
+    return F.make_valid_utf8(body.cast("string"))
 
 
 def prose_sentences(text: Column, least: int = 20) -> Column:

@@ -14,13 +14,6 @@ SHINGLE = 5
 MOST_BROADCAST_KEYS = 1_000_000
 
 
-def sentences(docs: DataFrame, key: str, text: str, least: int = 20, most: int = 400) -> DataFrame:
-    """Lines of a text within length bounds, first of equal ones, with their place."""
-    s = docs.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("place", "sentence")).withColumn("sentence", F.trim("sentence"))
-    s = s.filter(F.length("sentence").between(least, most))
-    return s.groupBy(key, "sentence").agg(F.min("place").alias("place"))
-
-
 def page_sentences(docs: DataFrame, key: str, text: str, least: int = 32, most: int = 900) -> DataFrame:
     """Sentences of a text within length bounds, the first of those equal but for case, with their place among those of the least length.
 
@@ -59,12 +52,6 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: st
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def line_matches(docs: DataFrame, refs: DataFrame, key: str, text: str, ref_key: str, ref_text: str) -> DataFrame:
-    """Documents one of whose lines equals a line of a reference: an equi-join on the line."""
-    lines = lambda d, k, t: d.select(k, F.explode(F.split(F.col(t), "\n")).alias("line")).filter(F.length("line") >= 20).distinct()
-    return lines(docs, key, text).join(lines(refs, ref_key, ref_text), "line").groupBy(ref_key).agg(F.count_distinct(key).alias("docs"))
-
-
 def _grams(m: int, keys=None):
     """Per row (b, h): the hashes of its shingles of m words, those among the sorted keys if there are any."""
 
@@ -125,6 +112,11 @@ def text_containment(docs: DataFrame, refs: DataFrame, key: str, text: str, ref_
     return inside.unionByName(around).distinct()
 
 
+def line_matches(docs: DataFrame, refs: DataFrame, key: str, text: str, ref_key: str, ref_text: str) -> DataFrame:
+    """How many documents hold a reference, or are held by it, wherever its lines are broken."""
+    return text_containment(docs, refs, key, text, ref_key, ref_text).groupBy(ref_key).agg(F.count_distinct(key).alias("docs"))
+
+
 def top_k(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
     """The k first rows of each group in an order, with their rank."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k)

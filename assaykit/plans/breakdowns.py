@@ -105,8 +105,10 @@ def sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repairs(df: DataFrame) -> DataFrame:
-    t = F.concat(F.lit("&lt;p&gt; &amp;amp; "), F.left("text", F.lit(50)), F.lit(" &ndash; "), F.char(F.lit(7)))
-    return df.filter("text IS NOT NULL").select("doc_id", F.md5(X.unescape(t)).alias("plain"), X.repaired(F.encode(F.left("text", F.lit(20)), "utf-8")).alias("valid"))
+    """Whole texts between references, and their bytes around a byte that begins no character."""
+    t = F.concat(F.lit("&lt;p&gt; &amp;amp; "), F.col("text"), F.lit(" &ndash; "), F.char(F.lit(7)))
+    body = F.concat(F.encode("text", "utf-8"), F.unhex(F.lit("FF")), F.encode("lang", "utf-8"))
+    return df.filter("text IS NOT NULL").select("doc_id", F.md5(X.unescape(t)).alias("plain"), F.md5(X.repaired(body)).alias("valid"))
 
 
 def fields(df: DataFrame) -> DataFrame:
@@ -208,7 +210,7 @@ WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS t FROM conversation
 coalesce(arg_min(t, (turn, t)) FILTER (role = 'user'), '') AS f, coalesce(arg_max(t, (turn, t)) FILTER (role = 'user'), '') AS l FROM t GROUP BY 1)
 SELECT conv_id, md5({_CUT.format("u", 30, 90)}) AS user, md5({_CUT.format("a", 90, 30)}) AS assistant, md5({_CUT.format("f", 40, 80)}) AS first_user, md5({_CUT.format("l", 60, 60)}) AS last_user FROM v"""),
     "sanitised_turns": (sanitised, "SELECT role, count(*) AS n, sum(length(regexp_replace(text, '(?i)th[a-z]*', '[removed]', 'g')))::BIGINT AS chars FROM conversations GROUP BY 1"),
-    "repaired_texts": (_docs(repairs), "SELECT doc_id, md5('<p> &amp; ' || regexp_replace(left(text, 50), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F\\x{FFFD}]', '', 'g') || ' – ') AS plain, left(text, 20) AS valid FROM documents WHERE text IS NOT NULL"),
+    "repaired_texts": (_docs(repairs), "SELECT doc_id, md5('<p> &amp; ' || regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F\\x{FFFD}]', '', 'g') || ' – ') AS plain, md5(text || chr(65533) || lang) AS valid FROM documents WHERE text IS NOT NULL"),
     "last_fields": (_docs(fields), "SELECT doc_id, (doc_id % 10)::VARCHAR AS rating, 'no' AS prediction, NULL AS verdict FROM documents"),
     "heading_free": (_docs(heading_free), rf"""
 WITH s AS (SELECT doc_id, text, list_filter(list_transform(regexp_extract_all(regexp_replace(text, '[=#]', '', 'g'), '[^.!?\n]+[.!?]*'), lambda x: trim(x)), lambda x: length(x) >= 20) AS s FROM documents WHERE text IS NOT NULL)

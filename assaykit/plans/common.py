@@ -11,8 +11,16 @@ P = "p AS (SELECT d.lang AS unit, d.source AS scenario, d.doc_id AS index, l.qua
 B = "b AS (SELECT unit, scenario, index, label, toxic, (index % 97) / 97.0::DOUBLE AS score, (index % 97 >= 40)::INT AS decision FROM p)"
 
 
+def round_half(x, digits: int = DIGITS):
+    """Rounding as SQL's ``round`` does it: the scaled double to the nearest whole number, halves away from zero.
+
+    Spark rounds the shortest decimal form of the double instead, which differs where the double is not quite a half.
+    """
+    return F.round(x * F.lit(10.0**digits)) / F.lit(10.0**digits)
+
+
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(c, DIGITS).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+    return df.select(*[round_half(F.col(c)).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
 def with_confusion(table: str, by: str) -> str:

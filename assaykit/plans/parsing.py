@@ -50,7 +50,7 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hashed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").filter("text IS NOT NULL")
     named = F.transform(T.terms(F.col("text")), lambda t: F.struct(F.concat(F.lit("term="), t).alias("name"), F.lit(1.0).alias("value")))
-    return T.hash_features(docs, "doc_id", F.slice(named, 1, 200))
+    return T.hash_features(docs, "doc_id", named)
 
 
 def _with_item(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,14 +61,22 @@ def _with_item(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, s = F.col("item"), F.left("text", F.lit(400))
-    j = _with_item(spark, sf_dir)
-    return rounded(j.select("doc_id", T.lexical_relevance(q, s).alias("relevance"), T.title_overlap(q, F.left("text", F.lit(60))).alias("title"), T.number_recall(F.left("text", F.lit(400)), F.col("text")).alias("number_recall"), T.length_similarity(q, F.col("text")).alias("length"), T.reciprocal_rank(_mod("doc_id", 10)).alias("rrf")))
+    """Whole texts; the title of a document is its first line."""
+    q, s = F.col("item"), F.col("text")
+    scores = {
+        "relevance": T.lexical_relevance(q, s),
+        "title": T.title_overlap(q, F.substring_index(s, "\n", 1)),
+        "number_recall": T.number_recall(s, q),
+        "length": T.length_similarity(q, s),
+        "rrf": T.reciprocal_rank(_mod("doc_id", 10)),
+    }
+    return rounded(_with_item(spark, sf_dir).select("doc_id", *[c.alias(n) for n, c in scores.items()]))
 
 
 def recalls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = _with_item(spark, sf_dir)
-    return rounded(j.select("doc_id", T.token_recall(F.left("text", F.lit(200)), F.left("text", F.lit(600)), F.col("item")).alias("r")).select("doc_id", "r.*"))
+    """The first line is the conversation so far, the whole text the target."""
+    recall = T.token_recall(F.substring_index("text", "\n", 1), F.col("text"), F.col("item"))
+    return rounded(_with_item(spark, sf_dir).select("doc_id", recall.alias("r")).select("doc_id", "r.*"))
 
 
 def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +162,7 @@ def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", "lang", "source", F.left("text", F.lit(80)).alias("prompt"))
+    docs = read(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", "lang", "source", F.col("text").alias("prompt"))
     out = lambda c: docs.select("doc_id", "prompt", c.alias("output"))
     plain = F.concat(F.lit("about "), F.col("lang"))
     real = F.when(_mod("doc_id", 2) == 0, F.concat(plain, F.lit(" taken from "), F.col("source"), F.lit("page"))).otherwise(plain)
@@ -186,7 +194,7 @@ def _share(part: str, whole: str) -> str:
     return f"len(list_intersect({whole}, {part})) / greatest(1, len({whole}))::DOUBLE"
 
 
-_ITEMS = "j AS (SELECT d.doc_id, d.text, left(d.text, 400) AS s, b.text AS q FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40 WHERE d.text IS NOT NULL)"
+_ITEMS = "j AS (SELECT d.doc_id, d.text, d.text AS s, b.text AS q FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40 WHERE d.text IS NOT NULL)"
 _SPANS = """list_concat(list_concat(regexp_extract_all(t, '\\*\\*([^*]+)\\*\\*', 1), regexp_extract_all(t, '"([^"]{2,80})"', 1)), list_concat(regexp_extract_all(t, '([A-Z][a-z]+ [A-Z][a-z]+)', 1), regexp_extract_all(t, '(1[5-9][0-9]{2}|20[0-9]{2})', 1)))"""
 
 QUERIES = {
@@ -202,10 +210,10 @@ WITH e AS (SELECT CASE WHEN event_id % 9 <> 0 THEN props END AS v FROM events),
 SELECT v IS NOT NULL AS found, concat_ws(',', CASE WHEN coalesce(k, '') NOT IN ('1', '2', '3') THEN 'k' END, CASE WHEN coalesce(trim(k), '') = '' THEN 'k' END, CASE WHEN coalesce(trim(why), '') = '' THEN 'why' END) AS errors, count(*) AS n FROM f GROUP BY 1, 2"""),
     "hashed_features": (hashed_features, None),
     "lexical_relevance": (relevance, f"""
-WITH {_ITEMS} SELECT doc_id, round({_share(_terms("s"), _terms("q"))} + CASE WHEN len(list_intersect({_numbers("q")}, {_numbers("s")})) > 0 THEN 0.5 ELSE 0 END, 6) AS relevance, round({_share(_terms("q"), _terms("left(text, 60)"))}, 6) AS title,
-round(CASE WHEN len({_numbers("s")}) = 0 THEN 1.0 ELSE {_share(_numbers("text"), _numbers("s"))} END, 6) AS number_recall, round(CASE WHEN greatest(length(q), length(text)) = 0 THEN 1.0 ELSE least(length(q), length(text)) / greatest(length(q), length(text))::DOUBLE END, 6) AS length, round(1 / (2 + doc_id % 10)::DOUBLE, 6) AS rrf FROM j"""),
+WITH {_ITEMS} SELECT doc_id, round({_share(_terms("s"), _terms("q"))} + CASE WHEN len(list_intersect({_numbers("q")}, {_numbers("s")})) > 0 THEN 0.5 ELSE 0 END, 6) AS relevance, round({_share(_terms("q"), _terms("split_part(text, chr(10), 1)"))}, 6) AS title,
+round(CASE WHEN len({_numbers("s")}) = 0 THEN 1.0 ELSE {_share(_numbers("q"), _numbers("s"))} END, 6) AS number_recall, round(CASE WHEN greatest(length(q), length(text)) = 0 THEN 1.0 ELSE least(length(q), length(text)) / greatest(length(q), length(text))::DOUBLE END, 6) AS length, round(1 / (2 + doc_id % 10)::DOUBLE, 6) AS rrf FROM j"""),
     "token_recalls": (recalls, f"""
-WITH {_ITEMS}, t AS (SELECT doc_id, {_terms("left(text, 200)")} AS c, {_terms("left(text, 600)")} AS t, {_terms("q")} AS e FROM j), n AS (SELECT *, list_filter(t, lambda w: NOT list_contains(c, w)) AS n FROM t)
+WITH {_ITEMS}, t AS (SELECT doc_id, {_terms("split_part(text, chr(10), 1)")} AS c, {_terms("text")} AS t, {_terms("q")} AS e FROM j), n AS (SELECT *, list_filter(t, lambda w: NOT list_contains(c, w)) AS n FROM t)
 SELECT doc_id, round({_share("e", "n")}, 6) AS novel, round({_share("e", "t")}, 6) AS recall, round({_share("t", "e")}, 6) AS precision FROM n"""),
     "conflicts": (conflicts, """
 SELECT c_custkey, c_custkey % 4 IN (0, 1) AS conflict, c_custkey % 3 = 2 AS disagree, c_custkey % 2 = 1 AS repeats FROM customer"""),

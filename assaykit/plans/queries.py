@@ -20,6 +20,18 @@ _R = "round({0}, 6)"
 _SQUEEZED = r"trim(regexp_replace(lower(text), '[ \t\n\r\f\x0B]+', ' ', 'g'), ' ')"
 
 
+_SENTENCES = (
+    "WITH t AS (SELECT doc_id, list_filter(string_split(regexp_replace("
+    + _SQUEEZED.replace("lower(text)", "text")
+    + r""", '([.!?]) ([A-Z0-9"''(])', '\1' || chr(10) || '\2', 'g'), chr(10)), lambda s: length(s) >= {least}) AS s FROM documents),
+x AS (SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS place FROM t)
+SELECT doc_id, md5(arg_min(sentence, place)) AS digest, min(place)::INT AS place FROM x WHERE length(sentence) <= 900 GROUP BY doc_id, lower(sentence)"""
+)
+_CONTAINED = f"""
+WITH d AS (SELECT doc_id, {_SQUEEZED} AS t FROM documents), b AS (SELECT item_id, {_SQUEEZED} AS t FROM benchmark),
+m AS (SELECT item_id, doc_id FROM b JOIN d ON contains(d.t, b.t) OR contains(b.t, d.t) WHERE d.t <> '' AND b.t <> '')"""
+
+
 def _confusion(by: str, table: str = "p", label: str = "label") -> str:
     return f"c AS (SELECT {by}, count(*) FILTER ({label} = 1 AND decision = 1) AS tp, count(*) FILTER ({label} = 0 AND decision = 1) AS fp, count(*) FILTER ({label} = 0 AND decision = 0) AS tn, count(*) FILTER ({label} = 1 AND decision = 0) AS fn FROM {table} GROUP BY {by})"
 
@@ -37,6 +49,15 @@ def unit_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.score_units(predictions(spark, sf_dir)))
 
 
+def sentence_rows(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
+    s = retrieval.page_sentences(read(spark, sf_dir, "documents"), "doc_id", "text", least)
+    return s.select("doc_id", F.md5("sentence").alias("digest"), "place")
+
+
+def contained(spark: SparkSession, sf_dir: str, match) -> DataFrame:
+    return match(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+
+
 def big_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("unit"), (F.col("o_orderstatus") == "F").cast("int").alias("label"), F.floor("o_totalprice").alias("score"))
     return rounded(metrics.auroc(o, ["unit"]))
@@ -202,12 +223,8 @@ SELECT index, unit FROM r WHERE rn <= greatest(1, floor(n * 0.1::DOUBLE + 0.5))
 """),
     "group_folds": (_sampled(lambda p: sampling.group_folds(p, "scenario"), "fold"), f"WITH {P} SELECT index, ('0x' || sha256('fold' || chr(31) || scenario)[1:13])::BIGINT % 5 AS fold FROM p"),
     "hash_fraction": (_sampled(lambda p: p.withColumn("u", F.round(stable_fraction("drop", "index"), 6)), "u"), f"WITH {P} SELECT index, round(('0x' || sha256('drop' || chr(31) || index)[1:13])::BIGINT::DOUBLE / 4503599627370496.0, 6) AS u FROM p"),
-    "sentences": (lambda s, d: retrieval.sentences(read(s, d, "documents"), "doc_id", "text").select("doc_id", F.md5("sentence").alias("digest"), "place"), """
-WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place FROM documents),
-t AS (SELECT doc_id, trim(x, ' ') AS sentence, place FROM s)
-SELECT doc_id, md5(sentence) AS digest, min(place)::INT AS place FROM t WHERE length(sentence) BETWEEN 20 AND 400 GROUP BY doc_id, sentence
-"""),
-    "page_sentences": (lambda s, d: retrieval.page_sentences(read(s, d, "documents"), "doc_id", "text").select("doc_id", F.md5("sentence").alias("digest"), "place"), "WITH t AS (SELECT doc_id, list_filter(string_split(regexp_replace(" + _SQUEEZED.replace("lower(text)", "text") + r""", '([.!?]) ([A-Z0-9"''(])', '\1' || chr(10) || '\2', 'g'), chr(10)), lambda s: length(s) >= 32) AS s FROM documents), x AS (SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS place FROM t) SELECT doc_id, md5(arg_min(sentence, place)) AS digest, min(place)::INT AS place FROM x WHERE length(sentence) <= 900 GROUP BY doc_id, lower(sentence)"""),
+    "sentences": (lambda s, d: sentence_rows(s, d, 20), _SENTENCES.format(least=20)),
+    "page_sentences": (lambda s, d: sentence_rows(s, d, 32), _SENTENCES.format(least=32)),
     "search_bm25": (search, """
 WITH t AS (SELECT doc_id, unnest(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')) AS term FROM documents),
 tf AS (SELECT term, doc_id, count(*) AS tf FROM t WHERE term <> '' GROUP BY 1, 2),
@@ -218,16 +235,8 @@ s AS (SELECT item_id, doc_id, round(sum(ln(1 + ((SELECT count(*) FROM documents
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s)
 SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 10
 """),
-    "line_matches": (lambda s, d: retrieval.line_matches(read(s, d, "documents"), read(s, d, "benchmark"), "doc_id", "text", "item_id", "text"), """
-WITH a AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-b AS (SELECT DISTINCT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark)
-SELECT item_id, count(DISTINCT doc_id) AS docs FROM a JOIN b USING (line) WHERE length(line) >= 20 GROUP BY 1
-"""),
-    "text_containment": (lambda s, d: retrieval.text_containment(read(s, d, "documents"), read(s, d, "benchmark"), "doc_id", "text", "item_id", "text"), f"""
-WITH d AS (SELECT doc_id, {_SQUEEZED} AS t FROM documents),
-b AS (SELECT item_id, {_SQUEEZED} AS t FROM benchmark)
-SELECT DISTINCT item_id, doc_id FROM b JOIN d ON contains(d.t, b.t) OR contains(b.t, d.t) WHERE d.t <> '' AND b.t <> ''
-"""),
+    "line_matches": (lambda s, d: contained(s, d, retrieval.line_matches), f"{_CONTAINED} SELECT item_id, count(DISTINCT doc_id) AS docs FROM m GROUP BY 1"),
+    "text_containment": (lambda s, d: contained(s, d, retrieval.text_containment), f"{_CONTAINED} SELECT DISTINCT item_id, doc_id FROM m"),
     "usage_totals": (usage_totals, "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2"),
     "turn_shapes": (turn_shapes, """
 SELECT conv_id, count(*) AS turns, coalesce(sum(length(text)) FILTER (role = 'user'), 0)::BIGINT AS user_chars, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS assistant_chars, arg_max(role, turn) AS last_role, min(turn) AS first_turn FROM conversations GROUP BY 1

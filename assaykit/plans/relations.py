@@ -79,7 +79,7 @@ def donors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def composed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id").filter("text IS NOT NULL")
-    out = R.compose(docs.select("doc_id", "quality", F.left("text", F.lit(50)).alias("prompt")), docs.select("doc_id", "quality", F.lit("-").alias("prompt"), "lang"), "doc_id", "quality", "prompt")
+    out = R.compose(docs.select("doc_id", "quality", F.col("text").alias("prompt")), docs.select("doc_id", "quality", F.lit("-").alias("prompt"), "lang"), "doc_id", "quality", "prompt")
     return out.select("doc_id", "quality", "lang", F.md5("prompt").alias("digest"))
 
 
@@ -220,7 +220,7 @@ SELECT claim, entity, score::DOUBLE AS score FROM r WHERE i = 1 AND (nx IS NULL
 WITH {P}, u AS (SELECT unit, count(*) AS n, row_number() OVER (ORDER BY {_D.format("donor", "unit")}, unit) - 1 AS u, count(*) OVER () AS k FROM p GROUP BY unit),
 x AS (SELECT a.unit, b.unit AS target, b.n AS m FROM u a JOIN u b ON b.u = (a.u + 1) % a.k AND a.k > 1), r AS (SELECT unit, index, row_number() OVER (PARTITION BY unit ORDER BY {_D.format("donor", "index")}, index) - 1 AS i FROM p)
 SELECT r.index, d.index AS donor FROM r JOIN x USING (unit) JOIN r d ON d.unit = target AND d.i = (r.i + m // 2) % m"""),
-    "composed_prompts": (composed, "SELECT doc_id, quality, lang, md5(left(text, 50)) AS digest FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL"),
+    "composed_prompts": (composed, "SELECT doc_id, quality, lang, md5(text) AS digest FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL"),
     "resolved_redirects": (redirects, """
 WITH RECURSIVE e AS (SELECT c_custkey AS name, CASE c_custkey WHEN 3 THEN 6 WHEN 6 THEN 3 ELSE c_custkey // 2 END AS target FROM customer WHERE c_custkey % 7 <> 0),
 w AS (SELECT name, target, 1 AS n FROM e UNION ALL SELECT w.name, e.target, n + 1 FROM w JOIN e ON w.target = e.name WHERE n < 40)

@@ -101,7 +101,7 @@ def test_hashed_features(spark):
     got = queries()["hashed_features"](spark, DATA).filter("doc_id < 20").collect()
     want = collections.Counter()
     for r in spark.read.parquet(f"{DATA}/documents.parquet").filter("doc_id < 20 AND text IS NOT NULL").select("doc_id", parsing.terms(F.col("text")).alias("t")).collect():
-        for t in r["t"][:200]:
+        for t in r["t"]:
             want[r["doc_id"], zlib.crc32(f"term={t}".encode()) & 8191] += 1
     assert {(r["doc_id"], r["slot"]): r["value"] for r in got} == want
 
