@@ -32,7 +32,7 @@ CHUNK, PIECE_BYTES, PIECE_WORDS = 1_000_000, 500_000, 1 << 21
 LETTERS_A_SHARD = 1_000_000  # about 50 MB of automaton
 CONTEXTS_A_COPY = 50_000  # and twice the mean, before a shard is copied
 MOST_SEEDS = 3_000_000  # known to every task, 9 bytes each; beyond it contexts are joined with them by shuffle
-MOST_KINDS = 3_000_000  # likewise, 37 bytes each
+MOST_KINDS = 3_000_000  # likewise, 26 bytes each
 _POSITION_BITS = 22
 _LAST = 2**63 - 1
 _U = np.uint64
@@ -162,7 +162,7 @@ def _examples(batches, span: int, kinds):
         place = _place(k[got.row], got.places())
         if kinds is not None:
             at, there = _found(got.ch, kinds.value["ch"])
-            got.keep(there & (kinds.value["ah"][at] == got.ah) & (kinds.value["place"][at] == place))
+            got.keep(there & (kinds.value["place"][at] == place))
             place = _place(k[got.row], got.places())
         hs = _list(_signed(got.windows()[2]), got.hi - got.lo + 1)
         columns = [_signed(got.ah), _signed(got.ch), _signed(place), got.letters(np.arange(len(got.lo))), hs]
@@ -172,7 +172,8 @@ def _examples(batches, span: int, kinds):
         else:
             at, _ = _found(got.ch, kinds.value["ch"])
             for name in ("c", "d", "mixed"):
-                batch = batch.append_column(name, pa.array(kinds.value[name][at]))
+                values = kinds.value[name][at]
+                batch = batch.append_column(name, pa.array(values if name == "mixed" else values.astype(np.int64)))
             yield from _passages([batch], span)
 
 
@@ -330,11 +331,15 @@ def _spans(batches, span: int):
 
 def _sorted_arrays(rows: DataFrame, key: str) -> dict:
     """Columns of a bounded table as arrays in the order of an unsigned key."""
-    table = rows.toPandas()
-    arrays = {c: table[c].to_numpy() for c in rows.columns}
-    arrays |= {c: arrays[c].astype(np.int64).view(np.uint64) for c in ("ah", "ch", "place") if c in arrays}
-    order = np.argsort(arrays[key], kind="stable")
-    return {c: x[order] for c, x in arrays.items()}
+    table = rows.toArrow()
+    keys = table.column(key).to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    out = {key: keys[order]}
+    for c in table.column_names:
+        if c != key:
+            x = table.column(c).to_numpy()
+            out[c] = (x.view(np.uint64) if c == "place" else x)[order]
+    return out
 
 
 def repeated_words(texts: DataFrame, span: int = SPAN) -> DataFrame:
@@ -350,16 +355,23 @@ def repeated_words(texts: DataFrame, span: int = SPAN) -> DataFrame:
     kinds = cut(places.groupBy("ah", "ch").agg(F.count(F.lit(1)).alias("c"), F.min("d").alias("d"), F.min("place").alias("place")))
     many = kinds.groupBy("ah").agg((F.count(F.lit(1)) > 1).alias("mixed"))
     kinds = cut(kinds.join(many, "ah"))
+    if few_seeds:
+        sent.destroy()
     few_kinds = kinds.count() <= MOST_KINDS
     fields = "ah long, ch long, place long, letters binary, hs array<long>"
     passage = "h long, ah long, mixed boolean, c long, d long, letters binary"
     if few_kinds:
-        rows = texts.mapInArrow(task(_examples, send(_sorted_arrays(kinds, "ch"))), passage)
+        # Of the number of contexts of a kind only matters whether there are more than one.
+        short = kinds.select("ch", "place", "d", F.least("c", F.lit(2)).cast("byte").alias("c"), "mixed")
+        sent = send(_sorted_arrays(short, "ch"))
+        rows = texts.mapInArrow(task(_examples, sent), passage)
     else:
         rows = texts.mapInArrow(task(_examples, None), fields).join(kinds, ["ah", "ch", "place"])
         rows = rows.dropDuplicates(["ah", "ch"]).mapInArrow(task(_passages), passage)
     counted = rows.groupBy("h", "ah").agg(F.sum("c").alias("c"), F.min("d").alias("first"), F.max("mixed").alias("mixed"), F.first("letters").alias("letters"))
     passages = cut(counted.filter("c > 1").select("h", "ah", "first", "mixed", "letters"))
+    if few_kinds:
+        sent.destroy()
     n_letters = passages.agg(F.coalesce(F.sum(F.octet_length("letters")), F.lit(0))).first()[0]
     anchors = cut(passages.groupBy("ah").agg(F.max("mixed").alias("mixed")))
     n_shards = max(1, -(-n_letters // LETTERS_A_SHARD))
