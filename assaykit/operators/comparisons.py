@@ -1,18 +1,14 @@
-"""Comparing two scorers: gates, stability, pair orders, attribution, replays and resampling."""
+"""Comparing two scorers: gates, stability, pair orders, attribution and replays."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import ratio, stable_digest, stable_fraction
+from ..functions.scalar import ratio, stable_digest
 from .metrics import binary_metrics
 from .ranks import joined, running_before, value_places
 
-#: The distribution function of a Poisson variable of mean 1 at 0 to 6.
-POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-
-
 def unit_deltas(a: DataFrame, b: DataFrame, by: str = "unit", metric: str = "balanced_accuracy") -> DataFrame:
     """``by, before, after, delta`` of a metric per group; NULL where it is undefined on a side."""
     left, right = (binary_metrics(x, [by]).select(by, F.col(metric).alias(name)) for x, name in ((a, "before"), (b, "after")))
@@ -156,63 +152,6 @@ def prefix_replay(df: DataFrame, text: str, caps: list[int], decide) -> DataFram
     return rows.groupBy("cap").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("full").eqNullSafe(F.col("replayed"))).alias("kept"), ratio(F.sum("saved"), F.sum("n")).alias("saved"))
 
 
-def poisson_weight(seed: str, *columns: Column | str) -> Column:
-    """A Poisson(1) draw from the digest of the columns: the weight of a row in a bootstrap sample."""
-    u = stable_fraction(seed, *columns)
-    weight = F.lit(0)
-    for c in POISSON:
-        weight = weight + (u >= c).cast("int")
-    return weight
-
-
-def _resampled(df: DataFrame, samples: int, seed: str, key: str) -> DataFrame:
-    return df.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("w", poisson_weight(seed, "sample", key)).filter("w > 0")
-
-
-def interval(deltas: DataFrame, by: list[str]) -> DataFrame:
-    """Mean, 2.5 and 97.5 % quantiles and share above 0 of the deltas of the samples; samples without a delta are left out."""
-    q = lambda p: F.percentile("delta", F.lit(p))
-    return deltas.filter(F.col("delta").isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("samples"), F.avg("delta").alias("mean"), q(0.025).alias("low"), q(0.975).alias("high"), F.avg((F.col("delta") > 0).cast("double")).alias("above"))
-
-
-def bootstrap_ba(df: DataFrame, by: str, key: str, samples: int, seed: str = "ba", label: str = "label", a: str = "decision", b: str = "other") -> DataFrame:
-    """Paired bootstrap of the change of balanced accuracy, per unit and as the mean over units (unit NULL), positives and negatives apart.
-
-    Rows are weighted by hashed Poisson(1) draws, which a sample of n of n rows approaches, so no sample is ever gathered.
-    """
-    pos, w = F.col(label) == 1, F.col("w")
-    share = lambda hit, cls: ratio(F.sum(F.when(cls & hit, w).otherwise(0)), F.sum(F.when(cls, w).otherwise(0)))
-    hit = lambda c: F.col(c) == 1
-    ba = lambda c: (share(hit(c), pos) + 1 - share(hit(c), ~pos)) / 2
-    deltas = _resampled(df, samples, seed, key).groupBy(by, "sample").agg((ba(b) - ba(a)).alias("delta"))
-    macro = deltas.groupBy("sample").agg(F.avg("delta").alias("delta")).select(F.lit(None).cast("string").alias(by), "sample", "delta")
-    return interval(deltas.unionByName(macro), [by])
-
-
-def _weighted_auroc(rows: DataFrame, by: list[str], score: str, label: str, name: str) -> DataFrame:
-    hist = rows.groupBy(*by, score).agg(F.sum(F.when(F.col(label) == 1, F.col("w")).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 0, F.col("w")).otherwise(0)).alias("n"))
-    sums = running_before(hist, by, score, ["n"]).withColumn("wins", F.col("p") * (F.col("n_before") + F.col("n") / 2)).groupBy(*by).agg(F.sum("wins").alias("x"), F.sum("p").alias("p"), F.sum("n").alias("n"))
-    return sums.select(*by, ratio(F.col("x"), F.col("p") * F.col("n")).alias(name))
-
-
-def bootstrap_auroc(df: DataFrame, by: str, key: str, x: str, y: str, samples: int, seed: str = "auroc", label: str = "label") -> DataFrame:
-    """Paired bootstrap of the change of AUROC from x to y, per unit and as the mean over units (unit NULL)."""
-    rows = _resampled(df.select(by, key, label, x, y), samples, seed, key)
-    a, b = (_weighted_auroc(rows, [by, "sample"], c, label, n) for c, n in ((x, "a"), (y, "b")))
-    deltas = a.join(b, [by, "sample"]).select(by, "sample", (F.col("b") - F.col("a")).alias("delta"))
-    macro = deltas.groupBy("sample").agg(F.avg("delta").alias("delta")).select(F.lit(None).cast("string").alias(by), "sample", "delta")
-    return interval(deltas.unionByName(macro), [by])
-
-
-def bootstrap_units(deltas: DataFrame, by: str, samples: int, seed: str = "units") -> DataFrame:
-    """Interval of the mean delta over units drawn with replacement; one row a unit, so the numbering is one small window."""
-    units = deltas.filter(F.col("delta").isNotNull()).select(F.row_number().over(Window.orderBy(by)).alias("i"), "delta", F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
-    n = units.agg(F.max("n").alias("n"))
-    draws = n.select("n", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("sample")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    picked = draws.select("sample", (F.floor(stable_fraction(seed, "sample", "draw") * F.col("n")) + 1).cast("int").alias("i")).join(F.broadcast(units.drop("n")), "i")
-    return interval(picked.groupBy("sample").agg(F.avg("delta").alias("delta")), [])
-
-
 def admit_categories(deltas: DataFrame, source_deltas: DataFrame, by: str, floor: float, source_floor: float) -> DataFrame:
     """``semantic`` where a category gains the floor and none of its sources falls below theirs, ``ordinary`` where it does not lose, else ``none``."""
     worst = source_deltas.groupBy(by).agg(F.min("delta").alias("worst_source"))

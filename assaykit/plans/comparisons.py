@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import comparisons as C
-from ..operators.metrics import binary_metrics
+from ..operators import resampling as S
+from ..operators.metrics import auroc, binary_metrics
 from ..sources.tables import predictions, read, second_predictions
 from .common import B, P, rounded, with_confusion
 
-SAMPLES = 20
+SAMPLES = 5000
 #: Both scorers side by side.
 J = "j AS (SELECT p.unit, p.scenario, p.index, p.label, p.score AS x, b.score AS y, p.decision AS d, b.decision AS e FROM p JOIN b USING (index))"
 _PAIRS = "pairs AS (SELECT u.unit, u.label AS l1, v.label AS l2, sign(u.x - v.x) AS sx, sign(u.y - v.y) AS sy FROM j u JOIN j v ON u.unit = v.unit AND u.index < v.index)"
@@ -68,7 +69,14 @@ def digit(text):
 
 def bootstrap_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = predictions(spark, sf_dir).withColumn("unit", F.col("scenario"))
-    return rounded(C.bootstrap_units(_deltas(p), "unit", SAMPLES))
+    return rounded(S.bootstrap_units(_deltas(p), "unit", SAMPLES))
+
+
+def bootstrap_auroc_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change of AUROC of the scenarios, resampled over scenarios."""
+    rows = both(spark, sf_dir)
+    side = lambda c: auroc(rows.select(F.col("scenario").alias("unit"), "label", F.col(c).alias("score")), ["unit"]).withColumnRenamed("auroc", c)
+    return rounded(S.bootstrap_units(side("x").join(side("y"), "unit").withColumn("delta", F.col("y") - F.col("x")), "unit", SAMPLES))
 
 
 def _ba(table: str, by: str, name: str, where: str = "TRUE") -> str:
@@ -79,15 +87,25 @@ def _fraction(seed: str, *columns: str) -> str:
     return f"('0x' || sha256('{seed}' || " + " || ".join(f"chr(31) || {c}" for c in columns) + ")[1:13])::BIGINT::DOUBLE / 4503599627370496.0"
 
 
-def _weight(seed: str, *columns: str) -> str:
-    u = _fraction(seed, *columns)
-    return "(" + " + ".join(f"({u} >= {c!r}::DOUBLE)::INT" for c in C.POISSON) + ")"
+def _binomial(name: str, rows: str, n: str, a: str, b: str, u: str, out: str) -> str:
+    """``rows`` with a draw of Binomial(n, a / b) at u, by its distribution function for each distinct (n, a, b)."""
+    log = "lgamma(n + 1.0) - lgamma(j + 1.0) - lgamma(n - j + 1.0) + j * ln(a / b::DOUBLE) + (n - j) * ln(1 - a / b::DOUBLE)"
+    return f"""{name}_k AS (SELECT DISTINCT {n} AS n, {a} AS a, {b} AS b FROM {rows}),
+{name}_j AS (SELECT n, a, b, unnest(range(0, n)) AS j FROM {name}_k WHERE a > 0 AND a < b),
+{name}_t AS (SELECT n, a, b, list(f ORDER BY j) AS f FROM (SELECT n, a, b, j, sum(exp({log})) OVER (PARTITION BY n, a, b ORDER BY j) AS f FROM {name}_j) GROUP BY 1, 2, 3),
+{name} AS (SELECT r.*, CASE WHEN {a} = 0 OR {n} = 0 THEN 0 WHEN {a} = {b} THEN {n} ELSE len(list_filter(t.f, lambda x: x <= {u})) END AS {out} FROM {rows} r LEFT JOIN {name}_t t ON t.n = {n} AND t.a = {a} AND t.b = {b})"""
+
+
+def _mix32(x: str) -> str:
+    step = lambda x, by, times: f"list_transform([{x}], lambda z: (xor(z, z >> {by}) * {times}::UBIGINT) % 4294967296)[1]"
+    return f"list_transform([{step(step(x, 16, 0x7FEB352D), 15, 0x846CA68B)}], lambda z: xor(z, z >> 16))[1]"
 
 
 _INTERVAL = "count(*) AS samples, round(avg(delta), 6) AS mean, round(quantile_cont(delta, 0.025), 6) AS low, round(quantile_cont(delta, 0.975), 6) AS high, round(avg((delta > 0)::INT), 6) AS above"
 _MACRO = f"every AS (SELECT unit, delta FROM deltas UNION ALL SELECT NULL, avg(delta) FROM deltas GROUP BY sample) SELECT unit, {_INTERVAL} FROM every WHERE delta IS NOT NULL GROUP BY unit"
-_SAMPLED = "r AS (SELECT j.*, sample, {w} AS w FROM j, (SELECT unnest(range(1, {n} + 1)) AS sample))"
-
+_UNIT_DRAWS = f"""k AS (SELECT count(*) AS n FROM d), s AS (SELECT sample, unnest(range(1, n + 1)) AS draw, n FROM k, (SELECT unnest(range(1, {SAMPLES} + 1)) AS sample)),
+x AS (SELECT sample, floor({_fraction("units", "sample", "draw")} * n) + 1 AS i FROM s), deltas AS (SELECT sample, avg(delta) AS delta FROM x JOIN d USING (i) GROUP BY sample)
+SELECT {_INTERVAL} FROM deltas"""
 _CREDIT = """
 credit AS (SELECT u.unit, u.index, u.label, avg(CASE WHEN (u.{s} - v.{s}) * (2 * u.label - 1) > 0 THEN 1.0 WHEN u.{s} = v.{s} THEN 0.5 ELSE 0.0 END) AS c
            FROM j u JOIN j v ON u.unit = v.unit AND u.label <> v.label GROUP BY 1, 2, 3)
@@ -129,20 +147,28 @@ SELECT unit, count(*) AS rows, count(*) FILTER (m <> n) AS moved FROM r GROUP BY
 WITH r AS (SELECT cap, regexp_matches(text, '[0-9]') AS a, regexp_matches(substr(text, 1, cap), '[0-9]') AS b, length(text) AS n, greatest(0, length(text) - cap) AS saved
            FROM documents, (SELECT unnest([200, 500, 2000]) AS cap) WHERE text IS NOT NULL)
 SELECT cap, count(*) AS rows, count(*) FILTER (a = b) AS kept, round(sum(saved) / sum(n)::DOUBLE, 6) AS saved FROM r GROUP BY cap"""),
-    "bootstrap_ba": (_both(lambda j: C.bootstrap_ba(j, "unit", "index", SAMPLES, a="d", b="e")), f"""
-WITH {P}, {B}, {J}, {_SAMPLED.format(w=_weight("ba", "sample", "index"), n=SAMPLES)},
-s AS (SELECT unit, sample, sum(w * label) AS p, sum(w * (1 - label)) AS n, sum(w * label * d) AS tp, sum(w * label * e) AS tq, sum(w * (1 - label) * d) AS fp, sum(w * (1 - label) * e) AS fq FROM r GROUP BY 1, 2),
-deltas AS (SELECT unit, sample, CASE WHEN p > 0 AND n > 0 THEN (tq / p::DOUBLE + 1 - fq / n::DOUBLE) / 2 - (tp / p::DOUBLE + 1 - fp / n::DOUBLE) / 2 END AS delta FROM s), {_MACRO}"""),
-    "bootstrap_auroc": (_both(lambda j: C.bootstrap_auroc(j, "unit", "index", "x", "y", SAMPLES)), f"""
-WITH {P}, {B}, {J}, {_SAMPLED.format(w=_weight("auroc", "sample", "index"), n=SAMPLES)},
+    "bootstrap_ba": (_both(lambda j: S.bootstrap_ba(j, "unit", SAMPLES, a="d", b="e")), f"""
+WITH {P}, {B}, {J}, c AS (SELECT unit, label AS l, count(*) AS n, count(*) FILTER (e > d) AS up, count(*) FILTER (e < d) AS down FROM j GROUP BY 1, 2),
+s AS (SELECT c.*, up + down AS moving, sample, {_fraction("bau", "sample", "unit", "l")} AS u, {_fraction("bav", "sample", "unit", "l")} AS v FROM c, (SELECT unnest(range(1, {SAMPLES + 1})) AS sample)),
+{_binomial("m1", "s", "r.n", "r.moving", "r.n", "r.u", "moved").replace("DISTINCT r.n AS n, r.moving AS a, r.n AS b FROM s", "DISTINCT n, moving AS a, n AS b FROM s")},
+{_binomial("m2", "m1", "r.moved", "r.up", "r.moving", "r.v", "raised").replace("DISTINCT r.moved AS n, r.up AS a, r.moving AS b FROM m1", "DISTINCT moved AS n, up AS a, moving AS b FROM m1")},
+deltas AS (SELECT unit, sample, (sum((2 * raised - moved) / n::DOUBLE) FILTER (l = 1) - sum((2 * raised - moved) / n::DOUBLE) FILTER (l = 0)) / 2 AS delta FROM m2 GROUP BY 1, 2), {_MACRO}"""),
+    "bootstrap_auroc": (_both(lambda j: S.bootstrap_auroc(j, "unit", "index", "x", "y", SAMPLES)), f"""
+WITH {P}, {B}, {J}, o AS (SELECT unit, label, x, y, row_number() OVER (PARTITION BY unit, label ORDER BY x, y) - 1 AS i FROM j),
+c AS (SELECT unit, label, count(*) AS n, {_mix32("xor(('0x' || sha256('auroc' || unit)[1:8])::UBIGINT, CASE label WHEN 1 THEN 0 ELSE 2654435769 END::UBIGINT)")} AS h FROM o GROUP BY unit, label),
+s AS (SELECT unit, label, n, sample, {_mix32("(h + sample::UBIGINT) % 4294967296")} AS h FROM c, (SELECT unnest(range(1, {SAMPLES + 1})) AS sample)),
+d AS (SELECT unit, label, sample, n, h, unnest(range(0, n)) AS k FROM s),
+w AS (SELECT unit, label, sample, ({_mix32("(h + k::UBIGINT) % 4294967296")} * n::UBIGINT) >> 32 AS i, count(*) AS w FROM d GROUP BY ALL),
+r AS (SELECT w.unit, w.label, sample, w, x, y FROM w JOIN o ON o.unit = w.unit AND o.label = w.label AND o.i = w.i::BIGINT),
 q AS (SELECT u.unit, u.sample, sum(u.w * v.w * CASE WHEN u.x > v.x THEN 1.0 WHEN u.x = v.x THEN 0.5 ELSE 0 END) / sum(u.w * v.w) AS a, sum(u.w * v.w * CASE WHEN u.y > v.y THEN 1.0 WHEN u.y = v.y THEN 0.5 ELSE 0 END) / sum(u.w * v.w) AS b
-      FROM r u JOIN r v ON u.unit = v.unit AND u.sample = v.sample AND u.label = 1 AND v.label = 0 AND u.w > 0 AND v.w > 0 GROUP BY 1, 2),
+      FROM r u JOIN r v ON u.unit = v.unit AND u.sample = v.sample AND u.label = 1 AND v.label = 0 GROUP BY 1, 2),
 deltas AS (SELECT unit, sample, b - a AS delta FROM q), {_MACRO}"""),
+    "bootstrap_auroc_units": (bootstrap_auroc_units, f"""
+WITH {P}, {B}, {J}, a AS (SELECT u.scenario AS unit, avg(CASE WHEN u.y > v.y THEN 1.0 WHEN u.y = v.y THEN 0.5 ELSE 0.0 END) - avg(CASE WHEN u.x > v.x THEN 1.0 WHEN u.x = v.x THEN 0.5 ELSE 0.0 END) AS delta FROM j u JOIN j v ON u.scenario = v.scenario AND u.label = 1 AND v.label = 0 GROUP BY 1),
+d AS (SELECT row_number() OVER (ORDER BY unit) AS i, delta FROM a), {_UNIT_DRAWS}"""),
     "bootstrap_units": (bootstrap_units, f"""
 WITH {P.replace("d.lang AS unit", "d.source AS unit")}, {B}, {_ba("p", "unit", "m")}, {_ba("b", "unit", "n")}, d AS (SELECT row_number() OVER (ORDER BY unit) AS i, n.ba - m.ba AS delta FROM m JOIN n USING (unit) WHERE n.ba - m.ba IS NOT NULL),
-k AS (SELECT count(*) AS n FROM d), s AS (SELECT sample, unnest(range(1, n + 1)) AS draw, n FROM k, (SELECT unnest(range(1, {SAMPLES} + 1)) AS sample)),
-x AS (SELECT sample, floor({_fraction("units", "sample", "draw")} * n) + 1 AS i FROM s), deltas AS (SELECT sample, avg(delta) AS delta FROM x JOIN d USING (i) GROUP BY sample)
-SELECT {_INTERVAL} FROM deltas"""),
+{_UNIT_DRAWS}"""),
     "admit_categories": (admit_categories, f"""
 WITH {P.replace("d.lang AS unit,", "d.lang AS unit, d.lang || '|' || d.source AS source,")}, b AS (SELECT * EXCLUDE (score, decision), (index % 97 >= 40)::INT AS decision FROM p), {_ba("p", "unit", "m")}, {_ba("b", "unit", "n")}, {_ba("p", "source", "ms")}, {_ba("b", "source", "ns")},
 w AS (SELECT split_part(source, '|', 1) AS unit, min(ns.ba - ms.ba) AS worst FROM ms JOIN ns USING (source) GROUP BY 1)
