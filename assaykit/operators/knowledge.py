@@ -5,57 +5,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.parsing import terms, token_recall
-from ..functions.scalar import normalised, stable_digest
+from ..functions.parsing import length_similarity, lexical_relevance, number_recall, reciprocal_rank, terms, title_overlap, token_recall
+from ..functions.scalar import single_spaced, stable_digest
+from ..functions.text import key_terms
+from .index import TextIndex, build_index, search
 from .ranks import digest_places
 
-K1, B = 1.2, 0.75
-
-
-def _words(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(key, F.array_compact(F.transform(F.split(normalised(F.coalesce(F.col(text), F.lit(""))), " "), lambda w: F.when(w != "", w))).alias("w"))
-
 
 def search_fields(docs: DataFrame, queries: DataFrame, key: str, fields: dict[str, float], query_key: str, query_text: str, k: int) -> DataFrame:
-    """``query_key, key, score, rank``: the k best documents of each query by the weighted sum of the BM25 scores of their fields.
-
-    Queries hold any of their distinct words. A document's length is the size of its word array, so only postings of query words are
-    shuffled; these are joined by a broadcast of the words where Spark sees that they are few. Ties go to the smaller key.
-    """
-    wanted = _words(queries, query_key, query_text).select(query_key, F.explode(F.array_distinct("w")).alias("term"))
-    words = wanted.select("term").distinct()
-    total = None
-    for field, weight in fields.items():
-        d = _words(docs, key, field).withColumn("size", F.size("w"))
-        stats = d.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
-        tf = d.select(key, "size", F.explode("w").alias("term")).join(words, "term").groupBy("term", key, "size").agg(F.count(F.lit(1)).alias("tf"))
-        df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        part = weight * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-        hits = tf.join(df, "term").join(F.broadcast(stats)).select("term", key, part.alias("part"))  # stats: one row
-        total = hits if total is None else total.unionByName(hits)
-    scored = wanted.join(total, "term").groupBy(query_key, key).agg(F.round(F.sum("part"), 6).alias("score"))
-    w = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def retrieve_propositions(docs: DataFrame, queries: DataFrame, key: str, fields: dict[str, float], query_key: str, claim: str, question: str, k: int, weights: dict[str, float]) -> DataFrame:
-    """``query_key, key, score, rank``: candidates of the claim, the question and both together, reranked by a linear score.
-
-    Features of a candidate: reciprocal ranks by each view (0 where it is missing), how many views have it, and its best BM25 score.
+    """``query_key, key, score, rank``: the k best documents of each query by the weighted sum of the BM25 scores of their fields."""
+    return search(build_index(docs, key, list(fields)), queries, query_key, query_text, fields, k, key)
+
+
+def proposition_features(claim: Column, question: Column, title: Column, text: Column, place: Column) -> dict[str, Column]:
+    """Eight of the eleven features of a candidate; the reciprocal ranks by each view come with the search."""
+    return {
+        "rel_claim": lexical_relevance(claim, text),
+        "rel_question": lexical_relevance(question, text),
+        "title_claim": title_overlap(claim, title),
+        "title_question": title_overlap(question, title),
+        "num_claim": number_recall(claim, text),
+        "num_question": number_recall(question, text),
+        "early": 1 / (1 + place),
+        "length": length_similarity(claim, text),
+    }
+
+
+def retrieve_propositions(
+    stored: TextIndex, passages: DataFrame, queries: DataFrame, key: str, query_key: str, fields: dict[str, float], weights: dict[str, float], pool: int, k: int, bias: float | None = None
+) -> DataFrame:
+    """``query_key, key, score, rank``: candidates by claim, by question and by both, reranked by their eleven features.
+
+    ``passages`` holds key, title, text and place (of a sentence on its page), ``queries`` claim and question. Each view gives its
+    ``pool`` best for its first 24 key terms from the one index; a view that does not find a candidate has the reciprocal rank 0. The score is the weighted
+    sum, or with a bias the probability of a logistic model; ties go to the higher relevance to the claim, the earlier place, the key.
     """
-    views = {"claim": F.col(claim), "question": F.col(question), "both": F.concat_ws(" ", claim, question)}
+    views = {"claim": F.col("claim"), "question": F.col("question"), "both": F.concat_ws(" ", "claim", "question")}
     rows = None
     for name, text in views.items():
-        found = search_fields(docs, queries.select(query_key, text.alias("__q")), key, fields, query_key, "__q", k).withColumn("view", F.lit(name))
-        rows = found if rows is None else rows.unionByName(found)
-    rank = lambda n: F.coalesce(F.max(F.when(F.col("view") == n, 1 / (2 + F.col("rank")))), F.lit(0.0)).alias(f"rr_{n}")
-    f = rows.groupBy(query_key, key).agg(*[rank(n) for n in views], F.count(F.lit(1)).alias("views"), F.max("score").alias("bm25"))
-    score = F.lit(0.0)
-    for name, weight in weights.items():
-        score = score + F.col(name) * weight
-    w = Window.partitionBy(query_key).orderBy(F.desc("score"), F.desc("bm25"), key)
-    return f.withColumn("score", F.round(score, 6)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(query_key, key, "score", "rank")
+        found = search(stored, queries.select(query_key, F.array_join(key_terms(text, limit=24), " ").alias("__q")), query_key, "__q", fields, pool, key)
+        rows = found.withColumn("view", F.lit(name)) if rows is None else rows.unionByName(found.withColumn("view", F.lit(name)))
+    rank = lambda n: F.coalesce(F.max(F.when(F.col("view") == n, reciprocal_rank(F.col("rank") - 1))), F.lit(0.0)).alias(f"rr_{n}")
+    found = rows.groupBy(query_key, key).agg(*[rank(n) for n in views])
+    joined = found.join(queries.select(query_key, "claim", "question"), query_key).join(passages.select(key, "title", "text", "place"), key)
+    own = proposition_features(*[F.col(c) for c in ("claim", "question", "title", "text", "place")])
+    named = joined.select(query_key, key, "place", *[c for c in found.columns if c.startswith("rr_")], *[c.alias(n) for n, c in own.items()])
+    total = sum((F.col(name) * weight for name, weight in weights.items()), F.lit(bias or 0.0))
+    score = total if bias is None else 1 / (1 + F.exp(-total))
+    out = named.withColumn("score", F.round(score, 6))
+    w = Window.partitionBy(query_key).orderBy(F.desc("score"), F.desc(F.round("rel_claim", 6)), "place", key)
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(query_key, key, "score", "rank")
+
+
+def context_windows(hits: DataFrame, sentences: DataFrame, by: list[str], page: str, place: str, text: str, radius: int = 1, most: int = 1200) -> DataFrame:
+    """``by, window``: the sentences within ``radius`` of a hit on its page, in order, with single spaces, cut at a word within ``most`` characters.
+
+    A hit on a page without sentences has an empty window; each hit meets at most 2 * radius + 1 sentences.
+    """
+    near = hits.select(*by, page, F.explode(F.sequence(F.col(place) - radius, F.col(place) + radius)).alias(place))
+    rows = near.join(sentences.select(page, place, text), [page, place], "left").groupBy(*by).agg(F.array_sort(F.collect_list(F.when(F.col(text).isNotNull(), F.struct(place, text)))).alias("s"))
+    whole = single_spaced(F.array_join(F.transform("s", lambda x: x[text]), " "))
+    short = F.regexp_replace(F.left(whole, F.lit(most)), " [^ ]*$", "")
+    return rows.select(*by, F.when(F.length(whole) > most, short).otherwise(whole).alias("window"))
 
 
 def retrieve_rows(hits: DataFrame, row: str, query: str, key: str, least: float, n: int) -> DataFrame:

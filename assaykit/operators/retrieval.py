@@ -1,4 +1,4 @@
-"""Sentence tables, an inverted index with BM25, text containment and roll-ups."""
+"""Sentence tables, BM25 search, text containment and roll-ups."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import normalised, single_spaced, squeezed
 from ..functions.arrowtext import chunks, cut, shingle_sets, small_batches, text_bytes, tidy
+from ..functions.scalar import single_spaced, squeezed
+from . import index
 
 SHINGLE = 5
 MOST_BROADCAST_KEYS = 1_000_000
@@ -26,30 +27,10 @@ def page_sentences(docs: DataFrame, key: str, text: str, least: int = 32, most:
     return s.groupBy(key, F.lower("sentence").alias("folded")).agg(F.min(F.struct("place", "sentence")).alias("first")).select(key, "first.sentence", "first.place")
 
 
-def postings(docs: DataFrame, key: str, text: str, words: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(term, key, tf, size) and (term, df); with ``words (term)`` only of these, so that no other posting is shuffled.
-
-    A document's size is that of its word array, known where the text is read. Null texts and texts without words have no postings.
-    """
-    rows = docs.select(key, F.filter(F.split(normalised(F.col(text)), " "), lambda w: w != "").alias("w")).select(key, F.size("w").alias("size"), F.explode("w").alias("term"))
-    if words is not None:
-        rows = rows.join(words, "term")
-    tf = rows.groupBy("term", key, "size").agg(F.count(F.lit(1)).alias("tf"))
-    return tf, tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-
-
-def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The k best documents of each query; only terms of queries are scored, ties go to the smaller key. An empty query has no documents."""
-    q = queries.select(query_key, F.explode(F.array_distinct(F.split(normalised(F.col(query_text)), " "))).alias("term")).filter("term <> ''")
-    tf, df = postings(docs, key, text, q.select("term").distinct())
-    size = F.size(F.filter(F.split(normalised(F.col(text)), " "), lambda w: w != ""))
-    stats = F.broadcast(docs.filter(F.col(text).isNotNull()).select(size.alias("size")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.when(F.col("size") > 0, F.col("size"))).alias("mean")))  # one row
-    hits = q.join(df, "term").join(tf, "term").join(stats)
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
-    scored = hits.groupBy(query_key, key).agg(F.round(F.sum(part), 6).alias("score"))
-    w = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k: int) -> DataFrame:
+    """The k best documents of each query by BM25, from an index of one field that is written and searched once."""
+    stored = index.build_index(docs, key, [text], empty=False)
+    return index.search(stored, queries, query_key, query_text, {text: 1.0}, k, key)
 
 
 def _grams(m: int, keys=None):

@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrowtext import cut
+from ..functions.text import STOP_WORDS
 from ..operators import knowledge as K
+from ..operators.index import build_index
+from ..operators.retrieval import page_sentences
 from ..sources.tables import read
 from .common import rounded
 
 FIELDS = {"title": 2.0, "text": 1.0}
+RERANK = {
+    "rel_claim": 1.0, "rel_question": 0.2, "title_claim": 0.2, "title_question": 0.1, "num_claim": 0.2, "num_question": 0.1,
+    "rr_claim": 0.5, "rr_question": 0.25, "rr_both": 0.25, "early": 0.05, "length": 0.3,
+}
 
 
 def _mod(column: str, n: int):
@@ -30,9 +38,27 @@ def search_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.search_fields(_docs(spark, sf_dir), read(spark, sf_dir, "benchmark").withColumnRenamed("text", "q"), "doc_id", FIELDS, "item_id", "q", 5)
 
 
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of the documents with the first line of their document as title; ``sid`` names document and place."""
+    titles = _docs(spark, sf_dir).select("doc_id", "title")
+    s = page_sentences(read(spark, sf_dir, "documents"), "doc_id", "text").join(titles, "doc_id")
+    return s.select((F.col("doc_id") * 1_000_000 + F.col("place")).alias("sid"), "doc_id", "place", "title", F.col("sentence").alias("text"))
+
+
 def propositions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights = {"rr_claim": 1.0, "rr_question": 0.5, "rr_both": 1.0, "views": 0.1, "bm25": 0.01}
-    return K.retrieve_propositions(_docs(spark, sf_dir), _halves(spark, sf_dir), "doc_id", FIELDS, "item_id", "claim", "question", 5, weights)
+    """Sentences for each item, by a logistic model of all eleven features."""
+    passages = cut(_sentences(spark, sf_dir))
+    stored = build_index(passages, "sid", list(FIELDS))
+    return K.retrieve_propositions(stored, passages, _halves(spark, sf_dir), "sid", "item_id", FIELDS, RERANK, 30, 5, bias=-2.0)
+
+
+def hit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best sentence of each item with its neighbours."""
+    passages = cut(_sentences(spark, sf_dir))
+    hits = K.search_fields(passages, read(spark, sf_dir, "benchmark").withColumnRenamed("text", "q"), "sid", FIELDS, "item_id", "q", 1)
+    hits = hits.withColumn("doc_id", F.floor(F.col("sid") / 1_000_000)).withColumn("place", F.col("sid") % 1_000_000)
+    out = K.context_windows(hits, passages.withColumn("place", F.col("place").cast("long")), ["item_id"], "doc_id", "place", "text", 1, 300)
+    return out.select("item_id", F.length("window").alias("chars"), F.md5("window").alias("digest"))
 
 
 def retrieved_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,10 +156,22 @@ FROM (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM (SELECT doc_id, siz
 
 _FIELDS = f"fields AS (SELECT doc_id, {_words('split_part(text, chr(10), 1)')} AS title, {_words('text')} AS body FROM documents), {_bm25('x', 'x', 1)[1]}"
 _SEARCH = f"WITH {_FIELDS}, items AS (SELECT item_id, text AS q FROM benchmark), {_bm25('hits', 'items', 5)[0]}"
-_VIEWS = f"""WITH {_FIELDS}, h AS (SELECT item_id, left(text, length(text) // 2) AS c, substr(text, length(text) // 2 + 1) AS u FROM benchmark), v1 AS (SELECT item_id, c AS q FROM h), v2 AS (SELECT item_id, u AS q FROM h), v3 AS (SELECT item_id, c || ' ' || u AS q FROM h),
-{_bm25('va', 'v1', 5)[0]}, {_bm25('vb', 'v2', 5)[0]}, {_bm25('vc', 'v3', 5)[0]}, e AS (SELECT *, 1.0 AS w FROM va UNION ALL SELECT *, 0.5 FROM vb UNION ALL SELECT *, 1.0 FROM vc),
-s AS (SELECT item_id, doc_id, round(sum(w / (2 + rank)) + 0.1 * count(*) + 0.01 * max(score), 6) AS score, max(score) AS bm25 FROM e GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, bm25 DESC, doc_id) AS rank FROM s)"""
+_SPACED = r"trim(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g'), ' ')"
+_SENTENCES = rf"""t AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, list_filter(string_split(regexp_replace({_SPACED}, '([.!?]) ([A-Z0-9"''(])', '\1' || chr(10) || '\2', 'g'), chr(10)), lambda s: length(s) >= 32) AS s FROM documents),
+x AS (SELECT doc_id, title, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS place FROM t), sen AS (SELECT doc_id, any_value(title) AS title, arg_min(sentence, place) AS text, min(place) AS place FROM x WHERE length(sentence) <= 900 GROUP BY doc_id, lower(sentence)),
+fields AS (SELECT doc_id * 1000000 + place AS doc_id, {_words('title')} AS title, {_words('text')} AS body FROM sen), {_bm25('x', 'x', 1)[1]}"""
+
+
+def _overlaps() -> str:
+    share = lambda part, whole: f"len(list_intersect({whole}, {part})) / greatest(1, len({whole}))::DOUBLE"
+    number = lambda t: f"list_distinct(regexp_extract_all({t}, '[0-9]+'))"
+    rel = lambda q: f"{share(_terms('text', 4), _terms(q, 4))} + CASE WHEN len(list_intersect({number(q)}, {number('text')})) > 0 THEN 0.5 ELSE 0 END"
+    num = lambda q: f"CASE WHEN len({number(q)}) = 0 THEN 1.0 ELSE {share(number('text'), number(q))} END"
+    length = "CASE WHEN greatest(length(c), length(text)) = 0 THEN 1.0 ELSE least(length(c), length(text)) / greatest(length(c), length(text))::DOUBLE END"
+    out = {"rel_claim": rel("c"), "rel_question": rel("u"), "title_claim": share(_terms("c", 4), _terms("title", 4)), "title_question": share(_terms("u", 4), _terms("title", 4)), "num_claim": num("c"), "num_question": num("u"), "early": "1 / (1 + place)::DOUBLE", "length": length}
+    return ", ".join(f"{v} AS {k}" for k, v in out.items())
+
+
 _CLAIMS = """c AS (SELECT l_orderkey AS claim, min(l_suppkey) AS k, min(l_partkey) AS p FROM lineitem WHERE l_linenumber = 1 GROUP BY 1),
 q AS (SELECT claim, s_name AS entity, 'does ' || CASE WHEN claim % 2 = 0 THEN s_name ELSE 'it' END || ' sell p' || p % 60 AS question, 'it is in N' || CASE WHEN claim % 3 = 0 THEN s_nationkey ELSE claim % 25 END AS answer, CASE WHEN claim % 4 = 0 THEN 'nation' ELSE 'sells' END AS routed FROM c JOIN supplier ON k = s_suppkey)"""
 
@@ -142,9 +180,27 @@ def _terms(t: str, least: int) -> str:
     return f"list_distinct(list_filter(regexp_extract_all(lower({t}), '[a-z0-9]+'), lambda w: length(w) >= {least}))"
 
 
+def _key_terms(t: str) -> str:
+    """The first 24 distinct key terms."""
+    w = f"list_filter(regexp_extract_all(lower({t}), '[a-z0-9]+'), lambda w: length(w) >= 3 AND NOT list_contains({STOP_WORDS}, w))"
+    return f"array_to_string(list_filter({w}, lambda x, i: list_position({w}, x) = i)[1:24], ' ')"
+
+
+_WEIGHTED = " + ".join(f"{w} * {c}" for c, w in RERANK.items())
+_VIEWS = f"""WITH {_SENTENCES}, h AS (SELECT item_id, left(text, length(text) // 2) AS c, substr(text, length(text) // 2 + 1) AS u FROM benchmark), v1 AS (SELECT item_id, {_key_terms('c')} AS q FROM h), v2 AS (SELECT item_id, {_key_terms('u')} AS q FROM h), v3 AS (SELECT item_id, {_key_terms("(c || ' ' || u)")} AS q FROM h),
+{_bm25('va', 'v1', 30)[0]}, {_bm25('vb', 'v2', 30)[0]}, {_bm25('vc', 'v3', 30)[0]}, e AS (SELECT *, 'a' AS v FROM va UNION ALL SELECT *, 'b' FROM vb UNION ALL SELECT *, 'c' FROM vc),
+g AS (SELECT item_id, doc_id AS sid, coalesce(max(1 / (1 + rank)::DOUBLE) FILTER (v = 'a'), 0) AS rr_claim, coalesce(max(1 / (1 + rank)::DOUBLE) FILTER (v = 'b'), 0) AS rr_question, coalesce(max(1 / (1 + rank)::DOUBLE) FILTER (v = 'c'), 0) AS rr_both FROM e GROUP BY 1, 2),
+f AS (SELECT g.*, place, {_overlaps()} FROM g JOIN h USING (item_id) JOIN sen ON sen.doc_id * 1000000 + place = sid),
+s AS (SELECT item_id, sid, place, rel_claim, round(1 / (1 + exp(-(-2.0::DOUBLE + {_WEIGHTED}))), 6) AS score FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, round(rel_claim, 6) DESC, place, sid)::INT AS rank FROM s)"""
+_WINDOWS = f"""WITH {_SENTENCES}, items AS (SELECT item_id, text AS q FROM benchmark), {_bm25('hits', 'items', 1)[0]},
+w AS (SELECT item_id, trim(regexp_replace(string_agg(text, ' ' ORDER BY place), '[ \t\n\r\f\x0B]+', ' ', 'g'), ' ') AS w FROM hits h JOIN sen s ON s.doc_id = h.doc_id // 1000000 AND abs(s.place - h.doc_id % 1000000) <= 1 GROUP BY 1),
+c AS (SELECT item_id, CASE WHEN length(w) > 300 THEN regexp_replace(left(w, 300), ' [^ ]*$', '') ELSE w END AS w FROM w)"""
+
 QUERIES = {
     "search_titles": (search_titles, f"{_SEARCH} SELECT * FROM hits"),
-    "propositions": (propositions, f"{_VIEWS} SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 5"),
+    "propositions": (propositions, f"{_VIEWS} SELECT item_id, sid, score, rank FROM r WHERE rank <= 5"),
+    "hit_windows": (hit_windows, f"{_WINDOWS} SELECT item_id, length(w)::INT AS chars, md5(w) AS digest FROM c"),
     "retrieved_rows": (retrieved_rows, f"""
 {_SEARCH}, b AS (SELECT item_id // 8 AS row, doc_id, score FROM hits WHERE rank = 1 AND score >= 20), d AS (SELECT row, doc_id, max(score) AS score FROM b GROUP BY 1, 2)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, doc_id) AS rank FROM d) WHERE rank <= 3"""),
