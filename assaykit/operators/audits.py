@@ -49,17 +49,6 @@ def reuse_or_compute(work: DataFrame, cache: DataFrame, key: str, content: list[
     return work.join(known, key, "left").select(*work.columns, hit.cast("int").alias("reused"), F.when(hit, F.col("__v")).otherwise(compute).alias(value))
 
 
-def facts_at(facts: DataFrame, claims: DataFrame, start: str, end: str, year: str) -> DataFrame:
-    """Facts whose closed interval of years holds a claim's year: intervals become years, so the join is on equality.
-
-    A null start or end is taken for the least or greatest bound of all facts, or the claims' where that lies farther out.
-    """
-    bounds = facts.select(F.explode(F.array(start, end)).alias("y")).unionByName(claims.select(F.col(year).alias("y"))).agg(F.min("y").alias("__lo"), F.max("y").alias("__hi"))
-    filled = facts.join(F.broadcast(bounds)).withColumn(start, F.coalesce(start, "__lo")).withColumn(end, F.coalesce(end, "__hi")).drop("__lo", "__hi")  # one row
-    years = filled.filter(F.col(start) <= F.col(end)).withColumn(year, F.explode(F.sequence(F.col(start), F.col(end))))
-    return claims.join(years, year)
-
-
 def merge_channels(channels: list[DataFrame], by: str, key: str) -> DataFrame:
     """Union of ranked candidate lists: best rank and number of channels of each candidate."""
     every = channels[0].select(by, key, "rank")

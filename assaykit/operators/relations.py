@@ -35,26 +35,6 @@ def manifest_report(df: DataFrame, manifest: DataFrame, key: str, label: str) ->
     return want.join(have, key, "left").select(key, status.alias("status"))
 
 
-def facts_for_claims(claims: DataFrame, facts: DataFrame, on: list[str], year: str = "year", start: str = "start", end: str = "end", slack: int = 0) -> DataFrame:
-    """Facts of a claim whose interval, open at a null end and widened by ``slack`` years, holds its year; a claim without a year takes all."""
-    inside = F.col(year).isNull() | ((F.col(start).isNull() | (F.col(start) - slack <= F.col(year))) & (F.col(end).isNull() | (F.col(end) + slack >= F.col(year))))
-    return claims.join(facts, on).filter(inside)
-
-
-def overlapping_holders(facts: DataFrame) -> DataFrame:
-    """``person, other``: people whose offices belong to one jurisdiction at overlapping times; null ends are open.
-
-    ``facts (person, office, jurisdiction, start, end)``. Both sides meet by jurisdiction and by each year that they cover, so only
-    pairs that overlap are made; a fact open at an end covers the years of the other facts.
-    """
-    bounds = facts.agg(F.min(F.least("start", "end")).alias("lo"), F.max(F.greatest("start", "end")).alias("hi"))
-    filled = facts.join(F.broadcast(bounds)).select("person", "office", "jurisdiction", F.coalesce("start", "lo").alias("start"), F.coalesce("end", "hi").alias("end"))
-    years = filled.filter(F.col("start") <= F.col("end")).select("person", "office", "jurisdiction", F.explode(F.sequence("start", "end")).alias("year"))
-    other = years.withColumnsRenamed({"person": "other", "office": "other_office"})
-    met = years.join(other, ["jurisdiction", "year"]).filter((F.col("person") != F.col("other")) & (F.col("office") != F.col("other_office")))
-    return met.select("person", "other").distinct()
-
-
 def relation_evidence(claims: DataFrame, facts: DataFrame, functional: list[str], inverse: dict[str, str]) -> DataFrame:
     """Status of each claim (claim, subject, predicate, object) by facts (subject, predicate, object) and the inverse predicates.
 

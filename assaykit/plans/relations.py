@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import ratio
 from ..operators import evidence as E
 from ..operators import metrics
+from ..operators import intervals
 from ..operators import relations as R
 from ..sources.tables import predictions, read
 from .common import P, rounded, with_confusion
@@ -45,14 +46,25 @@ def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def facts_for_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("c_nationkey", F.when(_mod("o_orderkey", 11) != 0, F.year("o_orderdate")).alias("year")).distinct()
-    return R.facts_for_claims(claims, _terms(spark, sf_dir), ["c_nationkey"], slack=1).groupBy("c_nationkey", "year").agg(F.count(F.lit(1)).alias("facts"))
+    return intervals.facts_for_claims(claims, _terms(spark, sf_dir), ["c_nationkey"], slack=1).groupBy("c_nationkey", "year").agg(F.count(F.lit(1)).alias("facts"))
 
 
 def overlapping_holders(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read(spark, sf_dir, "supplier")
     start = F.lit(1990) + _mod("s_suppkey", 17)
     facts = s.select(F.col("s_suppkey").alias("person"), F.col("s_nationkey").alias("office"), _mod("s_nationkey", 5).alias("jurisdiction"), start.alias("start"), F.when(_mod("s_suppkey", 11) != 0, start + _mod("s_suppkey", 3)).alias("end"))
-    return R.overlapping_holders(facts)
+    return intervals.overlapping_holders(facts)
+
+
+def concurrent_offices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers hold offices of their nation from a month on; ministers beside kings."""
+    c = read(spark, sf_dir, "customer")
+    year = (F.lit(1900) + _mod("c_custkey", 83)).cast("string")
+    start = F.when(_mod("c_custkey", 3) == 0, year).otherwise(F.concat(year, F.lit("-0"), (_mod("c_custkey", 9) + 1).cast("string")))
+    end = F.when(_mod("c_custkey", 13) != 0, (F.lit(1900) + _mod("c_custkey", 83) + _mod("c_custkey", 5)).cast("string"))
+    role = F.when(_mod("c_custkey", 2) == 0, "King of it").otherwise("Prime Minister")
+    facts = c.select(F.col("c_custkey").alias("person"), _mod("c_custkey", 4).alias("office"), F.col("c_nationkey").alias("jurisdiction"), role.alias("role"), intervals.months(start).alias("start"), intervals.months(end, True).alias("end"))
+    return intervals.concurrent_holders(facts, "prime minister|premier", "monarch|king").select("person", "other")
 
 
 def relation_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,6 +218,9 @@ SELECT c_nationkey, year, count(*) AS facts FROM q JOIN f USING (c_nationkey) WH
     "overlapping_holders": (overlapping_holders, """
 WITH f AS (SELECT s_suppkey AS k, s_nationkey AS o, s_nationkey % 5 AS j, 1990 + s_suppkey % 17 AS a, CASE WHEN s_suppkey % 11 <> 0 THEN 1990 + s_suppkey % 17 + s_suppkey % 3 END AS z FROM supplier)
 SELECT DISTINCT x.k AS person, y.k AS other FROM f x JOIN f y ON x.j = y.j AND x.o <> y.o AND x.k <> y.k AND (y.z IS NULL OR x.a <= y.z) AND (x.z IS NULL OR y.a <= x.z)"""),
+    "concurrent_offices": (concurrent_offices, """
+WITH f AS (SELECT c_custkey AS k, c_custkey % 4 AS o, c_nationkey AS j, c_custkey % 2 AS m, (1900 + c_custkey % 83) * 12 + CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE c_custkey % 9 END AS a, CASE WHEN c_custkey % 13 <> 0 THEN (1900 + c_custkey % 83 + c_custkey % 5) * 12 + 11 END AS z FROM customer)
+SELECT x.k AS person, y.k AS other FROM f x JOIN f y ON x.j = y.j AND x.m = 1 AND y.m = 0 AND x.o <> y.o AND (y.z IS NULL OR x.a <= y.z) AND (x.z IS NULL OR y.a <= x.z)"""),
     "relation_evidence": (relation_evidence, """
 WITH k AS (SELECT DISTINCT c_custkey, c_nationkey FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0),
 c AS (SELECT o_orderkey, max((k.c_nationkey = o_custkey % 25)::INT) AS same, count(k.c_custkey) AS n FROM orders LEFT JOIN k ON o_custkey = k.c_custkey GROUP BY 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audits, conversations, retrieval, sampling, selection
+from ..operators import audits, conversations, intervals, retrieval, sampling, selection
 from ..sources.tables import predictions, read, second_predictions
 from .common import B, P, rounded
 
@@ -58,7 +58,7 @@ def active_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers between their first and last order in each year of shipping."""
     facts = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.year(F.min("o_orderdate")).alias("start"), F.year(F.max("o_orderdate")).alias("end"))
     claims = read(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("year")).distinct()
-    return audits.facts_at(facts, claims, "start", "end", "year").groupBy("year").agg(F.count(F.lit(1)).alias("customers"))
+    return intervals.facts_at(facts, claims, "start", "end", "year").groupBy("year").agg(F.count(F.lit(1)).alias("customers"))
 
 
 def merged_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
