@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrowtext import cut
+from ..functions.parsing import terms
 from ..functions.scalar import normalised, stable_digest
 from .ranks import digest_places
 
@@ -48,21 +49,67 @@ def relation_evidence(claims: DataFrame, facts: DataFrame, functional: list[str]
     return found.select("claim", status.alias("status"))
 
 
-def link_entities(claims: DataFrame, entities: DataFrame, least: float = 70.0, margin: float = 3.0, limit: int = 1) -> DataFrame:
+def _shared_words(one: DataFrame, two: DataFrame, least: int) -> DataFrame:
+    """``a, b, n``: pairs of distinct texts of two tables (m) with at least so many words in common, and how many.
+
+    Words are ordered by how rarely texts hold them. Two sets share ``least`` words only if they share one of their first
+    (size - least + 1), so texts meet by rare words alone and a word that stands in every text is joined by none that has enough others.
+    """
+    words = lambda d: d.select("m", F.explode(F.array_distinct(F.split("m", " "))).alias("w"))
+    sides = [d.select("m").distinct() for d in (one, two)]
+    df = words(sides[0]).unionByName(words(sides[1])).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+
+    def first(d: DataFrame) -> DataFrame:
+        rows = words(d).join(df, "w").groupBy("m").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("s"))
+        kept = rows.filter(F.size("s") >= least).withColumn("ws", F.transform("s", lambda x: x["w"]))
+        return kept.select("m", "ws", F.explode(F.slice("ws", 1, F.size("ws") - (least - 1))).alias("w"))
+
+    left, right = (cut(first(d)) for d in sides)
+    pairs = left.select(F.col("m").alias("a"), "ws", "w").join(right.select(F.col("m").alias("b"), F.col("ws").alias("vs"), "w"), "w")
+    return pairs.dropDuplicates(["a", "b"]).select("a", "b", F.size(F.array_intersect("ws", "vs")).alias("n")).filter(F.col("n") >= least)
+
+
+def _context(question: Column, mention: Column, values: Column, about: Column) -> Column:
+    """12 for each term of the stated values, and 3 for each of the question beside the mention, that the entity's text holds."""
+    known = terms(F.coalesce(about, F.lit("")), 3)
+    asked = F.array_except(terms(F.coalesce(question, F.lit("")), 3), terms(F.coalesce(mention, F.lit("")), 3))
+    return 12 * F.size(F.array_intersect(terms(F.coalesce(values, F.lit("")), 3), known)) + 3 * F.size(F.array_intersect(asked, known))
+
+
+def link_entities(claims: DataFrame, entities: DataFrame, least: float = 70.0, margin: float = 3.0, limit: int = 1, hints: list[tuple[str, list[str]]] = ()) -> DataFrame:
     """``claim, entity, score``: the entity of a mention: 100 for an equal normalised name, else 20 + 10 for each shared word.
 
-    ``claims (claim, mention)``, ``entities (entity, name)``. Scores under the least are dropped; where the two best of a claim
-    lie within the margin it is left unlinked. Ties go to the smaller entity.
+    ``claims (claim, mention)`` and, for the context, ``question`` and ``values``; ``entities (entity, name)``, one row for each name or alias, and
+    ``about``, a text of the entity. The best of an entity's names counts. Scores under the least are dropped, and entities whose
+    text holds no word of a hint ``(pattern, words)`` whose pattern the question matches. Equal scores go by context, then to the
+    smaller entity. Where neither score nor context parts the two best by the margin, a claim is left unlinked.
     """
-    c = claims.select("claim", normalised(F.col("mention")).alias("m")).filter("m <> ''")
-    e = entities.select("entity", normalised(F.col("name")).alias("m")).filter("m <> ''")
-    words = lambda d, k: d.select(k, F.explode(F.array_distinct(F.split("m", " "))).alias("w"))
-    exact = c.join(e, "m").select("claim", "entity", F.lit(True).alias("same"), F.lit(100.0).alias("score"))
-    shared = words(c, "claim").join(words(e, "entity"), "w").groupBy("claim", "entity").agg(F.lit(False).alias("same"), (20.0 + 10 * F.count(F.lit(1))).alias("score"))
-    scored = exact.unionByName(shared).groupBy("claim", "entity").agg(F.max(F.struct("same", "score"))["score"].alias("score")).filter(F.col("score") >= least)
-    w = Window.partitionBy("claim").orderBy(F.desc("score"), "entity")
-    ranked = scored.withColumn("r", F.row_number().over(w)).withColumn("next", F.lead("score").over(w))
-    clear = F.max(F.when((F.col("r") == 1) & (F.col("score") - F.coalesce("next", F.lit(-1e9)) < margin), 1).otherwise(0)).over(Window.partitionBy("claim")) == 0
+    with_context = {"question", "values"} <= set(claims.columns) and "about" in entities.columns
+    c = claims.withColumn("m", normalised(F.col("mention"))).filter("m <> ''")
+    e = entities.withColumn("m", normalised(F.col("name"))).filter("m <> ''")
+    names = e.select("entity", "m").distinct()
+    words = max(1, int(-(-(least - 20) // 10)))
+    same = c.select("m").distinct().join(names.select("m").distinct(), "m").select("m", F.col("m").alias("name"), F.lit(100.0).alias("score"))
+    shared = _shared_words(c, names, words).filter("a <> b").select(F.col("a").alias("m"), F.col("b").alias("name"), (20.0 + 10 * F.col("n")).alias("score"))
+    pairs = same.unionByName(shared).filter(F.col("score") >= least)
+    found = c.select("claim", "m").join(pairs, "m").join(names.withColumnRenamed("m", "name"), "name")
+    # An equal name counts as 100 even where more words are shared than that is worth.
+    scored = found.groupBy("claim", "entity").agg(F.max(F.struct((F.col("m") == F.col("name")).alias("same"), "score"))["score"].alias("score"))
+    context = F.lit(0)
+    if with_context:
+        texts = e.groupBy("entity").agg(F.max("about").alias("about"))
+        scored = scored.join(c.select("claim", "mention", "question", "values").dropDuplicates(["claim"]), "claim").join(texts, "entity")
+        context = _context(F.col("question"), F.col("mention"), F.col("values"), F.col("about"))
+        for pattern, expected in hints:
+            fits = F.lit(False)
+            for word in expected:
+                fits = fits | F.contains(F.lower("about"), F.lit(word))
+            scored = scored.filter(~F.coalesce(F.lower("question").rlike(pattern), F.lit(False)) | fits)
+    w = Window.partitionBy("claim").orderBy(F.desc("score"), F.desc("context"), "entity")
+    ranked = scored.withColumn("context", context).withColumn("r", F.row_number().over(w))
+    ranked = ranked.withColumn("next", F.lead("score").over(w)).withColumn("other", F.lead("context").over(w))
+    near = (F.col("score") - F.col("next") < margin) & (F.col("context") - F.col("other") < margin)
+    clear = F.max(F.when((F.col("r") == 1) & F.coalesce(near, F.lit(False)), 1).otherwise(0)).over(Window.partitionBy("claim")) == 0
     return ranked.withColumn("__c", clear).filter(F.col("__c") & (F.col("r") <= limit)).select("claim", "entity", "score")
 
 

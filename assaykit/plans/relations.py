@@ -77,14 +77,24 @@ def relation_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def link_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines of documents as mentions of benchmark items whose text begins alike."""
-    head = lambda t: F.regexp_extract(t, r"^(\S+ \S+ \S+ \S+ \S+ \S+ \S+ \S+)", 1)
+    """First lines of documents as mentions of benchmark items by their first lines."""
+    head = lambda t: F.substring_index(t, "\n", 1)
     claims = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("claim"), head(F.col("text")).alias("mention"))
     entities = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("entity"), head(F.col("text")).alias("name"))
     mixed = claims.unionByName(entities.select((-F.col("entity") - 1).alias("claim"), F.col("name").alias("mention")))
     return R.link_entities(mixed, entities)
 
 
+def linked_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items by their first or last line, told apart by the language and text of the document that mentions them."""
+    docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    claims = docs.filter("text IS NOT NULL").select(F.col("doc_id").alias("claim"), F.substring_index("text", "\n", 1).alias("mention"), F.col("text").alias("question"), F.col("lang").alias("values"))
+    names = F.explode(F.array(F.substring_index("text", "\n", 1), F.substring_index("text", "\n", -1)))
+    entities = items.select(F.col("item_id").alias("entity"), names.alias("name"), F.col("text").alias("about"))
+    mixed = claims.unionByName(items.select((-F.col("item_id") - 1).alias("claim"), F.substring_index("text", "\n", -1).alias("mention"), F.col("text").alias("question"), F.lit("en").alias("values")))
+    return R.link_entities(mixed, entities, hints=[("[0-9]", ["th", "en"])])
+
+
 def donors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.assign_donors(predictions(spark, sf_dir), "unit", "index")
 
@@ -199,6 +209,7 @@ _BATCHES = """
 k AS (SELECT doc_id, n_chars, n_chars // 256 AS bucket, greatest(1, least(48, 60000 // ((n_chars // 256 + 1) * 256 - 1))) AS n FROM documents WHERE n_chars IS NOT NULL),
 r AS (SELECT *, (row_number() OVER (PARTITION BY bucket ORDER BY n_chars, doc_id) - 1) // n AS batch FROM k)
 """
+_T3 = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: length(w) >= 3))"
 _D = "sha256('{0}' || chr(31) || {1})"
 
 QUERIES = {
@@ -226,11 +237,20 @@ WITH k AS (SELECT DISTINCT c_custkey, c_nationkey FROM customer WHERE c_custkey
 c AS (SELECT o_orderkey, max((k.c_nationkey = o_custkey % 25)::INT) AS same, count(k.c_custkey) AS n FROM orders LEFT JOIN k ON o_custkey = k.c_custkey GROUP BY 1)
 SELECT CASE WHEN same = 1 THEN 'support' WHEN n = 1 THEN 'counter' ELSE 'neutral' END AS status, count(*) AS claims FROM c GROUP BY 1"""),
     "link_entities": (link_entities, r"""
-WITH n AS (SELECT item_id AS entity, trim(regexp_replace(lower(regexp_extract(text, '^(\S+ \S+ \S+ \S+ \S+ \S+ \S+ \S+)', 1)), '[^a-z0-9]+', ' ', 'g')) AS m FROM benchmark),
-q AS (SELECT doc_id AS claim, trim(regexp_replace(lower(regexp_extract(text, '^(\S+ \S+ \S+ \S+ \S+ \S+ \S+ \S+)', 1)), '[^a-z0-9]+', ' ', 'g')) AS m FROM documents WHERE text IS NOT NULL UNION ALL SELECT -entity - 1, m FROM n),
+WITH n AS (SELECT item_id AS entity, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', ' ', 'g')) AS m FROM benchmark),
+q AS (SELECT doc_id AS claim, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', ' ', 'g')) AS m FROM documents WHERE text IS NOT NULL UNION ALL SELECT -entity - 1, m FROM n),
 s AS (SELECT claim, entity, CASE WHEN q.m = n.m THEN 100.0 ELSE 20.0 + 10 * len(list_intersect(string_split(q.m, ' '), string_split(n.m, ' '))) END AS score FROM q, n WHERE q.m <> '' AND n.m <> ''),
 r AS (SELECT *, row_number() OVER w AS i, lead(score) OVER w AS nx FROM s WHERE score >= 70 WINDOW w AS (PARTITION BY claim ORDER BY score DESC, entity))
 SELECT claim, entity, score::DOUBLE AS score FROM r WHERE i = 1 AND (nx IS NULL OR score - nx >= 3)"""),
+    "linked_names": (linked_names, r"""
+WITH n AS (SELECT DISTINCT item_id AS entity, trim(regexp_replace(lower(unnest([split_part(text, chr(10), 1), string_split(text, chr(10))[-1]])), '[^a-z0-9]+', ' ', 'g')) AS m, text AS about FROM benchmark),
+q AS (SELECT doc_id AS claim, split_part(text, chr(10), 1) AS mention, text AS question, lang AS vals FROM documents WHERE text IS NOT NULL UNION ALL SELECT -item_id - 1, string_split(text, chr(10))[-1], text, 'en' FROM benchmark),
+k AS (SELECT *, trim(regexp_replace(lower(mention), '[^a-z0-9]+', ' ', 'g')) AS m FROM q),
+s AS (SELECT claim, entity, max((k.m = n.m, CASE WHEN k.m = n.m THEN 100.0 ELSE 20.0 + 10 * len(list_intersect(string_split(k.m, ' '), string_split(n.m, ' '))) END::DOUBLE)) AS b FROM k, n WHERE k.m <> '' AND n.m <> '' AND (k.m = n.m OR len(list_intersect(string_split(k.m, ' '), string_split(n.m, ' '))) >= 5) GROUP BY 1, 2),
+c AS (SELECT claim, entity, b[2] AS score, {t0} AS q, {t1} AS mt, {t2} AS v, {t3} AS a FROM s JOIN k USING (claim) JOIN (SELECT DISTINCT entity, about FROM n) USING (entity) WHERE NOT regexp_matches(question, '[0-9]') OR contains(lower(about), 'th') OR contains(lower(about), 'en')),
+x AS (SELECT claim, entity, score, 12 * len(list_intersect(v, a)) + 3 * len(list_intersect(list_filter(q, lambda w: NOT list_contains(mt, w)), a)) AS context FROM c),
+r AS (SELECT *, row_number() OVER w AS i, lead(score) OVER w AS ns, lead(context) OVER w AS nc FROM x WINDOW w AS (PARTITION BY claim ORDER BY score DESC, context DESC, entity))
+SELECT claim, entity, score FROM r WHERE i = 1 AND NOT coalesce(score - ns < 3 AND context - nc < 3, FALSE)""".replace("{t0}", _T3.format("question")).replace("{t1}", _T3.format("mention")).replace("{t2}", _T3.format("vals")).replace("{t3}", _T3.format("about"))),
     "assign_donors": (donors, f"""
 WITH {P}, u AS (SELECT unit, count(*) AS n, row_number() OVER (ORDER BY {_D.format("donor", "unit")}, unit) - 1 AS u, count(*) OVER () AS k FROM p GROUP BY unit),
 x AS (SELECT a.unit, b.unit AS target, b.n AS m FROM u a JOIN u b ON b.u = (a.u + 1) % a.k AND a.k > 1), r AS (SELECT unit, index, row_number() OVER (PARTITION BY unit ORDER BY {_D.format("donor", "index")}, index) - 1 AS i FROM p)
