@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ from .scalar import ratio
 #: Words that turn a statement round.
 NEGATIONS = "not|never|no|without"
 
+_DECODER = json.JSONDecoder()
+
 
 def parse_dataset_name(name: Column, splits: list[str], bases: list[str]) -> Column:
     """``split, task, model_id, lora_id`` of ``org/<split>-<task>-<base>[-<lora>]``: the longest split, the earliest base.
@@ -46,12 +51,37 @@ def normalize_tag(tag: Column) -> Column:
     return F.when(plain.isin("white", "black"), plain)
 
 
+def object_at(text: str) -> str | None:
+    """The first part of a text that is a JSON object.
+
+    Each opening brace is tried by the decoder, which knows strings, escapes and inner brackets and stops at the first fault.
+    """
+    at = text.find("{")
+    while at >= 0:
+        try:
+            value, end = _DECODER.raw_decode(text, at)
+        except (ValueError, RecursionError):
+            at = text.find("{", at + 1)
+            continue
+        return text[at:end] if isinstance(value, dict) else None
+    return None
+
+
+def _first_objects(text: pa.Array) -> pa.Array:
+    return pa.array([object_at(t) if t and "{" in t else None for t in text.to_pylist()], pa.string())
+
+
+def first_object(text: Column | str) -> Column:
+    """The first JSON object of each text, as it stands there, found in Arrow batches; NULL where there is none."""
+    return F.arrow_udf(_first_objects, "string")(text)
+
+
 def parse_json_enum(text: Column, allowed: dict[str, list[str]], filled: list[str]) -> Column:
-    """``value`` (the first object without inner braces that is JSON) and ``errors``: enumerated fields off their values, empty texts.
+    """``value`` (the first object that is JSON, inner objects included) and ``errors``: enumerated fields off their values, empty texts.
 
     Without an object the value is NULL and every field is an error.
     """
-    value = F.try_element_at(F.filter(F.regexp_extract_all(text, F.lit(r"\{[^{}]*\}"), F.lit(0)), lambda c: F.get_json_object(c, "$").isNotNull()), F.lit(1))
+    value = first_object(text)
     field = lambda k: F.get_json_object(value, f"$.{k}")
     bad = [F.when(~F.coalesce(field(k).isin(v), F.lit(False)), F.lit(k)) for k, v in allowed.items()] + [F.when(F.coalesce(F.trim(field(k)), F.lit("")) == "", F.lit(k)) for k in filled]
     return F.struct(value.alias("value"), F.array_compact(F.array(*bad)).alias("errors"))

@@ -122,24 +122,3 @@ def block_order(df: DataFrame, unit: str, key: str, batch: int, label: str = "la
     mates = df.groupBy(unit).agg((F.least(F.floor(F.count_if(F.col(label) == 1) / half), F.floor(F.count_if(F.col(label) == 0) / half)) * half).alias("full"))
     number = F.floor(F.col("i") / half)
     return ranked.join(F.broadcast(mates), unit).select(key, F.when(F.col("i") < F.col("full"), "full").otherwise("rest").alias("kind"), F.when(F.col("i") < F.col("full"), F.concat_ws(":", unit, number.cast("string"))).alias("block"))
-
-
-def budget_batches(df: DataFrame, key: str, length: str, rows_cap: int, budget: int, width: int = 256) -> DataFrame:
-    """``key, bucket, batch``: rows by ascending length in batches that close at the row cap or the padded budget (rows x longest).
-
-    Lengths are dealt into bands of ``width``; no batch crosses a band, so a band's batches depend on it alone. Within a band the
-    longest row is under the band's upper end, so a batch of ``least(cap, budget / upper end)`` rows, at least one, keeps both limits
-    without a pass over the rows; a crowded band is cut at every such number of rows. A row over the budget is a batch of its own.
-    """
-    band = F.floor(F.col(length) / width)
-    upper = (band + 1) * width - 1
-    size = F.greatest(F.lit(1), F.least(F.lit(rows_cap), F.floor(F.lit(budget) / upper)))
-    rows = df.filter(F.col(length).isNotNull()).select(key, length, band.alias("bucket"), size.alias("__size"))
-    placed = value_places(rows, ["bucket"], F.col(length).cast("double"), [key])
-    return placed.select(key, length, "bucket", F.floor((F.col("__r") - 1) / F.col("__size")).alias("batch"))
-
-
-def padding_report(batches: DataFrame, length: str) -> DataFrame:
-    """One row: batches, most rows and most padded size of one, and all padding (rows x longest minus the lengths)."""
-    b = batches.groupBy("bucket", "batch").agg(F.count(F.lit(1)).alias("n"), F.max(length).alias("m"), F.sum(length).alias("s"))
-    return b.agg(F.count(F.lit(1)).alias("batches"), F.max("n").alias("most_rows"), F.max(F.col("n") * F.col("m")).alias("most_padded"), F.sum(F.col("n") * F.col("m") - F.col("s")).alias("padding"))

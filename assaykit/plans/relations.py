@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio
+from ..operators import batches as batching
+from ..operators import donors as donation
 from ..operators import evidence as E
 from ..operators import metrics
 from ..operators import intervals
 from ..operators import relations as R
+from ..operators.ranks import value_places
 from ..sources.tables import predictions, read
 from .common import P, rounded, with_confusion
 
@@ -198,17 +201,47 @@ def single_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.budget_batches(read(spark, sf_dir, "documents"), "doc_id", "n_chars", 48, 60_000)
+    return batching.budget_batches(read(spark, sf_dir, "documents"), "doc_id", "n_chars", batching.Limits(48, padded=60_000))
+
+
+def flat_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batching.budget_batches(read(spark, sf_dir, "documents"), "doc_id", "n_chars", batching.Limits(64, flat=30_000))
+
+
+def tiered_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batching.budget_batches(read(spark, sf_dir, "documents"), "doc_id", "n_chars", batching.Limits(48, tiers=batching.TIERS))
+
+
+def matched_donors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of lines, modulo 7, as the number of passages."""
+    docs = read(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    return donation.next_donors(docs.withColumn("n", F.size(F.split("text", "\n")) % 7), "lang", "doc_id", "n")
+
+
+def chosen_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with odd numbers as donors of those with even ones, as many as both have; n_chars modulo 50 is the index."""
+    docs = read(spark, sf_dir, "documents").filter("n_chars IS NOT NULL").select("doc_id", (F.col("n_chars") % 50).alias("x"))
+    sides = [value_places(docs.filter(_mod("doc_id", 2) == k), [], F.col("doc_id").cast("double"), ["doc_id"], "p", "m") for k in (0, 1)]
+    n = min(side.count() for side in sides)
+    one, two = (side.select((F.col("p") - 1).alias("p"), "x").filter(F.col("p") < n) for side in sides)
+    return donation.choose_rotation(one, two, "p", "x")
 
 
 def padding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.padding_report(batches(spark, sf_dir), "n_chars")
+    return batching.padding_report(batches(spark, sf_dir), "n_chars")
+
+
+def _batches(name: str, grows: str) -> str:
+    """The greedy pass over the rows one by one: state of the batch that a row joins, or of the one that it opens."""
+    return f"""o AS (SELECT doc_id, n_chars AS l, row_number() OVER (ORDER BY n_chars, doc_id) AS i FROM documents WHERE n_chars IS NOT NULL),
+w AS (SELECT i, doc_id, l, 0::BIGINT AS batch, 1::BIGINT AS c, l::BIGINT AS t FROM o WHERE i = 1 UNION ALL
+SELECT o.i, o.doc_id, o.l, CASE WHEN {grows} THEN batch ELSE batch + 1 END, CASE WHEN {grows} THEN c + 1 ELSE 1 END, CASE WHEN {grows} THEN t + o.l ELSE o.l END FROM w JOIN o ON o.i = w.i + 1),
+{name} AS (SELECT doc_id, l AS n_chars, batch FROM w)"""
 
 
-_BATCHES = """
-k AS (SELECT doc_id, n_chars, n_chars // 256 AS bucket, greatest(1, least(48, 60000 // ((n_chars // 256 + 1) * 256 - 1))) AS n FROM documents WHERE n_chars IS NOT NULL),
-r AS (SELECT *, (row_number() OVER (PARTITION BY bucket ORDER BY n_chars, doc_id) - 1) // n AS batch FROM k)
-"""
+_PADDED = _batches("r", "c < 48 AND (c + 1) * o.l <= 60000")
+_FLAT = _batches("r", "c < 64 AND t + o.l <= 30000")
+_TIERED = _batches("r", "c < CASE WHEN o.l <= 600 THEN 48 WHEN o.l <= 900 THEN 32 ELSE 16 END")
 _T3 = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: length(w) >= 3))"
 _D = "sha256('{0}' || chr(31) || {1})"
 
@@ -299,8 +332,19 @@ SELECT index, CASE WHEN i <= n THEN {_D.format("pair", "unit || chr(31) || i")}
     "blocked_rows": (lambda s, d: E.block_order(predictions(s, d), "unit", "index", 8), f"""
 WITH {P}, r AS (SELECT *, row_number() OVER (PARTITION BY unit, label ORDER BY {_D.format("block", "index")}, index) - 1 AS i, least(count(*) FILTER (label = 1) OVER (PARTITION BY unit) // 4, count(*) FILTER (label = 0) OVER (PARTITION BY unit) // 4) * 4 AS n FROM p)
 SELECT index, CASE WHEN i < n THEN 'full' ELSE 'rest' END AS kind, CASE WHEN i < n THEN unit || ':' || (i // 4) END AS block FROM r"""),
-    "budget_batches": (batches, f"WITH {_BATCHES} SELECT doc_id, n_chars, bucket, batch FROM r"),
+    "budget_batches": (batches, f"WITH RECURSIVE {_PADDED} SELECT * FROM r"),
+    "flat_batches": (flat_batches, f"WITH RECURSIVE {_FLAT} SELECT * FROM r"),
+    "tiered_batches": (tiered_batches, f"WITH RECURSIVE {_TIERED} SELECT * FROM r"),
     "batch_padding": (padding, f"""
-WITH {_BATCHES}, b AS (SELECT count(*) AS n, max(n_chars) AS m, sum(n_chars) AS s FROM r GROUP BY bucket, batch)
+WITH RECURSIVE {_PADDED}, b AS (SELECT count(*) AS n, max(n_chars) AS m, sum(n_chars) AS s FROM r GROUP BY batch)
 SELECT count(*) AS batches, max(n) AS most_rows, max(n * m) AS most_padded, sum(n * m - s)::BIGINT AS padding FROM b"""),
+    "matched_donors": (matched_donors, """
+WITH r AS (SELECT lang AS unit, doc_id, len(string_split(text, chr(10))) % 7 AS n FROM documents WHERE text IS NOT NULL), p AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY doc_id) AS i, count(*) OVER (PARTITION BY n) AS m FROM r),
+f AS (SELECT a.doc_id, arg_min(b.doc_id, (b.i - a.i + a.m) % a.m) AS donor FROM p a JOIN p b ON a.n = b.n AND a.unit <> b.unit WHERE a.n > 0 GROUP BY 1)
+SELECT doc_id, donor FROM r LEFT JOIN f USING (doc_id)"""),
+    "chosen_rotation": (chosen_rotation, """
+WITH a AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS p, n_chars % 50 AS x FROM documents WHERE doc_id % 2 = 0 AND n_chars IS NOT NULL), b AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS p, n_chars % 50 AS x FROM documents WHERE doc_id % 2 = 1 AND n_chars IS NOT NULL),
+k AS (SELECT least((SELECT count(*) FROM a), (SELECT count(*) FROM b)) AS n), s AS (SELECT unnest(range(0, n)) AS shift, n FROM k),
+c AS (SELECT s.shift, count(b.p) AS repeats FROM s JOIN a ON a.p < s.n LEFT JOIN b ON b.p = (a.p + s.shift) % s.n AND b.x = a.x GROUP BY 1)
+SELECT shift, repeats FROM c ORDER BY repeats, shift LIMIT 1"""),
 }

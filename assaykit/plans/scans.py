@@ -191,8 +191,10 @@ b AS (SELECT e.*, (SELECT max(start) FROM w WHERE w.key = e.key AND w.start <= e
 SELECT key::VARCHAR AS key, count(*) AS events, count(*) FILTER (i <= 3) AS allowed, coalesce(sum(greatest(1, trunc(start + 43200 - t) + 1)) FILTER (i > 3), 0)::BIGINT AS waits FROM c GROUP BY 1
 UNION ALL SELECT '7', count(*), count(*), 0 FROM e WHERE key = 7 HAVING count(*) > 0"""),
     "name_registry": (name_registry, """
-WITH f AS (SELECT sha256('k' || o_custkey) AS key_hash, min(o_orderkey) AS "at" FROM orders WHERE o_orderkey % 4 <> 0 GROUP BY 1), n AS (SELECT *, 'team ' || "at" % 97 AS name FROM f)
-SELECT arg_min(key_hash, "at") AS key_hash, name FROM n GROUP BY name"""),
+WITH RECURSIVE q AS (SELECT sha256('k' || o_custkey) AS k, 'team ' || o_orderkey % 97 AS n, min(o_orderkey) AS t FROM orders WHERE o_orderkey % 4 <> 0 GROUP BY 1, 2),
+w AS (SELECT 0 AS i, [''] AS ks, [''] AS ns, NULL::VARCHAR AS key_hash, NULL::VARCHAR AS name UNION ALL
+SELECT i + 1, list_append(ks, f.k), list_append(ns, f.n), f.k, f.n FROM (SELECT i, ks, ns, (SELECT arg_min({'k': k, 'n': n}, (t, k, n)) FROM q WHERE NOT list_contains(w.ks, k) AND NOT list_contains(w.ns, n)) AS f FROM w) WHERE f IS NOT NULL)
+SELECT key_hash, name FROM w WHERE i > 0"""),
     "best_submissions": (best_submissions, f"""WITH {_LEDGER} SELECT team, notebook, max(metric) AS metric, arg_min("at", (-metric, "at")) AS "at" FROM r WHERE metric IS NOT NULL GROUP BY 1, 2"""),
     "team_history": (team_history, f"""WITH {_LEDGER}, h AS (SELECT * REPLACE ("at" || '#' || lpad(record::VARCHAR, 9, '0') AS "at") FROM r) SELECT team, notebook, metric, "at", record FROM h WHERE team = 7 ORDER BY "at" DESC, notebook LIMIT 10"""),
     "resumed_scores": (resumed_scores, "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN -1 ELSE n_chars END AS score FROM documents"),

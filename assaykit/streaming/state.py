@@ -90,15 +90,26 @@ def stream_rate_limit(events: DataFrame, most: int, seconds: float, exempt: tupl
 
 
 def registry(requests: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """``key_hash, name`` of ``requests (key, name, at)``: a key is bound to its first name that is not empty; of keys that want one name the first gets it.
+    """``key_hash, name`` of ``requests (key, name, at)``, as if they were answered one by one in the order of ``at``, ties by key hash and name.
 
-    ``known`` holds earlier bindings, which stay. A key whose name is taken is not bound. Ties go to the smaller hash.
+    A key without a binding is bound to the name that it asks for if no key has it; else the request is refused, and the key may ask
+    again. ``known`` holds earlier bindings, which stay. Empty names and null keys ask for nothing. A request that is both the first
+    of its key and the first for its name is granted, whatever else is asked; granted keys and names leave, and this is repeated until
+    no request is left. The requests left over are those behind an earlier one for the name or by the key, so rounds are few.
     """
     r = requests.select(F.sha2(F.col("key").cast("string"), 256).alias("key_hash"), F.trim("name").alias("name"), "at").filter("key_hash IS NOT NULL AND name <> ''")
-    first = r.groupBy("key_hash").agg(F.min(F.struct("at", "name")).alias("f")).select("key_hash", "f.name", "f.at")
+    order = F.struct("at", "key_hash", "name")
+    left = r.groupBy("key_hash", "name").agg(F.min("at").alias("at"))
     if known is not None:
-        first = first.join(known.select("key_hash"), "key_hash", "left_anti").join(known.select("name"), "name", "left_anti")
-    won = first.groupBy("name").agg(F.min(F.struct("at", "key_hash")).alias("f")).select("f.key_hash", "name")
+        left = left.join(known.select("key_hash"), "key_hash", "left_anti").join(known.select("name"), "name", "left_anti")
+    left, granted = cut(left), None
+    while not left.isEmpty():
+        by_key = left.groupBy("key_hash").agg(F.min(order).alias("f")).select("f.*")
+        by_name = left.groupBy("name").agg(F.min(order).alias("f")).select("f.*")
+        now = cut(by_key.join(by_name, ["key_hash", "name", "at"]).select("key_hash", "name"))
+        granted = now if granted is None else granted.unionByName(now)
+        left = cut(left.join(now.select("key_hash"), "key_hash", "left_anti").join(now.select("name"), "name", "left_anti"))
+    won = left.select("key_hash", "name") if granted is None else granted
     return won if known is None else known.select("key_hash", "name").unionByName(won)
 
 
