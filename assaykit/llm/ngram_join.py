@@ -258,21 +258,32 @@ def _counted_cell(pdf):
     return pd.DataFrame({"id": pdf["id"].to_numpy()[kept], "links": out[kept]})
 
 
+def in_cells(members: DataFrame) -> DataFrame:
+    """``members (id, label)`` dealt to cells (g, i, j), in which each pair of one label meets once; ``part`` and ``same`` (i = j) say where.
+
+    Labels of up to ``CELL`` members share cells with others and are sent once; the members of a larger one are sent once for each of
+    its parts. So what is sent grows with the square of a label's members over ``CELL``, not with that of all members.
+    """
+    sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
+    total = members.count()
+    small = F.col("m") <= CELL
+    group = F.when(small, -1 - F.pmod(F.xxhash64("label"), F.lit(max(1, -(-total // CELL))))).otherwise(F.col("label"))
+    parts = F.when(small, 1).otherwise(F.ceil(F.col("m") / CELL)).cast("int")
+    placed = members.join(sizes, "label").withColumn("g", group).withColumn("p", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("p")).cast("int"))
+    sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
+    cells = sent.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).withColumn("same", F.col("i") == F.col("j"))
+    return cells.drop("label", "m", "p", "other")
+
+
 def linked_rows(texts: DataFrame, known: DataFrame, labels: DataFrame) -> DataFrame:
     """``id, links``: of each class that links with others the rows of those, from the components (``node, label``) of all classes.
 
     A component of up to ``CELL`` classes lies in one cell with others; a larger one has a cell for each pair of its parts, so its
     sets are sent as often as it has parts. The work is that of the pairs in a component, all of which are decided.
     """
-    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
-    total = labels.count()
-    members = labels.join(sizes, "label").join(known.groupBy(F.col("class_id").alias("node")).agg(F.count(F.lit(1)).alias("rows")), "node")
-    small = F.col("m") <= CELL
-    group = F.when(small, -1 - F.pmod(F.xxhash64("label"), F.lit(max(1, -(-total // CELL))))).otherwise(F.col("label"))
-    parts = F.when(small, 1).otherwise(F.ceil(F.col("m") / CELL)).cast("int")
-    placed = members.select(F.col("node").alias("id"), "rows", group.alias("g"), parts.alias("p")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("p")).cast("int"))
-    sets = _token_sets(texts, placed.select("id")).join(placed, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
-    cells = sets.select("id", "tokens", "rows", "part", "g", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).withColumn("same", F.col("i") == F.col("j"))
+    counts = known.groupBy(F.col("class_id").alias("id")).agg(F.count(F.lit(1)).alias("rows"))
+    members = cut(labels.select(F.col("node").alias("id"), "label").join(counts, "id"))
+    cells = _token_sets(texts, members.select("id")).join(in_cells(members), "id")
     return cells.groupBy("g", "i", "j").applyInPandas(_counted_cell, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
@@ -315,13 +326,15 @@ def jaccard_components(df: DataFrame, links: bool = False) -> DataFrame:
     more = verified(texts, rest.join(first, ["x", "y"], "left_anti"))
     placed = kept_long.join(label("x", "l"), "x", "left").select("h", "x", F.coalesce("l", "x").alias("cluster"))
     mixed = placed.groupBy("h").agg(F.min("cluster").alias("a"), F.max("cluster").alias("b")).filter("a <> b").select("h")
-    left_over = cut(placed.join(mixed, "h", "left_semi").select(F.col("x").alias("id"), "cluster").distinct())
-    n_left = left_over.count()
-    if n_left:
-        n_parts = -(-n_left // CELL)
-        sets = _token_sets(texts, left_over.select("id")).join(left_over, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n_parts)).cast("int"))
-        cells = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1)))).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).withColumn("same", F.col("i") == F.col("j"))
-        more = more.unionByName(cut(cells.groupBy("i", "j").applyInPandas(_cell, "x long, y long")))
+    undecided = cut(placed.join(mixed, "h", "left_semi"))
+    if not undecided.isEmpty():
+        # Documents that no chain of shared lists connects need not meet.
+        heads = undecided.groupBy("h").agg(F.min("x").alias("y"))
+        groups = components(undecided.join(heads, "h").filter("x <> y").select("x", "y"))
+        left_over = undecided.select(F.col("x").alias("id"), "cluster").distinct().join(groups.select(F.col("node").alias("id"), "label"), "id")
+        cells = in_cells(cut(left_over))
+        sets = _token_sets(texts, cells.select("id").distinct()).join(cells, "id")
+        more = more.unionByName(cut(sets.groupBy("g", "i", "j").applyInPandas(_cell, "x long, y long")))
     final = components(direct.unionByName(more)) if not more.isEmpty() else found
     out = known.join(final.select(F.col("node").alias("class_id"), "label"), "class_id", "left").select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("label", "class_id").alias("component_id"))
     if links:
