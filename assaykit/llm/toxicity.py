@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import fit_rows, fold
-from .textio import chunks, lowered, mix, span_hashes, text_bytes
+from .textio import chunks, lowered, mix, small_batches, span_hashes, text_bytes
 
 FIT_ROWS, FIT_BYTES = 6_000, 64_000_000
 SLOTS, DIM, FILTERS, WIDTHS, STEM = 1 << 16, 8, 12, (1, 2, 3), 6
@@ -228,6 +228,7 @@ def score_toxicity(docs: DataFrame, model: ConvText) -> DataFrame:
     Null and empty texts get the score of no words. Without usable labels all scores are the prior. Repeated
     rows score alike. No shuffle; a worker holds one chunk of texts and the tables of the filters.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def run(batches):
