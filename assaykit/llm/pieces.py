@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textio import chunks, small_batches, span_hashes, text_bytes, tidy
-from .token_counts import MARK
 
+MARK = "▁"
 MOST_CACHED, MOST_CACHED_IDS = 300_000, 2_400_000  # segments a worker remembers, about 20 MB
 LONG_TEXT = 4_000_000  # longer texts are encoded in parts, cut where a segment begins
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
@@ -75,6 +75,13 @@ def rebuild(proto):
     return out
 
 
+def splits_at_spaces(proto) -> bool:
+    """Whether texts may be encoded word by word: spaces stay as they are, and no piece goes on behind a space."""
+    spec = proto.normalizer_spec
+    plain = spec.name == "identity" and not spec.precompiled_charsmap and not spec.remove_extra_whitespaces and spec.add_dummy_prefix
+    return plain and not any(MARK in p.piece.lstrip(MARK) or p.type == _USER for p in proto.pieces)
+
+
 class Codec:
     """Ids of texts and texts of ids, for one model file."""
 
@@ -86,9 +93,7 @@ class Codec:
         proto = parse_model(model_path)
         self.original = sentencepiece.SentencePieceProcessor(model_file=model_path)
         self.tokenizer = rebuild(proto)
-        spec = proto.normalizer_spec
-        plain = spec.name == "identity" and not spec.precompiled_charsmap and not spec.remove_extra_whitespaces and spec.add_dummy_prefix
-        self.splits = plain and not any(MARK in p.piece.lstrip(MARK) or p.type == _USER for p in proto.pieces)
+        self.splits = splits_at_spaces(proto)
         self.forget()
 
     def forget(self) -> None:

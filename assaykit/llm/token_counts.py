@@ -17,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MARK = "▁"
+from .pieces import MARK, parse_model, splits_at_spaces
+from .textio import small_batches
+
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _CACHED, _LONGEST = 200_000, 48
 
@@ -29,9 +31,8 @@ class PrefixCounter:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
         #: Without this property only whole texts may be encoded.
-        self.splits = not any(MARK in p.lstrip(MARK) for p in pieces) and self.model.encode("a b") == self.model.encode("a") + self.model.encode("b")
+        self.splits = splits_at_spaces(parse_model(model_path))
         self.lone_marker = 3 if self.model.piece_to_id(MARK) == self.model.unk_id() else 1
         self.known: dict[str, int] = {}
 
@@ -99,6 +100,7 @@ def count_tokens(df: DataFrame, model_path: str, limit: int = 4096, keep_prefixe
     Null and empty texts have no tokens. Repeated rows are counted each. Other columns are not read. A literal
     word marker in a text is the space to the model and to this count. No shuffle; memory is one Arrow batch.
     """
+    small_batches(df.sparkSession)
     fields = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_bytes long" + ", prefix_bytes array<long>, prefix_tokens array<long>" * keep_prefixes
 
     def run(batches):
