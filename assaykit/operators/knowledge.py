@@ -9,7 +9,7 @@ from ..functions.parsing import length_similarity, lexical_relevance, number_rec
 from ..functions.scalar import single_spaced, stable_digest
 from ..functions.text import key_terms
 from .index import TextIndex, build_index, search
-from .ranks import digest_places
+from .ranks import digest_places, value_places
 
 
 def search_fields(docs: DataFrame, queries: DataFrame, key: str, fields: dict[str, float], query_key: str, query_text: str, k: int) -> DataFrame:
@@ -81,7 +81,7 @@ def popular_pages(views: DataFrame, titles: DataFrame, special: str = "^[a-z]+:"
     """``page, views, rank`` of ``views (title, n)`` and ``titles (title, page)``: special titles and titles without a page are left out."""
     sums = views.filter(~F.col("title").rlike(special)).groupBy("title").agg(F.sum("n").alias("n"))
     pages = sums.join(titles, "title").groupBy("page").agg(F.sum("n").alias("views"))
-    return pages.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("views"), "page")))  # the roll-up's rows, one a page
+    return value_places(pages, [], -F.col("views").cast("double"), ["page"], "rank", "__all").drop("__all")
 
 
 def entity_cards(facts: DataFrame, labels: DataFrame, meta: list[str], most: int = 32) -> DataFrame:

@@ -9,12 +9,15 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, Normalizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrowtext import cut
 from ..functions.parsing import terms
 from ..functions.scalar import ratio, stable_fraction
 from .metrics import auroc
+from .ranks import value_places
 
 #: Letters with marks and the plain ones that stand for them.
 ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿß", "aaaaaaceeeeiiiinooooouuuuyys")
@@ -92,14 +95,34 @@ def blend_grid(df: DataFrame, by: list[str], x: str, y: str, weights: list[float
     return auroc(rows, [*by, "weight"], score="blend")
 
 
+def nested_choice(df: DataFrame, unit: str, key: str, candidates: dict[str, Column]) -> DataFrame:
+    """``key, choice, oof``: each unit gets the candidate score that is best, by mean AUROC, over the other units (ties: the first in order).
+
+    The mean over the others is that of all units less the unit's own, so no pair of units is made. Blends of two
+    scores and gates between them are candidates alike; all are judged in one plan.
+    """
+    names = list(candidates)
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.round(c, 9).alias("score")) for i, c in enumerate(candidates.values())])
+    rows = df.select(unit, key, "label", F.explode(each).alias("c")).select(unit, key, "label", "c.i", "c.score")
+    grid = auroc(rows, [unit, "i"]).filter("auroc IS NOT NULL").select(unit, "i", "auroc")
+    totals = grid.groupBy("i").agg(F.sum("auroc").alias("s"), F.count(F.lit(1)).alias("m"))
+    own = df.select(unit).distinct().join(F.broadcast(totals)).join(grid, [unit, "i"], "left")  # totals: one row a candidate
+    rest = own.withColumn("m", F.col("m") - F.col("auroc").isNotNull().cast("int")).withColumn("s", F.col("s") - F.coalesce("auroc", F.lit(0.0)))
+    means = rest.filter("m > 0").select(unit, "i", F.round(F.col("s") / F.col("m"), 9).alias("a"))
+    best = means.groupBy(unit).agg(F.max_by("i", F.struct("a", -F.col("i"))).alias("i"))
+    choice = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("i") + 1)
+    return rows.join(best, [unit, "i"]).select(key, choice.alias("choice"), F.col("score").alias("oof"))
+
+
 def nested_blend(df: DataFrame, unit: str, key: str, x: str, y: str, weights: list[float]) -> DataFrame:
     """``key, weight, oof``: each unit is blended with the weight that is best, by mean AUROC, over the other units (ties: the smaller weight)."""
-    grid = blend_grid(df, [unit], x, y, weights).filter("auroc IS NOT NULL")
-    others = grid.select(F.col(unit).alias("__o"), "weight", "auroc")
-    units = df.select(unit).distinct()
-    means = units.join(others, F.col(unit) != F.col("__o")).groupBy(unit, "weight").agg(F.round(F.avg("auroc"), 9).alias("a"))  # units x units x weights: few rows
-    best = means.groupBy(unit).agg(F.max_by("weight", F.struct("a", -F.col("weight"))).alias("weight"))
-    return df.join(F.broadcast(best), unit).select(key, "weight", ((1 - F.col("weight")) * F.col(x) + F.col("weight") * F.col(y)).alias("oof"))
+    blends = {repr(float(w)): (1 - w) * F.col(x) + w * F.col(y) for w in sorted(weights)}
+    return nested_choice(df, unit, key, blends).select(key, F.col("choice").cast("double").alias("weight"), "oof")
+
+
+def gates(x: str, y: str, widths: list[float]) -> dict[str, Column]:
+    """Candidates that take y where x lies within a width of one half, else x."""
+    return {f"gate {w:g}": F.when(F.abs(F.col(x) - 0.5) < w, F.col(y)).otherwise(F.col(x)) for w in widths}
 
 
 def grid_select(results: DataFrame, order: list[Column], by: list[str] | None = None) -> DataFrame:
@@ -121,19 +144,26 @@ def select_parameters(df: DataFrame, family: str, unit: str, x: str, y: str, wei
     return m.filter(passing).groupBy(family).agg(F.max_by(F.struct("weight", "gain"), F.struct(F.round("gain", 9), -F.col("weight"))).alias("b")).select(family, "b.*")
 
 
-def term_vectors(weights: DataFrame, key: str, features: int) -> tuple[DataFrame, list[str]]:
-    """``key, features`` over the ``features`` most frequent terms, and their names."""
-    names = [r["term"] for r in weights.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(features).collect()]
-    slots = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
-    rows = weights.filter(F.col("term").isin(names)).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(slots[F.col("term")].alias("k"), F.col("weight").alias("v")))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)))
-    return rows.select(key, array_to_vector(dense).alias("features")), names
+def term_vectors(weights: DataFrame, key: str, features: int) -> tuple[DataFrame, DataFrame]:
+    """``key, features`` over the ``features`` most frequent terms as sparse vectors, and ``slot, term``: the place of each.
 
-
-def top_features(model, names: list[str], n: int) -> list[tuple[str, float]]:
-    """The n most positive and the n most negative features of a model."""
-    pairs = sorted(zip(names, (float(v) for v in model.coefficients), strict=True), key=lambda p: (-p[1], p[0]))
-    return pairs[:n] + pairs[-n:]
+    Terms get their place by a join with that table, so neither the plan nor a row grows with the vocabulary.
+    """
+    n = weights.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(features)
+    slots = cut(value_places(n, [], -F.col("n").cast("double"), ["term"], "slot", "all").select(F.col("slot") - 1, "term").toDF("slot", "term"))
+    width = slots.count()
+    placed = weights.join(slots, "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("slot").cast("int").alias("i"), "weight"))).alias("e"))
+    sparse = F.udf(lambda e: Vectors.sparse(width, [x["i"] for x in e], [x["weight"] for x in e]), VectorUDT())
+    return placed.select(key, sparse("e").alias("features")), slots
+
+
+def top_features(model, slots: DataFrame, n: int) -> list[tuple[str, float]]:
+    """The n most positive and the n most negative features of a model; only their names are read."""
+    value = model.coefficients.toArray()
+    order = sorted(range(len(value)), key=lambda i: -value[i])
+    asked = dict.fromkeys(order[:n] + order[-n:])
+    names = {r["slot"]: r["term"] for r in slots.filter(F.col("slot").isin(list(asked))).collect()}
+    return sorted(((names[i], float(value[i])) for i in asked), key=lambda p: (-p[1], p[0]))
 
 
 def embedding_probe(df: DataFrame, group: str, vector: str, label: str) -> DataFrame:

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.parsing import length_similarity, lexical_relevance, number_recall
 from ..operators import learning as L
+from ..operators import nested
 from ..operators.metrics import auroc
 from ..sources.tables import predictions, read
 from .common import B, P, rounded
 from .comparisons import J, both
 
 WEIGHTS = [0.25, 0.5, 0.75]
+SHAPES = ["a", "b", "c", "d"]
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,10 +22,31 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(labels, "doc_id").select(F.col("lang").alias("unit"), F.col("doc_id").alias("index"), F.coalesce("text", F.lit("")).alias("text"), F.col("quality").alias("label"))
 
 
+def _digested(weights: DataFrame, key: str) -> DataFrame:
+    """Of each row the number of its terms, their weights' sum and the term of the greatest weight."""
+    best = F.max_by("term", F.struct(F.round("weight", 9), "term"))
+    return rounded(weights.groupBy(key).agg(F.count(F.lit(1)).alias("terms"), F.sum("weight").alias("total"), best.alias("best")))
+
+
 def word_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(L.word_tfidf(read(spark, sf_dir, "benchmark"), "item_id", "text"))
 
 
+def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digested(L.word_tfidf(read(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+
+
+def text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality by a logistic model of 5,000 words and pairs, rows weighted so that both labels count alike."""
+    rows = _labelled(spark, sf_dir)
+    vectors, _ = L.term_vectors(L.word_tfidf(rows, "index", "text", features=5000), "index", 5000)
+    n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    weight = F.create_map(*[x for y, c in n.items() for x in (F.lit(y), F.lit(sum(n.values()) / (2.0 * c)))])[F.col("label")]
+    table = vectors.join(rows.select("index", "unit", "label"), "index").withColumn("w", weight)
+    model = L.fit_logistic(table, "features", "label", weight="w")
+    return L.scored(model, table).select("index", "unit", "label", F.round("oof", 4).alias("score"))
+
+
 def char_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(L.char_tfidf(read(spark, sf_dir, "benchmark"), "item_id", "text"))
 
@@ -32,7 +55,7 @@ def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     share = lambda p: F.regexp_count(t, F.lit(p)) / (F.length(t) + 1)
     rows = _labelled(spark, sf_dir).select("unit", "index", "label", F.log1p(F.length(t)).alias("a"), (share("[0-9]") * 10).alias("b"), (share("[.!?]") * 10).alias("c"), (share("[A-Z]") * 10).alias("d"))
-    return L.assembled(rows, ["a", "b", "c", "d"])
+    return L.assembled(rows, SHAPES)
 
 
 def logistic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +65,23 @@ def logistic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def group_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.oof_scores(_shapes(spark, sf_dir), "unit", lambda d: L.fit_logistic(d, "features", "label")).select("index", "unit", F.round("oof", 4).alias("score"))
+    """Every language by the others' model of four shares; all models in one pass a step."""
+    rows = _shapes(spark, sf_dir)
+    oof = nested.grouped_oof(rows, "index", "unit", SHAPES, "label")
+    return oof.join(rows.select("index", "unit"), "index").select("index", "unit", F.round("oof", 4).alias("score"))
+
+
+def nested_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every language by the others' model, whose C is chosen among those others."""
+    oof = nested.nested_oof(_shapes(spark, sf_dir), "index", "unit", SHAPES, "label", [0.01, 0.1, 1.0, 10.0], balanced=True)
+    return oof.select("index", "c", F.round("oof", 4).alias("score"))
+
+
+def nested_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language by the blend or gate of two scores that is best over the others."""
+    rows = both(spark, sf_dir)
+    blends = {f"blend {w:g}": (1 - w) * F.col("x") + w * F.col("y") for w in WEIGHTS}
+    return rounded(L.nested_choice(rows, "unit", "index", blends | L.gates("x", "y", [0.1, 0.3])))
 
 
 def length_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +104,7 @@ def family_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _labelled(spark, sf_dir)
-    vectors, names = L.term_vectors(L.word_tfidf(rows, "index", "text", features=300), "index", 300)
+    vectors, names = L.term_vectors(L.word_tfidf(rows, "index", "text", features=2000), "index", 2000)
     model = L.fit_logistic(vectors.join(rows, "index"), "features", "label")
     return spark.createDataFrame([(t, round(v, 4)) for t, v in L.top_features(model, names, 10)], "term string, coefficient double")
 
@@ -110,6 +149,19 @@ x AS (SELECT item_id, unnest(list_concat(w, list_transform(range(1, len(w)), lam
 WITH t AS (SELECT item_id, ' ' || unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda v: v <> '')) || ' ' AS p FROM benchmark),
 x AS (SELECT item_id, unnest(list_concat(list_concat(list_transform(range(1, greatest(1, length(p) - 1)), lambda i: substr(p, i, 3)), list_transform(range(1, greatest(1, length(p) - 2)), lambda i: substr(p, i, 4))), list_transform(range(1, greatest(1, length(p) - 3)), lambda i: substr(p, i, 5)))) AS term FROM t),
 c AS (SELECT item_id, term, count(*) AS tf FROM x GROUP BY 1, 2), {_WEIGHT.format(50000)} {_NORM}"""),
+    "document_words": (document_words, rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(lower(coalesce(text, '')), '{L.ACCENTS[0]}', '{L.ACCENTS[1]}'), '[a-z0-9]{{2,}}') AS w FROM documents),
+x AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM t), c AS (SELECT doc_id, term, count(*) AS tf FROM x GROUP BY 1, 2), {_WEIGHT.format(20000).replace("benchmark", "documents").replace("item_id", "doc_id")},
+v AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM w)
+SELECT doc_id, count(*) AS terms, round(sum(weight), 6) AS total, arg_max(term, (round(weight, 9), term)) AS best FROM v GROUP BY 1"""),
+    "text_scores": (text_scores, None),
+    "nested_scores": (nested_scores, None),
+    "nested_gates": (nested_gates, f"""
+WITH {P}, {B}, {J}, q AS (SELECT 0 AS i, 'blend 0.25' AS choice UNION ALL SELECT 1, 'blend 0.5' UNION ALL SELECT 2, 'blend 0.75' UNION ALL SELECT 3, 'gate 0.1' UNION ALL SELECT 4, 'gate 0.3'),
+k AS (SELECT j.*, i, choice, round(CASE i WHEN 0 THEN 0.75 * x + 0.25 * y WHEN 1 THEN 0.5 * x + 0.5 * y WHEN 2 THEN 0.25 * x + 0.75 * y WHEN 3 THEN CASE WHEN abs(x - 0.5) < 0.1 THEN y ELSE x END ELSE CASE WHEN abs(x - 0.5) < 0.3 THEN y ELSE x END END, 9) AS s FROM j, q),
+g AS (SELECT u.unit, u.i, avg(CASE WHEN u.s > v.s THEN 1.0 WHEN u.s = v.s THEN 0.5 ELSE 0 END) AS auroc FROM k u JOIN k v ON u.unit = v.unit AND u.i = v.i AND u.label = 1 AND v.label = 0 GROUP BY 1, 2),
+m AS (SELECT u.unit, g.i, round(avg(auroc), 9) AS a FROM (SELECT DISTINCT unit FROM j) u JOIN g ON g.unit <> u.unit GROUP BY 1, 2), best AS (SELECT unit, arg_max(i, (a, -i)) AS i FROM m GROUP BY 1)
+SELECT index, choice, round(s, 6) AS oof FROM k JOIN best USING (unit, i)"""),
     "logistic_scores": (logistic_scores, None),
     "group_scores": (group_scores, None),
     "length_scores": (length_scores, None),
