@@ -31,14 +31,11 @@ def proposition_features(claim: Column, question: Column, title: Column, text: C
     }
 
 
-def retrieve_propositions(
-    stored: TextIndex, passages: DataFrame, queries: DataFrame, key: str, query_key: str, fields: dict[str, float], weights: dict[str, float], pool: int, k: int, bias: float | None = None
-) -> DataFrame:
-    """``query_key, key, score, rank``: candidates by claim, by question and by both, reranked by their eleven features.
+def candidate_features(stored: TextIndex, passages: DataFrame, queries: DataFrame, key: str, query_key: str, fields: dict[str, float], pool: int) -> DataFrame:
+    """``query_key, key, place`` and the eleven features of the candidates by claim, by question and by both.
 
     ``passages`` holds key, title, text and place (of a sentence on its page), ``queries`` claim and question. Each view gives its
-    ``pool`` best for its first 24 key terms from the one index; a view that does not find a candidate has the reciprocal rank 0. The score is the weighted
-    sum, or with a bias the probability of a logistic model; ties go to the higher relevance to the claim, the earlier place, the key.
+    ``pool`` best for its first 24 key terms from the one index; a view that does not find a candidate has the reciprocal rank 0.
     """
     views = {"claim": F.col("claim"), "question": F.col("question"), "both": F.concat_ws(" ", "claim", "question")}
     rows = None
@@ -49,7 +46,18 @@ def retrieve_propositions(
     found = rows.groupBy(query_key, key).agg(*[rank(n) for n in views])
     joined = found.join(queries.select(query_key, "claim", "question"), query_key).join(passages.select(key, "title", "text", "place"), key)
     own = proposition_features(*[F.col(c) for c in ("claim", "question", "title", "text", "place")])
-    named = joined.select(query_key, key, "place", *[c for c in found.columns if c.startswith("rr_")], *[c.alias(n) for n, c in own.items()])
+    return joined.select(query_key, key, "place", *[c for c in found.columns if c.startswith("rr_")], *[c.alias(n) for n, c in own.items()])
+
+
+def retrieve_propositions(
+    stored: TextIndex, passages: DataFrame, queries: DataFrame, key: str, query_key: str, fields: dict[str, float], weights: dict[str, float], pool: int, k: int, bias: float | None = None
+) -> DataFrame:
+    """``query_key, key, score, rank``: candidates of three views, reranked by their eleven features.
+
+    The score is the weighted sum, or with a bias the probability of a logistic model; ties go to the higher relevance to the claim, the
+    earlier place, the key.
+    """
+    named = candidate_features(stored, passages, queries, key, query_key, fields, pool)
     total = sum((F.col(name) * weight for name, weight in weights.items()), F.lit(bias or 0.0))
     score = total if bias is None else 1 / (1 + F.exp(-total))
     out = named.withColumn("score", F.round(score, 6))

@@ -29,7 +29,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"), "text")
 
 
-def _halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+def halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = (F.length("text") / 2).cast("int")
     return read(spark, sf_dir, "benchmark").select("item_id", F.left("text", n).alias("claim"), F.substring(F.col("text"), n + 1, F.length("text")).alias("question"))
 
@@ -38,7 +38,7 @@ def search_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.search_fields(_docs(spark, sf_dir), read(spark, sf_dir, "benchmark").withColumnRenamed("text", "q"), "doc_id", FIELDS, "item_id", "q", 5)
 
 
-def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sentence_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of the documents with the first line of their document as title; ``sid`` names document and place."""
     titles = _docs(spark, sf_dir).select("doc_id", "title")
     s = page_sentences(read(spark, sf_dir, "documents"), "doc_id", "text").join(titles, "doc_id")
@@ -47,14 +47,14 @@ def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def propositions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences for each item, by a logistic model of all eleven features."""
-    passages = cut(_sentences(spark, sf_dir))
+    passages = cut(sentence_table(spark, sf_dir))
     stored = build_index(passages, "sid", list(FIELDS))
-    return K.retrieve_propositions(stored, passages, _halves(spark, sf_dir), "sid", "item_id", FIELDS, RERANK, 30, 5, bias=-2.0)
+    return K.retrieve_propositions(stored, passages, halves(spark, sf_dir), "sid", "item_id", FIELDS, RERANK, 30, 5, bias=-2.0)
 
 
 def hit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best sentence of each item with its neighbours."""
-    passages = cut(_sentences(spark, sf_dir))
+    passages = cut(sentence_table(spark, sf_dir))
     hits = K.search_fields(passages, read(spark, sf_dir, "benchmark").withColumnRenamed("text", "q"), "sid", FIELDS, "item_id", "q", 1)
     hits = hits.withColumn("doc_id", F.floor(F.col("sid") / 1_000_000)).withColumn("place", F.col("sid") % 1_000_000)
     out = K.context_windows(hits, passages.withColumn("place", F.col("place").cast("long")), ["item_id"], "doc_id", "place", "text", 1, 300)

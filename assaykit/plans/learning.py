@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.parsing import length_similarity, lexical_relevance, number_recall
+from ..functions.arrowtext import cut
+from ..functions.parsing import terms
+from ..functions.scalar import squeezed
 from ..operators import learning as L
-from ..operators import nested
+from ..operators import nested, ranking
+from ..operators.index import build_index
+from ..operators.knowledge import candidate_features
 from ..operators.metrics import auroc
 from ..sources.tables import predictions, read
 from .common import B, P, rounded
 from .comparisons import J, both
+from .knowledge import FIELDS, RERANK, halves, sentence_table
 
 WEIGHTS = [0.25, 0.5, 0.75]
 SHAPES = ["a", "b", "c", "d"]
@@ -42,7 +47,7 @@ def text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors, _ = L.term_vectors(L.word_tfidf(rows, "index", "text", features=5000), "index", 5000)
     n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     weight = F.create_map(*[x for y, c in n.items() for x in (F.lit(y), F.lit(sum(n.values()) / (2.0 * c)))])[F.col("label")]
-    table = vectors.join(rows.select("index", "unit", "label"), "index").withColumn("w", weight)
+    table = cut(vectors.join(rows.select("index", "unit", "label"), "index").withColumn("w", weight))
     model = L.fit_logistic(table, "features", "label", weight="w")
     return L.scored(model, table).select("index", "unit", "label", F.round("oof", 4).alias("score"))
 
@@ -118,14 +123,29 @@ def routed_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(L.router(read(spark, sf_dir, "documents"), "doc_id", "text", "lang"))
 
 
-def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as candidates of the benchmark item of their number; right are those of its language's majority that share a term."""
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences that search finds for an item, right where the item's text holds them, with their eleven features and the terms they share."""
+    passages = cut(sentence_table(spark, sf_dir))
+    stored = build_index(passages, "sid", list(FIELDS))
+    found = candidate_features(stored, passages, halves(spark, sf_dir), "sid", "item_id", FIELDS, 20)
     items = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    docs = read(spark, sf_dir, "documents").filter("text IS NOT NULL").withColumn("item_id", F.pmod("doc_id", F.lit(40)))
-    q, s = F.col("item"), F.col("text")
-    c = docs.join(items, "item_id").select("item_id", "doc_id", lexical_relevance(q, s).alias("overlap"), length_similarity(q, s).alias("length"), number_recall(q, s).alias("numbers"), (lexical_relevance(q, F.left(s, F.lit(500))) > 0.05).cast("int").alias("label"))
-    out, threshold = L.fit_reranker(c, "item_id", ["overlap", "length", "numbers"], "label")
-    return out.select("item_id", "doc_id", F.round("rerank", 3).alias("score"), (F.col("rerank") >= threshold).cast("int").alias("kept"))
+    rows = found.join(items, "item_id").join(passages.select("sid", "text"), "sid")
+    held = F.contains(squeezed(F.col("item")), squeezed(F.col("text")))
+    shared = F.transform(F.array_intersect(terms(F.col("item")), terms(F.col("text"))), lambda t: F.struct(F.concat(F.lit("both="), t).alias("name"), F.lit(1.0).alias("value")))
+    named = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in RERANK])
+    return cut(rows.select("item_id", "sid", *RERANK, held.cast("int").alias("label"), F.concat(named, shared).alias("features")))
+
+
+def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates by a logistic model of the eleven features, with a threshold from held-out questions."""
+    out, threshold = L.fit_reranker(_candidates(spark, sf_dir).drop("features"), "item_id", list(RERANK), "label")
+    return out.select("item_id", "sid", "label", F.round("rerank", 3).alias("score"), (F.col("rerank") >= threshold).cast("int").alias("kept"))
+
+
+def ranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the hashed ranker puts a right sentence first or among the first five, by side."""
+    out, threshold = ranking.fit_ranker(_candidates(spark, sf_dir).select("item_id", "sid", "label", "features"), "item_id", "sid")
+    return rounded(ranking.ranking_report(out, "item_id", 5, threshold))
 
 
 def label_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,6 +199,7 @@ SELECT family, arg_max(w, (round(gain, 9), -w)) AS weight, round(arg_max(gain, (
     "probe_scores": (probe_scores, None),
     "routed_languages": (routed_languages, None),
     "reranked_candidates": (reranked, None),
+    "ranked_candidates": (ranked_candidates, None),
     "scenario_auroc": (label_auroc, f"""
 WITH {P} SELECT s.scenario, round(avg(CASE WHEN x.score > y.score THEN 1.0 WHEN x.score = y.score THEN 0.5 WHEN x.score < y.score THEN 0.0 END), 6) AS auroc FROM (SELECT DISTINCT scenario FROM p) s LEFT JOIN p x ON x.scenario = s.scenario AND x.label = 1 LEFT JOIN p y ON y.scenario = s.scenario AND y.label = 0 GROUP BY 1"""),
 }
