@@ -7,11 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrowtext import chunks, cut, shingle_sets, small_batches, text_bytes, tidy
-from ..functions.scalar import single_spaced, squeezed
+from ..functions.arrowtext import chunks, cut, shingle_sets, small_batches, span_hashes, text_bytes, tidy
+from ..functions.scalar import normalised, single_spaced, squeezed
 from . import index
 
-SHINGLE = 5
+SHINGLE, GRAM = 5, 12
 MOST_BROADCAST_KEYS = 1_000_000
 
 
@@ -53,30 +53,52 @@ def _grams(m: int, keys=None):
     return tidy(run)
 
 
+def _byte_grams(n: int, keys=None):
+    """Per row (b, h): the distinct hashes of its runs of n bytes, those among the sorted keys if there are any."""
+
+    def run(batches):
+        for batch in batches:
+            body, offsets = text_bytes(batch.column(1))
+            for a, z in chunks(offsets):
+                part, at = body[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a]
+                count = np.maximum(0, np.diff(at) - n + 1)
+                row = np.repeat(np.arange(z - a), count)
+                start = np.arange(len(row)) - (np.cumsum(count) - count)[row] + at[row]
+                h = span_hashes(part, start, start + n).view(np.int64) if len(row) else np.zeros(0, np.int64)
+                if keys is not None:
+                    kept = np.isin(h, keys.value)
+                    h, row = h[kept], row[kept]
+                order = np.lexsort((h, row))
+                first = np.ones(len(order), bool)
+                first[1:] = (h[order[1:]] != h[order[:-1]]) | (row[order[1:]] != row[order[:-1]])
+                row, h = row[order[first]], h[order[first]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a).take(pa.array(row)), pa.array(h)], names=["b", "h"])
+
+    return tidy(run)
+
+
 def _held(small: DataFrame, big: DataFrame) -> DataFrame:
     """(s, b) where the text u of b contains the text t of s, both squeezed and not empty.
 
     All words of t but the first and last are whole words of u in the same order, so the first ``SHINGLE`` of
-    them, or as many as there are, are one key. Texts of one or two words have no such words: they meet the
-    distinct words of the other side.
+    them, or as many as there are, are one key. Texts of up to three words have one such word or none, which many texts may hold:
+    their first ``GRAM`` bytes, or all if there are fewer, are the key among the runs of as many bytes of u. Keys of
+    either kind are equi-joins.
     """
     longest = big.agg(F.max(F.length("u"))).first()[0]
-    fits = small.filter(F.length("t") <= F.lit(longest or 0)).withColumn("w", F.split("t", " ")).withColumn("m", F.greatest(F.lit(0), F.least(F.size("w") - 2, F.lit(SHINGLE))))
-    sizes = {r["m"]: r["count"] for r in fits.groupBy("m").count().collect()}  # at most SHINGLE + 1 rows
+    fits = small.filter(F.length("t") <= F.lit(longest or 0)).withColumn("w", F.split("t", " ")).withColumn("m", F.when(F.size("w") <= 3, -F.least(F.octet_length("t"), F.lit(GRAM))).otherwise(F.least(F.size("w") - 2, F.lit(SHINGLE))))
+    sizes = {r["m"]: r["count"] for r in fits.groupBy("m").count().collect()}  # at most GRAM + SHINGLE rows
     found = small.join(big, F.lit(False)).select("s", "b")
-    for m in sorted(m for m in sizes if m):
-        inner = fits.filter(F.col("m") == m).select("s", F.array_join(F.slice("w", 2, m), " "))
-        keys = cut(inner.mapInArrow(_grams(m), f"b {dict(small.dtypes)['s']}, h long").withColumnRenamed("b", "s"))
+    for m in sorted(sizes):
+        grams = _grams if m > 0 else _byte_grams
+        # Bytes cut from a text may end within a character; they are compared as bytes.
+        inner = F.array_join(F.slice("w", 2, m), " ") if m > 0 else F.substring(F.col("t").cast("binary"), 1, -m)
+        inner = fits.filter(F.col("m") == m).select("s", inner)
+        keys = cut(inner.mapInArrow(grams(abs(m)), f"b {dict(small.dtypes)['s']}, h long").withColumnRenamed("b", "s"))
         known = None
         if sizes[m] <= MOST_BROADCAST_KEYS:
             known = small.sparkSession.sparkContext.broadcast(np.sort(keys.select("h").distinct().toPandas()["h"].to_numpy(np.int64)))
-        found = found.unionByName(big.select("b", "u").mapInArrow(_grams(m, known), f"b {dict(big.dtypes)['b']}, h long").join(keys, "h").select("s", "b"))
-    if 0 in sizes:
-        first = F.element_at("w", 1)
-        postings = big.select("b", F.explode(F.array_distinct(F.split("u", " "))).alias("word"))
-        short = fits.filter("m = 0").select("s", first.alias("first"), F.size("w").alias("n"))
-        near = short.join(postings.select("word").distinct(), F.when(F.col("n") == 1, F.col("word").contains(F.col("first"))).otherwise(F.col("word").endswith(F.col("first"))))
-        found = found.unionByName(near.select("s", "word").join(postings, "word").select("s", "b"))
+        found = found.unionByName(big.select("b", "u").mapInArrow(grams(abs(m), known), f"b {dict(big.dtypes)['b']}, h long").join(keys, "h").select("s", "b"))
     return cut(found.distinct()).join(small, "s").join(big, "b").filter(F.col("u").contains(F.col("t"))).select("s", "b")
 
 
@@ -93,6 +115,17 @@ def text_containment(docs: DataFrame, refs: DataFrame, key: str, text: str, ref_
     return inside.unionByName(around).distinct()
 
 
+def source_matches(docs: DataFrame, refs: DataFrame, key: str, title: str, text: str, ref_key: str, ref_title: str, ref_text: str) -> DataFrame:
+    """(ref_key, key) where the normalised titles are equal and either whole text contains the other, in lower case with single spaces.
+
+    Empty and null titles and texts match nothing.
+    """
+    side = lambda d, k, h, t: d.filter(F.col(k).isNotNull()).select(F.col(k), normalised(F.col(h)).alias("__h"), squeezed(F.col(t)).alias(f"__{k}")).filter(f"__h <> '' AND `__{k}` <> ''")
+    met = side(refs, ref_key, ref_title, ref_text).join(side(docs, key, title, text), "__h")
+    one, other = F.col(f"__{ref_key}"), F.col(f"__{key}")
+    return met.filter(one.contains(other) | other.contains(one)).select(ref_key, key).distinct()
+
+
 def line_matches(docs: DataFrame, refs: DataFrame, key: str, text: str, ref_key: str, ref_text: str) -> DataFrame:
     """How many documents hold a reference, or are held by it, wherever its lines are broken."""
     return text_containment(docs, refs, key, text, ref_key, ref_text).groupBy(ref_key).agg(F.count_distinct(key).alias("docs"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import comparisons as C
+from ..operators import replay
 from ..operators import resampling as S
 from ..operators.metrics import auroc, binary_metrics
 from ..sources.tables import predictions, read, second_predictions
@@ -72,6 +73,13 @@ def bootstrap_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.bootstrap_units(_deltas(p), "unit", SAMPLES))
 
 
+def replayed_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents as the outputs of three members of a row; any digit from 1 to 7 is a rating."""
+    p = predictions(spark, sf_dir).join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("index"), "text"), "index")
+    rows = p.select("unit", "scenario", F.floor(F.col("index") / 3).alias("index"), F.pmod("index", F.lit(3)).alias("member"), "label", "text")
+    return rounded(replay.replay_cuts(rows, "[1-7]", [200, 800, 3000], ". ", 5))
+
+
 def bootstrap_auroc_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The change of AUROC of the scenarios, resampled over scenarios."""
     rows = both(spark, sf_dir)
@@ -111,6 +119,9 @@ credit AS (SELECT u.unit, u.index, u.label, avg(CASE WHEN (u.{s} - v.{s}) * (2 *
            FROM j u JOIN j v ON u.unit = v.unit AND u.label <> v.label GROUP BY 1, 2, 3)
 """
 
+_CUT_MEASURES = """count(*) AS rows, (count(*) FILTER (d AND label = 1) / nullif(count(*) FILTER (label = 1), 0)::DOUBLE + 1 - count(*) FILTER (d AND label = 0) / nullif(count(*) FILTER (label = 0), 0)::DOUBLE) / 2 AS ba,
+avg((d = e)::INT) AS agreement, sum(kept) / nullif(sum(n), 0)::DOUBLE AS chars, sum(unrated)::BIGINT AS unrated"""
+
 QUERIES = {
     "delta_gate": (delta_gate, f"""
 WITH {P}, {B}, {_ba("p", "unit", "m")}, {_ba("b", "unit", "n")}, d AS (SELECT n.ba - m.ba AS delta FROM m JOIN n USING (unit))
@@ -147,6 +158,17 @@ SELECT unit, count(*) AS rows, count(*) FILTER (m <> n) AS moved FROM r GROUP BY
 WITH r AS (SELECT cap, regexp_matches(text, '[0-9]') AS a, regexp_matches(substr(text, 1, cap), '[0-9]') AS b, length(text) AS n, greatest(0, length(text) - cap) AS saved
            FROM documents, (SELECT unnest([200, 500, 2000]) AS cap) WHERE text IS NOT NULL)
 SELECT cap, count(*) AS rows, count(*) FILTER (a = b) AS kept, round(sum(saved) / sum(n)::DOUBLE, 6) AS saved FROM r GROUP BY cap"""),
+    "replayed_cuts": (replayed_cuts, rf"""
+WITH {P}, o AS (SELECT p.unit, p.scenario, p.index // 3 AS index, p.label, coalesce(d.text, '') AS t FROM p JOIN documents d ON d.doc_id = p.index),
+m AS (SELECT *, regexp_extract_all(t, '[1-7]') AS f, string_split_regex(t, '[1-7]') AS b, length(t) AS n, instr(t, '. ') - 1 AS mk FROM o),
+s AS (SELECT *, list_transform(range(1, len(f) + 1), lambda i: {{'u': list_sum(list_transform(b[1:i], lambda x: length(x)))::INT + i::INT, 'v': f[i]::INT}}) AS st FROM m),
+z AS (SELECT *, list_transform(st, lambda r: {{'u': r.u, 'v': r.v, 'k': NOT regexp_matches(substr(t, r.u + 1, 1), '^\w')}}) AS rs FROM s),
+c AS (SELECT *, unnest([{{'cut': 'full', 'u': n}}, {{'cut': 'cap 200', 'u': least(n, 200)}}, {{'cut': 'cap 800', 'u': least(n, 800)}}, {{'cut': 'cap 3000', 'u': least(n, 3000)}}, {{'cut': 'marker', 'u': CASE WHEN mk >= 0 THEN mk ELSE n END}}, {{'cut': 'first rating', 'u': coalesce(list_filter(rs, lambda r: r.k)[1].u, n)}}]) AS c FROM z),
+r AS (SELECT unit, scenario, index, label, n, c.cut AS cut, c.u AS u, coalesce(list_filter(rs, lambda r: (r.u < c.u AND r.k) OR r.u = c.u)[-1].v, 0) AS r, coalesce(list_filter(rs, lambda r: (r.u < n AND r.k) OR r.u = n)[-1].v, 0) AS f FROM c),
+a AS (SELECT cut, unit, scenario, index, label, max(r) >= 5 AS d, max(f) >= 5 AS e, sum(u) AS kept, sum(n) AS n, count(*) FILTER (r = 0) AS unrated FROM r GROUP BY 1, 2, 3, 4, 5),
+x AS (SELECT cut, unit, scenario, {_CUT_MEASURES} FROM a GROUP BY GROUPING SETS ((cut), (cut, unit), (cut, scenario)))
+SELECT cut, CASE WHEN scenario IS NULL THEN 'all' ELSE scenario END AS scope, rows, round(ba, 6) AS balanced_accuracy, round(agreement, 6) AS agreement, round(chars, 6) AS chars, unrated FROM x WHERE unit IS NULL
+UNION ALL SELECT cut, 'macro', rows, round((SELECT avg(ba) FROM x y WHERE y.cut = x.cut AND y.unit IS NOT NULL), 6), round(agreement, 6), round(chars, 6), unrated FROM x WHERE unit IS NULL AND scenario IS NULL"""),
     "bootstrap_ba": (_both(lambda j: S.bootstrap_ba(j, "unit", SAMPLES, a="d", b="e")), f"""
 WITH {P}, {B}, {J}, c AS (SELECT unit, label AS l, count(*) AS n, count(*) FILTER (e > d) AS up, count(*) FILTER (e < d) AS down FROM j GROUP BY 1, 2),
 s AS (SELECT c.*, up + down AS moving, sample, {_fraction("bau", "sample", "unit", "l")} AS u, {_fraction("bav", "sample", "unit", "l")} AS v FROM c, (SELECT unnest(range(1, {SAMPLES + 1})) AS sample)),

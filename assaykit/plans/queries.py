@@ -58,6 +58,12 @@ def contained(spark: SparkSession, sf_dir: str, match) -> DataFrame:
     return match(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
 
 
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and items with one first line; of documents that hold an item from their first line on."""
+    titled = lambda t: read(spark, sf_dir, t).withColumn("title", F.substring_index("text", "\n", 1))
+    return retrieval.source_matches(titled("documents"), titled("benchmark"), "doc_id", "title", "text", "item_id", "title", "text")
+
+
 def big_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("unit"), (F.col("o_orderstatus") == "F").cast("int").alias("label"), F.floor("o_totalprice").alias("score"))
     return rounded(metrics.auroc(o, ["unit"]))
@@ -236,6 +242,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 10
 """),
     "line_matches": (lambda s, d: contained(s, d, retrieval.line_matches), f"{_CONTAINED} SELECT item_id, count(DISTINCT doc_id) AS docs FROM m GROUP BY 1"),
+    "source_matches": (sources, f"""
+WITH d AS (SELECT doc_id, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', ' ', 'g')) AS h, {_SQUEEZED} AS t FROM documents), b AS (SELECT item_id, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', ' ', 'g')) AS h, {_SQUEEZED} AS t FROM benchmark)
+SELECT DISTINCT item_id, doc_id FROM b JOIN d USING (h) WHERE h <> '' AND d.t <> '' AND b.t <> '' AND (contains(d.t, b.t) OR contains(b.t, d.t))"""),
     "text_containment": (lambda s, d: contained(s, d, retrieval.text_containment), f"{_CONTAINED} SELECT DISTINCT item_id, doc_id FROM m"),
     "usage_totals": (usage_totals, "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2"),
     "turn_shapes": (turn_shapes, """
