@@ -160,7 +160,7 @@ WITH r AS (SELECT cap, regexp_matches(text, '[0-9]') AS a, regexp_matches(substr
 SELECT cap, count(*) AS rows, count(*) FILTER (a = b) AS kept, round(sum(saved) / sum(n)::DOUBLE, 6) AS saved FROM r GROUP BY cap"""),
     "replayed_cuts": (replayed_cuts, rf"""
 WITH {P}, o AS (SELECT p.unit, p.scenario, p.index // 3 AS index, p.label, coalesce(d.text, '') AS t FROM p JOIN documents d ON d.doc_id = p.index),
-m AS (SELECT *, regexp_extract_all(t, '[1-7]') AS f, string_split_regex(t, '[1-7]') AS b, length(t) AS n, instr(t, '. ') - 1 AS mk FROM o),
+m AS (SELECT *, regexp_extract_all(t, '[1-7]') AS f, string_split_regex(t, '[1-7]') AS b, length(t) AS n, instr(t, '. ') - 1 AS mk FROM o),
 s AS (SELECT *, list_transform(range(1, len(f) + 1), lambda i: {{'u': list_sum(list_transform(b[1:i], lambda x: length(x)))::INT + i::INT, 'v': f[i]::INT}}) AS st FROM m),
 z AS (SELECT *, list_transform(st, lambda r: {{'u': r.u, 'v': r.v, 'k': NOT regexp_matches(substr(t, r.u + 1, 1), '^\w')}}) AS rs FROM s),
 c AS (SELECT *, unnest([{{'cut': 'full', 'u': n}}, {{'cut': 'cap 200', 'u': least(n, 200)}}, {{'cut': 'cap 800', 'u': least(n, 800)}}, {{'cut': 'cap 3000', 'u': least(n, 3000)}}, {{'cut': 'marker', 'u': CASE WHEN mk >= 0 THEN mk ELSE n END}}, {{'cut': 'first rating', 'u': coalesce(list_filter(rs, lambda r: r.k)[1].u, n)}}]) AS c FROM z),
