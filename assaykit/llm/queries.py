@@ -157,5 +157,31 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+_OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT r, doc_id, unnest(range(1, len(w) + 1)) AS i, len(w) AS n, w FROM d),
+k AS (SELECT r, doc_id, i, w[i] AS word, CASE WHEN i + 19 <= n THEN md5(array_to_string(w[i:i + 19], ' ')) END AS k FROM p),
+f AS (SELECT *, min(doc_id) OVER (PARTITION BY k) < doc_id OR row_number() OVER (PARTITION BY r, k ORDER BY i) > 1 AS earlier FROM k),
+c AS (SELECT r, i, word, max((k IS NOT NULL AND earlier)::INT) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 1 AS gone FROM f),
+g AS (SELECT r, count(*) AS n, count(*) FILTER (gone) AS m, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY r)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(m, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (r)
+"""
+
+_CRC_TABLE = "list_transform(range(0, 256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END))"
+_CRC = "xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split({0}::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(tab[(xor(c, b) % 256) + 1], c >> 8)))"
+_OP13 = f"""
+WITH own AS (SELECT conv_id AS c, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+z AS (SELECT {_CRC_TABLE} AS tab), h AS (SELECT c, t, ({_CRC.format("c")} % 9)::INT AS h FROM own, z),
+built AS (SELECT h.c, list_concat(coalesce(b.t[1:h], []), h.t[h + 1:]) AS t FROM h LEFT JOIN own b ON b.c = h.c - h.c % 5),
+mem AS (SELECT c, d, len(t) = d AS whole, md5(to_json(t[1:d])) AS k, CASE WHEN d > 0 THEN md5(to_json(t[1:d - 1])) END AS up, coalesce(strlen(t[d].t), 0) AS b FROM (SELECT *, unnest(range(0, len(t) + 1)) AS d FROM built)),
+node AS (SELECT k, any_value(up) AS up, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n, any_value(b) AS b, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (whole), '')) AS ends FROM mem GROUP BY k),
+kids AS (SELECT up AS k, count(*) AS m FROM node WHERE up IS NOT NULL GROUP BY 1),
+sub AS (SELECT DISTINCT a.k, x.k AS below FROM mem a JOIN mem x ON a.c = x.c AND a.d <= x.d),
+tot AS (SELECT sub.k, count(*) FILTER (kids.k IS NULL) AS leaves, sum((n - 1) * b)::BIGINT AS saved FROM sub JOIN node ON node.k = below LEFT JOIN kids ON kids.k = below GROUP BY 1)
+SELECT node.conv_id, node.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, node.n AS n_convs, coalesce(kids.m, 0) AS n_children, leaves AS n_leaves, saved AS saved_tokens, node.ends AS ends_sha256
+FROM node LEFT JOIN node p ON p.k = node.up LEFT JOIN kids ON kids.k = node.k JOIN tot ON tot.k = node.k
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op3_multiset_fingerprints": _OP3, "op3_line_likeness": _OP3_LIKENESS, "op6_exact_top_k": _OP6}
+    return {"op3_multiset_fingerprints": _OP3, "op3_line_likeness": _OP3_LIKENESS, "op6_exact_top_k": _OP6, "op12_phrase_automata": _OP12, "op13_prefix_trie": _OP13}
