@@ -175,5 +175,6 @@ def test_empty_tables(spark):
     path = folder(spark, [])
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
     for name, query in queries.queries().items():
         assert not query(spark, path).collect(), name
