@@ -22,6 +22,27 @@ def final_turn(turns: DataFrame, role: str) -> DataFrame:
     return turns.groupBy("conv_id").agg(F.coalesce(last["text"], F.lit("")).alias("text"))
 
 
+def final_reasoning(turns: DataFrame, role: str = "assistant", reasoning: str = "reasoning") -> DataFrame:
+    """The reasoning of the last turn of a role, ``conv_id, reasoning``; empty where that turn has none, whatever earlier turns hold."""
+    last = F.max(F.when(F.col("role") == role, F.struct("turn", F.coalesce(reasoning, F.lit("")).alias("r"))))
+    return turns.groupBy("conv_id").agg(F.coalesce(last["r"], F.lit("")).alias("reasoning"))
+
+
+def has_roles(turns: DataFrame, roles: list[str], most_chars: int | None = None, of: str = "system") -> DataFrame:
+    """``conv_id`` of the conversations whose turns have exactly these roles in this order, the texts of one role at most ``most_chars`` long together.
+
+    Turns of equal number are ordered by role. Conversations of another number of turns go before any turn is gathered, so what
+    is gathered has ``len(roles)`` entries.
+    """
+    n = F.count(F.lit(1)).alias("n")
+    length = F.coalesce(F.sum(F.when(F.col("role") == of, F.length("text"))), F.lit(0))
+    right = turns.groupBy("conv_id").agg(n, length.alias("chars")).filter(F.col("n") == len(roles))
+    right = right if most_chars is None else right.filter(F.col("chars") <= most_chars)
+    order = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"))))
+    found = turns.join(right.select("conv_id"), "conv_id", "left_semi").groupBy("conv_id").agg(order.alias("o"))
+    return found.filter(F.transform("o", lambda x: x["role"]) == F.array(*[F.lit(r) for r in roles])).select("conv_id")
+
+
 def render_dialogue(turns: DataFrame, roles: list[str] | None = None) -> DataFrame:
     """``ROLE: text`` blocks of a conversation in order, blank lines between them."""
     kept = turns if roles is None else turns.filter(F.col("role").isin(roles))

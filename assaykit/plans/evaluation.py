@@ -10,7 +10,6 @@ from ..operators import decisions, metrics, retrieval, votes
 from ..sources.tables import ledger, members, predictions, read, second_predictions
 from .common import B, P, rounded, with_confusion
 
-_CUES = "however|because|therefore|the"
 _M = "mm AS (SELECT index, label, 0 AS member, decision FROM p UNION ALL SELECT index, label, 1, decision FROM b UNION ALL SELECT index, label, 2, (index % 3 = 0)::INT FROM p)"
 _T = "u AS (SELECT unit, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM p GROUP BY unit HAVING count(*) FILTER (label = 1) > 0 AND count(*) FILTER (label = 0) > 0), g AS (SELECT unnest(range(0, 101))::INT AS bin), t AS (SELECT u.unit, bin, pos, neg, (SELECT count(*) FROM p WHERE p.unit = u.unit AND label = 1 AND floor(score * 100)::INT >= bin) AS tp, (SELECT count(*) FROM p WHERE p.unit = u.unit AND label = 0 AND floor(score * 100)::INT >= bin) AS fp FROM u, g), ba AS (SELECT unit, bin, (tp / pos::DOUBLE + 1 - fp / neg::DOUBLE) / 2 AS ba, fp / neg::DOUBLE AS fpr FROM t)"
 
@@ -27,11 +26,6 @@ def _members(make):
     return lambda spark, sf: rounded(make(members(predictions(spark, sf))))
 
 
-def salient_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = read(spark, sf_dir, "documents").select("lang", F.explode(T.salient_values(F.col("text"))).alias("v"))
-    return values.groupBy("lang", "v.kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("v.value").alias("distinct_values"))
-
-
 def content_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(T.content_terms(F.col("text"))).alias("place", "term"))
 
@@ -120,13 +114,6 @@ SELECT item_id, place, term FROM z WHERE place < 12
     "split_sentences": (_docs(lambda t: [F.size(T.split_sentences(t)).alias("n"), F.md5(F.array_join(T.split_sentences(t), "|")).alias("digest")]), r"""
 WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?\n]+[.!?]*'), lambda s: trim(s, ' ')), lambda s: length(s) >= 20) AS s FROM documents)
 SELECT doc_id, len(s)::INT AS n, md5(coalesce(array_to_string(s, '|'), '')) AS digest FROM s
-"""),
-    "salient_values": (salient_values, rf"""
-WITH v AS (SELECT lang, unnest(regexp_extract_all(text, '{T.NUMBER}')) AS v FROM documents)
-SELECT lang, CASE WHEN v LIKE '%\%' ESCAPE '\' THEN 'percent' WHEN regexp_matches(v, '(st|nd|rd|th)$') THEN 'ordinal' WHEN regexp_matches(v, '^(1[5-9]|2[01])[0-9][0-9]$') THEN 'year' ELSE 'cardinal' END AS kind, count(*) AS n, count(DISTINCT replace(v, ',', '')) AS distinct_values FROM v GROUP BY 1, 2
-"""),
-    "cue_flags": (_docs(lambda t: [T.cue_flag(t, _CUES).alias("flag"), F.md5(T.redact_cues(t, _CUES)).alias("redacted")]), rf"""
-SELECT doc_id, len(list_filter(regexp_extract_all(text, '(?i)(?:\b(?:not|never|no) +)?\b(?:{_CUES})\b'), lambda m: NOT regexp_matches(m, '(?i)^(?:not|never|no) '))) > 0 AS flag, md5(regexp_replace(text, '(?i)\b(?:{_CUES})\b', '[cue]', 'g')) AS redacted FROM documents
 """),
     "extracted_tags": (lambda s, d: read(s, d, "pages").select("page_id", F.md5(T.extract_tag(F.col("html"), "p")).alias("digest")), "SELECT page_id, md5(regexp_extract_all(html, '(?is)<p[^>]*>(.*?)</p>', 1)[-1]) AS digest FROM pages"),
     "text_shapes": (lambda s, d: rounded(read(s, d, "documents").select("doc_id", *T.text_shape(F.col("text")))), f"""
