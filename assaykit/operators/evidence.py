@@ -83,16 +83,37 @@ def search_mappings(df: DataFrame, relation: str, predicate: str, half: Column,
     return out.withColumn("worse_precision", worse).withColumn("place", F.row_number().over(Window.partitionBy(relation).orderBy(F.desc("worse_precision"), F.desc(F.col("hits_0") + F.col("hits_1")), predicate)))
 
 
-def pick_candidate(df: DataFrame, row: str, gain: str, decisive: str, size: str, candidate: str, g: float) -> DataFrame:
-    """Per row: the most harmful candidate (below -g, not decisive), the most helpful (above g), and the rejected one that is shortest; NULL where there is none."""
+def pick_candidate(df: DataFrame, row: str, gain: str, decisive: str, size: str, candidate: str, g: float, topical: str | None = None) -> DataFrame:
+    """Per row: the most harmful candidate (below -g, not decisive), the most helpful (above g), and the rejected one that is shortest; NULL where there is none.
+
+    With a ``topical`` column (0 or 1) rejected candidates that are topical go before the shorter ones.
+    """
     y = F.col(gain)
     pick = lambda order, ok: F.min_by(candidate, F.when(ok, order))
+    first = [] if topical is None else [1 - F.coalesce(topical, F.lit(0))]
     return df.groupBy(row).agg(
         pick(F.struct(y, F.col(candidate)), (y < -g) & (F.col(decisive) == 0)).alias("harmful"), pick(F.struct(-y, F.col(candidate)), y > g).alias("helpful"),
-        pick(F.struct(F.col(size), F.col(candidate)), F.abs(y) <= g).alias("rejected"),
+        pick(F.struct(*first, F.col(size), F.col(candidate)), F.abs(y) <= g).alias("rejected"),
     )
 
 
+def hard_negatives(df: DataFrame, row: str, candidate: str, decisive: str, chosen: str, kind: str, popularity: str, n: int, kinds: list[str]) -> DataFrame:
+    """``row, place, candidate``: the first n candidates that are not decisive: wrongly chosen ones, then by the order of kinds (others and NULL last),
+    the more popular, and the smaller id. Rows of many candidates are cut to n before they are shuffled."""
+    after = F.coalesce(*[F.when(F.col(kind) == k, i) for i, k in enumerate(kinds)], F.lit(len(kinds)))
+    order = [F.desc(F.coalesce(F.col(chosen), F.lit(0))), after, F.desc(F.coalesce(F.col(popularity), F.lit(0))), candidate]
+    place = F.row_number().over(Window.partitionBy(row).orderBy(*order))
+    return df.filter(F.coalesce(F.col(decisive), F.lit(0)) == 0).withColumn("place", place).filter(F.col("place") <= n).select(row, "place", candidate)
+
+
+def balanced_contradictions(df: DataFrame, key: str, contradicted: str, label: str = "label", seed: str = "contradiction") -> DataFrame:
+    """``key, variant``: by digest as many contradicted rows of label 0 (``ordinary_error``) as of label 1 (``deception``); rows without a label have none."""
+    ranked = digest_places(df.filter((F.col(contradicted) == 1) & F.col(label).isin(0, 1)).select(key, label), [label], seed, key, "i")
+    mates = df.agg(*[F.count_if((F.col(contradicted) == 1) & (F.col(label) == k)).alias(f"n{k}") for k in (0, 1)])
+    kept = ranked.join(F.broadcast(mates)).filter(F.col("i") <= F.least("n0", "n1"))  # one row
+    return kept.select(key, F.when(F.col(label) == 0, "ordinary_error").otherwise("deception").alias("variant"))
+
+
 def focus_passages(df: DataFrame, claim: str, place: str, relevance: Column) -> DataFrame:
     """The most relevant sentence of each claim, the first of equal ones."""
     return df.withColumn("relevance", relevance).groupBy(claim).agg(F.max_by(F.struct(place, "relevance"), F.struct(F.col("relevance"), -F.col(place))).alias("s")).select(claim, f"s.{place}", "s.relevance")

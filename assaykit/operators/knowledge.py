@@ -157,6 +157,38 @@ def synthesize(facts: DataFrame, templates: DataFrame, functional: list[str], se
     return rows.select("entity", "predicate", F.replace("question", F.lit("{}"), F.col("entity")).alias("question"), answer.alias("answer"), (answer == F.col("value")).cast("int").alias("label"))
 
 
+def synthetic_candidates(facts: DataFrame, same: int = 2, other: int = 2, most: int = 8, seed: str = "negatives") -> DataFrame:
+    """``entity, predicate, place, kind, c_entity, c_predicate, c_value``: of each (entity, predicate) its fact and up to ``most - 1`` wrong ones.
+
+    ``facts (entity, predicate, value)``; rows with a NULL part are left out, and of several values the one of least digest stands for all. Place 0 is
+    the ``anchor``; then ``same`` facts of the entity under its next predicates (``relevant_insufficient``), ``other`` facts of the predicate from the
+    next entities, and facts of other entities and predicates (``irrelevant``), next in the order of digests, of which ``most`` are looked at. Places in a
+    predicate are found by ranges, so a predicate may hold any share of the facts; an entity has at most one row a predicate.
+    """
+    known = facts.filter("entity IS NOT NULL AND predicate IS NOT NULL AND value IS NOT NULL")
+    pool = known.groupBy("entity", "predicate").agg(F.min(F.struct(stable_digest(seed, "entity", "predicate", "value").alias("d"), "value")).alias("v"))
+    pool = pool.select("entity", "predicate", "v.value", F.concat_ws("\x1f", "entity", "predicate").alias("__key"))
+    placed = digest_places(digest_places(pool, ["predicate"], seed, "__key", "i", "n"), [], seed, "__key", "g", "t").drop("__key")
+    shape = lambda rank, kind, entity, predicate, value: [F.lit(rank).alias("rank"), F.col("o"), F.lit(kind).alias("kind"), entity.alias("c_entity"), predicate.alias("c_predicate"), value.alias("c_value")]
+    anchor = [F.col("entity"), F.col("predicate")]
+
+    own = placed.withColumn("o", F.lit(0)).select(*anchor, *shape(0, "anchor", *anchor, F.col("value")))
+    lists = placed.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("predicate", "value"))).alias("l")).filter(F.size("l") > 1)
+    asked = lists.select("entity", "l", F.posexplode("l").alias("e", "x")).withColumn("o", F.explode(F.sequence(F.lit(1), F.least(F.lit(same), F.size("l") - 1))))
+    near = asked.withColumn("y", F.col("l")[(F.col("e") + F.col("o")) % F.size("l")]).select("entity", F.col("x.predicate").alias("predicate"), *shape(1, "relevant_insufficient", F.col("entity"), F.col("y.predicate"), F.col("y.value")))
+
+    def ring(rank: int, by: list[str], place: str, total: str, reach: int) -> DataFrame:
+        asks = placed.filter(F.col(total) > 1).withColumn("o", F.explode(F.sequence(F.lit(1), F.least(F.lit(reach), F.col(total) - 1).cast("int"))))
+        asks = asks.select(*anchor, "o", ((F.col(place) - 1 + F.col("o")) % F.col(total) + 1).alias("__at"))
+        gives = placed.select(*by, F.col(place).alias("__at"), F.col("entity").alias("ce"), F.col("predicate").alias("cp"), F.col("value").alias("cv"))
+        found = asks.join(gives, [*by, "__at"]).filter(F.col("ce") != F.col("entity"))
+        return (found if by else found.filter("cp <> predicate")).select(*anchor, *shape(rank, "irrelevant", F.col("ce"), F.col("cp"), F.col("cv")))
+
+    every = own.unionByName(near).unionByName(ring(2, ["predicate"], "i", "n", other)).unionByName(ring(3, [], "g", "t", most))
+    place = F.row_number().over(Window.partitionBy("entity", "predicate").orderBy("rank", "o")) - 1
+    return every.withColumn("place", place).filter(F.col("place") < most).select(*anchor, "place", "kind", "c_entity", "c_predicate", "c_value")
+
+
 def twins(df: DataFrame, text: str, value: str, other: str, label: str) -> DataFrame:
     """Each row whose text holds its value, and its twin with the other value and the opposite label; ``twin`` tells which. Equal values have no twin."""
     rows = df.filter(F.col(text).contains(F.col(value)) & (F.col(value) != F.col(other)))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.arrowtext import cut
 from ..functions.parsing import terms
 from ..functions.scalar import ratio, stable_fraction
-from .metrics import auroc
+from .metrics import auroc, binary_metrics
 from .ranks import value_places
 
 #: Letters with marks and the plain ones that stand for them.
@@ -131,16 +131,40 @@ def grid_select(results: DataFrame, order: list[Column], by: list[str] | None =
     return results.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r") if by else results.orderBy(*order).limit(1)
 
 
-def select_parameters(df: DataFrame, family: str, unit: str, x: str, y: str, weights: list[float], gain: float, share: float, worst: float) -> DataFrame:
+def metric_grid(df: DataFrame, by: list[str], x: str, y: str, weights: list[float], threshold: float = 0.5) -> DataFrame:
+    """Balanced accuracy, AUROC and false-positive rate of each blend (1-w) x + w y per group, all weights in one plan."""
+    rows = df.withColumn("weight", F.explode(F.array(*[F.lit(w) for w in weights]))).withColumn("blend", F.round((1 - F.col("weight")) * F.col(x) + F.col("weight") * F.col(y), 9))
+    decided = binary_metrics(rows.withColumn("decision", (F.col("blend") >= threshold).cast("int")), [*by, "weight"])
+    return decided.join(auroc(rows, [*by, "weight"], score="blend"), [*by, "weight"]).select(*by, "weight", "balanced_accuracy", "auroc", "fpr")
+
+
+def best_first(parameter: str) -> list[Column]:
+    """Greater balanced accuracy, then AUROC, then smaller false-positive rate and parameter; metrics to nine digits, NULL last."""
+    nine = lambda c: F.round(c, 9)
+    return [F.desc_nulls_last(nine("balanced_accuracy")), F.desc_nulls_last(nine("auroc")), F.asc_nulls_last(nine("fpr")), F.asc(parameter)]
+
+
+def select_parameters(
+    df: DataFrame, family: str, unit: str, x: str, y: str, weights: list[float], gain: float, share: float, worst: float, scenario: str | None = None, floor: float = 0.0
+) -> DataFrame:
     """``family, weight, gain``: the blend weight of each family with the greatest mean gain of AUROC over x that passes the gates, else weight 0.
 
-    Gates: mean gain, share of units that do not lose, and the worst unit. Units without both classes are not asked.
+    Gates: mean gain, share of units that do not lose, the worst unit, and, if a scenario column is named, no scenario of the family whose gain lies
+    below the floor. Units and scenarios without both classes are not asked.
     """
-    grid = blend_grid(df, [family, unit], x, y, sorted({0.0, *weights})).filter("auroc IS NOT NULL")
-    base = grid.filter("weight = 0").select(family, unit, F.col("auroc").alias("base"))
-    gains = grid.join(base, [family, unit]).withColumn("g", F.round(F.col("auroc") - F.col("base"), 9))
-    m = gains.groupBy(family, "weight").agg(F.avg("g").alias("gain"), F.avg((F.col("g") >= 0).cast("double")).alias("kept"), F.min("g").alias("worst"))
-    passing = (F.col("weight") == 0) | ((F.col("gain") >= gain) & (F.col("kept") >= share) & (F.col("worst") >= worst))
+
+    def gained(by: str) -> DataFrame:
+        grid = blend_grid(df, [family, by], x, y, sorted({0.0, *weights})).filter("auroc IS NOT NULL")
+        base = grid.filter("weight = 0").select(family, by, F.col("auroc").alias("base"))
+        return grid.join(base, [family, by]).withColumn("g", F.round(F.col("auroc") - F.col("base"), 9))
+
+    m = gained(unit).groupBy(family, "weight").agg(F.avg("g").alias("gain"), F.avg((F.col("g") >= 0).cast("double")).alias("kept"), F.min("g").alias("worst"))
+    passing = (F.col("gain") >= gain) & (F.col("kept") >= share) & (F.col("worst") >= worst)
+    if scenario is not None:
+        floors = gained(scenario).groupBy(family, "weight").agg(F.min("g").alias("least"))
+        m = m.join(floors, [family, "weight"], "left")
+        passing &= F.coalesce(F.col("least") >= floor, F.lit(True))
+    passing |= F.col("weight") == 0
     return m.filter(passing).groupBy(family).agg(F.max_by(F.struct("weight", "gain"), F.struct(F.round("gain", 9), -F.col("weight"))).alias("b")).select(family, "b.*")
 
 

@@ -50,6 +50,23 @@ def expand_variants(df: DataFrame, key: str, evidence: str, donors: DataFrame) -
     return own.unionByName(empty).unionByName(given)
 
 
+def mixed_variants(df: DataFrame, key: str, evidence: str, donors: DataFrame) -> DataFrame:
+    """As ``expand_variants``, a variant ``mixed``: a row's own evidence, and its donor's on the next line."""
+    given = donors.join(df.select(F.col(key).alias("donor"), F.col(evidence).alias("__given")), "donor")
+    both = F.concat(F.coalesce(evidence, F.lit("")), F.lit("\n"), F.coalesce("__given", F.lit("")))
+    return df.join(given, key).select(key, F.lit("mixed").alias("variant"), both.alias("evidence"), F.col("donor").alias("origin"))
+
+
+def picked_variants(picks: DataFrame, candidates: DataFrame, key: str, candidate: str, evidence: str) -> DataFrame:
+    """``key, variant, evidence, origin``: the evidence of the candidates that ``evidence.pick_candidate`` chose, ``harmful``, ``helpful`` and ``insufficient``.
+
+    ``candidates (key, candidate, evidence)``; rows for which nothing was picked have no such variant, and NULL evidence is empty.
+    """
+    chosen = picks.select(key, "harmful", "helpful", F.col("rejected").alias("insufficient")).unpivot(key, ["harmful", "helpful", "insufficient"], "variant", "origin").filter("origin IS NOT NULL")
+    texts = candidates.select(key, F.col(candidate).alias("origin"), F.coalesce(evidence, F.lit("")).alias("evidence"))
+    return chosen.join(texts, [key, "origin"]).select(key, "variant", "evidence", "origin")
+
+
 def feature_bank(base: DataFrame, tables: dict[str, DataFrame], key: str, neutral: float = 0.5) -> DataFrame:
     """The base with one column a table (``key, score``); rows that a table lacks get the neutral value, a NULL score in a table is an error."""
     out = base

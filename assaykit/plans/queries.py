@@ -9,7 +9,7 @@ from ..functions.scalar import stable_fraction
 from ..operators import conversations, joins, metrics, retrieval, sampling
 from ..sources.tables import ledger, predictions, read, second_predictions
 from ..streaming.windows import event_windows
-from . import breakdowns, comparisons, evaluation, knowledge, learning, parsing, relations, scans, selection, texts
+from . import breakdowns, comparisons, evaluation, knowledge, learning, parsing, relations, scans, selection, texts, variants
 from .common import B, P, rounded
 
 def _preds(make):
@@ -264,7 +264,7 @@ SELECT conv_id, md5(coalesce(l.text, '')) AS digest FROM (SELECT DISTINCT conv_i
 
 
 _ALL = _QUERIES
-for _part in (evaluation, selection, comparisons, relations, parsing, scans, learning, knowledge, breakdowns, texts):
+for _part in (evaluation, selection, comparisons, relations, parsing, scans, learning, knowledge, breakdowns, texts, variants):
     _ALL = _ALL | _part.QUERIES
 
 
