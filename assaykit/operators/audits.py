@@ -41,12 +41,24 @@ def hash_dropout(df: DataFrame, column: str, share: float, key: str, seed: str =
     return df.withColumn(column, F.when(stable_fraction(seed, key) >= share, F.col(column)))
 
 
-def reuse_or_compute(work: DataFrame, cache: DataFrame, key: str, content: list[str], value: str, compute: Column) -> DataFrame:
-    """Cached values whose content hash agrees, computed ones for the rest."""
+def reuse_or_compute(
+    work: DataFrame, cache: DataFrame, key: str, content: list[str], value: str, compute: Column, parsed: str | None = None, evidence: str | None = None, empty: DataFrame | None = None
+) -> DataFrame:
+    """Cached values whose content hash agrees (``reused`` 1), computed ones for the rest (0).
+
+    With a ``parsed`` column of the cache only entries where it is 1 are used. With an ``evidence`` column, rows whose evidence is NULL or blank
+    take the value of the empty condition, ``empty (key, value)``, if that has one (``reused`` 2), before the cache is asked.
+    """
     hashed = F.sha2(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in content]), 256)
-    known = cache.select(key, F.col("hash").alias("__h"), F.col(value).alias("__v"))
+    usable = cache if parsed is None else cache.filter(F.col(parsed) == 1)
+    rows = work.join(usable.select(key, F.col("hash").alias("__h"), F.col(value).alias("__v")), key, "left")
     hit = F.col("__h").eqNullSafe(hashed) & F.col("__v").isNotNull()
-    return work.join(known, key, "left").select(*work.columns, hit.cast("int").alias("reused"), F.when(hit, F.col("__v")).otherwise(compute).alias(value))
+    reused, found = hit.cast("int"), F.when(hit, F.col("__v")).otherwise(compute)
+    if evidence is not None and empty is not None:
+        rows = rows.join(empty.select(key, F.col(value).alias("__e")), key, "left")
+        inactive = (F.trim(F.coalesce(evidence, F.lit(""))) == "") & F.col("__e").isNotNull()
+        reused, found = F.when(inactive, 2).otherwise(reused), F.when(inactive, F.col("__e")).otherwise(found)
+    return rows.select(*work.columns, reused.alias("reused"), found.alias(value))
 
 
 def merge_channels(channels: list[DataFrame], by: str, key: str) -> DataFrame:

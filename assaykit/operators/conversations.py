@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import truncate_text
+
 
 def merge_turns(turns: DataFrame) -> DataFrame:
     """Consecutive turns of one role as one, their texts joined by a newline (null counts as empty)."""
@@ -51,6 +53,21 @@ def render_dialogue(turns: DataFrame, roles: list[str] | None = None) -> DataFra
     return kept.groupBy("conv_id").agg(F.array_join(blocks, "\n\n").alias("dialogue"))
 
 
+def text_views(turns: DataFrame, n: int, roles: list[str] | None = None, answer: str = "assistant", mode: str = "tail") -> DataFrame:
+    """``conv_id, output, context, both``: the last turn of the answering role, the dialogue of the given roles before and without that turn,
+    at most n characters of it by ``truncate_text``, and both with a blank line between them. Without an answer the output is empty.
+    """
+    kept = turns if roles is None else turns.filter(F.col("role").isin(*roles, answer))
+    text = F.coalesce("text", F.lit(""))
+    order = F.struct("turn", text.alias("text"))
+    last = kept.groupBy("conv_id").agg(F.max(F.when(F.col("role") == answer, order)).alias("l"))
+    before = kept.join(last, "conv_id").filter(F.col("l").isNull() | (F.col("turn") < F.col("l.turn")))
+    before = before if roles is None or answer in roles else before.filter(F.col("role") != answer)
+    dialogue = render_dialogue(before.select(*turns.columns)).withColumn("context", truncate_text(F.col("dialogue"), n, mode, "... "))
+    output, context = F.coalesce("l.text", F.lit("")), F.coalesce("context", F.lit(""))
+    return last.join(dialogue, "conv_id", "left").select("conv_id", output.alias("output"), context.alias("context"), F.concat_ws("\n\n", F.nullif(context, F.lit("")), F.nullif(output, F.lit(""))).alias("both"))
+
+
 def filter_structure(turns: DataFrame, role: str, least_chars: int, least_sentences: int) -> DataFrame:
     """Conversations whose last turn of a role is long enough and has enough sentence ends."""
     ends = F.size(F.regexp_extract_all("text", F.lit("[.!?]+"), F.lit(0)))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import claims as C
 from ..functions import text as T
-from ..operators import conversations
+from ..operators import audits, conversations
 from ..sources.tables import read
 from .common import rounded
 
@@ -58,6 +59,42 @@ def final_reasonings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.final_reasoning(t).select("conv_id", F.md5("reasoning").alias("digest"))
 
 
+#: The invented prose has few relations; frequent words stand for what a question asks.
+_WORD = r"(?:^|[^\p{{L}}])(?:{})(?:$|[^\p{{L}}])"
+RELATIONS = [
+    ("place", _WORD.format("in|on"), ["country", "city", "located in"]),
+    ("time", _WORD.format("by|this"), ["date of birth", "date of death"]),
+    ("people", _WORD.format("are|you|he"), ["member of", "winner"]),
+]
+GROUPS = [
+    (["country", "city", "located in"], [(_WORD.format("on"), ["city"]), (_WORD.format("here"), ["located in"]), (_WORD.format("the"), ["country", "located in"])], True),
+    (["date of birth", "date of death"], [(_WORD.format("is"), ["date of birth"]), (_WORD.format("to"), ["date of death"])], False),
+    (["winner", "member of"], [(_WORD.format("was"), ["winner"])], False),
+]
+
+
+def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's first line as the question, the rest as its answer."""
+    docs = read(spark, sf_dir, "documents")
+    question, answer = F.substring_index("text", "\n", 1), F.when(F.col("text").contains("\n"), F.substring(F.col("text"), F.locate("\n", F.col("text")) + 1, F.length("text")))
+    x = docs.select("doc_id", C.extract_claim(question, answer, RELATIONS, GROUPS).alias("x"))
+    return x.select("doc_id", *[F.array_join(f"x.{c}", "|").alias(c) for c in ("subjects", "values", "qualifiers", "relations", "predicates")])
+
+
+def text_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = conversations.text_views(read(spark, sf_dir, "conversations"), 300, ["system", "user"])
+    return v.select("conv_id", *[F.md5(c).alias(c) for c in ("output", "context", "both")])
+
+
+def reused_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of documents from a cache of which every fifth entry did not parse; of one source there is no evidence."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.when(F.col("source") != "src1", F.col("source")).alias("evidence"))
+    hashed = F.sha2(F.concat_ws("\x1f", "text", "lang"), 256)
+    cache = docs.filter("doc_id % 3 <> 0").select("doc_id", hashed.alias("hash"), F.lit(-1).alias("size"), (F.col("doc_id") % 5 != 0).cast("int").alias("parsed"))
+    empty = docs.filter("doc_id % 2 = 0").select("doc_id", F.lit(-2).alias("size"))
+    return audits.reuse_or_compute(docs, cache, "doc_id", ["text", "lang"], "size", F.length("text"), "parsed", "evidence", empty).select("doc_id", "reused", "size")
+
+
 _WORDS = ", ".join(f"('{w}', '{kind}', '{i}')" for kind, words in (("cardinal", T.CARDINALS), ("ordinal", T.ORDINALS)) for i, w in enumerate(words))
 
 
@@ -106,6 +143,52 @@ def _after(tag: str) -> str:
     return f"CASE WHEN contains(html, '</{tag}>') THEN {_TRIM.format(f'substr(html, strpos(html, {chr(39)}</{tag}>{chr(39)}) + {len(tag) + 3})')} END"
 
 
+
+#: RE2 has no look-behind: a star behind a bold span goes with it, and names are found with the character before them.
+_L = r"[^\p{L}\p{N}_]"
+_MARKED_SQL, _PROPER_SQL = "|".join([C.MARKED[0] + r"\*?", *C.MARKED[1:]]).replace("'", "''"), C.PROPER.replace("'", "''")
+
+
+def _keyed(spans: str, limit: int) -> str:
+    """Spans (a list of struct s, k) that differ in their key."""
+    good = f"list_filter({spans}, lambda x: x.k <> '' AND length(x.k) <= {C.MOST_KEY})"
+    return f"array_to_string(list_transform(list_filter({good}, lambda x, i: list_position(list_transform({good}, lambda y: y.k), x.k) = i)[1:{limit}], lambda x: x.s), '|')"
+
+
+def _with_key(spans: str) -> str:
+    return f"list_transform({spans}, lambda s: {{'s': s, 'k': array_to_string(regexp_extract_all(lower(s), '[a-z0-9]+'), ' ')}})"
+
+
+def _spans(text: str) -> str:
+    edges = "' .,:;!?()[]'"
+    marked = f"""list_transform(regexp_extract_all({text}, '{_MARKED_SQL}'), lambda s: trim(regexp_replace(s, '^(?:\\*\\*|[*"“''])|(?:\\*+|["”''])$', '', 'g'), {edges}))"""
+    proper = f"list_transform(regexp_extract_all({text}, '(?:^|{_L})({_PROPER_SQL})', 1), lambda s: trim(s, {edges}))"
+    words = lambda w: ", ".join(f"'{x}'" for x in w)
+    named = f"list_filter({_with_key(proper)}, lambda x: length(x.k) >= 3 AND x.k NOT IN ({words(C.GENERIC)}) AND string_split(x.k, ' ')[1] NOT IN ({words(C.LEADING)}))"
+    return f"list_concat({_with_key(marked)}, {named})"
+
+
+def _found(text: str, pattern: str) -> str:
+    """Matches between what are no letters; the padding keeps neighbours from sharing a bound."""
+    return f"regexp_extract_all(regexp_replace({text}, '({_L})', '\\1\\1', 'g'), '(?i)(?:^|{_L})({pattern})(?:$|{_L})', 1)"
+
+
+def _list(values: list[str]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]::VARCHAR[]"
+
+
+def _narrowed() -> str:
+    """One table a group of rules."""
+    asked = "list_concat(" + ", ".join(f"CASE WHEN regexp_matches(q, '(?i){p}') THEN {_list(v)} ELSE [] END" for _, p, v in RELATIONS) + ")"
+    out = f"p0 AS (SELECT *, {asked} AS p FROM d)"
+    for i, (members, choices, every) in enumerate(GROUPS):
+        hits = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(q, '(?i){p}') THEN {_list(v)} END" for p, v in choices) + "], lambda x: x IS NOT NULL)"
+        added = "flatten(h)" if every else "h[1]"
+        out += f",\np{i + 1} AS (SELECT * REPLACE (CASE WHEN len(h) > 0 AND list_has_any(p, {_list(members)}) THEN list_concat(list_filter(p, lambda x: NOT list_contains({_list(members)}, x)), {added}) ELSE p END AS p) FROM (SELECT * EXCLUDE (h), {hits} AS h FROM (SELECT *, NULL AS h FROM p{i})))"
+        out = out.replace(f"(SELECT * EXCLUDE (h), {hits} AS h FROM (SELECT *, NULL AS h FROM p{i}))", f"(SELECT *{' EXCLUDE (h)' if i else ''}, {hits} AS h FROM p{i})")
+    return out
+
+
 QUERIES = {
     "salient_values": (salient_values, f"SELECT lang, kind, count(*) AS n, count(DISTINCT value) AS distinct_values FROM {_values('documents', 'doc_id, lang')} GROUP BY 1, 2"),
     "value_contexts": (value_contexts, rf"""
@@ -133,4 +216,19 @@ SELECT conv_id, shape FROM c WHERE chars <= {MOST_CHARS} AND shape IN ({', '.joi
     "final_reasonings": (final_reasonings, """
 WITH t AS (SELECT conv_id, role, turn, CASE WHEN contains(text, chr(10)) THEN string_split(text, chr(10))[1] ELSE '' END AS r FROM conversations),
 m AS (SELECT conv_id, max((turn, coalesce(r, ''))) FILTER (role = 'assistant') AS m FROM t GROUP BY 1) SELECT conv_id, md5(coalesce(m[2], '')) AS digest FROM m"""),
+    "claims": (claims, f"""
+WITH d AS (SELECT doc_id, coalesce(string_split(text, chr(10))[1], '') AS q, array_to_string(string_split(regexp_replace(CASE WHEN contains(text, chr(10)) THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))[1:3], ' ') AS a FROM documents),
+{_narrowed()}
+SELECT doc_id, {_keyed(_spans("q"), 12)} AS subjects, {_keyed(_spans("coalesce(a, '')"), 6)} AS values,
+{_keyed(_with_key("list_concat(" + _found("q || ' ' || coalesce(a, '')", C.YEAR) + ", " + _found("q || ' ' || coalesce(a, '')", "|".join(C.QUALIFYING)) + ")"), 8)} AS qualifiers,
+array_to_string(list_filter([{", ".join(f"CASE WHEN regexp_matches(q, '(?i){p}') THEN '{n}' END" for n, p, _ in RELATIONS)}], lambda x: x IS NOT NULL), '|') AS relations,
+array_to_string(list_filter(p, lambda x, i: list_position(p, x) = i), '|') AS predicates FROM p{len(GROUPS)}"""),
+    "text_views": (text_views, """
+WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS t FROM conversations WHERE role IN ('system', 'user', 'assistant')), l AS (SELECT conv_id, max((turn, t)) FILTER (role = 'assistant') AS l FROM t GROUP BY 1),
+c AS (SELECT conv_id, string_agg(upper(role) || ': ' || t, chr(10) || chr(10) ORDER BY turn, upper(role) || ': ' || t) AS c FROM t JOIN l USING (conv_id) WHERE role <> 'assistant' AND (l IS NULL OR turn < l[1]) GROUP BY 1),
+v AS (SELECT conv_id, coalesce(l[2], '') AS o, coalesce(CASE WHEN length(c) <= 300 THEN c ELSE '... ' || right(c, 300) END, '') AS c FROM l LEFT JOIN c USING (conv_id))
+SELECT conv_id, md5(o) AS output, md5(c) AS context, md5(concat_ws(chr(10) || chr(10), nullif(c, ''), nullif(o, ''))) AS both FROM v"""),
+    "reused_parsed": (reused_parsed, """
+WITH d AS (SELECT doc_id, text, coalesce(source, 'src1') = 'src1' AND doc_id % 2 = 0 AS e, doc_id % 3 <> 0 AND doc_id % 5 <> 0 AS c FROM documents)
+SELECT doc_id, CASE WHEN e THEN 2 WHEN c THEN 1 ELSE 0 END AS reused, CASE WHEN e THEN -2 WHEN c THEN -1 ELSE length(text) END::INT AS size FROM d"""),
 }
