@@ -94,7 +94,7 @@ def map_totals(df: DataFrame, by: list[str], usage: Column) -> DataFrame:
 def centred_correlation(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
     """One row: the Pearson correlation of two columns after each is centred in its group, next to that of the raw columns."""
     means = df.groupBy(by).agg(F.avg(x).alias("__mx"), F.avg(y).alias("__my"))
-    j = df.join(F.broadcast(means), by).select(x, y, (F.col(x) - F.col("__mx")).alias("rx"), (F.col(y) - F.col("__my")).alias("ry"))
+    j = df.join(means, by).select(x, y, (F.col(x) - F.col("__mx")).alias("rx"), (F.col(y) - F.col("__my")).alias("ry"))
     return j.agg(F.corr(x, y).alias("raw"), F.corr("rx", "ry").alias("within"), F.count(F.lit(1)).alias("rows"))
 
 

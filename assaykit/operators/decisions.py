@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import exact_mean, ratio
 from .metrics import binary_metrics
-from .ranks import value_places
+from .ranks import running_before, value_places
 
 
 def select_threshold(sweep: DataFrame, default: int = 50) -> DataFrame:
@@ -37,8 +37,8 @@ def loo_threshold(df: DataFrame, steps: int = 100) -> DataFrame:
 def operating_point(df: DataFrame, least_emitted: int, least_precision: float) -> DataFrame:
     """Threshold per unit among its distinct scores: most correct, then most emitted, under both floors; else abstain."""
     hist = df.groupBy("unit", "score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count(F.lit(1)).alias("n"))
-    down = Window.partitionBy("unit").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    run = hist.select("unit", "score", F.sum("p").over(down).alias("correct"), F.sum("n").over(down).alias("emitted"))
+    below = running_before(hist.withColumn("__down", F.coalesce(-F.col("score"), F.lit(float("inf")))), ["unit"], "__down", ["p", "n"])
+    run = below.select("unit", "score", (F.col("p_before") + F.col("p")).alias("correct"), (F.col("n_before") + F.col("n")).alias("emitted"))
     ok = (F.col("emitted") >= least_emitted) & (F.col("correct") >= least_precision * F.col("emitted"))
     best = run.groupBy("unit").agg(F.max_by(F.struct("score", "correct", "emitted"), F.when(ok, F.struct("correct", "emitted"))).alias("s"), F.max("score").alias("top"))
     return best.select("unit", F.coalesce("s.score", F.col("top") + 1e-6).alias("threshold"), F.coalesce("s.correct", F.lit(0)).alias("correct"), F.coalesce("s.emitted", F.lit(0)).alias("emitted"))

@@ -133,7 +133,7 @@ def pair_rows(df: DataFrame, unit: str, key: str, label: str = "label", seed: st
     mates = df.groupBy(unit).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
     paired = F.col("i") <= F.least("p", "n")
     block = F.when(paired, stable_digest(seed, unit, "i")).otherwise(stable_digest(seed + "-alone", key))
-    return ranked.join(F.broadcast(mates), unit).select(key, block.alias("block"), F.when(paired, F.col(label)).otherwise(0).alias("within"))
+    return ranked.join(mates, unit).select(key, block.alias("block"), F.when(paired, F.col(label)).otherwise(0).alias("within"))
 
 
 def block_order(df: DataFrame, unit: str, key: str, batch: int, label: str = "label", seed: str = "block") -> DataFrame:
@@ -142,4 +142,4 @@ def block_order(df: DataFrame, unit: str, key: str, batch: int, label: str = "la
     ranked = digest_places(df.select(unit, key, label), [unit, label], seed, key, "i").withColumn("i", F.col("i") - 1)
     mates = df.groupBy(unit).agg((F.least(F.floor(F.count_if(F.col(label) == 1) / half), F.floor(F.count_if(F.col(label) == 0) / half)) * half).alias("full"))
     number = F.floor(F.col("i") / half)
-    return ranked.join(F.broadcast(mates), unit).select(key, F.when(F.col("i") < F.col("full"), "full").otherwise("rest").alias("kind"), F.when(F.col("i") < F.col("full"), F.concat_ws(":", unit, number.cast("string"))).alias("block"))
+    return ranked.join(mates, unit).select(key, F.when(F.col("i") < F.col("full"), "full").otherwise("rest").alias("kind"), F.when(F.col("i") < F.col("full"), F.concat_ws(":", unit, number.cast("string"))).alias("block"))

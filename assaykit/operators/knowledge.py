@@ -9,7 +9,7 @@ from ..functions.parsing import length_similarity, lexical_relevance, number_rec
 from ..functions.scalar import single_spaced, stable_digest
 from ..functions.text import key_terms
 from .index import TextIndex, build_index, search
-from .ranks import digest_places, value_places
+from .ranks import digest_places, joined, value_places
 
 
 def search_fields(docs: DataFrame, queries: DataFrame, key: str, fields: dict[str, float], query_key: str, query_text: str, k: int) -> DataFrame:
@@ -103,11 +103,11 @@ def entity_cards(facts: DataFrame, labels: DataFrame, meta: list[str], most: int
     named = kept.join(labels.withColumnsRenamed({"id": "object"}), "object", "left").withColumn("line", F.concat_ws(": ", "predicate", F.coalesce("label", "object")))
     known = facts.select(F.col("entity").alias("object")).distinct().withColumn("known", F.lit(1))
     rows = named.join(known, "object", "left")
-    # Of a hub only its first lines are kept: rank them before they are gathered.
-    ranked = rows.withColumn("r", F.dense_rank().over(Window.partitionBy("entity").orderBy("line"))).groupBy("entity").agg(
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("r") <= most, F.col("line")))), "\n").alias("card"), F.count_distinct("line").alias("facts"), F.count_distinct(F.when(F.col("known") == 1, F.col("object"))).alias("references")
-    )
-    return ranked
+    # Of a hub only its first lines are kept: the limit on the rank drops the others before the shuffle.
+    first = rows.select("entity", "line").distinct().withColumn("r", F.row_number().over(Window.partitionBy("entity").orderBy("line"))).filter(F.col("r") <= most)
+    card = first.groupBy("entity").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("card"))
+    counts = rows.groupBy("entity").agg(F.count_distinct("line").alias("facts"), F.count_distinct(F.when(F.col("known") == 1, F.col("object"))).alias("references"))
+    return joined(counts, ["entity"], card).select("entity", "card", "facts", "references")
 
 
 def build_facts(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -116,13 +116,13 @@ def build_facts(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     Ids of nodes are counted within ranges of their digest and offset by the ranges before, so no task numbers all of them.
     """
     rows = facts.filter("subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL").distinct()
-    names = rows.select(F.explode(F.array("subject", "object")).alias("name")).distinct().withColumn("d", F.sha2("name", 256)).withColumn("p", F.left("d", F.lit(2)))
+    names = rows.select(F.explode(F.array("subject", "object")).alias("name")).distinct().withColumn("d", F.sha2("name", 256)).withColumn("p", F.left("d", F.lit(4)))
     sizes = names.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-    offsets = sizes.withColumn("before", F.sum("n").over(Window.orderBy("p")) - F.col("n")).select("p", "before")  # 256 rows
+    offsets = sizes.withColumn("before", F.sum("n").over(Window.orderBy("p")) - F.col("n")).select("p", "before")  # at most 65,536 rows
     nodes = names.join(F.broadcast(offsets), "p").select("name", (F.row_number().over(Window.partitionBy("p").orderBy("d", "name")) - 1 + F.col("before")).alias("node"))
     predicates = rows.select("predicate").distinct().withColumn("pid", F.row_number().over(Window.orderBy("predicate")) - 1)  # few
     s, o = (nodes.withColumnsRenamed({"name": c, "node": f"{c}_id"}) for c in ("subject", "object"))
-    return nodes, predicates, rows.join(s, "subject").join(o, "object").join(F.broadcast(predicates), "predicate").select("subject_id", "pid", "object_id", "year")
+    return nodes, predicates, rows.join(s, "subject").join(o, "object").join(predicates, "predicate").select("subject_id", "pid", "object_id", "year")
 
 
 def candidate_facts(claims: DataFrame, facts: DataFrame, n: int) -> DataFrame:
@@ -146,13 +146,13 @@ def synthesize(facts: DataFrame, templates: DataFrame, functional: list[str], se
     """``entity, predicate, question, answer, label``: one example a fact and template; every second functional fact (by digest) answers with another entity's value.
 
     ``facts (entity, predicate, value)`` with one value each, ``templates (predicate, question)`` where ``{}`` stands for the entity. The other value is the
-    next of the predicate's distinct values; a predicate of one value keeps it, and its label is 1.
+    next of the predicate's distinct values in the order of digests, after the last the first; a predicate of one value keeps it, and its label is 1.
     """
     values = facts.select("predicate", "value").distinct()
-    w = Window.partitionBy("predicate").orderBy("value")
-    nexts = values.withColumn("other", F.coalesce(F.lead("value").over(w), F.first("value").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    placed = digest_places(values, ["predicate"], seed, "value", "i", "n")
+    nexts = placed.withColumn("j", F.col("i") % F.col("n") + 1).join(placed.select("predicate", F.col("i").alias("j"), F.col("value").alias("other")), ["predicate", "j"]).select("predicate", "value", "other")
     flip = F.col("predicate").isin(functional) & (F.substring(stable_digest(seed, "entity", "predicate"), 1, 1) < "8")
-    rows = facts.join(nexts, ["predicate", "value"]).join(F.broadcast(templates), "predicate")
+    rows = facts.join(nexts, ["predicate", "value"]).join(templates, "predicate")
     answer = F.when(flip, F.col("other")).otherwise(F.col("value"))
     return rows.select("entity", "predicate", F.replace("question", F.lit("{}"), F.col("entity")).alias("question"), answer.alias("answer"), (answer == F.col("value")).cast("int").alias("label"))
 

@@ -9,9 +9,16 @@ from pyspark.sql import functions as F
 
 from ..functions.parsing import terms
 
+MOST_TEMPLATES = 10_000
+
 
 def assemble(df: DataFrame, templates: DataFrame, key: str, text: str, refs: DataFrame | None = None) -> DataFrame:
-    """``key, template, record``: each row under each template (``template, head, tail``, a small table), with its reference block if it has one."""
+    """``key, template, record``: each row under each template (``template, head, tail``), with its reference block if it has one.
+
+    More than ``MOST_TEMPLATES`` templates are an error: every task holds all of them.
+    """
+    if templates.limit(MOST_TEMPLATES + 1).count() > MOST_TEMPLATES:
+        raise ValueError(f"more than {MOST_TEMPLATES} templates")
     rows = df.select(key, text)
     rows = rows.join(refs.select(key, "reference"), key, "left") if refs is not None else rows.withColumn("reference", F.lit(None).cast("string"))
     block = F.when(F.col("reference").isNotNull(), F.concat(F.lit("<reference>"), "reference", F.lit("</reference>")))

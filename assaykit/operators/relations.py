@@ -124,7 +124,7 @@ def assign_donors(df: DataFrame, unit: str, key: str, seed: str = "donor") -> Da
     ring = units.join(F.broadcast(n_units)).withColumn("t", F.when(F.col("k") > 1, F.pmod(F.col("u") + 1, F.col("k"))))
     nexts = ring.join(units.select(F.col("u").alias("t"), F.col(unit).alias("target"), F.col("n").alias("m")), "t", "left").select(unit, "target", "m")
     placed = digest_places(df.select(unit, key), [unit], seed, key, "i").select(unit, key, (F.col("i") - 1).alias("i"))
-    asks = placed.join(F.broadcast(nexts), unit).withColumn("j", F.when(F.col("m").isNotNull(), F.pmod(F.col("i") + F.floor(F.col("m") / 2), F.col("m"))))
+    asks = placed.join(nexts, unit).withColumn("j", F.when(F.col("m").isNotNull(), F.pmod(F.col("i") + F.floor(F.col("m") / 2), F.col("m"))))
     gives = placed.select(F.col(unit).alias("target"), F.col("i").cast("long").alias("j"), F.col(key).alias("donor"))
     return asks.join(gives, ["target", "j"], "left").select(key, "donor")
 

@@ -219,7 +219,7 @@ WITH {_FACTS}, m AS (SELECT entity, predicate, list_sort(list(DISTINCT object))
 s AS (SELECT *, (predicate = routed)::INT * 100 + contains(lower(question), lower(entity))::INT * 40 + (len(list_filter(vs, lambda o: contains(lower(answer), lower(o)))) > 0)::INT * 25 + 8 * len(list_intersect({_terms("v", 2)}, {_terms("answer", 2)})) + 3 * len(list_intersect({_terms("v", 2)}, {_terms("question", 2)})) AS score FROM x),
 r AS (SELECT *, row_number() OVER (PARTITION BY claim ORDER BY score DESC, popularity DESC, predicate) AS i FROM s) SELECT claim, 'C' || lpad((i - 1)::VARCHAR, 2, '0') AS candidate, entity, predicate, score FROM r WHERE i <= 4"""),
     "synthetic_examples": (synthetic, f"""
-WITH {_FACTS}, g AS (SELECT * FROM f WHERE predicate <> 'sells'), v AS (SELECT predicate, object, coalesce(lead(object) OVER w, first_value(object) OVER w) AS other FROM (SELECT DISTINCT predicate, object FROM g) WINDOW w AS (PARTITION BY predicate ORDER BY object)),
+WITH {_FACTS}, g AS (SELECT * FROM f WHERE predicate <> 'sells'), v AS (SELECT predicate, object, coalesce(lead(object) OVER w, first_value(object) OVER w) AS other FROM (SELECT DISTINCT predicate, object FROM g) WINDOW w AS (PARTITION BY predicate ORDER BY sha256('synth' || chr(31) || object), object)),
 x AS (SELECT g.entity, predicate, g.object, CASE WHEN predicate = 'nation' AND sha256('synth' || chr(31) || g.entity || chr(31) || predicate)[1:1] < '8' THEN other ELSE g.object END AS answer FROM g JOIN v USING (predicate, object))
 SELECT entity, predicate, CASE predicate WHEN 'nation' THEN 'Where is ' || entity || '?' ELSE 'What is ' || entity || ' part of?' END AS question, answer, (answer = object)::INT AS label FROM x"""),
     "twin_rows": (twin_rows, """

@@ -40,17 +40,25 @@ def _parsed(lines: DataFrame, schema: str) -> DataFrame:
     return lines.withColumn("r", F.from_json("value", fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})).withColumn("_corrupt", F.coalesce("r._corrupt", F.when(F.col("r").isNull() | ~F.ltrim("value").startswith("{"), F.col("value"))))
 
 
+def _first_bad_line(spark: SparkSession, path: str, schema: str) -> str:
+    """File, number and begin of the first line that is no object of the schema. Row ids rise with the place in a single file."""
+    rows = _parsed(spark.read.text(path).withColumn("__id", F.monotonically_increasing_id()), schema)
+    bad = rows.filter("_corrupt IS NOT NULL AND trim(value) <> ''").agg(F.min(F.struct("__id", "value")).alias("b")).first()["b"]
+    number = rows.filter(F.col("__id") < bad["__id"]).count() + 1
+    return f"{path.rsplit('/', 1)[-1]}:{number}: not an object of the schema: {bad['value'][:100]}"
+
+
 def read_jsonl(spark: SparkSession, paths: str | list[str], schema: str, mode: str = "strict", defaults: dict | None = None) -> DataFrame:
-    """One object a line. ``strict``: a line that is none, or ill-typed, is an error that names its file and text; ``lenient``: it is left out.
+    """One object a line. ``strict``: a line that is none, or ill-typed, is an error that names its file, number and text; ``lenient``: it is left out.
 
     Only the fields of the schema are kept; those that a line lacks get their default. Empty lines are left out. Paths must exist.
     """
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_name").alias("_file")).filter(F.trim("value") != "")
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("_file")).filter(F.trim("value") != "")
     rows = _parsed(lines, schema)
     if mode == "strict":
         bad = rows.filter("_corrupt IS NOT NULL").select("_file", "value").head(1)
         if bad:
-            raise ValueError(f"{bad[0]['_file']}: not an object of the schema: {bad[0]['value'][:100]}")
+            raise ValueError(_first_bad_line(spark, bad[0]["_file"], schema))
     out = rows.filter("_corrupt IS NULL").select(*[F.col(f"r.`{f.name}`") for f in T.StructType.fromDDL(schema).fields])
     return out.fillna(defaults) if defaults else out
 
@@ -91,7 +99,7 @@ def load_labels(spark: SparkSession, uri: str, label_col: str, id_col: str = "in
     rows = raw.select("_metadata.file_path", "_metadata.row_index", label)
     sizes = rows.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
     starts = sizes.withColumn("start", F.sum("n").over(Window.orderBy("file_path")) - F.col("n"))  # one row a file
-    return rows.join(F.broadcast(starts), "file_path").select((F.col("start") + F.col("row_index")).alias("index"), "label")
+    return rows.join(starts, "file_path").select((F.col("start") + F.col("row_index")).alias("index"), "label")
 
 
 def scan_category(spark: SparkSession, root: str, category: str) -> DataFrame:
