@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import running_before
 from .textio import WORD, cut
 
 BLOCK_WORDS, MOST_BLOCKS = 50_000, 1 << 16
@@ -110,6 +111,18 @@ def place(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.join(named, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__b", F.pmod("__h", F.col("__nb"))).drop("__source", "__nb")
 
 
+def words_before(rows: DataFrame) -> DataFrame:
+    """``__u``: the words of the rows before each one in its source, in the order of ``__h``, then doc_id.
+
+    Sizes are added up by ranges of ``__h``, so the block of a source that is cut is no single task; rows of one hash, copies of
+    one document, are a window of their own, from the words of the hashes before.
+    """
+    upto = Window.partitionBy("__s", "__h").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    cells = rows.groupBy("__s", "__h").agg(F.sum("size").alias("w"))
+    before = running_before(cells, ["__s"], "__h", ["w"]).select("__s", "__h", F.col("w_before").alias("__before"))
+    return rows.join(before, ["__s", "__h"]).withColumn("__u", F.col("__before") + F.sum("size").over(upto) - F.col("size")).drop("__before")
+
+
 def take_words(rows: DataFrame, sizes: DataFrame | None = None, n_shards: int = 8, weights=(1, 2, 3), most: float = 3, seed: int = 23, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Each row of ``rows`` (made by ``measured``) with what the mix takes of it.
 
@@ -127,8 +140,7 @@ def take_words(rows: DataFrame, sizes: DataFrame | None = None, n_shards: int =
     is_cut = F.exists("draws", lambda d: d["room"].isNotNull())
     whole = lambda d: F.struct(d["epoch"].alias("epoch"), d["shard"].alias("shard"), F.col("size").alias("words"))
     uncut = placed.filter(~F.coalesce(is_cut, F.lit(False))).withColumn("takes", F.coalesce(F.transform("draws", whole), F.expr("array()").cast("array<struct<epoch:int,shard:int,words:bigint>>")))
-    within = Window.partitionBy("__s").orderBy("__h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    some = placed.filter(is_cut).withColumn("__u", F.sum("size").over(within) - F.col("size"))  # words before this row
+    some = words_before(placed.filter(is_cut))
     part = lambda d: F.struct(d["epoch"].alias("epoch"), d["shard"].alias("shard"), F.when(d["room"].isNull(), F.col("size")).otherwise(F.least(F.col("size"), d["room"] - F.col("__u"))).alias("words"))
     some = some.withColumn("takes", F.transform(F.filter("draws", lambda d: d["room"].isNull() | (d["room"] > F.col("__u"))), part)).drop("__u")
     sized = F.broadcast(sources.select("__s", "source_size", "target"))

@@ -52,6 +52,7 @@ def shuffle_shards(df: DataFrame, n_shards: int, seed: int = 17, text: str = "te
     offset_of = np.zeros(n_buckets, np.int64)
     for b, o in offsets.toLocalIterator():
         offset_of[b] = o
+    sent = df.sparkSession.sparkContext.broadcast(offset_of)  # eight bytes a bucket, once an executor
     at_bucket = salted.columns.index(_BUCKET)
     fields = T.StructType([*df.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
 
@@ -74,7 +75,7 @@ def shuffle_shards(df: DataFrame, n_shards: int, seed: int = 17, text: str = "te
         b = int(table.column(_BUCKET)[0].as_py())
         body = table.drop_columns([_BUCKET, _HASH])
         rows = np.argsort(table.column(_HASH).to_numpy(), kind="stable")  # the order of arrival must not matter
-        place = offset_of[b] + np.arange(len(rows), dtype=np.int64)
+        place = sent.value[b] + np.arange(len(rows), dtype=np.int64)
         picked = rows[fisher_yates(len(rows), [seed, b])]
         for at in range(0, len(picked), 1000):
             part = body.take(pa.array(picked[at : at + 1000])).combine_chunks()
