@@ -10,13 +10,17 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 500_000
 BATCH_ROWS = 1000
+MOST_AMONG = 16_000_000  # ids of four bytes
 #: The separators of words: space and the control characters 0x09 to 0x0D.
 SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,6 +45,36 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_parts(spark: SparkSession, parts: Iterable[DataFrame]) -> DataFrame:
+    """Write frames of one schema one after another to one folder, and read them as one."""
+    path, schema = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}", None
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        schema = schema or part.schema
+    return spark.read.schema(schema).parquet(path)
+
+
+def among(ids: DataFrame) -> Callable[[Column], Column]:
+    """Whether a long is one of ``ids`` (one column), or in rare cases another: a test by 32 bits of a hash, four bytes an id in each task.
+
+    It tells which rows need not go to a join. Beyond ``MOST_AMONG`` ids it lets all rows pass, so the driver's part is bounded.
+    """
+    hashed = lambda c: (F.xxhash64(c.cast("long")).bitwiseAND(F.lit(2**32 - 1)) - F.lit(2**31)).cast("int")
+    short = cut(ids.select(hashed(F.col(ids.columns[0])).alias("h")).distinct())
+    if short.count() > MOST_AMONG:
+        return lambda column: F.lit(True)
+    known = ids.sparkSession.sparkContext.broadcast(np.sort(short.toArrow().column("h").to_numpy()))
+
+    @F.pandas_udf("boolean")
+    def held(h: pd.Series) -> pd.Series:
+        have = known.value
+        x = h.to_numpy(np.int32)
+        at = np.minimum(np.searchsorted(have, x), len(have) - 1)
+        return pd.Series(have[at] == x if len(have) else np.zeros(len(x), bool))
+
+    return lambda column: held(hashed(column))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Texts go to the workers in Arrow batches of at most ``BATCH_ROWS``, so that buffers on both sides stay small."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

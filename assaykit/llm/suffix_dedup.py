@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textio import chunks, cut, mix, powers, small_batches, text_bytes, tidy, word_bounds
+from .textio import among, chunks, cut, cut_parts, mix, powers, small_batches, text_bytes, tidy, word_bounds
 
 SPAN, TOKEN = 400, 32
 PASSAGE_SPAN, PASSAGE_WORDS = 200, 51  # passages of over 50 words; as bytes, words of under three letters on average are too short
@@ -32,7 +32,7 @@ HOT, MOST_HOT = 64, 1 << 16  # contexts found this often are resolved without a
 PIECE = 250_000
 _POSITION_BITS = 23
 PARTS = 4  # tokens of a window in the multikey sort
-MOST_BROADCAST_ENTRIES = 1_000_000  # contexts or span ends, up to 48 bytes each
+MOST_BROADCAST_ENTRIES = 1_000_000  # contexts or span ends, up to 48 bytes each, that are sent to all tasks at a time
 MOST_IN_BUCKET = 16_384  # contexts of one leading token that one task compares
 ROWS_A_BUCKET = 8_192
 _U = np.uint64
@@ -163,21 +163,39 @@ def hot_contexts(kinds: DataFrame) -> np.ndarray:
 
 
 def _contexts(batches, span: int):
-    """The bytes of the contexts asked for: columns k, text, wanted (list of ah, lo, more, edge)."""
+    """The bytes of the contexts asked for: columns k, text, wanted (list of ah, lo, more, edge, kinds)."""
     for batch in batches:
         key = batch.column(0)
         body, offsets = text_bytes(batch.column(1))
         view = memoryview(np.ascontiguousarray(body))
         lists = batch.column(2)
         flat = lists.flatten()
-        ah, lo, more, edge = (flat.field(i) for i in range(4))
+        ah, lo, more, edge, kinds = (flat.field(i) for i in range(5))
         row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
         start = offsets[row] + lo.to_numpy()
         end = start + more.to_numpy() + span
         for at in range(0, len(row), 5000):
             to = min(len(row), at + 5000)
             ctx = pa.array([bytes(view[a:b]) for a, b in zip(start[at:to].tolist(), end[at:to].tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([ah.slice(at, to - at), key.take(pa.array(row[at:to])), lo.slice(at, to - at), more.slice(at, to - at), edge.slice(at, to - at), ctx], names=["ah", "k", "lo", "more", "edge", "ctx"])
+            yield pa.RecordBatch.from_arrays([ah.slice(at, to - at), key.take(pa.array(row[at:to])), *[x.slice(at, to - at) for x in (lo, more, edge)], ctx, kinds.slice(at, to - at)], names=["ah", "k", "lo", "more", "edge", "ctx", "kinds"])
+
+
+def _asked(texts: DataFrame, wanted: DataFrame, n_wanted: int, span: int) -> DataFrame:
+    """``ah, k, lo, more, edge, ctx, kinds``: the bytes of the contexts ``wanted (k, w)``.
+
+    Texts are never shuffled: the list is dealt by key to slices of about ``MOST_BROADCAST_ENTRIES``, which are sent to all tasks one after
+    another, and each slice reads the texts once; of several slices the contexts are written.
+    """
+    slices = max(1, -(-n_wanted // MOST_BROADCAST_ENTRIES))
+
+    def one(part: DataFrame) -> DataFrame:
+        grouped = part.groupBy("k").agg(F.collect_list("w").alias("ws"))
+        found = texts.join(F.broadcast(grouped), "k").select("k", "text", "ws")
+        return found.mapInArrow(tidy(lambda batches: _contexts(batches, span)), "ah long, k long, lo long, more int, edge boolean, ctx binary, kinds long")
+
+    if slices == 1:
+        return one(wanted)
+    return cut_parts(texts.sparkSession, (one(wanted.filter(F.pmod("k", F.lit(slices)) == s)) for s in range(slices)))
 
 
 def window_tokens(body: np.ndarray, starts: np.ndarray, span: int) -> list[np.ndarray]:
@@ -291,17 +309,13 @@ def repeated_spans(texts: DataFrame, span: int = SPAN) -> DataFrame:
     # Contexts to compare: those seen once whose token is not, and one of each kind that they may partly equal.
     wanted = cut(shared.filter("least = 1 AND kinds > 1").select("k", F.struct("ah", "lo", "more", (F.col("c") == 1).alias("edge"), "kinds").alias("w")))
     n_wanted = wanted.count()
-    grouped = wanted.groupBy("k").agg(F.collect_list("w").alias("ws"))
-    few = n_wanted <= MOST_BROADCAST_ENTRIES
-    joined = texts.join(F.broadcast(grouped) if few else grouped, "k")
-    usual = joined.withColumn("ws", F.filter("ws", lambda w: w["kinds"] <= MOST_IN_BUCKET)).filter(F.size("ws") > 0)
-    crowded = joined.withColumn("ws", F.filter("ws", lambda w: w["kinds"] > MOST_IN_BUCKET)).filter(F.size("ws") > 0)
-    fields = "ah long, k long, lo long, more int, edge boolean, ctx binary"
+    contexts = _asked(texts, wanted, n_wanted, span)
+    usual, crowded = (contexts.filter(kept).drop("kinds") for kept in (F.col("kinds") <= MOST_IN_BUCKET, F.col("kinds") > MOST_IN_BUCKET))
     n_buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_wanted // ROWS_A_BUCKET))
-    found = usual.select("k", "text", "ws").mapInArrow(per_task(_contexts, span), fields).repartitionByRange(n_buckets, "ah").mapInArrow(per_task(_bucket, span), "k long, lo long, more int")
+    found = usual.repartitionByRange(n_buckets, "ah").mapInArrow(per_task(_bucket, span), "k long, lo long, more int")
     parts.append(found)
     if not wanted.filter(F.col("w.kinds") > MOST_IN_BUCKET).isEmpty():
-        windows = cut(crowded.select("k", "text", "ws").mapInArrow(per_task(_contexts, span), fields).mapInArrow(per_task(_exploded, span), "a long, b long, k long, lo long, edge boolean"))
+        windows = cut(crowded.mapInArrow(per_task(_exploded, span), "a long, b long, k long, lo long, edge boolean"))
         twice = cut(windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("a", "b"))
         parts.append(windows.filter("edge").join(twice, ["a", "b"]).select("k", "lo", F.lit(0).alias("more")))
     every = parts[0]
@@ -334,7 +348,8 @@ def remove_repeats(df: DataFrame, as_text: bool = False, span: int = SPAN, least
     Null texts count as empty; texts under ``span`` bytes lose nothing. A repeated row is a second place of each of its
     strings, so both lose all that is longer. Texts of any length are read in overlapping pieces. Clashing columns are
     replaced; an empty table gives no rows. Texts are read three times and not shuffled while the lists of contexts
-    and spans have up to ``MOST_BROADCAST_ENTRIES`` entries; beyond that they are joined by shuffle.
+    and spans have up to ``MOST_BROADCAST_ENTRIES`` entries. Beyond that they are read once for each so many contexts, and only texts that
+    lose a span meet their spans by shuffle.
     """
     small_batches(df.sparkSession)
     if span % PARTS:
@@ -350,7 +365,12 @@ def remove_repeats(df: DataFrame, as_text: bool = False, span: int = SPAN, least
         few = few and few_entries(others)
         spans = spans.join(others.select("k", F.col("begins").alias("__pb"), F.col("ends").alias("__pe")), "k", "full_outer")
     sized = df.withColumn("__k", key)
-    joined = sized.join(F.broadcast(spans) if few else spans, F.col("__k") == F.col("k"), "left").drop("__k", "k")
+    if few:
+        joined = sized.join(F.broadcast(spans), F.col("__k") == F.col("k"), "left").drop("__k", "k")
+    else:
+        some = among(spans.select("k"))
+        met = sized.filter(some(F.col("__k"))).join(spans.hint("merge"), F.col("__k") == F.col("k"), "left").drop("__k", "k")
+        joined = sized.filter(~some(F.col("__k"))).drop("__k").unionByName(met, allowMissingColumns=True).select(*met.columns)
     names = df.columns
     at_text = names.index("text")
 

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from assaykit.llm import mixing, ngram_join, pieces, quality, suffix_dedup
 from assaykit.llm.queries import model_path, read
-from assaykit.llm.textio import cut, shared_dir
+from assaykit.llm.textio import among, cut, shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-MOST_BROADCAST_IDS = 2_000_000
+MOST_BROADCAST_IDS = 200_000
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """The document with the least id of each component of near duplicates; of its rows that share the id, each text once."""
     found = ngram_join.jaccard_components(docs)
     gone = cut(found.filter("component_id <> doc_id").select("doc_id").distinct())
-    small = gone.count() <= MOST_BROADCAST_IDS
-    left = docs.select(*COLUMNS).join(F.broadcast(gone) if small else gone, "doc_id", "left_anti")
+    docs = docs.select(*COLUMNS)
+    if gone.count() <= MOST_BROADCAST_IDS:
+        left = docs.join(F.broadcast(gone), "doc_id", "left_anti")
+    else:  # only documents that may go meet the list; null ids are of none
+        some = F.coalesce(among(gone)(F.col("doc_id")), F.lit(False))
+        left = docs.filter(~some).unionByName(docs.filter(some).join(gone.hint("merge"), "doc_id", "left_anti"))
     twice = cut(docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id"))
     if twice.isEmpty():
         return left.select(*COLUMNS)

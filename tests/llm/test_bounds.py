@@ -5,7 +5,7 @@ import tempfile
 
 import numpy as np
 
-from assaykit.llm import ngram_join, queries, token_counts
+from assaykit.llm import ngram_join, queries, suffix_dedup, token_counts
 
 
 def test_unrelated_groups_share_no_cells(spark):
@@ -100,3 +100,29 @@ def test_counts_of_the_query_and_its_batches(spark):
         assert (rows[i]["n_tokens"], rows[i]["n_bytes"], rows[i]["over_limit"]) == (n, len((t or "").encode()), n > 4096)
         fit = rows[i]["fit_bytes"]
         assert len(sp.encode((t or "").encode()[:fit].decode())) <= 4096 and (fit == len((t or "").encode())) == (n <= 4096)
+
+
+def _shuffled(spark) -> int:
+    """Bytes of shuffles written by all stages so far."""
+    new = spark.sparkContext._jvm.java.util.ArrayList
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(new(), False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), new()).iterator()
+    total = 0
+    while stages.hasNext():
+        total += stages.next().shuffleWriteBytes()
+    return total
+
+
+def test_long_lists_of_contexts_do_not_shuffle_the_texts(spark, monkeypatch):
+    """Beyond the bound on what is broadcast, the result stays and texts without repeats go to no shuffle."""
+    rng = np.random.default_rng(5)
+    shared = rng.bytes(450).hex()
+    rows = [(i, rng.bytes(10_000).hex() + (shared if i < 3 else "")) for i in range(150)] + [(900, None), (901, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lambda: sorted(tuple(r) for r in suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans").collect())
+    start = _shuffled(spark)
+    usual = found()
+    assert [r[2] for r in usual[:4]] == [900, 900, 900, 0]
+    monkeypatch.setattr(suffix_dedup, "MOST_BROADCAST_ENTRIES", 1)
+    before = _shuffled(spark)
+    assert found() == usual
+    assert (_shuffled(spark) - before) - (before - start) < 500_000  # of 3,000,000 bytes of text, which two shuffles carried
