@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by contraction; nothing is gathered on the driver."""
+"""Connected components of a table of links, by contraction; nothing is gathered on the driver, and no join is broadcast."""
 
 from __future__ import annotations
 
@@ -20,10 +20,10 @@ def components(links: DataFrame, u: str = "x", v: str = "y") -> DataFrame:
     while not edges.isEmpty():
         to = cut(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to")))
         for _ in range(2):
-            to = to.join(to.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").select("node", F.col("next").alias("to"))
+            to = to.join(to.select(F.col("node").alias("to"), F.col("to").alias("next")).hint("merge"), "to").select("node", F.col("next").alias("to"))
         to = cut(to)
-        labels = to.withColumnRenamed("to", "label") if labels is None else labels.join(to.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-        moved = edges.join(to.select(F.col("node").alias("a"), F.col("to").alias("p")), "a").join(to.select(F.col("node").alias("b"), F.col("to").alias("q")), "b")
+        labels = to.withColumnRenamed("to", "label") if labels is None else labels.join(to.withColumnRenamed("node", "label").hint("merge"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        moved = edges.join(to.select(F.col("node").alias("a"), F.col("to").alias("p")).hint("merge"), "a").join(to.select(F.col("node").alias("b"), F.col("to").alias("q")).hint("merge"), "b")
         edges = cut(moved.filter("p <> q").select(F.col("p").alias("a"), F.col("q").alias("b")).distinct())
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
