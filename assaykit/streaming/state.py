@@ -45,15 +45,25 @@ def rate_limit(events: DataFrame, most: int, seconds: float, exempt: tuple[str,
 
     Exempt keys and limits of 0 let all pass. Order is by time, then event. Windows depend on all earlier ones of their key, so they
     are found by following, for each key, the first event after the window; only window starts are followed, and each
-    event is then counted within its own window.
+    event is then counted within its own window. Times are dealt to slots as long as a window, so that a task orders one slot of a key;
+    what lies in later or earlier slots is known from one row a slot.
     """
     e = events.select(F.col("key").cast("string"), F.col("event").cast("string"), F.col("at").cast("double"))
     if most <= 0 or seconds <= 0:
         return e.select("*", F.lit(True).alias("allowed"), F.lit(0).alias("retry_after"))
     free = F.col("key").isin(*exempt) if exempt else F.lit(False)
-    limited = e.filter(~F.coalesce(free, F.lit(False)))
-    after = Window.partitionBy("key").orderBy("at").rangeBetween(seconds, Window.unboundedFollowing)
-    steps = cut(limited.groupBy("key", "at").agg(F.count(F.lit(1)).alias("n")).select("key", "at", F.min("at").over(after).alias("next")))
+    slot = lambda c: F.floor(F.col(c) / seconds)
+    limited = e.filter(~F.coalesce(free, F.lit(False))).withColumn("slot", slot("at"))
+    times = cut(limited.filter("key IS NOT NULL AND at IS NOT NULL").select("key", "at").distinct())
+    ends = times.select("key", "at", (F.col("at") + seconds).alias("x"), F.lit(True).alias("end"))
+    marks = times.select("key", "at", F.col("at").alias("x"), F.lit(False).alias("end"))
+    both = marks.unionByName(ends).withColumn("slot", slot("x"))
+    # From the last one on, an end has passed the times that are not before it.
+    passed = Window.partitionBy("key", "slot").orderBy(F.desc("x"), "end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = both.withColumn("near", F.min(F.when(~F.col("end"), F.col("x"))).over(passed)).filter("end").select("key", "at", "slot", "near")
+    behind = Window.partitionBy("key").orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)  # one row a slot
+    later = both.groupBy("key", "slot").agg(F.min(F.when(~F.col("end"), F.col("x"))).alias("first")).withColumn("later", F.min("first").over(behind)).drop("first")
+    steps = cut(near.join(later, ["key", "slot"]).select("key", "at", F.coalesce("near", "later").alias("next")))
     starts = front = cut(steps.groupBy("key").agg(F.min("at").alias("at")))
     jump = steps.select("key", "at", "next")
     while True:  # starts found so far, and jumps that double in length
@@ -64,7 +74,11 @@ def rate_limit(events: DataFrame, most: int, seconds: float, exempt: tuple[str,
         starts = found
         jump = cut(jump.join(jump.select("key", F.col("at").alias("next"), F.col("next").alias("further")), ["key", "next"], "left").select("key", "at", F.col("further").alias("next")))
     marked = limited.join(starts.withColumn("opens", F.lit(True)), ["key", "at"], "left")
-    begun = marked.withColumn("start", F.max(F.when(F.col("opens"), F.col("at"))).over(Window.partitionBy("key").orderBy("at")))
+    before = Window.partitionBy("key").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)  # one row a slot
+    earlier = limited.select("key", "slot").distinct().join(starts.groupBy("key", slot("at").alias("slot")).agg(F.max("at").alias("last")), ["key", "slot"], "left")
+    earlier = earlier.withColumn("carried", F.max("last").over(before)).drop("last")
+    own = F.max(F.when(F.col("opens"), F.col("at"))).over(Window.partitionBy("key", "slot").orderBy("at"))
+    begun = marked.withColumn("own", own).join(earlier, ["key", "slot"], "left").withColumn("start", F.coalesce("own", "carried"))
     place = F.row_number().over(Window.partitionBy("key", "start").orderBy("at", "event"))
     done = begun.withColumn("allowed", place <= most)
     wait = F.greatest(F.lit(1), (F.col("start") + seconds - F.col("at")).cast("int") + 1)

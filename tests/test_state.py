@@ -1,7 +1,9 @@
 """Operators with state: the cases of fixed windows, registries and boards, on tables and on streams."""
 
 import tempfile
+import time
 
+import numpy as np
 import pytest
 
 from assaykit.streaming import state
@@ -25,6 +27,19 @@ def test_windows_open_at_the_first_event(spark):
     assert not rows(state.rate_limit(spark.createDataFrame([], SCHEMA), 3, 100))
 
 
+def test_many_events_of_one_key_are_limited_in_time(spark):
+    """80,000 events of a key, whose windows were each looked for among all later events: that took minutes."""
+    rng = np.random.default_rng(3)
+    events = [("a", str(i), float(t)) for i, t in enumerate(np.round(rng.uniform(0, 1000, 80_000), 3))] + [("b", str(i), 7.3 * i * i) for i in range(40)]
+    began = time.time()
+    got = rows(state.rate_limit(spark.createDataFrame(events, SCHEMA), 3, 43.7))
+    assert time.time() - began < 60
+    for key in "ab":
+        own = sorted((t, e) for k, e, t in events if k == key)
+        allowed, retry, _, _ = state._consume([t for t, _ in own], None, 0, 3, 43.7)
+        assert [got[key, e] for _, e in own] == list(zip(allowed, retry, strict=True))
+
+
 def feed(spark, folder, parts, schema):
     for k, part in enumerate(parts):
         spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{folder}/in/{k}")
