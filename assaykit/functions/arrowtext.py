@@ -55,11 +55,11 @@ def cut_parts(spark: SparkSession, parts: Iterable[DataFrame]) -> DataFrame:
 
 
 def among(ids: DataFrame) -> Callable[[Column], Column]:
-    """Whether a long is one of ``ids`` (one column), or in rare cases another: a test by 32 bits of a hash, four bytes an id in each task.
+    """Whether a value is one of ``ids`` (one column of its type), or in rare cases another: a test by 32 bits of a hash, four bytes an id in each task.
 
     It tells which rows need not go to a join. Beyond ``MOST_AMONG`` ids it lets all rows pass, so the driver's part is bounded.
     """
-    hashed = lambda c: (F.xxhash64(c.cast("long")).bitwiseAND(F.lit(2**32 - 1)) - F.lit(2**31)).cast("int")
+    hashed = lambda c: (F.xxhash64(c).bitwiseAND(F.lit(2**32 - 1)) - F.lit(2**31)).cast("int")
     short = cut(ids.select(hashed(F.col(ids.columns[0])).alias("h")).distinct())
     if short.count() > MOST_AMONG:
         return lambda column: F.lit(True)

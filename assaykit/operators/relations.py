@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrowtext import cut
+from ..functions.arrowtext import among, cut
 from ..functions.parsing import terms
 from ..functions.scalar import normalised, stable_digest
 from .ranks import digest_places
@@ -49,24 +49,33 @@ def relation_evidence(claims: DataFrame, facts: DataFrame, functional: list[str]
     return found.select("claim", status.alias("status"))
 
 
+def _name(text: Column) -> Column:
+    """Sixteen bytes that stand for a text."""
+    return F.unhex(F.md5(text))
+
+
 def _shared_words(one: DataFrame, two: DataFrame, least: int) -> DataFrame:
-    """``a, b, n``: pairs of distinct texts of two tables (m) with at least so many words in common, and how many.
+    """``a, b, n``: the ``_name`` of pairs of distinct texts of two tables (m) with at least so many words in common, and how many.
 
-    Words are ordered by how rarely texts hold them. Two sets share ``least`` words only if they share one of their first
+    Only words of both tables count, ordered by how rarely texts hold them. Two sets share ``least`` words only if they share one of their first
     (size - least + 1), so texts meet by rare words alone and a word that stands in every text is joined by none that has enough others.
+    Texts go by their names, so that no text is sent with each of its words.
     """
-    words = lambda d: d.select("m", F.explode(F.array_distinct(F.split("m", " "))).alias("w"))
-    sides = [d.select("m").distinct() for d in (one, two)]
-    df = words(sides[0]).unionByName(words(sides[1])).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    words = lambda d: d.select(_name(F.col("m")).alias("id"), F.explode(F.array_distinct(F.split("m", " "))).alias("w"))
+    right = cut(words(two).distinct())
+    left = cut(words(one).join(right.select("w").distinct(), "w", "left_semi").distinct())
+    right = right.join(left.select("w").distinct(), "w", "left_semi")
+    df = cut(left.unionByName(right).groupBy("w").agg(F.count(F.lit(1)).alias("df")))
 
-    def first(d: DataFrame) -> DataFrame:
-        rows = words(d).join(df, "w").groupBy("m").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("s"))
-        kept = rows.filter(F.size("s") >= least).withColumn("ws", F.transform("s", lambda x: x["w"]))
-        return kept.select("m", "ws", F.explode(F.slice("ws", 1, F.size("ws") - (least - 1))).alias("w"))
+    def listed(d: DataFrame) -> DataFrame:
+        rows = d.join(df, "w").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("s"))
+        return cut(rows.filter(F.size("s") >= least).select("id", F.transform("s", lambda x: x["w"]).alias("ws")))
 
-    left, right = (cut(first(d)) for d in sides)
-    pairs = left.select(F.col("m").alias("a"), "ws", "w").join(right.select(F.col("m").alias("b"), F.col("ws").alias("vs"), "w"), "w")
-    return pairs.dropDuplicates(["a", "b"]).select("a", "b", F.size(F.array_intersect("ws", "vs")).alias("n")).filter(F.col("n") >= least)
+    lists = [listed(d).toDF(n, f"{n}_ws") for n, d in (("a", left), ("b", right))]
+    firsts = [d.select(n, F.explode(F.slice(f"{n}_ws", 1, F.size(f"{n}_ws") - (least - 1))).alias("w")) for n, d in zip("ab", lists, strict=True)]
+    pairs = firsts[0].join(firsts[1], "w").select("a", "b").distinct()
+    met = pairs.join(lists[0], "a").join(lists[1], "b")
+    return met.select("a", "b", F.size(F.array_intersect("a_ws", "b_ws")).alias("n")).filter(F.col("n") >= least)
 
 
 def _context(question: Column, mention: Column, values: Column, about: Column) -> Column:
@@ -87,18 +96,21 @@ def link_entities(claims: DataFrame, entities: DataFrame, least: float = 70.0, m
     with_context = {"question", "values"} <= set(claims.columns) and "about" in entities.columns
     c = claims.withColumn("m", normalised(F.col("mention"))).filter("m <> ''")
     e = entities.withColumn("m", normalised(F.col("name"))).filter("m <> ''")
-    names = e.select("entity", "m").distinct()
+    asked, names = (d.select(k, _name(F.col("m")).alias("m")).distinct() for d, k in ((c, "claim"), (e, "entity")))
     words = max(1, int(-(-(least - 20) // 10)))
-    same = c.select("m").distinct().join(names.select("m").distinct(), "m").select("m", F.col("m").alias("name"), F.lit(100.0).alias("score"))
-    shared = _shared_words(c, names, words).filter("a <> b").select(F.col("a").alias("m"), F.col("b").alias("name"), (20.0 + 10 * F.col("n")).alias("score"))
+    same = asked.select("m").distinct().join(names.select("m").distinct(), "m").select("m", F.col("m").alias("name"), F.lit(100.0).alias("score"))
+    shared = _shared_words(c, e, words).filter("a <> b").select(F.col("a").alias("m"), F.col("b").alias("name"), (20.0 + 10 * F.col("n")).alias("score"))
     pairs = same.unionByName(shared).filter(F.col("score") >= least)
-    found = c.select("claim", "m").join(pairs, "m").join(names.withColumnRenamed("m", "name"), "name")
+    found = asked.join(pairs, "m").join(names.withColumnRenamed("m", "name"), "name")
     # An equal name counts as 100 even where more words are shared than that is worth.
     scored = found.groupBy("claim", "entity").agg(F.max(F.struct((F.col("m") == F.col("name")).alias("same"), "score"))["score"].alias("score"))
     context = F.lit(0)
     if with_context:
         texts = e.groupBy("entity").agg(F.max("about").alias("about"))
-        scored = scored.join(c.select("claim", "mention", "question", "values").dropDuplicates(["claim"]), "claim").join(texts, "entity")
+        scored = cut(scored)
+        # Only claims that found an entity send their texts.
+        told = c.filter(among(scored.select("claim"))(F.col("claim"))).select("claim", "mention", "question", "values").dropDuplicates(["claim"])
+        scored = scored.join(told, "claim").join(texts, "entity")
         context = _context(F.col("question"), F.col("mention"), F.col("values"), F.col("about"))
         for pattern, expected in hints:
             fits = F.lit(False)

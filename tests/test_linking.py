@@ -42,3 +42,13 @@ def test_aliases_hints_and_context(spark):
     claims = spark.createDataFrame(rows, "claim long, mention string, question string, values string")
     got = {r["claim"]: (r["entity"], r["score"]) for r in relations.link_entities(claims, entities, hints=[("film", ["film"])]).collect()}
     assert got == {1: (1, 100.0), 2: (2, 100.0), 3: (3, 100.0), 5: (4, 100.0)}
+
+
+def test_texts_do_not_go_with_each_of_their_words(spark):
+    """A mention of 3,000 words was sent once for each of them."""
+    long = " ".join(f"w{k}" for k in range(3000))
+    claims = spark.createDataFrame([(i, f"{long} x{i}") for i in range(20)], "claim long, mention string")
+    entities = spark.createDataFrame([(1, "w1 w2 w3 w4 w5 y"), (2, "w1 w2 w3 w4 z")], "entity long, name string")
+    pairs = relations._shared_words(claims.selectExpr("mention AS m"), entities.selectExpr("name AS m"), 5)
+    assert sorted(r["n"] for r in pairs.collect()) == [5] * 20 and max(len(r["a"]) for r in pairs.collect()) == 16
+    assert relations.link_entities(claims, entities).filter("entity = 1 AND score = 70").count() == 20
