@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrowtext import cut
+
 
 def months(text: Column, end: bool = False) -> Column:
     """Months since year 0 of ``YYYY`` or ``YYYY-MM``; a year alone begins in January and ends in December. Other texts are NULL."""
@@ -48,7 +50,8 @@ def _bounds(sides: list[tuple[DataFrame, list[str]]]) -> tuple[int, int]:
 def _meet(points: DataFrame, point: str, intervals: DataFrame, start: Column, end: Column, on: list[str], low: int, levels: int) -> DataFrame:
     p = points.withColumn("__n", F.explode(_ancestors(levels, F.col(point).cast("long") - low)))
     i = intervals.withColumn("__n", F.explode(_nodes(levels, start.cast("long") - low, end.cast("long") - low)))
-    return p.join(i, [*on, "__n"]).drop("__n")
+    # Nodes are many times the rows that Spark's estimate knows of, so neither side may be broadcast.
+    return p.join(i.hint("merge"), [*on, "__n"]).drop("__n")
 
 
 def holding(points: DataFrame, intervals: DataFrame, on: list[str], point: str, start: str, end: str, slack: int = 0) -> DataFrame:
@@ -105,5 +108,17 @@ def concurrent_holders(facts: DataFrame, held: str | None = None, other: str | N
 
 
 def overlapping_holders(facts: DataFrame) -> DataFrame:
-    """``person, other``: people whose offices belong to one jurisdiction at overlapping times; null ends are open."""
-    return concurrent_holders(facts).select("person", "other").distinct()
+    """``person, other``: people whose offices belong to one jurisdiction at overlapping times; null ends are open.
+
+    People with the same set of facts are one class. Only pairs of classes are joined and made distinct; those that meet are
+    then written out as pairs of people, which no task has to hold.
+    """
+    own = facts.filter("person IS NOT NULL").groupBy("person").agg(F.sort_array(F.collect_set(F.struct("office", "jurisdiction", "start", "end"))).alias("facts"))
+    people = cut(own.withColumn("class", F.md5(F.to_json("facts"))))
+    kinds = people.groupBy("class").agg(F.first("facts").alias("facts")).select("class", F.explode("facts").alias("f")).select("class", "f.*")
+    others = kinds.withColumnsRenamed({"class": "other", "office": "other_office", "start": "other_start", "end": "other_end"})
+    met = overlapping(kinds, others, ["jurisdiction"], "start", "end", "other_start", "other_end").filter(F.col("office") != F.col("other_office"))
+    pairs = cut(met.select("class", F.col("other").alias("other_class")).distinct())
+    first = pairs.join(people.select("class", "person").hint("merge"), "class")
+    both = first.join(people.select(F.col("class").alias("other_class"), F.col("person").alias("other")).hint("merge"), "other_class")
+    return both.filter(F.col("person") != F.col("other")).select("person", "other")

@@ -68,3 +68,15 @@ def test_empty_sides(spark):
     e = spark.createDataFrame([], SCHEMA)
     assert intervals.overlapping(e, e.toDF("k", "j", "c", "d"), ["k"], "a", "b", "c", "d").collect() == []
     assert intervals.facts_for_claims(e.select("k", F.col("i").alias("year")), e, ["k"], "year", "a", "b").collect() == []
+
+
+def test_intervals_are_not_broadcast_and_pairs_of_people_not_gathered(spark):
+    """An exploded side was broadcast through the driver; all pairs of people were made distinct."""
+    facts = spark.createDataFrame([(i, i % 3, 0, 1900 + i % 4, None if i % 7 == 0 else 1901 + i % 4) for i in range(240)] + [(0, 1, 0, 1800, 1801), (None, 1, 0, 1900, 1901)], "person long, office int, jurisdiction int, start int, end int")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan(intervals.concurrent_holders(facts))
+    got = intervals.overlapping_holders(facts)
+    assert "Aggregate" not in plan(got)
+    found = [tuple(r) for r in got.collect()]
+    want = {(r["person"], r["other"]) for r in intervals.concurrent_holders(facts).select("person", "other").collect()}
+    assert len(found) == len(set(found)) and set(found) == want and want
