@@ -110,7 +110,7 @@ def family_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _labelled(spark, sf_dir)
     vectors, names = L.term_vectors(L.word_tfidf(rows, "index", "text", features=2000), "index", 2000)
-    model = L.fit_logistic(vectors.join(rows, "index"), "features", "label")
+    model = L.fit_logistic(cut(vectors.join(rows.select("index", "label"), "index")), "features", "label")
     return spark.createDataFrame([(t, round(v, 4)) for t, v in L.top_features(model, names, 10)], "term string, coefficient double")
 
 

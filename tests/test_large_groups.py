@@ -1,10 +1,11 @@
 """Operators whose groups are cut into ranges, or cut down before a shuffle, against plain loops."""
 
+import math
 import random
 
 import pytest
 
-from assaykit.operators import decisions, knowledge, records
+from assaykit.operators import decisions, knowledge, learning, records
 from assaykit.sources import scans
 
 
@@ -58,3 +59,16 @@ def test_too_many_templates_are_an_error(spark):
     many = spark.range(records.MOST_TEMPLATES + 1).selectExpr("string(id) AS template", "'h' AS head", "'t' AS tail")
     with pytest.raises(ValueError, match="templates"):
         records.assemble(spark.createDataFrame([(1, "x")], "k int, text string"), many, "k", "text")
+
+
+def test_weights_of_terms_are_made_where_a_text_is_read(spark):
+    """Every term of every text was shuffled; now only the counts of texts a term are."""
+    rows = spark.createDataFrame([(1, "red blue red"), (2, "Blue rêd"), (3, None), (4, "red blue blue sky"), (5, "sky")], "k long, t string")
+    got = learning.word_tfidf(rows, "k", "t")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    one = [r for r in got.collect() if r["k"] == 1]
+    idf = {"red": math.log(6 / 4) + 1, "blue": math.log(6 / 4) + 1, "red blue": math.log(6 / 3) + 1, "blue red": math.log(6 / 3) + 1}
+    raw = {"red": (1 + math.log(2)) * idf["red"], "blue": idf["blue"], "red blue": idf["red blue"], "blue red": idf["blue red"]}
+    norm = math.sqrt(sum(w * w for w in raw.values()))
+    assert {r["term"]: round(r["weight"], 9) for r in one} == {t: round(w / norm, 9) for t, w in raw.items()}
+    assert {r["k"] for r in got.collect()} == {1, 2, 4, 5}
