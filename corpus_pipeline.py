@@ -32,7 +32,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     if gone.count() <= MOST_BROADCAST_IDS:
         left = docs.join(F.broadcast(gone), "doc_id", "left_anti")
     else:  # only documents that may go meet the list; null ids are of none
-        some = F.coalesce(among(gone)(F.col("doc_id")), F.lit(False))
+        some = F.coalesce(among(gone)(F.col("doc_id").cast("long")), F.lit(False))
         left = docs.filter(~some).unionByName(docs.filter(some).join(gone.hint("merge"), "doc_id", "left_anti"))
     twice = cut(docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id"))
     if twice.isEmpty():
