@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 from ..functions.arrowtext import chunks, cut, shingle_sets, small_batches, span_hashes, text_bytes, tidy
 from ..functions.scalar import normalised, single_spaced, squeezed
-from . import index
+from .scan import scan_search
 
 SHINGLE, GRAM = 5, 12
 MOST_BROADCAST_KEYS = 1_000_000
 
 
+def _sentences(text: F.Column, least: int) -> F.Column:
+    parts = F.split(F.regexp_replace(single_spaced(text), "([.!?]) ([A-Z0-9\"'(])", "$1\n$2"), "\n")
+    return F.filter(parts, lambda p: F.length(p) >= least)
+
+
 def page_sentences(docs: DataFrame, key: str, text: str, least: int = 32, most: int = 900) -> DataFrame:
     """Sentences of a text within length bounds, the first of those equal but for case, with their place among those of the least length.
 
@@ -22,15 +27,36 @@ def page_sentences(docs: DataFrame, key: str, text: str, least: int = 32, most:
     upper-case letter, a digit, a quote or a parenthesis, so numbers and abbreviations before small letters stay whole.
     Wiki headings and HTML entities are left as they are.
     """
-    parts = F.split(F.regexp_replace(single_spaced(F.col(text)), "([.!?]) ([A-Z0-9\"'(])", "$1\n$2"), "\n")
-    s = docs.select(key, F.posexplode(F.filter(parts, lambda p: F.length(p) >= least)).alias("place", "sentence")).filter(F.length("sentence") <= most)
+    s = docs.select(key, F.posexplode(_sentences(F.col(text), least)).alias("place", "sentence")).filter(F.length("sentence") <= most)
     return s.groupBy(key, F.lower("sentence").alias("folded")).agg(F.min(F.struct("place", "sentence")).alias("first")).select(key, "first.sentence", "first.place")
 
 
+def page_lists(docs: DataFrame, key: str, title: str, text: str, least: int = 32, most: int = 900) -> DataFrame:
+    """``key, title, s``: the sentences of ``page_sentences`` as one array of (place, text) a row, made where the text is read; a key must be its own."""
+    small_batches(docs.sparkSession)
+    known = docs.select(key, F.col(title).alias("title"), _sentences(F.col(text), least).alias("s"))
+    known = known.withColumn("folded", F.transform("s", F.lower)).withColumn("size", F.transform("s", F.length))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 50):
+                some = batch.slice(at, 50)
+                out = []
+                for s, folded, size in zip(*(some.column(c).to_pylist() for c in ("s", "folded", "size")), strict=True):
+                    first = {}
+                    for i, f in enumerate(folded or ()):
+                        if size[i] <= most:
+                            first.setdefault(f, i)
+                    out.append([{"place": i, "text": s[i]} for i in first.values()])
+                kind = pa.list_(pa.struct([("place", pa.int32()), ("text", pa.string())]))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(out, kind)], names=[key, "title", "s"])
+
+    return known.mapInArrow(tidy(run), f"`{key}` {dict(docs.dtypes)[key]}, title string, s array<struct<place: int, text: string>>")
+
+
 def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k: int) -> DataFrame:
-    """The k best documents of each query by BM25, from an index of one field that is written and searched once."""
-    stored = index.build_index(docs, key, [text], empty=False)
-    return index.search(stored, queries, query_key, query_text, {text: 1.0}, k, key)
+    """The k best documents of each query by BM25, asked once: the texts are read where they are, and no index is written (see ``index`` for one)."""
+    return scan_search(docs, queries, query_key, query_text, {text: 1.0}, k, key, empty=False)
 
 
 def _grams(m: int, keys=None):

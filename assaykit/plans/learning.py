@@ -10,13 +10,12 @@ from ..functions.parsing import terms
 from ..functions.scalar import squeezed
 from ..operators import learning as L
 from ..operators import nested, ranking
-from ..operators.index import build_index
 from ..operators.knowledge import candidate_features
 from ..operators.metrics import auroc
 from ..sources.tables import predictions, read
 from .common import B, P, rounded
 from .comparisons import J, both
-from .knowledge import FIELDS, RERANK, halves, sentence_table
+from .knowledge import FIELDS, RERANK, halves, sentence_pages
 
 WEIGHTS = [0.25, 0.5, 0.75]
 SHAPES = ["a", "b", "c", "d"]
@@ -125,11 +124,9 @@ def routed_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences that search finds for an item, right where the item's text holds them, with their eleven features and the terms they share."""
-    passages = cut(sentence_table(spark, sf_dir))
-    stored = build_index(passages, "sid", list(FIELDS))
-    found = candidate_features(stored, passages, halves(spark, sf_dir), "sid", "item_id", FIELDS, 20)
+    found = candidate_features(sentence_pages(spark, sf_dir), halves(spark, sf_dir), "doc_id", "sid", "item_id", FIELDS, 20)
     items = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    rows = found.join(items, "item_id").join(passages.select("sid", "text"), "sid")
+    rows = found.join(items, "item_id")
     held = F.contains(squeezed(F.col("item")), squeezed(F.col("text")))
     shared = F.transform(F.array_intersect(terms(F.col("item")), terms(F.col("text"))), lambda t: F.struct(F.concat(F.lit("both="), t).alias("name"), F.lit(1.0).alias("value")))
     named = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in RERANK])
