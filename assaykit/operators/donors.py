@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ..functions.arrowtext import cut
 from .ranks import value_places
 
 RANGE = 65_536  # places that one window covers
+PAIRS_A_PLACE = 16
+BLOCKS, MOST_BLOCK = 8, 2**21  # of places that a correlation covers, and the most of one
 
 
 def _next_start(placed: DataFrame, by: list[str]) -> DataFrame:
@@ -67,17 +71,48 @@ def fallback_passages(df: DataFrame, donors: DataFrame, unit: str, key: str, cou
     return needy.join(usable.select(unit, "place", "donor"), unit).filter(F.col("place") < F.col("__own")).select(key, "place", "donor")
 
 
+def _shift_counts(n: int, length: int):
+    """``shift, repeats`` of one pair of blocks: how many equal indexes lie each distance apart, by FFT; counts are whole numbers, so rounding makes them exact."""
+    width = 1 << (2 * length - 1).bit_length()
+
+    def run(table: pa.Table) -> pa.Table:
+        total = np.zeros(width // 2 + 1, complex)
+        for a, b in zip(table.column("a"), table.column("b"), strict=True):
+            one, two = (np.fft.rfft(np.bincount(x.values.to_numpy(), minlength=width)) for x in (a, b))
+            total += np.conj(one) * two
+        counts = np.rint(np.fft.irfft(total, width)).astype(np.int64)
+        apart = np.arange(width)
+        apart[width // 2 :] -= width
+        met = np.flatnonzero(counts)
+        start = (table.column("j")[0].as_py() - table.column("i")[0].as_py()) * length
+        return pa.table({"shift": (start + apart[met]) % n, "repeats": counts[met]})
+
+    return run
+
+
 def choose_rotation(recipients: DataFrame, donors: DataFrame, place: str, index: str) -> DataFrame:
     """One row ``shift, repeats``: the rotation of the donors, of as many places 0 to n - 1, that meets equal indexes least often.
 
-    Each pair of equal indexes rules out one rotation, so all rotations are counted by one aggregate over such pairs, and none is
+    Each pair of equal indexes rules out one rotation. Pairs of an index that makes at most ``PAIRS_A_PLACE`` times n of them are joined and
+    counted; all rotations of a more frequent one are counted together, as the correlation of its places in a block of the
+    recipients with those in a block of the donors, so the work is n log n for each of them (there are at most the root of n) and none is
     tried. Ties go to the smaller shift. Two tables of different or no size are an error.
     """
     n, m = recipients.count(), donors.count()
     if n != m or not n:
         raise ValueError(f"{n} recipients and {m} donors")
-    met = recipients.select(F.col(place).alias("__p"), F.col(index).alias("__x")).join(donors.select(F.col(place).alias("__q"), F.col(index).alias("__x")), "__x")
-    repeats = met.groupBy(F.pmod(F.col("__q") - F.col("__p"), F.lit(n)).cast("long").alias("shift")).agg(F.count(F.lit(1)).alias("repeats"))
+    asks, gives = (cut(side.select(F.col(place).cast("long").alias("__p"), F.col(index).alias("__x")).filter("__x IS NOT NULL")) for side in (recipients, donors))
+    times = lambda side, c: side.groupBy("__x").agg(F.count(F.lit(1)).alias(c))
+    often = cut(times(asks, "__a").join(times(gives, "__b"), "__x").filter(F.col("__a") * F.col("__b") > PAIRS_A_PLACE * n).select("__x"))
+    rare = [side.join(often, "__x", "left_anti") for side in (asks, gives)]
+    shift = F.pmod(F.col("__q") - F.col("__p"), F.lit(n)).cast("long").alias("shift")
+    repeats = rare[0].join(rare[1].withColumnRenamed("__p", "__q"), "__x").groupBy(shift).agg(F.count(F.lit(1)).alias("repeats"))
+    if not often.isEmpty():
+        length = max(1, min(MOST_BLOCK, -(-n // BLOCKS)))
+        blocks = lambda side, c, i: side.join(often, "__x").groupBy("__x", F.floor(F.col("__p") / length).alias(i)).agg(F.collect_list((F.col("__p") % length).cast("int")).alias(c))
+        met = blocks(asks, "a", "i").join(blocks(gives, "b", "j"), "__x").select("i", "j", "a", "b")
+        counted = met.groupBy("i", "j").applyInArrow(_shift_counts(n, length), "shift long, repeats long")
+        repeats = repeats.unionByName(counted).groupBy("shift").agg(F.sum("repeats").alias("repeats"))
     every = recipients.sparkSession.range(n).withColumnRenamed("id", "shift").join(repeats, "shift", "left")
     return every.select("shift", F.coalesce("repeats", F.lit(0)).alias("repeats")).orderBy("repeats", "shift").limit(1)
 

@@ -54,3 +54,21 @@ def test_no_rows(spark):
     df = spark.createDataFrame([], "unit string, key long, n int")
     found = donors.next_donors(df, "unit", "key", "n")
     assert found.collect() == [] and donors.fallback_passages(df, found, "unit", "key", "n").collect() == []
+
+
+def test_frequent_indexes_are_counted_without_their_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    n = 301
+    x, y = rng.integers(0, 3, n), rng.integers(0, 3, n)
+    x[:40], y[:40] = rng.integers(100, 130, 40), rng.integers(100, 130, 40)
+    one, two = (spark.createDataFrame([(p, int(v) if v else None) for p, v in enumerate(side)], "p long, x int") for side in (x, y))
+    own = [sum(int(x[p] == y[(p + s) % n] != 0) for p in range(n)) for s in range(n)]
+    want = (int(np.argmin(own)), min(own))
+    found = []
+    counted = donors._shift_counts
+    monkeypatch.setattr(donors, "_shift_counts", lambda n, length: found.append(length) or counted(n, length))
+    for least, block in ((0, 2**21), (16, 50), (10**9, 50)):
+        monkeypatch.setattr(donors, "PAIRS_A_PLACE", least)
+        monkeypatch.setattr(donors, "MOST_BLOCK", block)
+        assert tuple(donors.choose_rotation(one, two, "p", "x").first()) == want
+    assert len(found) == 2
