@@ -2,22 +2,42 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 from ..functions.scalar import ratio
 
 
+_RATINGS = ArrayType(StructType([StructField("upto", IntegerType()), StructField("value", IntegerType()), StructField("sure", BooleanType())]))
+
+
+@F.arrow_udf(_RATINGS)
+def _placed(sizes: pa.Array, values: pa.Array, sure: pa.Array) -> pa.Array:
+    """Lists of sizes as running sums, with the two other lists beside them."""
+    offsets = np.concatenate([[0], np.cumsum(np.nan_to_num(sizes.value_lengths().to_numpy(zero_copy_only=False).astype(float)))]).astype(np.int64)
+    total = np.concatenate([[0], np.cumsum(sizes.flatten().to_numpy(zero_copy_only=False).astype(np.int64))])
+    upto = total[1:] - np.repeat(total[offsets[:-1]], np.diff(offsets))
+    rows = pa.StructArray.from_arrays([pa.array(upto.astype(np.int32)), values.flatten().cast(pa.int32()), sure.flatten()], names=["upto", "value", "sure"])
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), rows, mask=sizes.is_null())
+
+
 def rating_stream(text: Column, pattern: str) -> Column:
     """The ratings of a text in order, as (``upto``, ``value``, ``sure``): where each ends, its last digit, and whether it also ends there if the text goes on.
 
     One pass of the pattern, which must match up to a digit, serves every cut: a text that is cut at n holds the ratings with ``upto``
-    below n, if sure, and one that ends at n. Places are sums of the lengths between and of the matches.
+    below n, if sure, and one that ends at n. Places are running sums of the lengths between and of the matches; no function of one
+    rating looks at the whole text or at all ratings, so the work grows with the text.
     """
     between, found = F.split(text, pattern), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    sizes = F.transform(found, lambda m, i: F.length(F.element_at(between, i + 1)) + F.length(m))
-    one = F.transform(found, lambda m, i: F.struct(F.aggregate(F.slice(sizes, 1, i + 1), F.lit(0), lambda a, b: a + b).alias("upto"), F.right(m, F.lit(1)).cast("int").alias("value")))
-    return F.transform(one, lambda r: F.struct(r["upto"].alias("upto"), r["value"].alias("value"), (~F.substring(text, r["upto"] + 1, F.lit(1)).rlike(r"^\w")).alias("sure")))
+    n = F.size(found)
+    sizes = F.zip_with(F.slice(between, 1, n), found, lambda b, m: F.length(b) + F.length(m))
+    values = F.transform(found, lambda m: F.right(m, F.lit(1)).cast("int"))
+    # What follows a rating: the text up to the next one, or at once the next one, or nothing.
+    sure = F.zip_with(F.slice(between, 2, n), F.slice(found, 2, n), lambda b, m: ~F.coalesce(F.when(F.length(b) > 0, b).otherwise(m), F.lit("")).rlike(r"^\w"))
+    return _placed(sizes, values, sure)
 
 
 def rating_at(stream: Column, upto: Column) -> Column:

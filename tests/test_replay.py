@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from assaykit.operators import replay
 
@@ -47,3 +48,17 @@ def test_cuts_are_those_of_a_plain_replay(spark):
         units = [ba([(k[3], v[0] >= 2) for k, v in one.items() if k[0] == u]) for u in ("u0", "u1", "u2")]
         assert abs(got[name, "macro"]["balanced_accuracy"] - np.mean(units)) < 1e-9 and (name, "s") in got
     assert replay.replay_cuts(df.limit(0), PATTERN, [5], "x").collect() == []
+
+
+def test_many_ratings_take_time_in_proportion(spark):
+    """Before, each rating split the whole text again for each rating before it."""
+    import time
+
+    text = "7 of 7, 3a 5 " * 5_000
+    began = time.time()
+    df = spark.createDataFrame([(text,), ("",), (None,)], "t string").repartition(1)
+    got = df.select(replay.rating_stream(F.col("t"), "[1-7]").alias("s")).collect()
+    assert time.time() - began < 60
+    plain = [(m.end(), int(m.group()), not re.match(r"\w", text[m.end() :][:1])) for m in re.finditer("[1-7]", text)]
+    lists = {len(r["s"]) if r["s"] is not None else None: r["s"] for r in got}
+    assert lists[0] == [] and None in lists and [tuple(x) for x in lists[20_000]] == plain
