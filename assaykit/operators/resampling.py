@@ -19,6 +19,7 @@ from ..functions.scalar import ratio, stable_fraction
 from .ranks import running_before
 
 SAMPLES_A_ROW = 125
+DRAWN_AT_ONCE = 1_000_000  # cells times samples whose counts a worker holds
 MOST_CELLS = 1_000_000  # distinct pairs of scores of all units, 40 bytes each; beyond it rows get Poisson weights
 _WINDOW = 40  # standard deviations of a binomial variable that its table covers; what lies beyond is under 1e-300
 #: The distribution function of a Poisson variable of mean 1 at 0 to 6.
@@ -126,9 +127,12 @@ def _auroc_samples(batches):
             numbers = np.arange(first, first + n)
             own = [label == 1, label == 0]
             starts = mix32(np.array([seed, seed ^ 0x9E3779B9], np.uint32))
-            wp, wn = (draw_counts(c[k], s, numbers) for k, s in zip(own, starts, strict=True))
-            delta = _aurocs(y[own[0]], wp, y[own[1]], wn) - _aurocs(x[own[0]], wp, x[own[1]], wn)
-            yield pa.RecordBatch.from_arrays([unit.column(0).take(pa.array([0] * n)), pa.array(numbers.astype(np.int32)), pa.array(delta)], names=[unit.schema.names[0], "sample", "delta"])
+            at_once = max(1, DRAWN_AT_ONCE // len(c))
+            for at in range(0, n, at_once):
+                some = numbers[at : at + at_once]
+                wp, wn = (draw_counts(c[k], s, some) for k, s in zip(own, starts, strict=True))
+                delta = _aurocs(y[own[0]], wp, y[own[1]], wn) - _aurocs(x[own[0]], wp, x[own[1]], wn)
+                yield pa.RecordBatch.from_arrays([unit.column(0).take(pa.array([0] * len(some))), pa.array(some.astype(np.int32)), pa.array(delta)], names=[unit.schema.names[0], "sample", "delta"])
 
 
 def bootstrap_auroc(df: DataFrame, by: str, key: str, x: str, y: str, samples: int, seed: str = "auroc", label: str = "label") -> DataFrame:

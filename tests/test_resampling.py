@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from assaykit.operators import resampling
@@ -80,3 +81,17 @@ def test_no_rows(spark):
     _, df = fixture(spark)
     assert resampling.bootstrap_ba(df.limit(0), "unit", 10, a="d", b="e").collect() == []
     assert resampling.bootstrap_auroc(df.limit(0), "unit", "index", "x", "y", 10).collect() == []
+
+
+def test_samples_of_many_cells_are_drawn_a_few_at_a_time(monkeypatch):
+    """125 samples of a million cells took over 4 GB of a worker."""
+    rng = np.random.default_rng(3)
+    cells = [{"l": int(i % 2), "x": float(a), "y": float(b), "c": int(c)} for i, (a, b, c) in enumerate(zip(rng.random(40), rng.random(40), rng.integers(1, 5, 40), strict=True))]
+    kinds = pa.list_(pa.struct([("l", pa.int32()), ("x", pa.float64()), ("y", pa.float64()), ("c", pa.int64())]))
+    batch = pa.RecordBatch.from_pylist([{"unit": "u", "cells": cells, "seed": 5, "first": 1, "samples": 25}], pa.schema([("unit", pa.string()), ("cells", kinds), ("seed", pa.int64()), ("first", pa.int32()), ("samples", pa.int32())]))
+    whole = pa.Table.from_batches(resampling._auroc_samples([batch]))
+    drawn, drew = [], resampling.draw_counts
+    monkeypatch.setattr(resampling, "draw_counts", lambda c, s, numbers: drawn.append(len(c) * len(numbers)) or drew(c, s, numbers))
+    monkeypatch.setattr(resampling, "DRAWN_AT_ONCE", 100)
+    assert pa.Table.from_batches(resampling._auroc_samples([batch])).to_pydict() == whole.to_pydict()
+    assert max(drawn) <= 100
