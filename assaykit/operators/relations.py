@@ -156,13 +156,14 @@ def resolve_redirects(edges: DataFrame, pages: DataFrame, most: int = 16) -> Dat
     """``name, page``: the page that a name's redirects lead to. ``edges (name, target)``, ``pages (name, page)``.
 
     Pointers are doubled each round, so ``most`` rounds follow chains of up to 2**most steps; names in a cycle, or whose chain
-    ends without a page, have none. A name with several targets takes the least; a name that is a page stays one.
+    ends without a page, have none. A name with several targets takes the least; a name that is a page stays one. Both tables grow with
+    the names, so no join sends one through the driver, small as its files may be.
     """
     p = pages.groupBy("name").agg(F.min("page").alias("page"))
-    follow = edges.groupBy("name").agg(F.min("target").alias("target")).join(p.select("name"), "name", "left_anti")
+    follow = edges.groupBy("name").agg(F.min("target").alias("target")).join(p.select("name").hint("merge"), "name", "left_anti")
     at = cut(follow.unionByName(p.select("name", F.col("name").alias("target"))))  # a page points to itself
     for _ in range(most):
-        at = cut(at.join(at.select(F.col("name").alias("target"), F.col("target").alias("next")), "target").select("name", F.col("next").alias("target")))
-        if at.join(p.select(F.col("name").alias("target")), "target", "left_anti").isEmpty():
+        at = cut(at.join(at.select(F.col("name").alias("target"), F.col("target").alias("next")).hint("merge"), "target").select("name", F.col("next").alias("target")))
+        if at.join(p.select(F.col("name").alias("target")).hint("merge"), "target", "left_anti").isEmpty():
             break
-    return at.join(follow.select("name"), "name", "left_semi").join(p.withColumnRenamed("name", "target"), "target").select("name", "page")
+    return at.join(follow.select("name").hint("merge"), "name", "left_semi").join(p.withColumnRenamed("name", "target").hint("merge"), "target").select("name", "page")

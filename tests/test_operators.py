@@ -169,3 +169,10 @@ def test_empty_tables_give_no_rows(spark):
     p = spark.createDataFrame([], "unit string, scenario string, index long, label int, score double, decision int, x double, y double")
     for df in (sampling.sample_fraction(p, 0.5, ["unit"]), sampling.half_split(p, ["unit"]), comparisons.pair_orders(p, ["unit"], "x", "y"), comparisons.order_changes(p, "unit", "index", "x", "y"), relations.assign_donors(p, "unit", "index")):
         assert not df.collect()
+
+
+def test_redirects_send_no_table_through_the_driver(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(30)], "name string, target string")
+    got = relations.resolve_redirects(edges, spark.createDataFrame([("n30", 7)], "name string, page long"))
+    assert got.count() == 30
+    assert "BroadcastExchange" not in got._jdf.queryExecution().executedPlan().toString()
