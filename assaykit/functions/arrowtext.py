@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 500_000
 BATCH_ROWS = 1000
 MOST_AMONG = 16_000_000  # ids of four bytes
+FEW, PART = 20_000, 2_500  # rows of a few numbers that a join may send to all tasks, and of a small table that one task takes
 #: The separators of words: space and the control characters 0x09 to 0x0D.
 SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -45,6 +46,19 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_few(df: DataFrame, most: int, per: int = PART) -> DataFrame:
+    """:func:`cut` of a frame that has at most ``most`` rows, in as many files as parts of ``per`` rows, or one a partition if those are fewer.
+
+    A small table so takes a few tasks here and where it is read, however many partitions a shuffle has.
+    """
+    return cut(df.coalesce(max(1, -(-most // per))))
+
+
+def met(df: DataFrame, rows: int) -> DataFrame:
+    """A side of a join that has at most so many rows: up to ``FEW`` are sent to all tasks, more are met by sort and merge."""
+    return F.broadcast(df) if rows <= FEW else df.hint("merge")
+
+
 def cut_parts(spark: SparkSession, parts: Iterable[DataFrame]) -> DataFrame:
     """Write frames of one schema one after another to one folder, and read them as one."""
     path, schema = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}", None
@@ -54,13 +68,14 @@ def cut_parts(spark: SparkSession, parts: Iterable[DataFrame]) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def among(ids: DataFrame) -> Callable[[Column], Column]:
+def among(ids: DataFrame, most: int | None = None) -> Callable[[Column], Column]:
     """Whether a value is one of ``ids`` (one column of its type), or in rare cases another: a test by 32 bits of a hash, four bytes an id in each task.
 
-    It tells which rows need not go to a join. Beyond ``MOST_AMONG`` ids it lets all rows pass, so the driver's part is bounded.
+    ``most`` bounds the rows of ``ids``, if that is known. It tells which rows need not go to a join. Beyond ``MOST_AMONG`` ids it lets all rows pass, so the driver's part is bounded.
     """
     hashed = lambda c: (F.xxhash64(c).bitwiseAND(F.lit(2**32 - 1)) - F.lit(2**31)).cast("int")
-    short = cut(ids.select(hashed(F.col(ids.columns[0])).alias("h")).distinct())
+    hashes = ids.select(hashed(F.col(ids.columns[0])).alias("h")).distinct()
+    short = cut(hashes) if most is None else cut_few(hashes, most)
     if short.count() > MOST_AMONG:
         return lambda column: F.lit(True)
     known = ids.sparkSession.sparkContext.broadcast(np.sort(short.toArrow().column("h").to_numpy()))

@@ -16,8 +16,9 @@ short one. The steps:
    one component do its documents meet in cells, each cell with its own inverted index,
    merged and probed in the same way, exactly.
 
-Tables that grow with the documents are joined by sort and merge, whatever their size: Spark would send a table of a few megabytes
-of ids, which holds millions of them, through the driver. Which texts a step reads again is told by four bytes a document.
+Tables that grow with the documents are joined by sort and merge beyond ``FEW`` rows, whatever their size: Spark would send a table of a
+few megabytes of ids, which holds millions of them, through the driver. Smaller ones go to all tasks and are written by few, so the many
+steps cost little where there is little to do. Which texts a step reads again is told by four bytes a document.
 
 Components alone need no second decision for a pair that is connected already. How many documents each one links
 with is counted afterwards: links lie within components, so small components share cells and large ones
@@ -32,12 +33,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .textio import among, chunks, cut, mix, shingle_sets, small_batches, text_bytes, tidy
+from .textio import among, chunks, cut, cut_few, met, mix, shingle_sets, small_batches, text_bytes, tidy
 
 WIDTH, SPARE, LONG = 5, 16, 64
 MOST_FREQUENT = 1 << 18  # tokens put last in the order; the choice never changes the result
 FREQUENT_WINDOW = 1_000_000
 CELL = 600
+SETS = 200  # whole sets that a task may take
 
 
 def needed(a, b):
@@ -121,16 +123,16 @@ def _described(texts: DataFrame, frequent) -> DataFrame:
     return texts.mapInArrow(tidy(run), "doc_id long, n long, d1 long, d2 long, prefix array<long>")
 
 
-def _token_sets(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and its whole sorted set for the ids given, and in rare cases for others; equal ids are taken once. Texts are not shuffled."""
-    rows = texts.filter(among(ids.select("id"))(F.col("doc_id")))
+def _token_sets(texts: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """id and its whole sorted set for the ids given, at most ``most``, and in rare cases for others; equal ids are taken once. Texts are not shuffled."""
+    rows = texts.filter(among(ids.select("id"), most)(F.col("doc_id")))
 
     def run(batches):
         for ids, sets in _sets(batches):
             sizes = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(sets).view(np.int64)))], names=["id", "tokens"])
 
-    return cut(rows.mapInArrow(tidy(run), "id long, tokens array<long>").dropDuplicates(["id"]))
+    return cut_few(rows.mapInArrow(tidy(run), "id long, tokens array<long>").dropDuplicates(["id"]), most, SETS)
 
 
 def _merge_short(batches):
@@ -168,13 +170,14 @@ def _probe(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["x", "y"])
 
 
-def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (x, y) that link."""
-    pairs = cut(pairs.select("x", "y").distinct())
-    sets = _token_sets(texts, pairs.select(F.explode(F.array("x", "y")).alias("id")))
-    left = pairs.join(sets.select(F.col("id").alias("x"), F.col("tokens").alias("s")).hint("merge"), "x")
+def verified(texts: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
+    """The pairs (x, y) that link, of at most ``most``."""
+    pairs = cut_few(pairs.select("x", "y").distinct(), most)
+    n = pairs.count()
+    sets = _token_sets(texts, pairs.select(F.explode(F.array("x", "y")).alias("id")), 2 * n)
+    left = sets.select(F.col("id").alias("x"), F.col("tokens").alias("s")).join(met(pairs, n), "x")
     both = left.join(sets.select(F.col("id").alias("y"), F.col("tokens").alias("t")).hint("merge"), "y")
-    return cut(both.select("x", "y", "s", "t").mapInArrow(tidy(_probe), "x long, y long"))
+    return cut_few(both.select("x", "y", "s", "t").mapInArrow(tidy(_probe), "x long, y long"), n, SETS)
 
 
 class DivideSkip:
@@ -264,26 +267,26 @@ def in_cells(members: DataFrame) -> DataFrame:
     Labels of up to ``CELL`` members share cells with others and are sent once; the members of a larger one are sent once for each of
     its parts. So what is sent grows with the square of a label's members over ``CELL``, not with that of all members.
     """
-    sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
     total = members.count()
+    sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
     small = F.col("m") <= CELL
     group = F.when(small, -1 - F.pmod(F.xxhash64("label"), F.lit(max(1, -(-total // CELL))))).otherwise(F.col("label"))
     parts = F.when(small, 1).otherwise(F.ceil(F.col("m") / CELL)).cast("int")
-    placed = members.join(sizes.hint("merge"), "label").withColumn("g", group).withColumn("p", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("p")).cast("int"))
+    placed = members.join(met(sizes, total), "label").withColumn("g", group).withColumn("p", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("p")).cast("int"))
     sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
     cells = sent.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).withColumn("same", F.col("i") == F.col("j"))
     return cells.drop("label", "m", "p", "other")
 
 
-def linked_rows(texts: DataFrame, known: DataFrame, labels: DataFrame) -> DataFrame:
-    """``id, links``: of each class that links with others the rows of those, from the components (``node, label``) of all classes.
+def linked_rows(texts: DataFrame, known: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """``id, links``: of each class that links with others the rows of those, from the components (``node, label``, at most ``most`` rows) of all classes.
 
     A component of up to ``CELL`` classes lies in one cell with others; a larger one has a cell for each pair of its parts, so its
     sets are sent as often as it has parts. The work is that of the pairs in a component, all of which are decided.
     """
     counts = known.groupBy(F.col("class_id").alias("id")).agg(F.count(F.lit(1)).alias("rows"))
-    members = cut(labels.select(F.col("node").alias("id"), "label").join(counts.hint("merge"), "id"))
-    cells = _token_sets(texts, members.select("id")).join(in_cells(members), "id")
+    members = cut_few(counts.join(met(labels.select(F.col("node").alias("id"), "label"), most), "id"), most)
+    cells = _token_sets(texts, members.select("id"), most).join(in_cells(members), "id")
     return cells.groupBy("g", "i", "j").applyInPandas(_counted_cell, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
@@ -302,45 +305,54 @@ def jaccard_components(df: DataFrame, links: bool = False) -> DataFrame:
     texts = rows.filter(F.col("doc_id").isNotNull())
     frequent = df.sparkSession.sparkContext.broadcast(frequent_tokens(texts))
     described = cut(_described(texts, frequent))
-    classes = cut(described.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id")))
-    known = cut(described.select("doc_id", "n", "d1", "d2").join(classes.hint("merge"), ["n", "d1", "d2"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")))
+    named = described.count()
+    classes = cut_few(described.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id")), named)
+    known = cut_few(described.select("doc_id", "n", "d1", "d2").join(classes.hint("merge"), ["n", "d1", "d2"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")), named)
     kinds = described.join(classes.select(F.col("class_id").alias("doc_id"), "n", "d1", "d2").hint("merge"), ["doc_id", "n", "d1", "d2"], "left_semi").select("doc_id", "n", "prefix").dropDuplicates(["doc_id", "n"])
     postings = kinds.select(F.col("doc_id").alias("x"), "n", F.explode("prefix").alias("h"))
     shared = cut(postings.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("c > 1"))
     # Long lists: light documents leave them aside, heavy ones keep them.
-    longs = cut(shared.filter(F.col("c") > LONG).groupBy("x", "n").agg(F.count(F.lit(1)).alias("k")))
+    longs = cut_few(shared.filter(F.col("c") > LONG).groupBy("x", "n").agg(F.count(F.lit(1)).alias("k")), named)
+    with_long = longs.count()
     heavy = longs.filter(F.col("k") > F.least(F.lit(SPARE), F.ceil(F.col("n") * 4 / 5) - 1)).select("x")
-    short = shared.filter(F.col("c") <= LONG).join(longs.select("x", "k").hint("merge"), "x", "left").select("h", F.struct("x", "n", F.coalesce("k", F.lit(0)).alias("k")).alias("m"))
+    short = shared.filter(F.col("c") <= LONG).join(met(longs.select("x", "k"), with_long), "x", "left").select("h", F.struct("x", "n", F.coalesce("k", F.lit(0)).alias("k")).alias("m"))
     lists = short.groupBy("h").agg(F.sort_array(F.collect_list("m")).alias("m"))  # at most LONG members
     before = lists.select(F.posexplode("m").alias("i", "d"), "m").filter("i > 0").select("d.x", "d.n", "d.k", F.slice("m", F.lit(1), F.col("i")).alias("ys"))
     merged = before.groupBy("x", "n", "k").agg(F.flatten(F.collect_list("ys")).alias("ys")).mapInArrow(tidy(_merge_short), "x long, y long, o long")
     candidates = cut(merged)
-    kept_long = cut(shared.filter(F.col("c") > LONG).join(heavy.hint("merge"), "x", "left_semi").select("h", "x", "n"))
-    least = cut(kept_long.groupBy("h").agg(F.min("x").alias("y")))
-    stars = kept_long.join(least.hint("merge"), "h").filter("x <> y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("o"))
-    first = candidates.unionByName(stars).groupBy("x").agg(F.max_by("y", F.struct("o", -F.col("y"))).alias("y"))
-    direct = verified(texts, first)
-    found = components(direct)
-    label = lambda c, name: found.select(F.col("node").alias(c), F.col("label").alias(name)).hint("merge")
+    kept_long = cut(shared.filter(F.col("c") > LONG).join(met(heavy, with_long), "x", "left_semi").select("h", "x", "n"))
+    in_long = kept_long.count()
+    least = cut_few(kept_long.groupBy("h").agg(F.min("x").alias("y")), in_long)
+    lists_kept = least.count()
+    stars = kept_long.join(met(least, lists_kept), "h").filter("x <> y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("o"))
+    first = cut_few(candidates.unionByName(stars).groupBy("x").agg(F.max_by("y", F.struct("o", -F.col("y"))).alias("y")), named)
+    decided = first.count()
+    direct = verified(texts, first, decided)
+    linked = direct.count()
+    found = components(direct, most=linked)
+    label = lambda c, name: met(found.select(F.col("node").alias(c), F.col("label").alias(name)), 2 * linked)
     rest = candidates.join(label("x", "lx"), "x", "left").join(label("y", "ly"), "y", "left").filter(F.coalesce("lx", "x") != F.coalesce("ly", "y"))
-    more = verified(texts, rest.join(first.hint("merge"), ["x", "y"], "left_anti"))
+    more = verified(texts, rest.join(met(first, decided), ["x", "y"], "left_anti"), candidates.count())
     placed = kept_long.join(label("x", "l"), "x", "left").select("h", "x", F.coalesce("l", "x").alias("cluster"))
     mixed = placed.groupBy("h").agg(F.min("cluster").alias("a"), F.max("cluster").alias("b")).filter("a <> b").select("h")
-    undecided = cut(placed.join(mixed, "h", "left_semi"))
-    if not undecided.isEmpty():
+    undecided = cut_few(placed.join(met(mixed, lists_kept), "h", "left_semi"), in_long)
+    if left := undecided.count():
         # Documents that no chain of shared lists connects need not meet.
         heads = undecided.groupBy("h").agg(F.min("x").alias("y"))
-        groups = components(undecided.join(heads, "h").filter("x <> y").select("x", "y"))
-        left_over = undecided.select(F.col("x").alias("id"), "cluster").distinct().join(groups.select(F.col("node").alias("id"), "label"), "id")
-        cells = in_cells(cut(left_over))
-        sets = _token_sets(texts, cells.select("id").distinct()).join(cells, "id")
+        groups = components(undecided.join(met(heads, lists_kept), "h").filter("x <> y").select("x", "y"), most=left)
+        ids = min(left, with_long)
+        left_over = cut_few(undecided.select(F.col("x").alias("id"), "cluster").distinct().join(met(groups.select(F.col("node").alias("id"), "label"), ids), "id"), ids)
+        cells = in_cells(left_over)
+        sets = _token_sets(texts, left_over.select("id"), ids).join(cells, "id")
         more = more.unionByName(cut(sets.groupBy("g", "i", "j").applyInPandas(_cell, "x long, y long")))
-    final = components(direct.unionByName(more)) if not more.isEmpty() else found
-    out = known.join(final.select(F.col("node").alias("class_id"), "label").hint("merge"), "class_id", "left").select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("label", "class_id").alias("component_id"))
+    extra = more.count()
+    final = components(direct.unionByName(more), most=linked + extra) if extra else found
+    ends = 2 * (linked + extra)
+    out = known.join(met(final.select(F.col("node").alias("class_id"), "label"), ends), "class_id", "left").select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("label", "class_id").alias("component_id"))
     if links:
-        others = cut(linked_rows(texts, known.filter("n > 0"), final))
+        others = cut_few(linked_rows(texts, known.filter("n > 0"), final, min(ends, named)), min(ends, named))
         copies = known.filter("n > 0").groupBy("class_id").agg((F.count(F.lit(1)) - 1).alias("copies"))
-        out = out.join(copies.hint("merge"), "class_id", "left").join(others.withColumnRenamed("id", "class_id").hint("merge"), "class_id", "left")
+        out = out.join(copies.hint("merge"), "class_id", "left").join(met(others.withColumnRenamed("id", "class_id"), ends), "class_id", "left")
         n_links = F.when(F.col("n_shingles") == 0, 0).otherwise(F.coalesce("copies", F.lit(0)) + F.coalesce("links", F.lit(0)))
         out = out.select("doc_id", "n_shingles", "class_id", "component_id", n_links.alias("n_links"))
     nameless = rows.filter(F.col("doc_id").isNull()).mapInArrow(tidy(_sizes), "doc_id long, n_shingles long")

@@ -6,6 +6,8 @@ import tempfile
 import numpy as np
 
 from assaykit.llm import ngram_join, queries, suffix_dedup, token_counts
+from assaykit.llm.graph import components
+from assaykit.llm.textio import cut_few
 
 
 def test_unrelated_groups_share_no_cells(spark):
@@ -126,3 +128,25 @@ def test_long_lists_of_contexts_do_not_shuffle_the_texts(spark, monkeypatch):
     before = _shuffled(spark)
     assert found() == usual
     assert (_shuffled(spark) - before) - (before - start) < 500_000  # of 3,000,000 bytes of text, which two shuffles carried
+
+
+def test_small_components_take_few_tasks(spark):
+    """A few links over many shuffle partitions: no round has a join by shuffle, and each writes few files."""
+    keys = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    spark.sparkContext.setJobGroup("few", "few links")
+    try:
+        links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 102)], "x long, y long")
+        found = {r["node"]: r["label"] for r in components(links).collect()}
+        tracker = spark.sparkContext.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("few") for s in tracker.getJobInfo(j).stageIds}
+        tasks = sum(i.numTasks for s in stages if (i := tracker.getStageInfo(s)) and i.numCompletedTasks)
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == {i: 0 for i in range(41)} | {i: 100 for i in (100, 101, 102)}
+    assert tasks < 600
+    assert len(cut_few(spark.range(1000, numPartitions=50), 1000, 400).inputFiles()) == 3
