@@ -205,8 +205,14 @@ def extract_spans(text: Column, limit: int = 8) -> Column:
     """Marked spans (bold, quoted), then capitalised pairs and years, the first of those equal but for case, at most ``limit``."""
     found = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(1))
     spans = F.concat(found(r"\*\*([^*]+)\*\*"), found('"([^"]{2,80})"'), found(r"([A-Z][a-z]+ [A-Z][a-z]+)"), found(r"(1[5-9][0-9]{2}|20[0-9]{2})"))
-    placed = F.transform(spans, lambda s: F.trim(s))
-    return F.slice(F.filter(placed, lambda s, i: F.array_position(F.transform(placed, F.lower), F.lower(s)) == i + 1), 1, limit)
+    start = F.struct(F.array().cast("array<string>").alias("keys"), F.array().cast("array<string>").alias("spans"))
+
+    def step(state: Column, s: Column) -> Column:
+        more = F.struct(F.array_append(state["keys"], F.lower(F.trim(s))).alias("keys"), F.array_append(state["spans"], F.trim(s)).alias("spans"))
+        return F.when((F.size(state["keys"]) >= limit) | F.array_contains(state["keys"], F.lower(F.trim(s))), state).otherwise(more)
+
+    # A fold looks at each span once; a filter that asks for its first place would cut the text anew for each.
+    return F.aggregate(spans, start, step, lambda state: state["spans"])
 
 
 def relation_names(text: Column, patterns: list[tuple[str, str]]) -> Column:

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from assaykit.functions import parsing
 from assaykit.functions import text as T
 from assaykit.operators import conversations, decisions, selection, votes
 
@@ -68,3 +69,11 @@ def test_operating_point_abstains(spark):
     p = spark.createDataFrame([("u", 0, 0.5), ("u", 0, 0.75)], "unit string, label int, score double")
     r = decisions.operating_point(p, 1, 0.9).first()
     assert (r["emitted"], r["correct"]) == (0, 0) and r["threshold"] > 0.75
+
+
+def test_spans_are_cut_once(spark, capsys):
+    """The patterns stand once each in the plan, not again in a function of each span; of equal spans the first stays."""
+    df = spark.createDataFrame([('"Late Tea" and "late tea" in 1999, **Big** Green House, 1999',), (None,)], "t string").select(parsing.extract_spans(F.col("t"), 3).alias("s"))
+    df.explain()
+    assert capsys.readouterr().out.count("regexp_extract_all") == 4
+    assert [r["s"] for r in df.collect()] == [["Big", "Late Tea", "Green House"], None]
