@@ -102,24 +102,24 @@ def numbers(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0)))
 
 
-def _share(part: Column, whole: Column) -> Column:
+def share(part: Column, whole: Column) -> Column:
     """The share of ``whole`` that ``part`` holds, 0 where it is empty."""
     return F.size(F.array_intersect(whole, part)) / F.greatest(F.lit(1), F.size(whole))
 
 
 def number_recall(query: Column, passage: Column) -> Column:
     """Share of the query's numbers in the passage; 1 where the query has none."""
-    return F.when(F.size(numbers(query)) == 0, 1.0).otherwise(_share(numbers(passage), numbers(query)))
+    return F.when(F.size(numbers(query)) == 0, 1.0).otherwise(share(numbers(passage), numbers(query)))
 
 
 def lexical_relevance(query: Column, passage: Column) -> Column:
     """Share of the query's terms in the passage, and half a point where they share a number."""
-    return _share(terms(passage), terms(query)) + F.when(F.size(F.array_intersect(numbers(query), numbers(passage))) > 0, 0.5).otherwise(0.0)
+    return share(terms(passage), terms(query)) + F.when(F.size(F.array_intersect(numbers(query), numbers(passage))) > 0, 0.5).otherwise(0.0)
 
 
 def title_overlap(query: Column, title: Column) -> Column:
     """Share of the title's terms in the query."""
-    return _share(terms(query), terms(title))
+    return share(terms(query), terms(title))
 
 
 def length_similarity(a: Column, b: Column) -> Column:
@@ -134,7 +134,7 @@ def reciprocal_rank(rank: Column) -> Column:
 def token_recall(conversation: Column, target: Column, evidence: Column) -> Column:
     """``novel`` (share of the target's terms that are new to the conversation which the evidence has), ``recall`` and ``precision``."""
     t, e = terms(target), terms(evidence)
-    return F.struct(_share(e, F.array_except(t, terms(conversation))).alias("novel"), _share(e, t).alias("recall"), _share(t, e).alias("precision"))
+    return F.struct(share(e, F.array_except(t, terms(conversation))).alias("novel"), share(e, t).alias("recall"), share(t, e).alias("precision"))
 
 
 def negated(text: Column) -> Column:
@@ -146,7 +146,7 @@ def verdict_conflict(statement: Column, answer: Column, least: float = 0.9) -> C
     verdict = F.regexp_extract(F.lower(F.trim(answer)), "^(true|false)([^a-z]|$)", 1)
     rest = F.regexp_replace(F.lower(F.trim(answer)), "^(true|false)[^a-z]*", "")
     plain = lambda t: F.filter(terms(t), lambda w: ~w.isin(NEGATIONS.split("|")))
-    same = lambda c: (F.size(plain(statement)) > 0) & (_share(plain(c), plain(statement)) >= least)
+    same = lambda c: (F.size(plain(statement)) > 0) & (share(plain(c), plain(statement)) >= least)
     clauses = F.split(rest, "[.;]")
     restated = F.exists(clauses, lambda c: same(c) & (negated(c) == negated(statement)))
     turned = F.exists(clauses, lambda c: same(c) & (negated(c) != negated(statement)))

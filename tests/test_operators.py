@@ -131,6 +131,16 @@ def test_lengths_are_measured_before_the_fits(spark):
     assert out.inputFiles() and all("cut-" in f for f in out.inputFiles())
 
 
+def test_oracle_compares_equal_term_sets_once(spark, capsys):
+    """All levels come from one join of claims and facts, in which facts of the same terms are one row."""
+    claims = spark.createDataFrame([(1, "a", "where", "lies north"), (2, "a", "north lies", "north lies"), (3, "b", "what", "south"), (4, "c", "x", "east")], "claim long, entity string, conversation string, target string")
+    facts = spark.createDataFrame([("a", "p", "north"), ("a", "q", "a north"), ("a", "q", "one two three four five north"), ("b", "q", "Some thing else with south"), ("b", "p", None)], "entity string, predicate string, value string")
+    out = knowledge.relation_oracle(claims, facts, {"all": F.lit(True), "p": F.col("predicate") == "p", "none": F.lit(False)}, 0.5)
+    out.explain()
+    assert sum("Join" in line for line in capsys.readouterr().out.splitlines()) == 2
+    assert sorted(map(tuple, out.collect())) == [("all", 4, 2, 1), ("none", 4, 0, 0), ("p", 4, 1, 1)]
+
+
 def test_probes_and_routers_beat_chance(spark):
     rng = np.random.default_rng(4)
     vectors = [(i, i % 2, i % 3 == 0, [float(v) for v in rng.normal(size=4) + (2.0 if i % 3 == 0 else -2.0)]) for i in range(120)]
