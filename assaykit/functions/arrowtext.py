@@ -68,26 +68,41 @@ def cut_parts(spark: SparkSession, parts: Iterable[DataFrame]) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def short_hash(column: Column) -> Column:
+    """32 bits of a hash."""
+    return (F.xxhash64(column).bitwiseAND(F.lit(2**32 - 1)) - F.lit(2**31)).cast("int")
+
+
+def short_hashes(ids: DataFrame, most: int | None = None):
+    """The sorted :func:`short_hash` of ``ids`` (one column) as a broadcast, or None for more than ``MOST_AMONG``; ``most`` bounds the rows, if that is known."""
+    hashes = ids.select(short_hash(F.col(ids.columns[0])).alias("h")).distinct()
+    short = cut(hashes) if most is None else cut_few(hashes, most)
+    if short.count() > MOST_AMONG:
+        return None
+    return ids.sparkSession.sparkContext.broadcast(np.sort(short.toArrow().column("h").to_numpy()))
+
+
+def held(have: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    at = np.minimum(np.searchsorted(have, x), len(have) - 1)
+    return have[at] == x if len(have) else np.zeros(len(x), bool)
+
+
 def among(ids: DataFrame, most: int | None = None) -> Callable[[Column], Column]:
     """Whether a value is one of ``ids`` (one column of its type), or in rare cases another: a test by 32 bits of a hash, four bytes an id in each task.
 
     ``most`` bounds the rows of ``ids``, if that is known. It tells which rows need not go to a join. Beyond ``MOST_AMONG`` ids it lets all rows pass, so the driver's part is bounded.
+    A Python function over the rows that pass, in the same task, takes a second worker: it had better ask :func:`held` itself.
     """
-    hashed = lambda c: (F.xxhash64(c).bitwiseAND(F.lit(2**32 - 1)) - F.lit(2**31)).cast("int")
-    hashes = ids.select(hashed(F.col(ids.columns[0])).alias("h")).distinct()
-    short = cut(hashes) if most is None else cut_few(hashes, most)
-    if short.count() > MOST_AMONG:
+    known = short_hashes(ids, most)
+    if known is None:
         return lambda column: F.lit(True)
-    known = ids.sparkSession.sparkContext.broadcast(np.sort(short.toArrow().column("h").to_numpy()))
 
     @F.pandas_udf("boolean")
-    def held(h: pd.Series) -> pd.Series:
-        have = known.value
-        x = h.to_numpy(np.int32)
-        at = np.minimum(np.searchsorted(have, x), len(have) - 1)
-        return pd.Series(have[at] == x if len(have) else np.zeros(len(x), bool))
+    def is_held(h: pd.Series) -> pd.Series:
+        return pd.Series(held(known.value, h.to_numpy(np.int32)))
 
-    return lambda column: held(hashed(column))
+    return lambda column: is_held(short_hash(column))
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -11,6 +11,7 @@ There are at most ``MOST_BLOCKS`` blocks and a few draws of each, so the draws o
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,9 @@ from ..operators.ranks import running_before
 from .textio import WORD, cut
 
 BLOCK_WORDS, MOST_BLOCKS = 50_000, 1 << 16
+#: The driver's small tables pass as Arrow: rows of Python objects would start a second daemon and its workers on every executor.
+_SOURCES = pa.schema([("__s", pa.int32()), ("source", pa.string()), ("source_size", pa.int64()), ("target", pa.float64()), ("nb", pa.int64()), ("whole", pa.int32()), ("rest", pa.int64())])
+_ENDS = pa.schema([("__s", pa.int32()), ("ends", pa.list_(pa.int64()))])
 
 
 def word_count(text="text"):
@@ -89,7 +93,7 @@ def block_draws(sizes: DataFrame, n_shards: int, weights, most: float, seed: int
         goal = round(target)
         whole = goal // n if n else 0
         table.append((i, name, n, float(target), max(1, -(-n // block_words)), int(whole), int(goal - whole * n)))
-    sources = spark.createDataFrame(table, "__s int, source string, source_size long, target double, nb long, whole int, rest long")
+    sources = spark.createDataFrame(pa.Table.from_pylist([dict(zip(_SOURCES.names, row, strict=True)) for row in table], _SOURCES))
     blocks = cut(place(sizes, sources).groupBy("__s", "__b").agg(F.sum("size").alias("n"))).join(F.broadcast(sources.select("__s", "whole", "rest")), "__s")
     # The part of an epoch: whole blocks in permuted order while they fit, then the documents of the next one.
     order = Window.partitionBy("__s").orderBy(F.xxhash64(F.lit(seed + 1), "__s", "__b"), "__b")
@@ -100,7 +104,7 @@ def block_draws(sizes: DataFrame, n_shards: int, weights, most: float, seed: int
     draws = cut(full.unionByName(part).withColumn("place", F.row_number().over(permuted) - 1))
     quotas = {r["__s"]: r["count"] for r in draws.groupBy("__s").count().collect()}
     tree = split_quotas([quotas.get(i, 0) for i in range(len(table))], n_shards, seed)
-    ends = spark.createDataFrame([(i, np.cumsum(tree[:, i]).tolist()) for i in range(len(table))], "__s int, ends array<long>")
+    ends = spark.createDataFrame(pa.Table.from_pylist([{"__s": i, "ends": np.cumsum(tree[:, i]).tolist()} for i in range(len(table))], _ENDS))
     dealt = draws.join(F.broadcast(ends), "__s").withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("place"))))
     return sources, cut(dealt.groupBy("__s", "__b").agg(F.sort_array(F.collect_list(F.struct("epoch", "shard", "room"))).alias("draws")))
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .textio import among, chunks, cut, cut_few, met, mix, shingle_sets, small_batches, text_bytes, tidy
+from .textio import chunks, cut, cut_few, held, met, mix, shingle_sets, short_hash, short_hashes, small_batches, text_bytes, tidy
 
 WIDTH, SPARE, LONG = 5, 16, 64
 MOST_FREQUENT = 1 << 18  # tokens put last in the order; the choice never changes the result
@@ -124,14 +124,22 @@ def _described(texts: DataFrame, frequent) -> DataFrame:
 
 
 def _token_sets(texts: DataFrame, ids: DataFrame, most: int) -> DataFrame:
-    """id and its whole sorted set for the ids given, at most ``most``, and in rare cases for others; equal ids are taken once. Texts are not shuffled."""
-    rows = texts.filter(among(ids.select("id"), most)(F.col("doc_id")))
+    """id and its whole sorted set for the ids given, at most ``most``, and in rare cases for others; equal ids are taken once. Texts are not shuffled.
+
+    One function picks the rows and reads their sets, so a task has one Python worker.
+    """
+    known = short_hashes(ids.select("id"), most)
+
+    def picked(batches):
+        for batch in batches:
+            yield batch if known is None else batch.filter(pa.array(held(known.value, batch.column(2).to_numpy())))
 
     def run(batches):
-        for ids, sets in _sets(batches):
+        for ids, sets in _sets(picked(batches)):
             sizes = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(sets).view(np.int64)))], names=["id", "tokens"])
 
+    rows = texts.select("doc_id", "text", short_hash(F.col("doc_id")).alias("h"))
     return cut_few(rows.mapInArrow(tidy(run), "id long, tokens array<long>").dropDuplicates(["id"]), most, SETS)
 
 

@@ -97,3 +97,28 @@ def test_empty_table(spark):
 def test_classes_hold_equal_sets(spark):
     rows = spark.createDataFrame([(5, NEAR), (3, NEAR), (9, NEAR + " end")], "doc_id long, text string")
     assert {r["doc_id"]: (r["class_id"], r["component_id"]) for r in ngram_join.jaccard_components(rows).collect()} == {5: (3, 3), 3: (3, 3), 9: (9, 3)}
+
+
+def test_a_task_of_the_join_has_one_python_worker(spark, monkeypatch):
+    """The rows to read were picked by one Python function and read by another, which took two workers a task."""
+    plans, write = [], ngram_join.cut_few
+
+    def noted(df, *args):
+        plans.append(df._jdf.queryExecution().toString())
+        return write(df, *args)
+
+    monkeypatch.setattr(ngram_join, "cut_few", noted)
+    docs = spark.createDataFrame([r[:2] for r in table()], "doc_id long, text string").filter("doc_id IS NOT NULL")
+    asked = spark.createDataFrame([(1,), (3,), (31,)], "id long")
+    got = {r["id"]: len(r["tokens"]) for r in ngram_join._token_sets(docs, asked, 3).collect()}
+    assert set(got) == {1, 3, 31} and got[31] == 117
+    assert "MapInArrow" in plans[-1] and "ArrowEvalPython" not in plans[-1]
+
+
+def test_the_mix_runs_no_rows_of_python_objects(spark):
+    """Tables made of the driver's rows were an RDD of Python objects, which starts workers besides those of the functions."""
+    sizes = mixing.measured(spark.createDataFrame([r for r in table() if r[0] is not None], SCHEMA)).select("source", "size", "__h").localCheckpoint()
+    sources, _ = mixing.block_draws(sizes, 8, (1, 2, 3), 3, 23, 50)
+    assert "ExistingRDD" not in sources._jdf.queryExecution().toString()
+    assert [r["source"] for r in sources.orderBy("__s").collect()] == ["s0", "s1", None]
+    assert mixing.block_draws(sizes.limit(0), 8, (1, 2, 3), 3, 23, 50)[0].count() == 0
