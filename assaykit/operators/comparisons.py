@@ -9,6 +9,9 @@ from ..functions.scalar import ratio, stable_digest
 from .metrics import binary_metrics
 from .ranks import joined, running_before, value_places
 
+ROWS_A_TASK = 500_000  # rows of a few keys, which one task sorts and counts
+
+
 def unit_deltas(a: DataFrame, b: DataFrame, by: str = "unit", metric: str = "balanced_accuracy") -> DataFrame:
     """``by, before, after, delta`` of a metric per group; NULL where it is undefined on a side."""
     left, right = (binary_metrics(x, [by]).select(by, F.col(metric).alias(name)) for x, name in ((a, "before"), (b, "after")))
@@ -164,9 +167,14 @@ def repeat_consistency(df: DataFrame, group: list[str], fact: list[str], row: st
     """Over pairs of rows of a group that label the same fact: equal labels, equally decisive, and in conflict (both decisive, unequal).
 
     Counted from the label counts of each fact, so a fact of many rows makes no pairs. One label a row and fact: the least.
+    Tasks take about ``ROWS_A_TASK`` rows each, however many there are: rows are dealt by fact and a hash ``__s`` of the row, which spreads a fact of
+    many rows, and their counts by fact. Aggregates then need no other shuffle.
     """
-    one = df.groupBy(*group, *fact, row).agg(F.min(label).alias("label"))
-    cells = one.groupBy(*group, *fact, "label").agg(F.count(F.lit(1)).alias("n"))
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_A_TASK))
+    dealt = df.select(*group, *fact, row, label, F.pmod(F.xxhash64(row), F.lit(tasks)).alias("__s")).repartition(tasks, *group, *fact, "__s")
+    one = dealt.groupBy(*group, *fact, "__s", row).agg(F.min(label).alias("label"))
+    parts = one.groupBy(*group, *fact, "__s", "label").agg(F.count(F.lit(1)).alias("n")).drop("__s")
+    cells = parts.repartition(tasks, *group, *fact).groupBy(*group, *fact, "label").agg(F.sum("n").alias("n"))
     pairs = lambda n: n * (n - 1) / 2
     decisive = F.sum(F.when(F.col("label") != neutral, F.col("n")).otherwise(0))
     total = F.sum("n")

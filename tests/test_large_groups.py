@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from assaykit.operators import decisions, knowledge, learning, records
+from assaykit.operators import comparisons, decisions, knowledge, learning, records
 from assaykit.sources import scans
 
 
@@ -72,3 +72,27 @@ def test_weights_of_terms_are_made_where_a_text_is_read(spark):
     norm = math.sqrt(sum(w * w for w in raw.values()))
     assert {r["term"]: round(r["weight"], 9) for r in one} == {t: round(w / norm, 9) for t, w in raw.items()}
     assert {r["k"] for r in got.collect()} == {1, 2, 4, 5}
+
+
+def test_repeat_consistency_takes_a_bounded_number_of_rows_a_task(spark, monkeypatch):
+    """The number of tasks was fixed, or their bytes were, so the memory of one grew with the table."""
+    rng = random.Random(3)
+    rows = [("g", "hot", rng.randint(0, 300), rng.choice(["N", "A", "R", None])) for _ in range(500)]
+    rows += [(rng.choice(["g", "h", None]), rng.choice(["f", "k", None]), rng.choice([*range(40), None]), rng.choice(["N", "A", "R"])) for _ in range(300)]
+    monkeypatch.setattr(comparisons, "ROWS_A_TASK", 50)
+    out = comparisons.repeat_consistency(spark.createDataFrame(rows, "g string, f string, r long, label string"), ["g"], ["f"], "r", "label", "N")
+    plan = out._jdf.queryExecution().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= 2 and ", 16), REPARTITION_BY_NUM" in plan  # 800 rows, 50 a task
+    one = {}
+    for g, f, r, label in rows:
+        known = one.get((g, f, r))
+        one[g, f, r] = label if known is None or (label is not None and label < known) else known
+    want = {}
+    for (g, f, r), x in one.items():
+        for (h, k, s), y in one.items():
+            if (g, f) == (h, k) and (-1 if r is None else r) < (-1 if s is None else s):
+                plain, other = x is not None and x != "N", y is not None and y != "N"
+                have = want.setdefault(g, [0, 0, 0, 0])
+                for i, holds in enumerate((True, x == y, plain == other, plain and other and x != y)):
+                    have[i] += holds
+    assert {r[0]: list(r)[1:] for r in out.collect()} == want and len(want) == 3
