@@ -11,9 +11,11 @@ short one. The steps:
    reach the overlap with the long lists set aside become candidates;
 2. candidates are decided exactly: the tokens of one set are probed in the other by binary
    search;
-3. documents that consist mostly of long lists (members of large groups of near copies) are
-   first joined to the least document of their list; only where a list still holds more than
-   one component do its documents meet in cells, each cell with its own inverted index,
+3. documents that consist mostly of long lists (members of large groups of near copies, or texts with passages that
+   many others quote) are first joined to the least document of their list; where a list still holds more than one
+   component, its documents are searched once more among themselves, with the tokens frequent among them last, so that
+   the passages they share no longer decide whom they meet;
+4. only those that still consist of lists long among them meet in cells, each cell with its own inverted index,
    merged and probed in the same way, exactly.
 
 Tables that grow with the documents are joined by sort and merge beyond ``FEW`` rows, whatever their size: Spark would send a table of a
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .textio import chunks, cut, cut_few, held, met, mix, shingle_sets, short_hash, short_hashes, small_batches, text_bytes, tidy
+from .textio import MOST_AMONG, among, chunks, cut, cut_few, held, met, mix, shingle_sets, short_hash, short_hashes, small_batches, text_bytes, tidy
 
 WIDTH, SPARE, LONG = 5, 16, 64
 MOST_FREQUENT = 1 << 18  # tokens put last in the order; the choice never changes the result
@@ -92,33 +94,48 @@ def _frequent(batches):
 
 def frequent_tokens(texts: DataFrame) -> np.ndarray:
     """The most frequent tokens of all texts, at most ``MOST_FREQUENT`` (two megabytes), sorted."""
-    found = texts.select("text").mapInArrow(tidy(_frequent), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= LONG).orderBy(F.desc("c"), "h").limit(MOST_FREQUENT)
-    return np.sort(found.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
+    found = texts.select("text").mapInArrow(tidy(_frequent), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= LONG)
+    return _most_frequent(found)
+
+
+def _most_frequent(counted: DataFrame) -> np.ndarray:
+    """About the ``MOST_FREQUENT`` tokens of ``h, c`` with the highest counts, or all if they are fewer, sorted.
+
+    The driver gets their bound from how often each count comes, and then only them; a sort for them would bring it so many of each task.
+    """
+    counted, left, taken = cut(counted), MOST_FREQUENT, F.lit(True)
+    if counted.count() > MOST_FREQUENT:
+        for c, n in sorted(map(tuple, counted.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True):
+            if n > left:  # of equal counts a share, told by the token, which is a hash
+                taken = (F.col("c") > c) | ((F.col("c") == c) & (F.pmod("h", F.lit(1 << 20)) < left * (1 << 20) // n))
+                break
+            left -= n
+    return np.sort(counted.filter(taken).select("h").toArrow().column("h").to_numpy().view(np.uint64))
+
+
+def _prefixes(sets: list[np.ndarray], last: np.ndarray) -> pa.ListArray:
+    """The prefix of each set, in whose order the tokens of ``last`` come last."""
+    flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
+    late = held(last, flat)
+    out, start = [np.zeros(0, np.uint64)], 0
+    for s in sets:
+        w = late[start : start + len(s)]
+        start += len(s)
+        ordered = np.concatenate([s[~w], s[w]]) if w.any() else s
+        out.append(ordered[: int(prefix_size(len(s)))] if len(s) else ordered)
+    sizes = np.cumsum([len(p) for p in out]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(out).view(np.int64)))
 
 
 def _described(texts: DataFrame, frequent) -> DataFrame:
     """doc_id, n, a 128-bit digest of the set, and its prefix."""
 
     def run(batches):
-        last = frequent.value
         for ids, sets in _sets(batches):
             n = np.fromiter(map(len, sets), np.int64, len(sets))
-            flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
-            late = np.zeros(len(flat), bool)
-            if len(last) and len(flat):
-                at = np.minimum(np.searchsorted(last, flat), len(last) - 1)
-                late = last[at] == flat
-            prefixes, d1, d2, start = [], [], [], 0
-            for s in sets:
-                w = late[start : start + len(s)]
-                start += len(s)
-                ordered = np.concatenate([s[~w], s[w]]) if w.any() else s
-                prefixes.append(ordered[: int(prefix_size(len(s)))] if len(s) else ordered)
-                d1.append(s.sum(dtype=np.uint64))
-                d2.append(np.bitwise_xor.reduce(mix(s + np.uint64(1))) if len(s) else np.uint64(0))
-            sizes = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(prefixes).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(np.array(d1, np.uint64).view(np.int64)), pa.array(np.array(d2, np.uint64).view(np.int64)), lists], names=["doc_id", "n", "d1", "d2", "prefix"])
+            d1 = [s.sum(dtype=np.uint64) for s in sets]
+            d2 = [np.bitwise_xor.reduce(mix(s + np.uint64(1))) if len(s) else np.uint64(0) for s in sets]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(np.array(d1, np.uint64).view(np.int64)), pa.array(np.array(d2, np.uint64).view(np.int64)), _prefixes(sets, frequent.value)], names=["doc_id", "n", "d1", "d2", "prefix"])
 
     return texts.mapInArrow(tidy(run), "doc_id long, n long, d1 long, d2 long, prefix array<long>")
 
@@ -178,11 +195,12 @@ def _probe(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["x", "y"])
 
 
-def verified(texts: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
-    """The pairs (x, y) that link, of at most ``most``."""
+def verified(texts: DataFrame, pairs: DataFrame, most: int, sets: DataFrame | None = None) -> DataFrame:
+    """The pairs (x, y) that link, of at most ``most``; by ``sets`` (id, tokens), where those are at hand, without reading texts."""
     pairs = cut_few(pairs.select("x", "y").distinct(), most)
     n = pairs.count()
-    sets = _token_sets(texts, pairs.select(F.explode(F.array("x", "y")).alias("id")), 2 * n)
+    if sets is None:
+        sets = _token_sets(texts, pairs.select(F.explode(F.array("x", "y")).alias("id")), 2 * n)
     left = sets.select(F.col("id").alias("x"), F.col("tokens").alias("s")).join(met(pairs, n), "x")
     both = left.join(sets.select(F.col("id").alias("y"), F.col("tokens").alias("t")).hint("merge"), "y")
     return cut_few(both.select("x", "y", "s", "t").mapInArrow(tidy(_probe), "x long, y long"), n, SETS)
@@ -294,10 +312,110 @@ def linked_rows(texts: DataFrame, known: DataFrame, labels: DataFrame, most: int
     """
     counts = known.groupBy(F.col("class_id").alias("id")).agg(F.count(F.lit(1)).alias("rows"))
     members = cut_few(counts.join(met(labels.select(F.col("node").alias("id"), "label"), most), "id"), most)
-    cells = _token_sets(texts, members.select("id"), most).join(in_cells(members), "id")
+    cells = _token_sets(texts, members.select("id"), most).join(in_cells(members).hint("merge"), "id")
     return cells.groupBy("g", "i", "j").applyInPandas(_counted_cell, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
+def _one_a_class(described: DataFrame, classes: DataFrame, known: DataFrame, named: int) -> DataFrame:
+    """``doc_id, n, prefix`` of the least document of each set, and in rare cases of a copy of it, which is then one more node.
+
+    Prefixes are the bulk of what is described, so which rows are taken is told by four bytes a class. Only rows whose id comes more than once
+    are compared by their sets, as are all where the classes are too many for that.
+    """
+    exact = lambda d: d.join(classes.select(F.col("class_id").alias("doc_id"), "n", "d1", "d2").hint("merge"), ["doc_id", "n", "d1", "d2"], "left_semi").select("doc_id", "n", "prefix").dropDuplicates(["doc_id", "n"])
+    filled = described.filter("n > 0")
+    if classes.count() > MOST_AMONG:
+        return exact(filled)
+    taken = filled.filter(among(classes.select("class_id"), named)(F.col("doc_id")))
+    twice = cut_few(known.groupBy("doc_id").count().filter("count > 1").select("doc_id"), named)
+    if not (n_twice := twice.count()):
+        return taken.select("doc_id", "n", "prefix")
+    is_twice = among(twice, n_twice)(F.col("doc_id"))
+    return taken.filter(~is_twice).select("doc_id", "n", "prefix").unionByName(exact(taken.filter(is_twice)))
+
+
+def searched(kinds: DataFrame, named: int) -> tuple[DataFrame, DataFrame, int]:
+    """Of ``kinds (doc_id, n, prefix)``: the candidates ``x, y, o`` that short lists give, the long lists ``h, x, n`` of heavy documents, and how many documents are in long ones."""
+    postings = kinds.select(F.col("doc_id").alias("x"), "n", F.explode("prefix").alias("h"))
+    shared = cut(postings.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("c > 1"))
+    # Long lists: light documents leave them aside, heavy ones keep them.
+    longs = cut_few(shared.filter(F.col("c") > LONG).groupBy("x", "n").agg(F.count(F.lit(1)).alias("k")), named)
+    with_long = longs.count()
+    heavy = longs.filter(F.col("k") > F.least(F.lit(SPARE), F.ceil(F.col("n") * 4 / 5) - 1)).select("x")
+    short = shared.filter(F.col("c") <= LONG).join(met(longs.select("x", "k"), with_long), "x", "left").select("h", F.struct("x", "n", F.coalesce("k", F.lit(0)).alias("k")).alias("m"))
+    lists = short.groupBy("h").agg(F.sort_array(F.collect_list("m")).alias("m"))  # at most LONG members
+    before = lists.select(F.posexplode("m").alias("i", "d"), "m").filter("i > 0").select("d.x", "d.n", "d.k", F.slice("m", F.lit(1), F.col("i")).alias("ys"))
+    merged = before.groupBy("x", "n", "k").agg(F.flatten(F.collect_list("ys")).alias("ys")).mapInArrow(tidy(_merge_short), "x long, y long, o long")
+    candidates = cut(merged)
+    kept_long = cut(shared.filter(F.col("c") > LONG).join(met(heavy, with_long), "x", "left_semi").select("h", "x", "n"))
+    return candidates, kept_long, with_long
+
+
+def _stars(kept_long: DataFrame, least: DataFrame, lists: int) -> DataFrame:
+    """``x, y, o``: each document of a long list with the least of it, and how many lists say so."""
+    return kept_long.join(met(least, lists), "h").filter("x <> y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("o"))
+
+
+def _labelled(df: DataFrame, column: str, labels: DataFrame, most: int, name: str) -> DataFrame:
+    """``df`` with ``name``, the label (of ``node, label``, at most ``most`` rows) of a column, or its own value."""
+    own = labels.select(F.col("node").alias(column), F.col("label").alias("__l"))
+    return df.join(met(own, most), column, "left").withColumn(name, F.coalesce("__l", column)).drop("__l")
+
+
+def _apart(pairs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """The pairs ``x, y`` whose components differ."""
+    return _labelled(_labelled(pairs, "x", labels, most, "lx"), "y", labels, most, "ly").filter("lx <> ly").drop("lx", "ly")
+
+
+def _mixed(placed: DataFrame, rows: int, lists: int) -> DataFrame:
+    """``h, x, cluster`` of the long lists that hold more than one component; at most so many rows and lists."""
+    mixed = placed.groupBy("h").agg(F.min("cluster").alias("a"), F.max("cluster").alias("b")).filter("a <> b").select("h")
+    return cut_few(placed.select("h", "x", "cluster").join(met(mixed, lists), "h", "left_semi"), rows)
+
+
+def _prefixed(batches, frequent):
+    for batch in batches:
+        lists = batch.column(1)
+        flat, ends = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        sets = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends).astype(np.int64)), _prefixes(sets, frequent.value)], names=["doc_id", "n", "prefix"])
+
+
+def _searched_again(texts: DataFrame, undecided: DataFrame, found: DataFrame, ends: int, most: int) -> DataFrame:
+    """Links ``x, y`` between different components of ``found`` among the documents of ``undecided (h, x, cluster)``, at most ``most``.
+
+    Which tokens are frequent is counted exactly among these documents, so a passage that many of them quote comes last in the order of each.
+    Both of a linked pair stand in a list that holds their two components, so both are here.
+    """
+    ids = cut_few(undecided.select(F.col("x").alias("id")).distinct(), most)
+    n_ids = ids.count()
+    sets = _token_sets(texts, ids, n_ids)
+    if n_ids > MOST_AMONG:
+        sets = cut(sets.join(ids.hint("merge"), "id", "left_semi"))
+    often = sets.select(F.explode("tokens").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > LONG)
+    frequent = undecided.sparkSession.sparkContext.broadcast(_most_frequent(often))
+    kinds = sets.select("id", "tokens").mapInArrow(tidy(lambda batches: _prefixed(batches, frequent)), "doc_id long, n long, prefix array<long>")
+    candidates, kept_long, _ = searched(kinds, n_ids)
+    in_long = kept_long.count()
+    least = cut_few(kept_long.groupBy("h").agg(F.min("x").alias("y")), in_long)
+    lists = least.count()
+    stars = _stars(kept_long, least, lists).groupBy("x").agg(F.max_by("y", F.struct("o", -F.col("y"))).alias("y"))
+    pairs = _apart(candidates.select("x", "y").unionByName(stars.select("x", "y")), found, ends)
+    more = verified(texts, pairs, candidates.count() + n_ids, sets)
+    linked = more.count()
+    # Labels of labels: components that the new links join are one.
+    joined = components(_labelled(_labelled(more, "x", found, ends, "a"), "y", found, ends, "b").select("a", "b"), "a", "b", most=linked)
+    rest = _mixed(_labelled(_labelled(kept_long, "x", found, ends, "own"), "own", joined, 2 * linked, "cluster"), in_long, lists)
+    if left := rest.count():
+        # Documents that no chain of shared lists connects need not meet.
+        heads = rest.groupBy("h").agg(F.min("x").alias("y"))
+        groups = components(rest.join(met(heads, lists), "h").filter("x <> y").select("x", "y"), most=left)
+        left_over = cut_few(rest.select(F.col("x").alias("id"), "cluster").distinct().join(met(groups.select(F.col("node").alias("id"), "label"), n_ids), "id"), n_ids)
+        met_in_cells = sets.join(in_cells(left_over).hint("merge"), "id")
+        more = more.unionByName(cut(met_in_cells.groupBy("g", "i", "j").applyInPandas(_cell, "x long, y long")))
+    return more
+
+
 def jaccard_components(df: DataFrame, links: bool = False) -> DataFrame:
     """Per row ``doc_id, n_shingles, class_id, component_id``, with ``links`` also ``n_links`` long: how many other rows it links with.
 
@@ -316,43 +434,20 @@ def jaccard_components(df: DataFrame, links: bool = False) -> DataFrame:
     named = described.count()
     classes = cut_few(described.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id")), named)
     known = cut_few(described.select("doc_id", "n", "d1", "d2").join(classes.hint("merge"), ["n", "d1", "d2"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")), named)
-    kinds = described.join(classes.select(F.col("class_id").alias("doc_id"), "n", "d1", "d2").hint("merge"), ["doc_id", "n", "d1", "d2"], "left_semi").select("doc_id", "n", "prefix").dropDuplicates(["doc_id", "n"])
-    postings = kinds.select(F.col("doc_id").alias("x"), "n", F.explode("prefix").alias("h"))
-    shared = cut(postings.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("c > 1"))
-    # Long lists: light documents leave them aside, heavy ones keep them.
-    longs = cut_few(shared.filter(F.col("c") > LONG).groupBy("x", "n").agg(F.count(F.lit(1)).alias("k")), named)
-    with_long = longs.count()
-    heavy = longs.filter(F.col("k") > F.least(F.lit(SPARE), F.ceil(F.col("n") * 4 / 5) - 1)).select("x")
-    short = shared.filter(F.col("c") <= LONG).join(met(longs.select("x", "k"), with_long), "x", "left").select("h", F.struct("x", "n", F.coalesce("k", F.lit(0)).alias("k")).alias("m"))
-    lists = short.groupBy("h").agg(F.sort_array(F.collect_list("m")).alias("m"))  # at most LONG members
-    before = lists.select(F.posexplode("m").alias("i", "d"), "m").filter("i > 0").select("d.x", "d.n", "d.k", F.slice("m", F.lit(1), F.col("i")).alias("ys"))
-    merged = before.groupBy("x", "n", "k").agg(F.flatten(F.collect_list("ys")).alias("ys")).mapInArrow(tidy(_merge_short), "x long, y long, o long")
-    candidates = cut(merged)
-    kept_long = cut(shared.filter(F.col("c") > LONG).join(met(heavy, with_long), "x", "left_semi").select("h", "x", "n"))
+    candidates, kept_long, with_long = searched(_one_a_class(described, classes, known, named), named)
     in_long = kept_long.count()
     least = cut_few(kept_long.groupBy("h").agg(F.min("x").alias("y")), in_long)
     lists_kept = least.count()
-    stars = kept_long.join(met(least, lists_kept), "h").filter("x <> y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("o"))
-    first = cut_few(candidates.unionByName(stars).groupBy("x").agg(F.max_by("y", F.struct("o", -F.col("y"))).alias("y")), named)
+    first = cut_few(candidates.unionByName(_stars(kept_long, least, lists_kept)).groupBy("x").agg(F.max_by("y", F.struct("o", -F.col("y"))).alias("y")), named)
     decided = first.count()
     direct = verified(texts, first, decided)
     linked = direct.count()
     found = components(direct, most=linked)
-    label = lambda c, name: met(found.select(F.col("node").alias(c), F.col("label").alias(name)), 2 * linked)
-    rest = candidates.join(label("x", "lx"), "x", "left").join(label("y", "ly"), "y", "left").filter(F.coalesce("lx", "x") != F.coalesce("ly", "y"))
+    rest = _apart(candidates, found, 2 * linked)
     more = verified(texts, rest.join(met(first, decided), ["x", "y"], "left_anti"), candidates.count())
-    placed = kept_long.join(label("x", "l"), "x", "left").select("h", "x", F.coalesce("l", "x").alias("cluster"))
-    mixed = placed.groupBy("h").agg(F.min("cluster").alias("a"), F.max("cluster").alias("b")).filter("a <> b").select("h")
-    undecided = cut_few(placed.join(met(mixed, lists_kept), "h", "left_semi"), in_long)
-    if left := undecided.count():
-        # Documents that no chain of shared lists connects need not meet.
-        heads = undecided.groupBy("h").agg(F.min("x").alias("y"))
-        groups = components(undecided.join(met(heads, lists_kept), "h").filter("x <> y").select("x", "y"), most=left)
-        ids = min(left, with_long)
-        left_over = cut_few(undecided.select(F.col("x").alias("id"), "cluster").distinct().join(met(groups.select(F.col("node").alias("id"), "label"), ids), "id"), ids)
-        cells = in_cells(left_over)
-        sets = _token_sets(texts, left_over.select("id"), ids).join(cells, "id")
-        more = more.unionByName(cut(sets.groupBy("g", "i", "j").applyInPandas(_cell, "x long, y long")))
+    undecided = _mixed(_labelled(kept_long, "x", found, 2 * linked, "cluster"), in_long, lists_kept)
+    if undecided.count():
+        more = more.unionByName(_searched_again(texts, undecided, found, 2 * linked, with_long))
     extra = more.count()
     final = components(direct.unionByName(more), most=linked + extra) if extra else found
     ends = 2 * (linked + extra)
